@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import ogg, packing, simhash, spm, toxicity
+from locusframe.llm import ogg, packing, pii, simhash, spm, toxicity
 from locusframe.llm.common import documents
 
 
@@ -28,6 +28,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digest(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.counts(pii.find(documents(spark, sf_dir)))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.dedupe(documents(spark, sf_dir))
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
@@ -45,6 +49,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_pii": op6_pii,
     "op7_simhash": op7_simhash,
     "op8_media_columns": op8_media_columns,
     "op9_packing": op9_packing,
