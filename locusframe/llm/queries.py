@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import ogg, packing, pii, simhash, spm, toxicity
+from locusframe.llm import ogg, packing, pii, simhash, spm, topk, toxicity, warc
 from locusframe.llm.common import documents
 
 
@@ -17,6 +17,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", topk.quantised(F.col("embedding")).alias("ints"))
+    return topk.search(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.read(spark, warc.archive(pages, min_bytes=0), payloads=False).drop("payload")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out("doc_id"))
@@ -47,6 +57,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
+    "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_pii": op6_pii,
@@ -55,4 +67,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as e
+            from embeddings
+            where vec_id is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+            select q.vec_id as query_id, c.vec_id,
+                   cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+            from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e)
+            where q.vec_id % 50 = 0
+        ), ranked as (
+            select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+        )
+        select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5
+    """,
+    "op3_warc": """
+        with given as (
+            select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as h from pages
+        ), resolved as (
+            select page_id, strlen(payload) as n, h, max(page_id) over (partition by h) as winner from given
+        )
+        select page_id, cast(n as bigint) as payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((cast('0x' || substr(h, 1 + 5 * (i // 4), 5) as bigint) >> (15 - 5 * (i % 4))) & 31), 1)),
+                   'string_agg', '') as payload_digest,
+               case when page_id = winner then 'response' else 'revisit' end as record_type,
+               case when page_id <> winner then winner end as refers_to
+        from resolved
+    """,
+}
