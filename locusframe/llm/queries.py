@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import ogg, packing, pii, simhash, spm, topk, toxicity, warc
+from locusframe.llm import license_scan, ogg, packing, pii, simhash, spm, topk, toxicity, warc
 from locusframe.llm.common import documents
 
 
@@ -22,6 +22,17 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files below source/language/hundred; short licence notices stand for licence files."""
+    text = F.coalesce("text", F.lit(""))
+    notice = (F.length(text) < 300) & F.lower(text).contains("license")
+    name = F.when(notice, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 100))
+    files = documents(spark, sf_dir).select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text")
+    found = license_scan.scan(files)
+    return found.withColumn("score", F.round("score", 6))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc.read(spark, warc.archive(pages, min_bytes=0), payloads=False).drop("payload")
@@ -58,6 +69,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_license_scan": op2_license_scan,
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
