@@ -137,12 +137,12 @@ def scored(kind: Kind, rank: int):
     return span
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds=KINDS) -> DataFrame:
-    """The id, the text and ``found``: spans (start, end, kind, score, base) in order.
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds=KINDS, keep: list[str] = ()) -> DataFrame:
+    """The id, the text, columns to keep and ``found``: spans (start, end, kind, score, base) in order.
 
     Order: by start, then by the order of kinds.
     """
-    given = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
+    given = df.select(F.col(id_col), *keep, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
     each = []
     for rank, kind in enumerate(kinds):
         spans = F.transform(proposed(kind, F.col(text_col)), scored(kind, rank))
