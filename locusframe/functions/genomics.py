@@ -134,7 +134,7 @@ def stat_text(value: Column, kind: str) -> Column:
     if kind in ("float", "double"):
         wide = value.cast("double")
         special = F.when(F.isnan(wide), "NaN").when(wide == math.inf, "inf").when(wide == -math.inf, "-inf")
-        return F.coalesce(special, F.format_string("%.6f", wide))
+        return F.when(wide.isNotNull(), F.coalesce(special, F.format_string("%.6f", wide)))
     return value.cast("string")
 
 
