@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 PREFIXES = range(3, 8)
 THRESHOLD = 0.7
-MAX_PER_CLASS = 5000
+MAX_PER_CLASS = 4000
 MAX_FEATURES = 20_000
 KEPT_WORDS = 400_000
 #: Groups of identity terms; a swap takes the next of the group.
@@ -84,18 +84,20 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray | None]], l1: float, fairne
         share = float(y.mean()) if len(y) else 0.0
         return Model({}, float(np.log(share / (1 - share))) if 0 < share < 1 else (40.0 if share else -1000.0))
     flat = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.int64)
-    of_row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+    of_row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
     names, at, df = np.unique(flat, return_inverse=True, return_counts=True)
     # Keep what is seen often enough and leans to toxic rows, by log-likelihood ratio.
     hit = np.bincount(at, weights=y[of_row], minlength=len(names))
     p, q = (hit + 0.5) / (y.sum() + 1), (df - hit + 0.5) / (len(y) - y.sum() + 1)
+    del flat
     gain = np.where((df >= min_df) & (p > q), hit * np.log(p / q), -1)
     keep = np.argsort(-gain, kind="stable")[:top]
     keep = keep[gain[keep] > 0]
-    place = np.full(len(names), -1)
+    place = np.full(len(names), -1, np.int32)
     place[keep] = np.arange(len(keep))
     col = place[at]
-    of_row, col = of_row[col >= 0], col[col >= 0]
+    del at
+    of_row, col = of_row[col >= 0].astype(np.int32), col[col >= 0].astype(np.int32)
     m = len(keep)
     # Counterfactual differences: +1 for what only the text has, -1 for what only the swapped text has.
     pair, pair_col, sign = [], [], []
