@@ -34,6 +34,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.llm.common import cut
+
 THRESHOLD = 0.6
 #: Short notices by which files declare a licence.
 TEMPLATES = {
@@ -89,18 +91,30 @@ def model(templates: dict[str, str], threshold: float) -> Model:
 
 
 def cosines(terms: Column, m: Model) -> Column:
-    """Array of (score, name) to each template, of an array of terms; repeats count."""
-    table = F.create_map(*[F.lit(x) for t, w in m.idf.items() for x in (t, w)])
-    count = lambda t, all_: F.size(F.filter(all_, lambda x: x == t))
-    weigh = lambda t, all_: count(t, all_) * F.coalesce(F.try_element_at(table, t), F.lit(m.unseen))
-    norm = F.sqrt(F.aggregate(F.array_distinct(terms), F.lit(0.0), lambda a, t: a + weigh(t, terms) * weigh(t, terms)))
-    scores = []
-    for name, vector in m.vectors.items():
-        dot = F.lit(0.0)
-        for t, w in vector.items():
-            dot = dot + count(F.lit(t), terms) * F.lit(m.idf[t] * w)
-        scores.append(F.struct((dot / norm).alias("score"), F.lit(name).alias("license")))
-    return F.when(F.size(terms) > 0, F.array(*scores))
+    """Array of (score, name) to each template, of an array of terms; repeats count.
+
+    One pass over the distinct terms adds up the norm and all dot products.
+    """
+    names = list(m.vectors)
+    idf = F.create_map(*[F.lit(x) for t, w in m.idf.items() for x in (t, w)])
+    row = lambda t: F.array(*[F.lit(m.idf[t] * m.vectors[k].get(t, 0.0)) for k in names])
+    table = F.create_map(*[x for t in m.idf for x in (F.lit(t), row(t))])
+    state = "struct<square:double,dots:array<double>>"
+
+    def step(a: Column, t: Column) -> Column:
+        n = F.size(F.filter(terms, lambda x: x == t)).cast("double")
+        weight = n * F.coalesce(F.try_element_at(idf, t), F.lit(m.unseen))
+        add = F.try_element_at(table, t)
+        more = F.when(add.isNull(), a["dots"]).otherwise(F.zip_with(a["dots"], add, lambda x, y: x + n * y))
+        return F.struct((a["square"] + weight * weight).alias("square"), more.alias("dots")).cast(state)
+
+    start = F.struct(F.lit(0.0).alias("square"), F.array_repeat(F.lit(0.0), len(names)).alias("dots")).cast(state)
+
+    def finish(a: Column) -> Column:
+        pairs = F.zip_with(a["dots"], F.array(*map(F.lit, names)), lambda d, k: F.struct((d / F.sqrt(a["square"])).alias("score"), k.alias("license")))
+        return F.when(a["square"] > 0, pairs)
+
+    return F.aggregate(F.array_distinct(terms), start, step, finish)
 
 
 def better(found: Column) -> Column:
@@ -139,7 +153,9 @@ def scan(
     marked = given.select(*key_cols, "path", "dir", "is_license", units.alias("units"))
     hits = F.flatten(F.transform("units", lambda u: cosines(terms_of(u), m)))
     top = better(F.filter(hits, lambda s: s["score"] >= threshold))
-    own = marked.withColumn("top", F.when(F.size("units") > 0, top)).select(
+    found = marked.select(*key_cols, "path", "dir", "is_license", F.when(F.size("units") > 0, top).alias("top"))
+    # Written once, without texts, as three plans start from it.
+    own = cut(found, "licenses").select(
         *key_cols, "path", "dir", "is_license", F.col("top.license").alias("own"), (-F.col("top.s")).alias("own_score")
     )
     says = (

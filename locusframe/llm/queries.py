@@ -84,7 +84,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
+def license_sql() -> str:
+    """The licence scan over all lines, without the trigger filter."""
+    m = license_scan.model(license_scan.TEMPLATES, license_scan.THRESHOLD)
+    idf = ", ".join(f"('{t}', {x!r}::double)" for t, x in sorted(m.idf.items()))
+    weights = ", ".join(f"('{k}', '{t}', {w!r}::double)" for k, v in m.vectors.items() for t, w in sorted(v.items()))
+    return f"""
+        with idf(term, idf) as (values {idf}), weights(license, term, w) as (values {weights}),
+        given as (
+            select doc_id, lower(coalesce(text, '')) as low, length(coalesce(text, '')) < 300 and lower(coalesce(text, '')) like '%license%' as is_license,
+                   coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || (doc_id // 100) as dir
+            from documents
+        ), files as (
+            select *, dir || '/' || case when is_license then 'LICENSE.' || doc_id else doc_id || '.txt' end as path from given
+        ), units as (
+            select distinct doc_id, unit from (
+                select doc_id, unnest(regexp_split_to_array(low, '[\r\n]+')) as unit from files
+                union all select doc_id, low from files where is_license)
+        ), numbered as (
+            select doc_id, row_number() over () as u, unit from units
+        ), counts as (
+            select doc_id, u, term, count(*) as n from (
+                select doc_id, u, unnest(regexp_extract_all(unit, '[a-z0-9]+(?:\\.[0-9]+)*')) as term from numbered) group by all
+        ), norms as (
+            select u, sqrt(sum((n * coalesce(idf, {m.unseen!r}::double)) ** 2)) as norm from counts left join idf using (term) group by u
+        ), dots as (
+            select doc_id, u, license, sum(n * idf * w) as dot from counts join idf using (term) join weights using (term) group by all
+        ), best as (
+            select doc_id, dot / norm as score, license, row_number() over (partition by doc_id order by dot / norm desc, license) as rn
+            from dots join norms using (u) where dot / norm >= {license_scan.THRESHOLD}
+        ), own as (
+            select f.doc_id, f.path, f.dir, f.is_license, b.license, b.score from files f left join best b on b.doc_id = f.doc_id and b.rn = 1
+        ), says as (
+            select dir, license, score, row_number() over (partition by dir order by score desc, license) as rn from own where is_license and license is not null
+        ), chains as (
+            select dir, k as depth, array_to_string(list_slice(string_split(dir, '/'), 1, k), '/') as above
+            from (select dir, unnest(range(len(string_split(dir, '/')) + 1)) as k from (select distinct dir from own))
+        ), near as (
+            select c.dir, c.above, s.license, s.score, row_number() over (partition by c.dir order by c.depth desc) as rn
+            from chains c join says s on s.dir = c.above and s.rn = 1
+        )
+        select o.doc_id, o.path, coalesce(o.license, n.license) as license, round(coalesce(o.score, n.score), 6) as score,
+               case when o.license is not null then case when o.is_license then 'file' else 'header' end
+                    when n.license is not null then 'directory:' || n.above else 'none' end as origin
+        from own o left join near n on n.dir = o.dir and n.rn = 1
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op2_license_scan": license_sql(),
     "op1_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as e
