@@ -298,3 +298,29 @@ def test_pipeline(spark, tmp_path):
     tokens = seen["packing"].groupBy("doc_id").sum("length").count()
     assert tokens == len(left)
     assert p.run(spark, str(tmp_path)).count() == seen["packing"].count()
+
+
+def test_similar_texts(spark):
+    """Pairs of a five-word similarity well over 0.8 meet, those well below do not; equal texts always do."""
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefghijklmn", k=r.randint(2, 9))) for _ in range(4000)]
+    rows, near, far = [], [], []
+    for i in range(80):
+        base = r.choices(words, k=400)
+        copy, other = list(base), list(base)
+        for k in r.sample(range(0, 400, 10), 4):  # about 0.9
+            copy[k] = "new"
+        for k in r.sample(range(0, 400, 5), 40):  # about 0.33
+            other[k] = "new"
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(copy)), (3 * i + 2, " ".join(other))]
+        near.append((3 * i, 3 * i + 1))
+        far.append((3 * i, 3 * i + 2))
+    rows += [(1000, rows[0][1]), (1001, None), (1002, ""), (1003, " "), (None, rows[3][1]), (1004, "one two"), (1005, "One two"), (1006, "w " * 30_000)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string")
+    found = simhash.similar(df).collect()
+    out = {x.doc_id: x.component_id for x in found}
+    assert len(found) == len(rows)
+    assert sum(out[a] == out[b] for a, b in near) >= 76
+    assert not any(out[a] == out[b] for a, b in far)
+    assert out[1000] == out[0] and out[1002] == out[1003] == 1001 and out[None] == out[3] and out[1005] == 1004
+    assert simhash.similar(df.limit(0)).count() == 0
