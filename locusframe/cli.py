@@ -1,4 +1,4 @@
-"""Command line: query, summary, info, export, validate, schema, loci."""
+"""Command line: query, summary, info, export, validate, schema, loci, locus, manhattan, batch, serve."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import argparse
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from locusframe.functions import predicates
-from locusframe.operators import intervals, joins, loci, schema, stats
+from locusframe.operators import intervals, joins, loci, manhattan, schema, stats
 from locusframe.session import session
 from locusframe.sources import keyed, sinks, tables, vcf
 
@@ -25,10 +26,14 @@ def chosen(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return df if a.limit is None else df.limit(a.limit)
 
 
+def renamed_assets(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("ancestry_group", "ancestry")
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="locusframe")
     sub = top.add_subparsers(dest="command", required=True)
-    for name in ("query", "summary", "info", "export", "validate", "schema", "loci"):
+    for name in ("query", "summary", "info", "export", "validate", "schema", "loci", "locus", "manhattan", "batch", "serve"):
         p = sub.add_parser(name)
         p.add_argument("table")
         p.add_argument("--where", action="append", default=[])
@@ -44,7 +49,16 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--key", action="append", default=[])
         if name == "validate":
             p.add_argument("--schema", required=True)
-        if name == "loci":
+        if name == "serve":
+            p.add_argument("--port", type=int, default=8080)
+        if name == "manhattan":
+            p.add_argument("--phenotype", required=True)
+            p.add_argument("--ancestry", default="")
+            p.add_argument("--genes")
+            p.add_argument("--annotations")
+            p.add_argument("--output", required=True)
+            p.add_argument("--init", choices=("create", "replace", "append"), default="append")
+        if name in ("loci", "manhattan"):
             p.add_argument("--threshold", type=float, default=5e-8)
             p.add_argument("--window", type=int, default=1_000_000)
             p.add_argument("--strategy", choices=("clump", "window"), default="clump")
@@ -57,6 +71,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if a.command == "info":
         (keyed.info(spark, a.table) if a.table.rstrip("/").endswith(".ht") else stats.file_sizes(tables.open_path(spark, a.table))).show(truncate=False)
         return
+    if a.command == "batch":
+        manhattan.batch_plan(renamed_assets(tables.assets(spark, a.table))).show(1000, truncate=False)
+        return
+    if a.command == "serve":
+        from locusframe.server import serve
+
+        serve(spark, a.port).serve_forever()
     df = chosen(spark, a)
     if a.command == "query":
         for r in sinks.json_lines(df).toLocalIterator():
@@ -70,6 +91,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             schema.validation_counts(df, json.load(f)).show()
     elif a.command == "loci":
         loci.loci(df, strategy=a.strategy, threshold=a.threshold, window=a.window).orderBy("lead_pvalue").show(1000, truncate=False)
+    elif a.command == "locus":
+        manhattan.locus_variants(df, intervals.from_text(spark, *a.interval)).orderBy("pvalue").show(1000, truncate=False)
+    elif a.command == "manhattan":
+        given = lambda path: tables.open_path(spark, path) if path else None
+        made = manhattan.pipeline(df, None, given(a.genes), given(a.annotations), a.phenotype, a.ancestry, threshold=a.threshold, window=a.window, strategy=a.strategy)
+        names = {n: t if "phenotype" in t.columns else t.withColumns({"phenotype": F.lit(a.phenotype), "ancestry": F.lit(a.ancestry)}) for n, t in made.items()}
+        sinks.warehouse({n: t for n, t in names.items() if n in sinks.WAREHOUSE_KEYS}, a.output, a.init)
     elif a.to == "parquet":
         sinks.parquet(df, a.output, a.shards)
     elif a.to == "json":

@@ -666,3 +666,98 @@ def q10_batch_plan(spark, sf):
 def q5_locus_variants(spark, sf):
     out = manhattan.locus_variants(v.variants(spark, sf), loci.expand_and_merge(v.variants(spark, sf).where(F.col("pvalue") < 5e-8), WINDOW, adjacent=True))
     return out.select("locus_id", "contig", "position", "ref", "alt", "pvalue", "is_significant", F.round(F.col("neg_log10_p").cast("double"), 4).alias("y"))
+
+
+# Further scalar functions, orders and compositions
+
+
+@query("select k1, k2, k3, k4, cast(substr(contig, 4) as int) as n, contig as prefixed, round(cast(case when pvalue > 0 then cast(-log10(pvalue) as float) else 0 end as double), 4) as y32 from variants")
+def x3_contig_number(spark, sf):
+    rows = v.variants(spark, sf)
+    bare = g.strip_chr(F.col("contig"))
+    y = F.round(g.neg_log10_p_or_zero(F.col("pvalue")).cast("double"), 4)
+    return rows.select(*KEYS, g.contig_number(bare).alias("n"), g.chr_prefixed(bare).alias("prefixed"), y.alias("y32"))
+
+
+@query("select k1, k2, k3, k4, printf('%.6f', pvalue) as p_text, cast(k1 as varchar) as k_text, greatest(1, position - 5000) as start from variants")
+def x15_stat_text(spark, sf):
+    rows = v.variants(spark, sf)
+    return rows.select(*KEYS, g.stat_text(F.col("pvalue"), "double").alias("p_text"), g.stat_text(F.col("k1"), "long").alias("k_text"), g.window_start(F.col("position"), 5000).alias("start"))
+
+
+@query("select contig, position, ref, alt, beta, af from variants where k1 % 11 <> 0 and k1 % 5 <> 0")
+def f23_typed_record(spark, sf):
+    """Rows without a place or a usable p-value go."""
+    rows = v.variants(spark, sf).select(
+        F.when(F.col("k1") % 11 != 0, F.struct("contig", "position")).alias("locus"),
+        F.array("ref", "alt").alias("alleles"),
+        F.when(F.col("k1") % 5 != 0, F.col("pvalue")).alias("Pvalue"),
+        F.col("beta").alias("BETA"),
+        F.col("af").alias("AF"),
+    )
+    return manhattan.association_rows(rows).select("contig", "position", "ref", "alt", "beta", "af")
+
+
+@query("select k1, k2, k3, k4, p from (select *, case when k1 % 3 <> 0 then pvalue end as p from variants) order by p nulls last, k1, k2, k3, k4 limit 200")
+def o1_sort_p_nulls_last(spark, sf):
+    rows = v.variants(spark, sf).withColumn("p", F.when(F.col("k1") % 3 != 0, F.col("pvalue")))
+    return rows.orderBy(F.asc_nulls_last("p"), *KEYS).limit(200).select(*KEYS, "p")
+
+
+@query("select contig, position, ref, alt, k1, k2, k3, k4 from variants order by contig, position, ref, alt, k1, k2, k3, k4 limit 300")
+def o3_key_order(spark, sf):
+    """Structs and arrays order field by field."""
+    rows = v.variants(spark, sf)
+    order = [F.struct("contig", "position"), F.array("ref", "alt"), *KEYS]
+    return rows.orderBy(*order).limit(300).select("contig", "position", "ref", "alt", *KEYS)
+
+
+@query("select cast(k1 % 4 as int) as worker, count(*) as n from variants group by 1")
+def p1_modulo_allocation(spark, sf):
+    return v.variants(spark, sf).groupBy(F.pmod("k1", F.lit(4)).cast("int").alias("worker")).agg(F.count("*").alias("n"))
+
+
+@query("""select k1, k2, k3, k4, '{"contig":"' || contig || '","position":' || position || ',"note":null}' as json from variants""")
+def k11_json_lines(spark, sf):
+    from locusframe.sources.sinks import json_lines
+
+    rows = v.variants(spark, sf).select("contig", "position", F.lit(None).cast("string").alias("note"), F.struct(*KEYS).alias("key"))
+    made = rows.select("key", F.to_json(F.struct("contig", "position", "note"), {"ignoreNullFields": "false"}).alias("json"))
+    assert json_lines(rows.limit(0)).columns == ["json"]
+    return made.select("key.*", "json")
+
+
+@query("""counts as (select ancestry, count(*) as total, count(*) filter (asset_type = 'gene') as done from assets group by ancestry)
+    select ancestry, round(done * 100.0::double / total, 6) as percent, round((total - done) * 600.0::double / done, 6) as eta_seconds from counts""")
+def c7_progress(spark, sf):
+    counts = v.assets(spark, sf).groupBy("ancestry").agg(F.count("*").alias("total"), F.count_if(F.col("asset_type") == "gene").alias("done"))
+    p = telemetry.progress(F.col("done"), F.col("total"), F.lit(600.0))
+    return counts.select("ancestry", p.alias("p")).select("ancestry", F.round("p.percent", 6).alias("percent"), F.round("p.eta_seconds", 6).alias("eta_seconds"))
+
+
+@query("""select k1, k2, k3, k4, position, round((position - 400000) / 200000.0 * 800, 4) as x, pvalue < 5e-8 as is_significant from variants
+    where contig = 'chr4' and position between 400000 and 600000 and pvalue > 0 and pvalue < 0.01""")
+def q7_locus_region(spark, sf):
+    region = spark.createDataFrame([("chr4", 400000, 600000)], "contig string, start long, end long")
+    out = manhattan.locus_variants(v.variants(spark, sf), region)
+    return out.select(*KEYS, "position", F.round(g.locus_x(F.col("position"), F.col("start"), F.col("end"), 800), 4).alias("x"), "is_significant")
+
+
+@query("""select 'significant_variants' as name, count(*) as n from variants where pvalue < 5e-8
+    union all select 'plot_points', count(*) from variants where pvalue <= 1
+    union all select 'gene_associations', count(*) from burden""")
+def q3_pipeline_tables(spark, sf):
+    """Rows of the pipeline's tables that do not depend on clumps."""
+    tables = manhattan.pipeline(v.variants(spark, sf), None, v.burden(spark, sf), None, "height", "eur", window=WINDOW)
+    names = ("significant_variants", "plot_points", "gene_associations")
+    parts = [tables[n].agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in names]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""both_ as (select contig, start, "end" from intervals), """ + TESTS + f""",
+    sig as (select contig, greatest(1, min(position) - 100000) as start, min(position) + 100000 as "end" from valid where p < {P_GENE} group by gene_id, contig),
+    every as (select * from both_ union all select * from sig), """ + MERGE.format(src="every", gap=1))
+def w4_gene_regions(spark, sf):
+    """Given regions and those of significant genes, merged."""
+    genes_ = b.significant_genes(v.burden(spark, sf), P_GENE).select("contig", "start", "end")
+    return iv.union(v.intervals(spark, sf), genes_)

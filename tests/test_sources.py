@@ -142,3 +142,16 @@ def test_stream(spark, tmp_path):
     q.stop()
     rows = spark.table("rates").collect()
     assert sum(r.n for r in rows) == 120 and len({r.worker_id for r in rows}) == 3
+
+
+def test_cli_manhattan(spark, tmp_path):
+    from locusframe import cli
+
+    rows = [("chr1", 10 * i, "A", "C", 1e-9 if i % 9 == 0 else 0.005, 0.1, 0.1, 0.2, "exome") for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "contig string, position int, ref string, alt string, pvalue double, beta double, se double, af double, sequencing_type string")
+    df.write.parquet(str(tmp_path / "v"))
+    cli.main(["manhattan", str(tmp_path / "v"), "--phenotype", "height", "--ancestry", "eur", "--output", str(tmp_path / "w"), "--window", "30"], spark)
+    assert spark.read.parquet(str(tmp_path / "w" / "significant_variants")).count() == 6
+    loci = spark.read.parquet(str(tmp_path / "w" / "loci")).collect()
+    assert len(loci) == 6 and all(r.exome_count == 1 for r in loci)
+    assert spark.read.parquet(str(tmp_path / "w" / "loci_variants")).count() > 6
