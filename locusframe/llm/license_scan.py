@@ -73,7 +73,7 @@ def model(templates: dict[str, str], threshold: float) -> Model:
     for k, c in counts.items():
         norm = math.sqrt(sum((x * idf[t]) ** 2 for t, x in c.items()))
         vectors[k] = {t: x * idf[t] / norm for t, x in c.items()}
-    # Least words of prose as triggers: take the term that lowers the open templates' rest the most.
+    # Take the term that lowers the open templates' rest the most; words that prose has, and short ones, last.
     triggers: list[str] = []
     plain = {"the", "of", "a", "to", "and", "or", "in", "this", "is", "by", "that", "be", "for", "can", "has", "all", "under", "see"}
     rest = {k: 1.0 for k in vectors}
@@ -82,7 +82,7 @@ def model(templates: dict[str, str], threshold: float) -> Model:
         for k in open_:
             for t, w in vectors[k].items():
                 if t not in triggers:
-                    gain[t] += w * w * (1e-6 if t in plain else 1.0)
+                    gain[t] += w * w * (1e-6 if t in plain else 1.0 if len(t) > 4 else 0.1 if t.isalpha() and len(t) > 2 else 1e-3)
         best = max(sorted(gain), key=gain.__getitem__)
         triggers.append(best)
         for k in rest:
@@ -93,28 +93,37 @@ def model(templates: dict[str, str], threshold: float) -> Model:
 def cosines(terms: Column, m: Model) -> Column:
     """Array of (score, name) to each template, of an array of terms; repeats count.
 
-    One pass over the distinct terms adds up the norm and all dot products.
+    One pass over the sorted terms, run by run, adds up the norm and all dot products.
     """
     names = list(m.vectors)
-    idf = F.create_map(*[F.lit(x) for t, w in m.idf.items() for x in (t, w)])
-    row = lambda t: F.array(*[F.lit(m.idf[t] * m.vectors[k].get(t, 0.0)) for k in names])
-    table = F.create_map(*[x for t in m.idf for x in (F.lit(t), row(t))])
-    state = "struct<square:double,dots:array<double>>"
+    # Of each term its weight, then its shares of the templates.
+    shares = lambda t: [m.idf[t], *[m.idf[t] * m.vectors[k].get(t, 0.0) for k in names]]
+    table = F.create_map(*[x for t in m.idf for x in (F.lit(t), F.array(*map(F.lit, shares(t))))])
+    state = "struct<term:string,n:double,square:double,dots:array<double>>"
+
+    def closed(a: Column) -> tuple[Column, Column]:
+        """Square and dot products with the run that has come to its end."""
+        row = F.try_element_at(table, a["term"])
+        weight = a["n"] * F.coalesce(F.get(row, 0), F.lit(m.unseen))
+        more = F.zip_with(a["dots"], F.slice(row, 2, len(names)), lambda x, y: x + a["n"] * y)
+        return a["square"] + weight * weight, F.when(row.isNull(), a["dots"]).otherwise(more)
 
     def step(a: Column, t: Column) -> Column:
-        n = F.size(F.filter(terms, lambda x: x == t)).cast("double")
-        weight = n * F.coalesce(F.try_element_at(idf, t), F.lit(m.unseen))
-        add = F.try_element_at(table, t)
-        more = F.when(add.isNull(), a["dots"]).otherwise(F.zip_with(a["dots"], add, lambda x, y: x + n * y))
-        return F.struct((a["square"] + weight * weight).alias("square"), more.alias("dots")).cast(state)
-
-    start = F.struct(F.lit(0.0).alias("square"), F.array_repeat(F.lit(0.0), len(names)).alias("dots")).cast(state)
+        square, dots = closed(a)
+        longer = F.struct(a["term"].alias("term"), (a["n"] + 1.0).alias("n"), a["square"].alias("square"), a["dots"].alias("dots"))
+        fresh = F.struct(t.alias("term"), F.lit(1.0).alias("n"), square.alias("square"), dots.alias("dots"))
+        return F.when(a["term"] == t, longer.cast(state)).otherwise(fresh.cast(state))
 
     def finish(a: Column) -> Column:
-        pairs = F.zip_with(a["dots"], F.array(*map(F.lit, names)), lambda d, k: F.struct((d / F.sqrt(a["square"])).alias("score"), k.alias("license")))
-        return F.when(a["square"] > 0, pairs)
+        square, dots = closed(a)
+        made = F.struct(square.alias("square"), dots.alias("dots"))
+        named = lambda s: F.zip_with(s["dots"], F.array(*map(F.lit, names)), lambda d, k: F.struct((d / F.sqrt(s["square"])).alias("score"), k.alias("license")))
+        return F.when(square > 0, F.get(F.transform(F.array(made), named), 0))
 
-    return F.aggregate(F.array_distinct(terms), start, step, finish)
+    start = F.struct(
+        F.lit("").alias("term"), F.lit(0.0).alias("n"), F.lit(0.0).alias("square"), F.array_repeat(F.lit(0.0), len(names)).alias("dots")
+    ).cast(state)
+    return F.aggregate(F.array_sort(terms), start, step, finish)
 
 
 def better(found: Column) -> Column:
@@ -123,6 +132,14 @@ def better(found: Column) -> Column:
     return F.get(ordered, 0)
 
 
+def any_word(words: tuple[str, ...]) -> str:
+    """A pattern of any of the words as a whole word, branched by first letter."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(words):
+        by_first.setdefault(w[0], []).append(re.escape(w[1:]))
+    return "\\b(?:" + "|".join(f"{re.escape(a)}(?:{'|'.join(rest)})" for a, rest in by_first.items()) + ")\\b"
+
+
 def scan(
     files: DataFrame,
     path_col: str = "path",
@@ -136,7 +153,7 @@ def scan(
     path = F.coalesce(F.col(path_col), F.lit(""))
     name = F.element_at(F.split(path, "/"), -1)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    trigger = "\\b(?:" + "|".join(re.escape(t) for t in m.triggers) + ")\\b"
+    trigger = any_word(m.triggers)
     lowered = F.lower("text")
     terms_of = lambda line: F.regexp_extract_all(line, F.lit(f"({TERM})"), F.lit(1))
     given = files.select(
