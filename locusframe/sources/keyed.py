@@ -28,10 +28,11 @@ from locusframe.functions.predicates import KeyRange, in_ranges
 # Names of the physical types in the format.
 PRIMITIVES = {"EBinary": T.StringType(), "EInt32": T.IntegerType(), "EInt64": T.LongType(), "EFloat32": T.FloatType(), "EFloat64": T.DoubleType(), "EBoolean": T.BooleanType()}
 LOGICAL = {"EBinary": "String", "EInt32": "Int32", "EInt64": "Int64", "EFloat32": "Float32", "EFloat64": "Float64", "EBoolean": "Boolean"}
+# Size of a block, and the names of the layers of buffers.
 BLOCK = 1 << 16
+BUFFERS = {"name": "LEB128BufferSpec", "child": {"name": "BlockingBufferSpec", "blockSize": BLOCK, "child": {"name": "ZstdBlockBufferSpec", "blockSize": BLOCK, "child": {"name": "StreamBlockBufferSpec"}}}}
 #: Longest text or binary, and longest array, that a table may hold.
 MAX_BINARY, MAX_ARRAY = 1_000_000, 100_000
-BUFFERS = {"name": "LEB128BufferSpec", "child": {"name": "BlockingBufferSpec", "blockSize": BLOCK, "child": {"name": "ZstdBlockBufferSpec", "blockSize": BLOCK, "child": {"name": "StreamBlockBufferSpec"}}}}
 
 
 @dataclass
