@@ -48,7 +48,7 @@ from locusframe.llm.common import cut, discard
 LENGTH = 400
 CHUNK = 1 << 20
 HOT = 2048
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
 
 
