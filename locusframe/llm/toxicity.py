@@ -40,7 +40,7 @@ PREFIXES = range(3, 8)
 #: Marks of one, two and three words with a feature.
 LEVELS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 THRESHOLD = 0.7
-MAX_PER_CLASS = 4000
+MAX_PER_CLASS = 3000
 MAX_FEATURES = 20_000
 KEPT_WORDS = 400_000
 #: Groups of identity terms; a swap takes the next of the group.
