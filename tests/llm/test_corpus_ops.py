@@ -324,3 +324,32 @@ def test_similar_texts(spark):
     assert not any(out[a] == out[b] for a, b in far)
     assert out[1000] == out[0] and out[1002] == out[1003] == 1001 and out[None] == out[3] and out[1005] == 1004
     assert simhash.similar(df.limit(0)).count() == 0
+
+
+def test_similar_equals_brute_force(spark):
+    """Around 0.8, short texts too, pairs are linked if and only if their exact similarity says so."""
+    r = random.Random(17)
+    words = ["".join(r.choices("abcdefghijklmn", k=r.randint(2, 9))) for _ in range(4000)]
+    texts = []
+    for i in range(120):
+        n = r.choice([8, 12, 13, 30, 100, 400])
+        base = r.choices(words, k=n)
+        for _ in range(2):
+            copy = list(base)
+            for k in r.sample(range(n), max(1, round(n * r.uniform(0.015, 0.03)))):
+                copy[k] = "new"
+            texts.append(copy)
+        texts += [base, base + r.choices(words, k=max(1, (n - 4) // 4)), ["one", "notice", "that", "all", "have", "on", "top"] + base]
+    sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
+    group = list(range(len(texts)))
+    close = 0
+    for b in range(len(texts)):
+        for a in range(b - b % 5, b):
+            both = len(sets[a] & sets[b])
+            close += 0.75 < both / (len(sets[a]) + len(sets[b]) - both) < 0.85
+            if 9 * both >= 4 * (len(sets[a]) + len(sets[b])):
+                x, y = group[a], group[b]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    assert close > 150 and len(set(group)) > 130
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [x.component_id for x in simhash.similar(df).orderBy("doc_id").collect()] == group
