@@ -21,6 +21,11 @@ copy by (id, position) (``keep="first"``).
    windows are counted by hash, again with partial sums.
 4. Spans of each text are joined back and cut out.
 
+With ``words`` a window is so many words (runs of bytes that are not space)
+instead, whatever their bytes and the space between them: each word is taken as
+``SYMBOL`` bytes of its hash, and the same search runs over these.  A text with
+fewer words loses nothing.
+
 Hashes only bring strings together: minimizers have 64 bits and segments 64
 more over that; windows of hot minimizers have 128.
 
@@ -35,6 +40,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +56,9 @@ CHUNK = 1 << 20
 HOT = 2048
 GROUP_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
+#: Bytes that stand for a word.
+SYMBOL = 8
+WORD = re.compile(rb"\S+")
 
 
 class Minimizers:
@@ -171,7 +180,19 @@ def release(*tables: DataFrame, spark: SparkSession | None = None) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def segments(given: DataFrame, length: int) -> DataFrame:
+def symbols(raw: bytes) -> bytes:
+    """Of each word the bytes that stand for it."""
+    digest = xxhash.xxh3_64_digest
+    return b"".join([digest(w) for w in raw.split()])
+
+
+def words_at(lo: int, hi: int, places: list[tuple[int, int]]) -> tuple[int, int]:
+    """Where in the text the whole words of a span of symbols stand."""
+    a, b = -(-lo // SYMBOL), hi // SYMBOL
+    return places[a][0], places[b - 1][1]
+
+
+def segments(given: DataFrame, length: int, words: bool = False) -> DataFrame:
     """``row``, ``ord``, ``a`` (minimizer), ``s`` (segment), ``lo`` (first window), ``w`` (windows but one)."""
 
     def run(batches):
@@ -190,6 +211,7 @@ def segments(given: DataFrame, length: int) -> DataFrame:
 
             for row, order, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 raw = text.as_py().encode()
+                raw = symbols(raw) if words else raw
                 if (got := find.runs(raw)) is None:
                     continue
                 a, lo, hi = got
@@ -208,7 +230,7 @@ def segments(given: DataFrame, length: int) -> DataFrame:
     return given.select("row", "ord", "text").mapInArrow(run, "row long, ord long, a long, s long, lo int, w int")
 
 
-def fetch(given: DataFrame, need: DataFrame, length: int) -> DataFrame:
+def fetch(given: DataFrame, need: DataFrame, length: int, words: bool = False) -> DataFrame:
     """Of the segments needed, one of each (a, s) and text with its bytes; further ones of a text without."""
     kind = "a long, s long, n long, nv long, ord long, row long, lo int, w int, data binary"
     lists = need.groupBy("row").agg(F.collect_list(F.struct("a", "s", "n", "nv", "lo", "w")).alias("all"))
@@ -221,6 +243,7 @@ def fetch(given: DataFrame, need: DataFrame, length: int) -> DataFrame:
             for i in range(batch.num_rows):
                 row, order = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 raw = batch.column(2)[i].as_py().encode()
+                raw = symbols(raw) if words else raw
                 seen = set()
                 for x in sorted(batch.column(3)[i].as_py(), key=lambda x: x["lo"]):
                     fresh = (x["a"], x["s"]) not in seen
@@ -300,9 +323,9 @@ def count_windows(fetched: DataFrame, length: int, first: bool) -> DataFrame:
     return told.select("row", "lo", (F.col("lo") + length).alias("hi"))
 
 
-def removed(given: DataFrame, length: int, first: bool) -> DataFrame:
+def removed(given: DataFrame, length: int, first: bool, words: bool = False) -> DataFrame:
     """``row`` and ``spans``, unordered and overlapping, of all texts that lose anything."""
-    occurrences = cut(segments(given, length), "segments")
+    occurrences = cut(segments(given, length, words), "segments")
     kinds = occurrences.groupBy("a", "s").agg(F.count("*").alias("n"), F.min("ord").alias("least"))
     several = kinds.groupBy("a").agg(F.count("*").alias("nv")).where("nv > 1")
     wanted = kinds.join(several, "a", "left").where("n > 1 or nv > 1").withColumn("nv", F.coalesce("nv", F.lit(1)))
@@ -313,7 +336,7 @@ def removed(given: DataFrame, length: int, first: bool) -> DataFrame:
     release(occurrences)
     copies = matched.where("not own" if first else "n > 1")
     need = matched.where("own and (nv > 1 or n > 1)" if first else "own and nv > 1")
-    fetched = cut(fetch(given, need, length), "fetched")
+    fetched = cut(fetch(given, need, length, words), "fetched")
     release(spark=fetched.sparkSession)
     seen = fetched.where("data is not null")
     spans = copies.select("row", "lo", (F.col("lo") + F.col("w") + length).alias("hi"))
@@ -371,9 +394,12 @@ def whole_characters(raw: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: str = "first") -> DataFrame:
-    """``df`` with repeated strings cut out of its text; all columns stay; a null text stays null."""
-    spans = removed(keyed(df, id_col, text_col), length, keep == "first")
+def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: str = "first", words: int = 0) -> DataFrame:
+    """``df`` with repeated strings cut out of its text; all columns stay; a null text stays null.
+
+    With ``words``, strings of so many words, not of ``length`` bytes.
+    """
+    spans = removed(keyed(df, id_col, text_col), words * SYMBOL or length, keep == "first", words > 0)
     fields = df.schema.fields
     at = [f.name for f in fields].index(text_col)
     hidden = [f"c{i}" for i in range(len(fields))]
@@ -387,8 +413,9 @@ def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
                     texts.append(text.as_py())
                     continue
                 raw, out, pos = text.as_py().encode(), [], 0
+                places = [m.span() for m in WORD.finditer(raw)] if words else []
                 for a, b in union([(x["lo"], x["hi"]) for x in found.as_py()]):
-                    a, b = whole_characters(raw, a, b)
+                    a, b = words_at(a, b, places) if words else whole_characters(raw, a, b)
                     out.append(raw[pos:a])
                     pos = b
                 out.append(raw[pos:])

@@ -353,3 +353,39 @@ def test_similar_equals_brute_force(spark):
     assert close > 150 and len(set(group)) > 130
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert [x.component_id for x in simhash.similar(df).orderBy("doc_id").collect()] == group
+
+
+@pytest.mark.parametrize("hot", [2048, 1])
+def test_passages_by_words(spark, monkeypatch, hot):
+    """Passages of over 50 words go however short these are, those of 50 stay however long."""
+    import corpus_pipeline as p
+
+    monkeypatch.setattr(suffix, "HOT", hot)
+    r = random.Random(8)
+    word = lambda a, b: "".join(r.choices("abcdefghijklmnopqrstuvwxyzé", k=r.randint(a, b)))
+    prose = lambda n, a=4, b=9: " ".join(word(a, b) for _ in range(n))
+    short, fifty, spaced, part = prose(51, 1, 2), prose(50, 12, 20), prose(60), prose(70)
+    rows = [(0, f"{prose(80)} {short} {prose(9)}"), (1, f"{prose(20)} {short} {prose(40)}"), (2, short)]
+    rows += [(3, f"{prose(8)} {fifty} {prose(8)}"), (4, f"{fifty} {prose(8)}")]
+    rows += [(5, spaced), (6, prose(3) + "\n" + spaced.replace(" ", "\n ") + "\n\nend"), (7, part + " " + prose(5)), (8, prose(5) + " " + " ".join(part.split()[10:61]) + " x")]
+    rows += [(9, "to " * 60), (10, None), (11, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {x.doc_id: x.text for x in p.cut_repeats(spark, df, "").collect()}
+
+    def brute(rows):
+        seen, left = set(), {}
+        for i, t in rows:
+            places = [m.span() for m in re.finditer(rb"\S+", (t or "").encode())]
+            raw, gone = (t or "").encode(), []
+            for k in range(len(places) - 50):
+                window = tuple(raw[a:b] for a, b in places[k : k + 51])
+                if window in seen:
+                    gone.append((places[k][0], places[k + 50][1]))
+                seen.add(window)
+            for a, b in reversed(suffix.union(gone)):
+                raw = raw[:a] + raw[b:]
+            left[i] = None if t is None else raw.decode()
+        return left
+
+    assert out == brute(rows)
+    assert len(short) < 256 < len(fifty) and short not in out[1] and out[2] == "" and fifty in out[3] and fifty in out[4] and "end" in out[6] and out[5] == spaced
