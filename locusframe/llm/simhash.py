@@ -53,7 +53,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import cut, discard
@@ -459,14 +459,19 @@ def confirmed(sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "node long, component long")
 
 
+def spot(id_col: str, text_col: str) -> Column:
+    """A row's hash by id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = JUDGED_BITS) -> DataFrame:
-    """The id, ``node`` and ``component_id`` of every row: groups of texts alike by five-word shingles.
+    """The id, ``node``, ``component_id`` and ``spot`` of every row: groups of texts alike by five-word shingles.
 
-    Ids that are null name no group.
+    Ids that are null name no group; ``spot`` is :func:`spot` of the row.
     """
     judges = [f"j{k}" for k in range(JUDGES)]
     given = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    given = given.withColumn("spot", F.xxhash64("key", "text"))
+    given = given.withColumn("spot", spot("key", "text"))
     common, often = common_shingles(given, given.count())
 
     def run(batches):
@@ -540,4 +545,4 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     labelled = cut(labelled, "labelled")
     first = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     named = cut(labelled.join(first, "component").select("node", "component_id"), "named")
-    return prints.select(id_col, "node").join(named, "node").select(id_col, "node", "component_id")
+    return prints.select(id_col, "node", "spot").join(named, "node").select(id_col, "node", "component_id", "spot")

@@ -389,3 +389,14 @@ def test_passages_by_words(spark, monkeypatch, hot):
 
     assert out == brute(rows)
     assert len(short) < 256 < len(fifty) and short not in out[1] and out[2] == "" and fifty in out[3] and fifty in out[4] and "end" in out[6] and out[5] == spaced
+
+
+def test_near_copies_of_repeated_ids(spark):
+    """A copy goes by its id and text; another text of that id stays."""
+    import corpus_pipeline as p
+
+    a, b = "alone " * 3 + "clean text without any copy", "some other text that stands on two rows"
+    rows = [(1, a), (1, b), (0, b), (2, a + " x y z"), (None, b), (None, b), (1, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(x) for x in p.drop_near_copies(spark, df, "").collect()]
+    assert sorted(left, key=str) == sorted([(1, a), (0, b), (2, a + " x y z"), (None, b)], key=str)
