@@ -133,11 +133,14 @@ def better(found: Column) -> Column:
 
 
 def any_word(words: tuple[str, ...]) -> str:
-    """A pattern of any of the words as a whole word, branched by first letter."""
+    """A pattern of any of the words, branched by first letter, wherever the terms may have it as one.
+
+    Terms follow each other without a space after a number's dot only, as in ``v2.0license``.
+    """
     by_first: dict[str, list[str]] = {}
     for w in sorted(words):
-        by_first.setdefault(w[0], []).append(re.escape(w[1:]))
-    return "\\b(?:" + "|".join(f"{re.escape(a)}(?:{'|'.join(rest)})" for a, rest in by_first.items()) + ")\\b"
+        by_first.setdefault(w[0], []).append(re.escape(w[1:]) + ("(?![0-9])" if "." in w else "(?![a-z0-9])"))
+    return "(?<![a-z])(?:" + "|".join(f"{re.escape(a)}(?:{'|'.join(rest)})" for a, rest in by_first.items()) + ")"
 
 
 def scan(

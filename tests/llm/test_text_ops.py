@@ -315,3 +315,14 @@ def test_license_triggers_lose_nothing():
     m = license_scan.model(license_scan.TEMPLATES, license_scan.THRESHOLD)
     for v in m.vectors.values():
         assert math.sqrt(sum(w * w for t, w in v.items() if t not in m.triggers)) < license_scan.THRESHOLD
+
+
+def test_license_triggers_beside_underscores(spark):
+    """Terms end at underscores and after a number's dot, and so do triggers."""
+    m = license_scan.model(license_scan.TEMPLATES, license_scan.THRESHOLD)
+    trigger = re.compile(license_scan.any_word(m.triggers))
+    for w in m.triggers:
+        for line in (w, f"_{w}_", f"v2.0{w}", f"x.5{w}-", f"é{w}é"):
+            assert w not in re.findall(license_scan.TERM, line) or trigger.search(line), line
+    df = spark.createDataFrame([(1, "a/x.txt", "mit_license"), (2, "b/x.txt", "x\n_mit_license_\ny")], "doc_id long, path string, text string")
+    assert [x.license for x in license_scan.scan(df).orderBy("doc_id").collect()] == ["MIT", "MIT"]
