@@ -13,17 +13,21 @@ the ids left over go to sequences whose lengths are powers of two, so that
 nothing is padded.
 
 The plan is one map over the input: no shuffle, no driver state, and memory is
-bounded by one group and one Arrow batch.  A retried task repeats its result,
+bounded by one group (of ``group_tokens`` ids or ``GROUP_PIECES`` remainders, whichever
+comes first) and one Arrow batch.  A retried task repeats its result,
 as a sequence id is made of the partition number and a running number.
 
-Defined cases: a null or empty text is the end id alone; equal rows are packed
+Defined cases: a null or empty text is the end id alone; runs of white space of
+any length are one token of the tokenizer's word pattern, as ``tokenizers`` has it; equal rows are packed
 as separate documents; a null id is carried; other columns are ignored; an
 empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -36,6 +40,9 @@ from pyspark.sql import functions as F
 END_ID = 1
 SEQ_LEN = 2048
 GROUP_TOKENS = 1 << 21
+GROUP_PIECES = 1 << 16
+#: Runs of white space from 4096 on; the merging library's pattern recurses once for each of their characters.
+_LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
 
 
 @lru_cache(maxsize=2)
@@ -78,7 +85,13 @@ def encoder(path: str):
     def encode(text: str):
         if any(s in text for s in special):
             return slow.encode(text, add_special_tokens=False).ids
-        return fast.encode_ordinary(text)
+        ids, at = [], 0
+        for run in _LONG_SPACE.finditer(text):
+            # The word pattern cuts before a run, and before its last character if a word follows.
+            a, b = run.start(), run.end() - (run.end() < len(text))
+            ids += fast.encode_ordinary(text[at:a]) + slow.encode(text[a:b], add_special_tokens=False).ids
+            at = b
+        return ids + fast.encode_ordinary(text[at:])
 
     return encode
 
@@ -90,24 +103,32 @@ def sequence_lengths(total: int, seq_len: int) -> list[int]:
 
 
 def balance(lengths: list[int], seq_len: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int]]:
-    """(piece, start in it, length, sequence), in the order in which sequences are filled."""
-    room = np.array(sequence_lengths(sum(lengths), seq_len), dtype=np.int64)
-    cost = np.zeros(len(room))
+    """(piece, start in it, length, sequence), in the order in which sequences are filled.
+
+    Open sequences wait in a heap by cost, those found too full for a piece in one by room.
+    """
+    room = sequence_lengths(sum(lengths), seq_len)
+    cost = [0.0] * len(room)
+    cheap = [(0.0, k) for k in range(len(room))]
+    narrow: list[tuple[int, float, int]] = []
     out = []
     for piece in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         start, left = 0, lengths[piece]
         while left:
-            fits = room >= left
-            if fits.any():
-                to, n = int(np.where(fits, cost, np.inf).argmin()), left
-            else:
-                # Cut where the most goes in at once; of equals, at the lowest cost.
-                widest = room == room.max()
-                to = int(np.where(widest, cost, np.inf).argmin())
-                n = int(room[to])
+            while narrow and -narrow[0][0] >= left:
+                _, c, k = heapq.heappop(narrow)
+                heapq.heappush(cheap, (c, k))
+            while cheap and room[cheap[0][1]] < left:
+                c, k = heapq.heappop(cheap)
+                heapq.heappush(narrow, (-room[k], c, k))
+            # Where none holds it whole, it is cut where the most goes in at once; of equals, at the lowest cost.
+            to = heapq.heappop(cheap)[1] if cheap else heapq.heappop(narrow)[2]
+            n = min(left, room[to])
             out.append((piece, start, n, to))
             room[to] -= n
             cost[to] += linear * n + quadratic * n * n
+            if room[to]:
+                heapq.heappush(cheap, (cost[to], to))
             start, left = start + n, left - n
     return out
 
@@ -153,6 +174,8 @@ def pack(
                 at = filled.get(to, 0)
                 put(key, ids[start : start + n], base + start, total, made + to, at)
                 filled[to] = at + n
+                if len(rows) >= 4096:
+                    yield flush()
             made += len(filled)
             waiting.clear()
             held = 0
@@ -173,14 +196,16 @@ def pack(
                 for start in range(0, whole, seq_len):
                     put(key, ids[start : start + seq_len], start, total, made, 0)
                     made += 1
+                    if len(rows) >= 4096:
+                        yield flush()
                 if whole < total:
                     waiting.append((key, ids[whole:].copy(), whole, total))
                     held += total - whole
-                if held >= group_tokens:
-                    settle()
+                if held >= group_tokens or len(waiting) >= GROUP_PIECES:
+                    yield from settle()
                 if len(rows) >= 4096:
                     yield flush()
-        settle()
+        yield from settle()
         if rows:
             yield flush()
 

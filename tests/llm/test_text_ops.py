@@ -71,6 +71,54 @@ def test_balance():
     assert packing.balance([], 2048, 1, 1) == [] and packing.sequence_lengths(4096 + 5, 2048) == [2048, 2048, 4, 1]
 
 
+def brute_balance(lengths, seq_len):
+    """The sequence of lowest cost with room, by a look at all of them."""
+    room = packing.sequence_lengths(sum(lengths), seq_len)
+    cost, out = [0.0] * len(room), []
+    for piece in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        start, left = 0, lengths[piece]
+        while left:
+            fits = [k for k in range(len(room)) if room[k] >= left] or [k for k in range(len(room)) if room[k] == max(room)]
+            to = min(fits, key=lambda k: (cost[k], k))
+            n = min(left, room[to])
+            out.append((piece, start, n, to))
+            room[to] -= n
+            cost[to] += n + n * n / seq_len
+            start, left = start + n, left - n
+    return out
+
+
+def test_balance_equals_brute_force():
+    r = random.Random(6)
+    for most in (3, 300, 2047) * 8:
+        lengths = [r.randint(1, most) for _ in range(r.randint(0, 200))]
+        assert packing.balance(lengths, 2048, 1.0, 1 / 2048) == brute_balance(lengths, 2048)
+
+
+def test_packing_long_white_space(spark):
+    """Runs of white space of any length give the ids of the tokenizer, and the job lives."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    slow, encode = Tokenizer.from_file(path), packing.encoder(path)
+    r = random.Random(5)
+    texts = ["a" + "\n" * 2_000_000 + "b", " " * 2_000_000, "\u3000" * 5000 + "'s", " " * 4095 + "x", " " * 4096 + "x", "\x1c" * 5000 + " " * 4097]
+    texts += ["".join(r.choice([" ", "\n", "\t", "a", "'s", "9", "é", " " * 4090, "\n" * 4096]) for _ in range(r.randint(1, 12))) for _ in range(60)]
+    for t in texts:
+        assert list(encode(t)) == slow.encode(t, add_special_tokens=False).ids
+    out = packing.pack(docs(spark, list(enumerate(texts[:2]))).coalesce(1), path, with_ids=False)
+    got = {x[0]: x[1] for x in out.groupBy("doc_id").sum("length").collect()}
+    assert got == {i: len(encode(t)) + 1 for i, t in enumerate(texts[:2])}
+
+
+def test_packing_many_small_rows(spark):
+    """Groups end by their number of pieces as well; none of their sequences is padded."""
+    rows = spark.range(200_000).selectExpr("id as doc_id", "'' as text").coalesce(1)
+    out = packing.pack(rows, tokenizer_path("byte_bpe_50k.json"), with_ids=False)
+    by = out.groupBy("sequence_id").agg({"length": "sum", "offset": "max"}).collect()
+    assert sum(x[1] for x in by) == 200_000 and all(x[1] & (x[1] - 1) == 0 for x in by)
+
+
 def test_packing_empty(spark):
     assert packing.pack(docs(spark, []), tokenizer_path("byte_bpe_50k.json")).count() == 0
 
