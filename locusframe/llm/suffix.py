@@ -1,39 +1,43 @@
-"""Removal of long repeated byte strings by suffix order and longest previous factors.
+"""Removal of long repeated strings by suffix order and longest previous factors.
 
 A *window* is ``length`` bytes of one text.  A window repeats if the same bytes
 start anywhere else, in any text or in its own.  What is removed is the union of
 windows: of all that repeat (``keep="none"``), or of all that have an earlier
-copy by (id, position) (``keep="first"``).
+copy by (id, row, position) (``keep="first"``).
 
 1. *Segments* (one map): each window is named by its minimizer, the gram of
    least hash in it, leftmost of equals.  Equal windows have equal minimizers at
    equal places, so only segments (the runs of neighbouring windows of one
-   minimizer) with equal minimizers need to be compared.
-2. *Equal segments* are found by counting (minimizer hash, segment hash), with
-   partial sums before the shuffle: all copies of a segment are settled without
-   meeting, however many there are.
-3. *Unequal segments of one minimizer*: one copy of each such segment is fetched
-   and compared in suffix order: ranks of prefixes by doubling, then windows
-   sorted by (rank, position), where previous and next smaller positions of the
-   same rank are the earlier matches of the longest-previous-factor array,
-   capped at ``length``.  A task takes minimizers in groups of bounded size.
+   minimizer) with equal minimizers need to be compared.  Copies of a segment
+   inside one text are settled here, so that a text with a short period names
+   each of its segments once.
+2. *Equal segments* are folded by (minimizer hash, segment hash), with partial
+   sums before the shuffle: a string that a million texts hold is one string
+   with a count from here on.
+3. *Unequal segments of one minimizer*: one copy of each is fetched and put in
+   suffix order (ranks of prefixes by doubling) with the lengths that neighbours
+   share.  The previous and next smaller positions in that order give every
+   window's longest previous factor and where it starts (:func:`longest_previous`);
+   those of ``length`` or more are repeats, and their sources have a later copy.
+   A task takes minimizers in groups of bounded size.
    Minimizers with more than ``HOT`` unequal segments are split instead: their
    windows are counted by hash, again with partial sums.
-4. Spans of each text are joined back and cut out.
+4. Spans are merged in order of place, text by text, joined back and cut out.
 
 With ``words`` a window is so many words (runs of bytes that are not space)
-instead, whatever their bytes and the space between them: each word is taken as
-``SYMBOL`` bytes of its hash, and the same search runs over these.  A text with
-fewer words loses nothing.
+instead, whatever their bytes and the space between them: the same search runs
+over the hashes of words.  A text with fewer words loses nothing.
 
 Hashes only bring strings together: minimizers have 64 bits and segments 64
-more over that; windows of hot minimizers have 128.
+more over that; windows of hot minimizers have 128.  Texts are joined by id and
+a hash of the row.
 
 Defined cases: a null or empty text has no windows; a text below ``length``
 bytes loses nothing; equal rows count as repeats of each other and are all cut
-alike; with ``keep="first"`` a null id orders by a hash of the row; spans may
-split a character, and where text is returned they are narrowed to whole
-characters; an empty table gives no rows.
+alike (with ``keep="first"`` they are one place in the order); with
+``keep="first"`` a null id orders by a hash of the row, and rows of one id by
+that hash; spans may split a character, and where text is returned they are
+narrowed to whole characters; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,13 +56,14 @@ from pyspark.sql.types import StringType, StructField, StructType
 from locusframe.llm.common import cut, discard
 
 LENGTH = 400
+#: The length of the second measure of :func:`digest`: most passages of over 50 words have as many bytes.
+SHORT = 256
 CHUNK = 1 << 20
 HOT = 2048
 GROUP_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
-#: Bytes that stand for a word.
-SYMBOL = 8
 WORD = re.compile(rb"\S+")
+SPANS = "array<struct<lo:int,hi:int>>"
 
 
 class Minimizers:
@@ -81,15 +86,15 @@ class Minimizers:
                 self.up, self.down = np.cumprod(up), np.cumprod(down)
             self.room = n
 
-    def runs(self, text: bytes):
-        """Arrays: hash of the minimizer, first window, last window."""
+    def runs(self, text: np.ndarray):
+        """Of a string of bytes or of words' hashes, arrays: hash of the minimizer, first window, last window."""
         n = len(text) - self.length + 1
         if n <= 0:
             return None
         parts = []
         for at in range(0, n, CHUNK):
             m = min(CHUNK, n - at)
-            parts.append(self.chunk(np.frombuffer(text, np.uint8, m + self.length - 1, at), at, m))
+            parts.append(self.chunk(text[at : at + m + self.length - 1], at, m))
         return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts))
 
     def chunk(self, b: np.ndarray, at: int, m: int):
@@ -115,14 +120,24 @@ class Minimizers:
         return h[where[first]].view(np.int64), first + at, last + at
 
 
+def padded(data: np.ndarray, length: int) -> tuple[np.ndarray, int]:
+    """At every place and ``length`` beyond the end a word of the string from there on, and how much it holds."""
+    if data.itemsize > 1:
+        return np.concatenate([data, np.zeros(length, data.dtype)]), 1
+    raw = np.concatenate([data, np.zeros(length + 8, np.uint8)])
+    n, known = len(data) + length, 8
+    words = np.zeros(n, np.uint64)
+    for k in range(known):
+        words = (words << np.uint64(8)) | raw[k : k + n]
+    return words, known
+
+
 def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Of every place the rank of the ``length`` bytes from there on, in byte order; past the end are zeros."""
+    """Of every place the rank of the ``length`` symbols from there on, in their order; past the end are zeros."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(2 * length, np.uint8)])
-    known = min(8, 1 << (length.bit_length() - 1))
-    words = np.zeros(n + length, np.uint64)
-    for k in range(known):
-        words = (words << np.uint64(8)) | padded[k : k + n + length]
+    words, known = padded(data, length)
+    if known > length:
+        words, known = words >> np.uint64(8 * (known - length)), length
     rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
     while known < length:
         step = min(known, length - known)
@@ -133,26 +148,77 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     return rank[:n]
 
 
-def matches(segments: list[bytes], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def shared_lengths(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """How much every place in ``order`` shares with the one before it, ``length`` at most."""
+    words, known = padded(data, length)
+    out = np.zeros(len(order), np.int64)
+    live = np.arange(1, len(order))
+    while len(live):
+        at = out[live]
+        differ = words[order[live - 1] + at] ^ words[order[live] + at]
+        out[live] += known
+        stop = differ != 0
+        if known > 1:
+            # Of a word that differs the bytes before the first difference are shared.
+            left = np.zeros(int(stop.sum()), np.int64)
+            for k in range(1, known + 1):
+                left += differ[stop] >= np.uint64(1 << 64 - 8 * k)
+            out[live[stop]] -= left.clip(1)
+        else:
+            out[live[stop]] -= 1
+        live = live[~stop]
+        live = live[out[live] < length]
+    return np.minimum(out, length)
+
+
+def smaller_before(place: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every rank the nearest rank before it with a smaller place (or -1), and the least shared on the way."""
+    to, low = np.arange(-1, len(place) - 1), shared.copy()
+    live = np.flatnonzero((to >= 0) & (place[to] > place))
+    while len(live):
+        over = to[live]
+        low[live] = np.minimum(low[live], low[over])
+        to[live] = to[over]
+        live = live[to[live] >= 0]
+        live = live[place[to[live]] > place[live]]
+    low[to < 0] = 0
+    return to, low
+
+
+def longest_previous(data: np.ndarray, order: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every rank of ``order`` the longest match with a smaller place, and that place (or -1).
+
+    ``order`` holds places in suffix order; matches are known up to ``length``.
+    """
+    n = len(order)
+    shared = shared_lengths(data, order, length)
+    before, low = smaller_before(order, shared)
+    # The next smaller position is the previous one of the order turned round.
+    after, low_after = smaller_before(order[::-1], np.r_[0, shared[:0:-1]] if n else shared)
+    after, low_after = np.where(after < 0, -1, n - 1 - after)[::-1], low_after[::-1]
+    source = np.where(low >= low_after, before, after)
+    return np.maximum(low, low_after), np.where(source < 0, -1, order[source])
+
+
+def matches(segments: list[np.ndarray], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each segment's windows: whether an earlier window equals it, and whether any other does.
 
     Earlier is by the order of segments, then by place.
     """
     sizes = np.array([len(s) for s in segments])
     ends = np.cumsum(sizes)
-    rank = suffix_ranks(np.frombuffer(b"".join(segments), np.uint8), length)
+    data = np.concatenate(segments)
+    rank = suffix_ranks(data, length)
     at = np.concatenate([np.arange(e - n, e - length + 1) for e, n in zip(ends, sizes)])
-    # Suffix order of windows; within a rank, positions ascend, so that the previous
-    # smaller position of a window is its predecessor and the next smaller one is of another rank.
-    order = np.lexsort((at, rank[at]))
-    same = rank[at][order][1:] == rank[at][order][:-1]
-    previous = np.zeros(len(at), bool)
-    other = np.zeros(len(at), bool)
-    previous[order[1:]] = same
-    other[order[1:]] = same
-    other[order[:-1]] |= same
+    order = at[np.lexsort((at, rank[at]))]
+    factor, source = longest_previous(data, order, length)
+    whole = factor >= length
+    previous = np.zeros(len(data), bool)
+    previous[order[whole]] = True
+    other = previous.copy()
+    other[source[whole]] = True
     cuts = np.cumsum(sizes - length + 1)[:-1]
-    return list(zip(np.split(previous, cuts), np.split(other, cuts)))
+    return list(zip(np.split(previous[at], cuts), np.split(other[at], cuts)))
 
 
 def spans_of(hit: np.ndarray, at: int, length: int) -> list[tuple[int, int]]:
@@ -161,14 +227,50 @@ def spans_of(hit: np.ndarray, at: int, length: int) -> list[tuple[int, int]]:
     return [(at + int(a), at + int(b) - 1 + length) for a, b in zip(edge[::2], edge[1::2])]
 
 
-def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def runs_of(group: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unions of spans sorted by group (ascending numbers) and start: group, start, end."""
+    if not len(lo):
+        return group, lo, hi
+    wide = np.int64(1) << 32
+    reach = np.maximum.accumulate(group * wide + hi)
+    new = np.flatnonzero(np.r_[True, group[1:] * wide + lo[1:] > reach[:-1]])
+    return group[new], lo[new], reach[np.r_[new[1:] - 1, len(lo) - 1]] - group[new] * wide
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """``row``, ``ord`` and ``spans``, sorted and apart, from single spans in any order.
+
+    A task sees the spans of a text in order of place and holds their unions only.
+    """
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 4
+
+        def settle(last: bool):
+            nonlocal held
+            row, order, lo, hi = held
+            new = np.r_[True, (row[1:] != row[:-1]) | (order[1:] != order[:-1])]
+            text, lo, hi = runs_of(np.cumsum(new) - 1, lo, hi)
+            row, order = row[new], order[new]
+            # The last text may go on in the next batch.
+            upto = len(lo) if last else int(np.searchsorted(text, len(row) - 1))
+            n = len(row) - (not last)
+            held = [np.repeat(row[n:], len(lo) - upto), np.repeat(order[n:], len(lo) - upto), lo[upto:], hi[upto:]]
+            ends = np.searchsorted(text[:upto], np.arange(n + 1))
+            pairs = pa.StructArray.from_arrays([pa.array(lo[:upto], pa.int32()), pa.array(hi[:upto], pa.int32())], ["lo", "hi"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            return pa.RecordBatch.from_arrays([pa.array(row[:n]), pa.array(order[:n]), lists], ["row", "ord", "spans"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(held)]
+                yield settle(False)
+        if len(held[0]):
+            yield settle(True)
+
+    dealt = spans.select("row", "ord", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    dealt = dealt.repartition("row", "ord").sortWithinPartitions("row", "ord", "lo")
+    return dealt.mapInArrow(run, f"row long, ord long, spans {SPANS}")
 
 
 def release(*tables: DataFrame, spark: SparkSession | None = None) -> None:
@@ -180,128 +282,150 @@ def release(*tables: DataFrame, spark: SparkSession | None = None) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def symbols(raw: bytes) -> bytes:
-    """Of each word the bytes that stand for it."""
+def symbols(text: str, words: bool) -> np.ndarray:
+    """The bytes of a text, or a hash of each of its words."""
+    raw = text.encode()
+    if not words:
+        return np.frombuffer(raw, np.uint8)
     digest = xxhash.xxh3_64_digest
-    return b"".join([digest(w) for w in raw.split()])
-
-
-def words_at(lo: int, hi: int, places: list[tuple[int, int]]) -> tuple[int, int]:
-    """Where in the text the whole words of a span of symbols stand."""
-    a, b = -(-lo // SYMBOL), hi // SYMBOL
-    return places[a][0], places[b - 1][1]
+    return np.frombuffer(b"".join([digest(w) for w in raw.split()]), np.uint64)
 
 
 def segments(given: DataFrame, length: int, words: bool = False) -> DataFrame:
-    """``row``, ``ord``, ``a`` (minimizer), ``s`` (segment), ``lo`` (first window), ``w`` (windows but one)."""
+    """``row``, ``ord``, ``a`` (minimizer), ``s`` (segment), ``lo`` (first window), ``w`` (windows but one), ``c``.
+
+    ``c`` counts the copies of a segment in its text, of which the first is told;
+    rows of ``c = 0`` are spans of the further ones.  With a column ``within`` only
+    what lies in one of its spans counts.
+    """
+    columns = ["row", "ord", "text"] + ["within"] * ("within" in given.columns)
 
     def run(batches):
         find = Minimizers(length)
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            keep: list[list[np.ndarray]] = [[] for _ in range(6)]
+            keep: list[list[np.ndarray]] = [[] for _ in range(7)]
             held = 0
 
             def flush():
                 cols = [np.concatenate(x) for x in keep]
-                names = ["row", "ord", "a", "s", "lo", "w"]
+                names = ["row", "ord", "a", "s", "lo", "w", "c"]
                 out = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
                 for x in keep:
                     x.clear()
                 return out
 
-            for row, order, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                raw = text.as_py().encode()
-                raw = symbols(raw) if words else raw
-                if (got := find.runs(raw)) is None:
-                    continue
-                a, lo, hi = got
-                view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
-                s = np.array([digest(view[x : y + length]) for x, y in zip(lo.tolist(), hi.tolist())], np.uint64)
-                new = (np.full(len(a), row), np.full(len(a), order), a, s.view(np.int64), lo.astype(np.int32), (hi - lo).astype(np.int32))
+            def put(row, order, a, s, lo, w, c):
+                nonlocal held
+                new = (np.full(len(a), row), np.full(len(a), order), a, s, lo.astype(np.int32), w.astype(np.int32), c.astype(np.int32))
                 for x, y in zip(keep, new):
                     x.append(y)
                 held += len(a)
+
+            for i, (row, order) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                data = symbols(batch.column(2)[i].as_py(), words)
+                inside = [(x["lo"], x["hi"]) for x in batch.column(3)[i].as_py()] if len(columns) > 3 else [(0, len(data))]
+                found = [(got, at) for at, end in inside if (got := find.runs(data[at:end])) is not None]
+                if not found:
+                    continue
+                a = np.concatenate([x[0] for x, _ in found])
+                lo = np.concatenate([x[1] + at for x, at in found])
+                hi = np.concatenate([x[2] + at for x, at in found])
+                view, size = memoryview(data).cast("B"), data.itemsize
+                s = [digest(view[x * size : (y + length) * size]) for x, y in zip(lo.tolist(), hi.tolist())]
+                s = np.array(s, np.uint64).view(np.int64)
+                c = np.ones(len(a), np.int64)
+                if len(np.unique(s)) < len(s):
+                    by = np.lexsort((lo, s, a))
+                    new = np.r_[True, (a[by][1:] != a[by][:-1]) | (s[by][1:] != s[by][:-1])]
+                    c[by[new]] = np.diff(np.r_[np.flatnonzero(new), len(by)])
+                    again = np.sort(by[~new])
+                    _, x, y = runs_of(np.zeros(len(again), np.int64), lo[again], hi[again] + length)
+                    none = np.zeros(len(x), np.int64)
+                    put(row, order, none, none, x, y - x - length, none)
+                    first = np.sort(by[new])
+                    a, s, lo, hi, c = a[first], s[first], lo[first], hi[first], c[first]
+                put(row, order, a, s, lo, hi - lo, c)
                 if held > 100_000:
                     held = 0
                     yield flush()
             if held:
                 yield flush()
 
-    return given.select("row", "ord", "text").mapInArrow(run, "row long, ord long, a long, s long, lo int, w int")
+    return given.select(*columns).mapInArrow(run, "row long, ord long, a long, s long, lo int, w int, c int")
 
 
 def fetch(given: DataFrame, need: DataFrame, length: int, words: bool = False) -> DataFrame:
-    """Of the segments needed, one of each (a, s) and text with its bytes; further ones of a text without."""
-    kind = "a long, s long, n long, nv long, ord long, row long, lo int, w int, data binary"
-    lists = need.groupBy("row").agg(F.collect_list(F.struct("a", "s", "n", "nv", "lo", "w")).alias("all"))
+    """The segments needed with their symbols."""
+    kind = "a long, s long, n long, nv long, ord long, row long, lo int, data binary"
+    # Equal rows name the same segments, and one of them tells.
+    lists = need.groupBy("row", "ord").agg(F.collect_set(F.struct("lo", "w", "a", "s", "n", "nv")).alias("all"))
+    texts = given.select("row", "ord", "text").join(lists, ["row", "ord"]).dropDuplicates(["row", "ord"])
     names = [x.split()[0] for x in kind.split(", ")]
-    types = [pa.int64()] * 6 + [pa.int32()] * 2 + [pa.binary()]
+    types = [pa.int64()] * 6 + [pa.int32(), pa.binary()]
 
     def run(batches):
         for batch in batches:
             rows, size = [], 0
             for i in range(batch.num_rows):
                 row, order = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                raw = batch.column(2)[i].as_py().encode()
-                raw = symbols(raw) if words else raw
-                seen = set()
-                for x in sorted(batch.column(3)[i].as_py(), key=lambda x: x["lo"]):
-                    fresh = (x["a"], x["s"]) not in seen
-                    seen.add((x["a"], x["s"]))
-                    data = raw[x["lo"] : x["lo"] + x["w"] + length] if fresh and x["nv"] > 1 else None
-                    if data is None and fresh:
-                        continue
-                    rows.append((x["a"], x["s"], x["n"], x["nv"], order, row, x["lo"], x["w"], data))
-                    size += len(data or b"")
-                if size > 1 << 23 or len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                    rows, size = [], 0
+                data = symbols(batch.column(2)[i].as_py(), words)
+                for x in batch.column(3)[i]:
+                    lo, w, *rest = (v.as_py() for v in x.values())
+                    rows.append((*rest, order, row, lo, data[lo : lo + w + length].tobytes()))
+                    size += len(rows[-1][-1])
+                    if size > 1 << 23 or len(rows) > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                        rows, size = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return given.select("row", "ord", "text").join(lists, "row").mapInArrow(run, kind)
+    return texts.select("row", "ord", "text", "all").mapInArrow(run, kind)
 
 
-def compare(fetched: DataFrame, length: int, first: bool) -> DataFrame:
+def compare(fetched: DataFrame, length: int, first: bool, words: bool = False) -> DataFrame:
     """Spans of windows that repeat in unequal segments of one minimizer, by suffix order."""
+    symbol = np.uint64 if words else np.uint8
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
 
     def run(batches):
         group: list[tuple] = []
 
         def settle():
-            # One segment of each (a, s), the earliest; rows come in order of a, ord, lo.
+            # One segment of each (a, s), the earliest; rows come in order of a, ord, row, lo.
             kept: dict[tuple, list] = {}
-            for a, s, n, row, lo, data in group:
-                kept.setdefault((a, s), [n, data, []])[2].append((row, lo))
+            for a, s, n, order, row, lo, data in group:
+                kept.setdefault((a, s), [n, np.frombuffer(data, symbol), []])[2].append((row, order, lo))
             out = []
             # Earlier matches need segments in order of their first copies within each a: as they came.
             for (n, _, where), (previous, other) in zip(kept.values(), matches([x[1] for x in kept.values()], length)):
                 if not first and n > 1:
                     continue
-                for row, lo in where:
-                    out += [(row, a, b) for a, b in spans_of(previous if first else other, lo, length)]
+                for row, order, lo in where:
+                    out += [(row, order, a, b) for a, b in spans_of(previous if first else other, lo, length)]
             group.clear()
-            cols = list(zip(*out)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()))], ["row", "lo", "hi"])
+            cols = list(zip(*out)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["row", "ord", "lo", "hi"])
 
         size, last = 0, None
         for batch in batches:
-            for a, s, n, row, lo, data in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+            for a, s, n, order, row, lo, data in zip(*[batch.column(i).to_pylist() for i in range(7)]):
                 if a != last and size > GROUP_BYTES:
                     yield settle()
                     size = 0
                 last = a
                 size += len(data)
-                group.append((a, s, n, row, lo, data))
+                group.append((a, s, n, order, row, lo, data))
         if group:
             yield settle()
 
-    dealt = fetched.repartition("a").sortWithinPartitions("a", "ord", "lo")
-    return dealt.select("a", "s", "n", "row", "lo", "data").mapInArrow(run, "row long, lo int, hi int")
+    dealt = fetched.repartition("a").sortWithinPartitions("a", "ord", "row", "lo")
+    return dealt.select("a", "s", "n", "ord", "row", "lo", "data").mapInArrow(run, "row long, ord long, lo int, hi int")
 
 
-def count_windows(fetched: DataFrame, length: int, first: bool) -> DataFrame:
+def count_windows(fetched: DataFrame, length: int, first: bool, words: bool = False) -> DataFrame:
     """The same for hot minimizers, window by window."""
+    size = 8 if words else 1
 
     def run(batches):
         for batch in batches:
@@ -310,79 +434,104 @@ def count_windows(fetched: DataFrame, length: int, first: bool) -> DataFrame:
                 out = []
                 for n, order, row, lo, data in zip(*[part.column(i).to_pylist() for i in range(5)]):
                     view = memoryview(data)
-                    for k in range(len(data) - length + 1):
-                        out.append((xxhash.xxh3_128_digest(view[k : k + length]), n, order, row, lo + k))
+                    for k in range(len(data) // size - length + 1):
+                        out.append((xxhash.xxh3_128_digest(view[k * size : (k + length) * size]), n, order, row, lo + k))
                 types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["h", "n", "ord", "row", "lo"])
 
     each = fetched.select("n", "ord", "row", "lo", "data").mapInArrow(run, "h binary, n long, ord long, row long, lo int")
     # Copies of one segment came once for each text that holds its first copy: n counts all.
-    counts = each.groupBy("h").agg(F.sum("n").alias("all"), F.min(F.struct("ord", "lo")).alias("least")).where("all > 1")
+    counts = each.groupBy("h").agg(F.sum("n").alias("all"), F.min(F.struct("ord", "row", "lo")).alias("least")).where("all > 1")
     joined = each.join(counts, "h")
-    told = joined.where(F.struct("ord", "lo") != F.col("least")) if first else joined.where("n = 1")
-    return told.select("row", "lo", (F.col("lo") + length).alias("hi"))
+    told = joined.where(F.struct("ord", "row", "lo") != F.col("least")) if first else joined.where("n = 1")
+    return told.select("row", "ord", "lo", (F.col("lo") + length).alias("hi"))
 
 
 def removed(given: DataFrame, length: int, first: bool, words: bool = False) -> DataFrame:
-    """``row`` and ``spans``, unordered and overlapping, of all texts that lose anything."""
+    """``row``, ``ord`` and ``spans``, sorted and apart, of all texts that lose anything; with ``words`` spans of words.
+
+    A column ``within`` of ``given`` may say where in a text to look.
+    """
     occurrences = cut(segments(given, length, words), "segments")
-    kinds = occurrences.groupBy("a", "s").agg(F.count("*").alias("n"), F.min("ord").alias("least"))
+    named = occurrences.where("c > 0")
+    # The first copy speaks for all: by id and row, or where all copies go, by row alone.
+    at = F.struct("ord", "row") if first else F.col("row")
+    kinds = named.groupBy("a", "s").agg(F.sum("c").alias("n"), F.min(at).alias("least"))
     several = kinds.groupBy("a").agg(F.count("*").alias("nv")).where("nv > 1")
     wanted = kinds.join(several, "a", "left").where("n > 1 or nv > 1").withColumn("nv", F.coalesce("nv", F.lit(1)))
-    matched = cut(
-        occurrences.join(wanted, ["a", "s"]).select("row", "a", "s", "lo", "w", "n", "nv", (F.col("ord") == F.col("least")).alias("own")),
-        "matched",
-    )
-    release(occurrences)
-    copies = matched.where("not own" if first else "n > 1")
-    need = matched.where("own and (nv > 1 or n > 1)" if first else "own and nv > 1")
-    fetched = cut(fetch(given, need, length, words), "fetched")
+    told = named.join(wanted, ["a", "s"]).select("row", "ord", "a", "s", "lo", "w", "n", "nv", (at == F.col("least")).alias("own"))
+    matched = cut(told, "matched")
+    again = occurrences.where("c = 0").select("row", "ord", "lo", "w")
+    copies = matched.where("not own" if first else "n > 1").select("row", "ord", "lo", "w").unionByName(again)
+    fetched = cut(fetch(given, matched.where("own and nv > 1"), length, words), "fetched")
     release(spark=fetched.sparkSession)
-    seen = fetched.where("data is not null")
-    spans = copies.select("row", "lo", (F.col("lo") + F.col("w") + length).alias("hi"))
-    spans = spans.unionByName(compare(seen.where(F.col("nv") <= HOT), length, first))
-    spans = spans.unionByName(count_windows(seen.where(F.col("nv") > HOT), length, first))
-    if first:
-        again = fetched.where("data is null")
-        spans = spans.unionByName(again.select("row", "lo", (F.col("lo") + F.col("w") + length).alias("hi")))
-    out = cut(spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    release(matched, fetched)
+    spans = copies.select("row", "ord", "lo", (F.col("lo") + F.col("w") + length).alias("hi"))
+    spans = spans.unionByName(compare(fetched.where(F.col("nv") <= HOT), length, first, words))
+    spans = spans.unionByName(count_windows(fetched.where(F.col("nv") > HOT), length, first, words))
+    out = cut(merged(spans), "spans")
+    release(occurrences, matched, fetched)
     return out
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     return df.select(
+        F.col(id_col).cast("long").alias("key"),
         row.alias("row"),
         F.coalesce(F.col(id_col).cast("long"), row).alias("ord"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
 
 
-def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: str = "none") -> DataFrame:
-    """The id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of every row."""
-    spans = removed(keyed(df, id_col, text_col), length, keep == "first")
-    given = df.select(F.col(id_col).cast("long").alias("key"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: str = "none", short: int = SHORT) -> DataFrame:
+    """The id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``n_repeated`` of every row.
+
+    ``n_repeated`` counts the bytes covered by a string of ``short`` bytes (at
+    most ``length``) that stands anywhere else as well.  Strings of ``length``
+    can repeat inside such bytes only, so the search for these looks nowhere else.
+    """
+    given = keyed(df, id_col, text_col)
+    near = removed(given, short, False)
+    joined = given.join(near.withColumnRenamed("spans", "within"), ["row", "ord"], "left")
+    raw = F.encode("text", "utf-8")
+    # Texts without repeats are done; only the others are kept.
+    far = cut(
+        joined.select(
+            "key",
+            "row",
+            "ord",
+            F.when(F.col("within").isNotNull(), F.col("text")).alias("text"),
+            "within",
+            F.octet_length("text").cast("long").alias("n_bytes"),
+            F.when(F.col("within").isNull(), F.sha2(raw, 256)).alias("sha"),
+        ),
+        "repeated",
+    )
+    discard(near)
+    spans = removed(far.where("text is not null").select("row", "ord", "text", "within"), length, keep == "first")
 
     def run(batches):
         for batch in batches:
             out = []
-            for key, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                raw = text.as_py().encode()
-                gone = union([(x["lo"], x["hi"]) for x in found.as_py() or ()])
-                sha, at = hashlib.sha256(), 0
-                for a, b in gone:
-                    sha.update(raw[at:a])
-                    at = b
-                sha.update(raw[at:])
-                out.append((key, len(raw), sum(b - a for a, b in gone), len(gone), sha.hexdigest()))
-            types = [pa.int64()] * 4 + [pa.string()]
-            names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            for key, text, within, n, sha, found in zip(*[batch.column(i) for i in range(6)]):
+                gone = [(x["lo"], x["hi"]) for x in found.as_py() or ()]
+                kept = sha.as_py()
+                if kept is None:
+                    raw, digested, at = text.as_py().encode(), hashlib.sha256(), 0
+                    for a, b in gone:
+                        digested.update(raw[at:a])
+                        at = b
+                    digested.update(raw[at:])
+                    kept = digested.hexdigest()
+                repeated = sum(x["hi"] - x["lo"] for x in within.as_py() or ())
+                out.append((key.as_py(), n.as_py(), sum(b - a for a, b in gone), len(gone), kept, repeated))
+            types = [pa.int64()] * 4 + [pa.string(), pa.int64()]
+            names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
-    joined = given.join(spans, "row", "left").select("key", "text", "spans")
-    kinds = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return joined.mapInArrow(run, kinds).withColumnRenamed("key", id_col)
+    told = far.join(spans, ["row", "ord"], "left").select("key", "text", "within", "n_bytes", "sha", "spans")
+    kinds = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long"
+    return told.mapInArrow(run, kinds).withColumnRenamed("key", id_col)
 
 
 def whole_characters(raw: bytes, a: int, b: int) -> tuple[int, int]:
@@ -399,11 +548,13 @@ def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
 
     With ``words``, strings of so many words, not of ``length`` bytes.
     """
-    spans = removed(keyed(df, id_col, text_col), words * SYMBOL or length, keep == "first", words > 0)
+    spans = removed(keyed(df, id_col, text_col), words or length, keep == "first", words > 0)
     fields = df.schema.fields
-    at = [f.name for f in fields].index(text_col)
+    names = [f.name for f in fields]
+    at, by = names.index(text_col), names.index(id_col)
     hidden = [f"c{i}" for i in range(len(fields))]
-    given = df.toDF(*hidden).withColumn("row", F.xxhash64(hidden[[f.name for f in fields].index(id_col)], hidden[at]))
+    row = F.xxhash64(hidden[by], hidden[at])
+    given = df.toDF(*hidden).withColumn("row", row).withColumn("ord", F.coalesce(F.col(hidden[by]).cast("long"), row))
 
     def run(batches):
         for batch in batches:
@@ -414,8 +565,8 @@ def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
                     continue
                 raw, out, pos = text.as_py().encode(), [], 0
                 places = [m.span() for m in WORD.finditer(raw)] if words else []
-                for a, b in union([(x["lo"], x["hi"]) for x in found.as_py()]):
-                    a, b = words_at(a, b, places) if words else whole_characters(raw, a, b)
+                for x in found.as_py():
+                    a, b = (places[x["lo"]][0], places[x["hi"] - 1][1]) if words else whole_characters(raw, x["lo"], x["hi"])
                     out.append(raw[pos:a])
                     pos = b
                 out.append(raw[pos:])
@@ -424,5 +575,5 @@ def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
             yield pa.RecordBatch.from_arrays(columns, hidden)
 
     schema = StructType([StructField(h, StringType() if i == at else f.dataType) for i, (h, f) in enumerate(zip(hidden, fields))])
-    joined = given.join(spans, "row", "left").select(*hidden, "spans")
-    return joined.mapInArrow(run, schema).toDF(*[f.name for f in fields])
+    joined = given.join(spans, ["row", "ord"], "left").select(*hidden, "spans")
+    return joined.mapInArrow(run, schema).toDF(*names)

@@ -231,8 +231,66 @@ def test_repeats(spark, monkeypatch, hot, keep):
     monkeypatch.setattr(suffix, "HOT", hot)
     docs = repeat_docs(hot, 40)
     df = spark.createDataFrame([(i, t, "c") for i, t in docs], "doc_id long, text string, row string")
-    out = sorted(tuple(r) for r in suffix.digest(df, length=40, keep=keep).collect())
-    assert out == brute_repeats(docs, 40, keep == "first")
+    out = suffix.digest(df, length=40, keep=keep, short=25).collect()
+    assert sorted(tuple(r)[:5] for r in out) == brute_repeats(docs, 40, keep == "first")
+    assert sorted((r.doc_id, r.n_repeated) for r in out) == sorted((x[0], x[2]) for x in brute_repeats(docs, 25, False))
+
+
+def test_repeats_at_the_query_length(spark):
+    """The query itself, at its own lengths, on texts with shared passages, periods and copies."""
+    from locusframe.llm import queries
+
+    docs = repeat_docs(5, 400)
+    docs += [(200, "z" * 20_000), (201, "ab" * 3000 + "tail"), (200, "z" * 20_000)]
+    df = spark.createDataFrame([(i, t, "c") for i, t in docs], "doc_id long, text string, row string")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(queries, "documents", lambda *_: df)
+        out = queries.QUERIES["op10_suffix_dedup"](spark, "").collect()
+    assert sorted(tuple(r)[:5] for r in out) == brute_repeats(docs, 400, False)
+    assert sorted((r.doc_id, r.n_repeated) for r in out) == sorted((x[0], x[2]) for x in brute_repeats(docs, 256, False))
+
+
+def test_a_period_is_named_once(spark):
+    """A text of one letter, or of few, has few segments, and one span."""
+    given = suffix.keyed(spark.createDataFrame([(1, "a" * 300_000 + "xyz" * 50_000)], "doc_id long, text string"), "doc_id", "text")
+    rows = suffix.segments(given, 400).collect()
+    assert len(rows) < 100 and sum(r.c for r in rows) > 300_000
+    (one,) = suffix.digest(spark.createDataFrame([(1, "a" * 300_000)], "doc_id long, text string")).collect()
+    assert (one.n_removed, one.n_spans, one.n_repeated) == (300_000, 1, 300_000)
+
+
+def test_longest_previous():
+    """Against a look at all pairs; capped at the length in question."""
+    r = random.Random(3)
+    for trial in range(60):
+        kind = (np.uint8, np.uint64)[trial % 2]
+        data = np.array(r.choices([0, 1, 2] if trial % 3 else [7], k=r.randint(1, 70)), kind)
+        cap = r.choice([1, 5, 9, 20])
+        raw = data.tolist() + [0] * cap
+        at = sorted(range(len(data)), key=lambda i: (raw[i : i + cap] + [0] * cap)[:cap] + [i])
+        factor, source = suffix.longest_previous(data, np.array(at), cap)
+        for k, i in enumerate(at):
+            share = lambda j: next((n for n in range(cap) if (raw + [0] * cap)[i + n] != (raw + [0] * cap)[j + n]), cap)  # noqa: B023, E731
+            assert factor[k] == max((share(j) for j in range(i)), default=0)
+            assert source[k] < 0 and factor[k] == 0 or source[k] < i and share(int(source[k])) == factor[k]
+
+
+def test_runs_of_spans():
+    group = np.array([0, 0, 0, 2, 2], np.int64)
+    g, lo, hi = suffix.runs_of(group, np.array([1, 2, 9, 3, 7]), np.array([6, 4, 12, 7, 8]))
+    assert (g.tolist(), lo.tolist(), hi.tolist()) == ([0, 0, 2], [1, 9, 3], [6, 12, 8])
+
+
+def test_equal_rows_of_one_id(spark):
+    """Equal rows are one place in the order; rows of one id order by a hash, and one of them keeps what they share."""
+    a, b = ("".join(random.Random(k).choices("abcdefgh ", k=300)) for k in (1, 2))
+    rows = [(1, a), (1, a), (2, b + a), (3, a + "one"), (3, b + a + "two")]
+    out = suffix.digest(spark.createDataFrame(rows, "doc_id long, text string"), length=100, keep="first", short=50).collect()
+    kept = {(r.doc_id, r.n_bytes): r.n_bytes - r.n_removed for r in out}
+    assert kept == {(1, 300): 300, (2, 600): 300, (3, 303): 3, (3, 603): 3}
+    assert {r.n_removed for r in suffix.digest(spark.createDataFrame(rows[:2], "doc_id long, text string")).collect()} == {0}
+    twice = suffix.digest(spark.createDataFrame([(1, a * 2), (1, a * 2)], "doc_id long, text string"), length=400).collect()
+    assert [r.n_removed for r in twice] == [600, 600]
 
 
 def test_repeats_in_text(spark):
@@ -246,7 +304,7 @@ def test_repeats_in_text(spark):
 def test_long_texts_in_chunks(monkeypatch):
     monkeypatch.setattr(suffix, "CHUNK", 1000)
     text = bytes(random.Random(0).choices(range(97, 105), k=5000)) * 2
-    a, lo, hi = suffix.Minimizers(50).runs(text)
+    a, lo, hi = suffix.Minimizers(50).runs(np.frombuffer(text, np.uint8))
     covered = np.concatenate([np.arange(x, y + 1) for x, y in zip(lo, hi)])
     assert (covered == np.arange(len(text) - 49)).all()
 
@@ -382,8 +440,8 @@ def test_passages_by_words(spark, monkeypatch, hot):
                 if window in seen:
                     gone.append((places[k][0], places[k + 50][1]))
                 seen.add(window)
-            for a, b in reversed(suffix.union(gone)):
-                raw = raw[:a] + raw[b:]
+            inside = [k for k in range(len(raw)) if not any(a <= k < b for a, b in gone)]
+            raw = bytes(raw[k] for k in inside)
             left[i] = None if t is None else raw.decode()
         return left
 
