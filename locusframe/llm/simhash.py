@@ -4,18 +4,20 @@
    after lower-casing A-Z; every shingle of ``width`` words, repeats included,
    is hashed by XXH64 (seed 42); a bit of the fingerprint is 1 if it is set in
    over half of the hashes.
-2. *Buckets*: only distinct fingerprints go on (a hot group of copies is one
-   fingerprint).  The 64 bits are cut into ``radius + 2`` blocks; two
-   fingerprints within ``radius`` bits agree on two blocks at least, so every
-   link falls into one of the buckets by a pair of blocks (ten pairs for a
-   radius of 3, keys of about 25 bits).
-3. *Index*: a task sorts the fingerprints of a bucket by Gray rank, where
-   neighbours differ in few bits, and folds groups of them level by level into
-   nodes that hold the bits that a group shares (mask and pattern).  Two nodes
-   are compared by the differences of their shared bits, which all their
-   members have: pairs of nodes over the radius fall as whole groups, and so do
-   nodes that lie in one component already.  A task passes on a spanning forest
-   of its links only, never all pairs of a dense group.
+2. *Ranges*: only distinct fingerprints go on (a hot group of copies is one
+   fingerprint).  The 64 bits are cut into ``radius + 1`` blocks; two fingerprints
+   within ``radius`` bits agree on one block at least.  For each block the
+   fingerprints are dealt by its value, which leads their bits from here on.
+   Values that more than ``SPLIT`` fingerprints have are dealt by a second block
+   of the other bits as well, with the same argument.
+3. *Index*: a task sorts its fingerprints by Gray rank, where neighbours differ
+   in few bits, and folds groups of ``FANOUT`` level by level into nodes that hold
+   the bits that a group shares (mask and pattern).  From the top, two nodes are
+   compared by the bits that both share and that their upper nodes did not: the
+   differences add up on the way down, and a pair of nodes falls as a whole group
+   once they exceed the radius, once leading bits differ, or once all its members
+   lie in one component.  Every link comes through this tree.  A task passes on
+   a spanning forest of its links only, never all pairs of a dense group.
 4. *Components*: rounds of large-star and small-star steps over fingerprints,
    as joins and aggregates, each written to the shared folder; no links are
    gathered on the driver.
@@ -48,8 +50,6 @@ only has a null id); other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -62,6 +62,10 @@ WIDTH = 3
 RADIUS = 3
 SEED = 42
 FANOUT = 8
+#: A block's value that more fingerprints have is split by a second block.
+SPLIT = 1 << 16
+#: Rows that a task gathers, in whole buckets, for one index.
+CHUNK = 200_000
 JUDGES = 4
 #: Five-word shingles at a similarity s of sets have an angle of cosine 2s / (1 + s); of 256 bits about 39 differ at 0.8.
 JUDGED_BITS = 96
@@ -169,36 +173,87 @@ class Forest:
         return kept
 
 
-def links(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS, judges: np.ndarray | None = None, most: int = 0, spans: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest, as positions, of the pairs of one bucket within ``radius`` bits.
-
-    With ``judges``, more fingerprints of every row, a pair must also differ in
-    at most ``most`` bits of these; with ``spans``, the size of every row's set
-    and how much of it precedes the bucket's shingle, sets at 0.8 must be possible.
+class GrayIndex:
+    """Fingerprints in Gray order under nodes that hold what their members share."""
+
+    def __init__(self, fp: np.ndarray, lead: int = 0):
+        """``lead``: so many high bits must agree in a link."""
+        self.order = np.argsort(gray_rank(fp), kind="stable")
+        self.lead = ~np.uint64(0) << np.uint64(64 - lead) if lead else np.uint64(0)
+        #: Level by level, from the fingerprints up: patterns and masks.
+        self.levels = [(fp[self.order], np.full(len(fp), ~np.uint64(0)))]
+        while len(self.levels[-1][0]) > FANOUT:
+            pattern, mask = self.levels[-1]
+            cuts = np.arange(0, len(pattern), FANOUT)
+            ones = np.bitwise_and.reduceat(pattern & mask, cuts)
+            zeros = np.bitwise_and.reduceat(~pattern & mask, cuts)
+            self.levels.append((ones, ones | zeros))
+
+    def links(self, radius: int) -> list[tuple[int, int]]:
+        """A spanning forest, as positions of the given order, of the pairs within ``radius`` bits."""
+        n, top = len(self.order), len(self.levels) - 1
+        forest = Forest(n)
+        found: list[tuple[int, int]] = []
+        i, j = np.triu_indices(len(self.levels[top][0]))
+        todo = [(top, i, j, np.zeros(len(i), np.int64), np.zeros(len(i), np.uint64))]
+        while todo:
+            level, i, j, differ, known = todo.pop()
+            pattern, mask = self.levels[level]
+            shared = mask[i] & mask[j]
+            fresh = (pattern[i] ^ pattern[j]) & shared & ~known
+            differ = differ + np.bitwise_count(fresh)
+            ok = (differ <= radius) & (fresh & self.lead == 0)
+            i, j, differ, known = i[ok], j[ok], differ[ok], shared[ok]
+            if level == 0:
+                ok = i != j
+                found += forest.join(i[ok], j[ok])
+                continue
+            if not len(i):
+                continue
+            # Nodes whose members are all of one component need no look at each other.
+            roots, cuts = forest.roots(), np.arange(0, n, FANOUT**level)
+            low, high = np.minimum.reduceat(roots, cuts), np.maximum.reduceat(roots, cuts)
+            ok = (low[i] != high[i]) | (low[j] != high[j]) | (low[i] != low[j])
+            i, j, differ, known = i[ok], j[ok], differ[ok], known[ok]
+            size, below = len(self.levels[level - 1][0]), np.arange(FANOUT)
+            # A node with itself first (it is on top of the stack): what it unites, others need not compare.
+            for own in (False, True):
+                at = np.flatnonzero((i == j) == own)
+                for k in range(0, len(at), 4096):
+                    part = at[k : k + 4096]
+                    ci = (i[part, None, None] * FANOUT + below[:, None] + 0 * below).ravel()
+                    cj = (j[part, None, None] * FANOUT + 0 * below[:, None] + below).ravel()
+                    ok = (ci <= cj) & (ci < size) & (cj < size)
+                    again = lambda x: np.repeat(x[part], FANOUT * FANOUT)[ok]  # noqa: B023, E731
+                    todo.append((level - 1, ci[ok], cj[ok], again(differ), again(known)))
+        return [(int(self.order[a]), int(self.order[b])) for a, b in found]
+
+
+def links(fp: np.ndarray, bucket: np.ndarray, judges: np.ndarray, most: int, spans: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest, as positions, of the proposed pairs of each bucket.
+
+    ``judges`` are fingerprints of every row, of which a pair must differ in at
+    most ``most`` bits; ``spans`` the size of every row's set and how much of it
+    precedes the bucket's shingle: sets at 0.8 must be possible.
     """
     n = len(fp)
     order = np.lexsort((gray_rank(fp), bucket))
-    fp, bucket = fp[order], bucket[order]
-    judges = None if judges is None else judges[order]
-    spans = None if spans is None else spans[order]
+    bucket, judges, spans = bucket[order], judges[order], spans[order]
     forest = Forest(n)
     found: list[tuple[int, int]] = []
 
     def near(a, b):
-        ok = np.bitwise_count(fp[a] ^ fp[b]) <= radius
-        if spans is not None:
-            # All that the sets share comes from this shingle on.
-            x, y = spans[a], spans[b]
-            ok &= 9 * np.minimum(x[:, 0] - x[:, 1], y[:, 0] - y[:, 1]) >= 4 * (x[:, 0] + y[:, 0])
-        if judges is not None:
-            a, b = a[ok], b[ok]
-            ok = np.bitwise_count(judges[a] ^ judges[b]).sum(1, dtype=np.int64) <= most
+        # All that the sets share comes from this shingle on.
+        x, y = spans[a], spans[b]
+        ok = 9 * np.minimum(x[:, 0] - x[:, 1], y[:, 0] - y[:, 1]) >= 4 * (x[:, 0] + y[:, 0])
+        a, b = a[ok], b[ok]
+        ok = np.bitwise_count(judges[a] ^ judges[b]).sum(1, dtype=np.int64) <= most
         found.extend(forest.join(a[ok], b[ok]))
 
     # Neighbours in Gray order first: they unite most of a dense group at once.
     a = np.flatnonzero(bucket[1:] == bucket[:-1])
     near(a, a + 1)
-    # Small buckets are one group each: compare inside it at every distance.
+    # Then groups of FANOUT against each other, but for those of one component.
     edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     size = np.diff(np.r_[edge, n])
     of = np.repeat(np.arange(len(edge)), size)
@@ -209,108 +264,125 @@ def links(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS, judges: np.n
         if len(a):
             near(a, a + step)
     for k in np.flatnonzero(size > FANOUT).tolist():
-        descend(fp, int(edge[k]), int(size[k]), radius, forest, near)
+        at, end = int(edge[k]), int(edge[k] + size[k])
+        for lo in range(at, end, FANOUT):
+            hi = min(lo + FANOUT, end)
+            roots = forest.roots()
+            cuts = np.arange(lo, end, FANOUT)
+            low, high = np.minimum.reduceat(roots[:end], cuts), np.maximum.reduceat(roots[:end], cuts)
+            cuts = cuts[(low != high) | (low != low[0]) | (low[0] != high[0])]
+            for s in range(0, len(cuts), 4096):
+                others = (cuts[s : s + 4096, None] + np.arange(FANOUT)).ravel()
+                others = others[others < end]
+                a, b = np.repeat(np.arange(lo, hi), len(others)), np.tile(others, hi - lo)
+                near(a[a < b], b[a < b])
     return [(int(order[a]), int(order[b])) for a, b in found]
 
 
-def descend(fp: np.ndarray, at: int, n: int, radius: int, forest: Forest, near) -> None:
-    """Join one bucket, sorted by Gray rank, with itself by its tree of nodes."""
-    levels = [(fp[at : at + n], np.full(n, ~np.uint64(0)))]
-    while len(levels[-1][0]) > FANOUT:
-        pattern, mask = levels[-1]
-        cuts = np.arange(0, len(pattern), FANOUT)
-        ones = np.bitwise_and.reduceat(pattern & mask, cuts)
-        zeros = np.bitwise_and.reduceat(~pattern & mask, cuts)
-        levels.append((ones, ones | zeros))
-    top = len(levels) - 1
-    m = len(levels[top][0])
-    i, j = np.triu_indices(m)
-    todo = [(top, i, j)]
-    while todo:
-        level, i, j = todo.pop()
-        pattern, mask = levels[level]
-        shared = mask[i] & mask[j]
-        ok = np.bitwise_count((pattern[i] ^ pattern[j]) & shared) <= radius
-        i, j = i[ok], j[ok]
-        if not len(i):
-            continue
-        if level == 0:
-            near(at + i[i != j], at + j[i != j])
+def cut_bits(bits: list[int], n: int) -> list[list[int]]:
+    ends = [len(bits) * k // n for k in range(n + 1)]
+    return [bits[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def leads(radius: int) -> tuple[list[list[int]], list[list[int]]]:
+    """Bits that lead: of each table, and of each table's parts for hot values, first table first."""
+    first = cut_bits(list(range(64)), radius + 1)
+    second = [a + b for a in first for b in cut_bits([k for k in range(64) if k not in a], radius + 1)]
+    return first, second
+
+
+def mask_of(bits: list[int]) -> int:
+    """As a signed number."""
+    m = sum(1 << b for b in bits)
+    return m - (1 << 64) if m >> 63 else m
+
+
+def led_by(fp: np.ndarray, bits: list[int]) -> np.ndarray:
+    """The fingerprints with these bits moved to the top, the others below."""
+    out = np.zeros_like(fp)
+    for to, b in enumerate([*bits, *(k for k in range(64) if k not in bits)]):
+        out |= (fp >> np.uint64(b) & np.uint64(1)) << np.uint64(63 - to)
+    return out
+
+
+def whole_buckets(batches, width: int):
+    """Columns of about ``CHUNK`` rows, cut between buckets only, of batches sorted by their columns 1 and 2."""
+    held: list[list[np.ndarray]] = []
+    rows, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        # Nodes whose members are all of one component need no look at each other.
-        width = FANOUT**level
-        roots = forest.roots()[at : at + n]
-        cuts = np.arange(0, n, width)
-        low, high = np.minimum.reduceat(roots, cuts), np.maximum.reduceat(roots, cuts)
-        one = (low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j])
-        i, j = i[~one], j[~one]
-        size = len(levels[level - 1][0])
-        for s in range(0, len(i), 4096):
-            pi, pj = i[s : s + 4096], j[s : s + 4096]
-            ci = (pi[:, None, None] * FANOUT + np.arange(FANOUT)[None, :, None]).repeat(FANOUT, 2).ravel()
-            cj = (pj[:, None, None] * FANOUT + np.arange(FANOUT)[None, None, :]).repeat(FANOUT, 1).ravel()
-            ok = (ci <= cj) & (ci < size) & (cj < size)
-            todo.append((level - 1, ci[ok], cj[ok]))
-
-
-def block_pairs(radius: int) -> list[int]:
-    """Masks, as signed numbers, of all pairs of ``radius + 2`` blocks."""
-    blocks = radius + 2
-    ends = [64 * k // blocks for k in range(blocks + 1)]
-    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(ends, ends[1:])]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return [signed(masks[x] | masks[y]) for x, y in combinations(range(blocks), 2)]
-
-
-def bucket_links(dealt: DataFrame, radius: int, n_judges: int = 0, most: int = 0, spans: bool = False) -> DataFrame:
-    """Links (``a``, ``b``) between nodes, of rows dealt and sorted by ``table`` and ``part``.
-
-    Columns: ``node``, ``table``, ``part``, ``fp``, the judges and, with ``spans``, these two.
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)]
+        table, part = columns[1], columns[2]
+        if rows >= CHUNK:
+            # The bucket that is open ends where the next begins, be that in a later batch.
+            other = np.flatnonzero((table != last[0]) | (part != last[1]))
+            if len(other):
+                held.append([c[: other[0]] for c in columns])
+                yield [np.concatenate(x) for x in zip(*held)]
+                held, rows = [], 0
+                columns = [c[other[0] :] for c in columns]
+        held.append(columns)
+        rows += len(columns[0])
+        last = (table[-1], part[-1])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def linked(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def bucket_links(dealt: DataFrame, n_judges: int, most: int) -> DataFrame:
+    """Proposed links (``a``, ``b``) between nodes, of rows dealt and sorted by ``table`` and ``part``.
+
+    Columns: ``node``, ``table``, ``part``, ``fp``, the judges and the two of ``spans``.
     """
-    width = 4 + n_judges + 2 * spans
 
     def run(batches):
-        held: list[list[np.ndarray]] = []
-        rows = 0
-
-        def settle(last: bool):
-            """Join whole buckets; the last bucket may go on in the next batch."""
-            nonlocal held, rows
-            node, table, part, fp, *judges = (np.concatenate([h[k] for h in held]) for k in range(width))
-            new = np.r_[True, (table[1:] != table[:-1]) | (part[1:] != part[:-1])]
-            upto = len(fp) if last else int(np.flatnonzero(new)[-1])
-            held, rows = [[x[upto:] for x in (node, table, part, fp, *judges)]], len(fp) - upto
-            start = np.flatnonzero(new[:upto])
-            size = np.diff(np.r_[start, upto])
-            bucket = np.repeat(np.arange(len(start)), size)
+        for node, table, part, fp, *more in whole_buckets(batches, 6 + n_judges):
+            start = np.flatnonzero(np.r_[True, (table[1:] != table[:-1]) | (part[1:] != part[:-1])])
+            size = np.diff(np.r_[start, len(fp)])
             # Most buckets have one row.
             live = np.repeat(size > 1, size)
-            more = [j[:upto][live] for j in judges]
-            told = np.stack(more[:n_judges], 1).view(np.uint64) if n_judges else None
-            held_at = np.stack(more[n_judges:], 1) if spans else None
-            got = links(fp[:upto][live].view(np.uint64), bucket[live], radius, told, most, held_at) if live.any() else []
-            node = node[:upto][live]
-            a = node[[x for x, _ in got]] if got else np.zeros(0, np.int64)
-            b = node[[y for _, y in got]] if got else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-        for batch in batches:
-            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)])
-            rows += batch.num_rows
-            if rows >= 200_000:
-                yield settle(False)
-        if held:
-            yield settle(True)
+            if not live.any():
+                continue
+            bucket = np.repeat(np.arange(len(start)), size)[live]
+            more = [j[live] for j in more]
+            told = np.stack(more[:n_judges], 1).view(np.uint64)
+            got = links(fp[live].view(np.uint64), bucket, told, most, np.stack(more[n_judges:], 1))
+            node = node[live]
+            yield linked(node[[x for x, _ in got]] if got else node[:0], node[[y for _, y in got]] if got else node[:0])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def candidate_edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (``a``, ``b``) between distinct fingerprints ``fp`` that span all components."""
-    parts = F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in block_pairs(radius)])
-    keyed = nodes.select("fp", F.posexplode(parts).alias("table", "part"))
-    dealt = keyed.repartition("table", "part").sortWithinPartitions("table", "part")
-    return bucket_links(dealt.select(F.col("fp").alias("node"), "table", "part", "fp"), radius)
+    first, second = leads(radius)
+    masks = [F.lit(mask_of(b)).cast("long") for b in first + second]
+    by_value = F.array(*[F.col("fp").bitwiseAND(m) for m in masks[: len(first)]])
+    keyed = nodes.select("fp", F.posexplode(by_value).alias("table", "part"))
+    hot = keyed.groupBy("table", "part").count().where(F.col("count") > SPLIT).select("table", "part", F.lit(True).alias("hot"))
+    # Rows of a hot value go to the parts of its table by their second block.
+    apart = F.array(*[F.struct((F.col("table") * (radius + 1) + len(first) + k).alias("table"), F.element_at(F.array(*masks), F.col("table") * (radius + 1) + len(first) + k + 1).alias("mask")) for k in range(radius + 1)])
+    whole = F.array(F.struct("table", F.element_at(F.array(*masks), F.col("table") + 1).alias("mask")))
+    spread = keyed.join(hot, ["table", "part"], "left").select("fp", F.explode(F.when(F.col("hot"), apart).otherwise(whole)).alias("at"))
+    dealt = spread.select("fp", "at.table", F.col("fp").bitwiseAND(F.col("at.mask")).alias("part"))
+
+    def run(batches):
+        for fp, table, _ in whole_buckets(batches, 3):
+            fp = fp.view(np.uint64)
+            for t in np.unique(table).tolist():
+                own = fp[table == t]
+                bits = (first + second)[t]
+                got = GrayIndex(led_by(own, bits), len(bits)).links(radius)
+                if got:
+                    own = own.view(np.int64)
+                    yield linked(own[[x for x, _ in got]], own[[y for _, y in got]])
+
+    sorted_by = dealt.repartition("table", "part").sortWithinPartitions("table", "part")
+    return sorted_by.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -329,11 +401,11 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         starred = large.join(down, "b").select("m", F.explode(F.array("a", "b")).alias("to"))
         after = cut(starred.where("m != to").select(F.col("m").alias("a"), F.col("to").alias("b")).distinct(), "links")
-        same = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        was = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        # Links of both rounds are distinct: all are the same if as many, and none is new.
+        done = after.count() == now.count() and after.join(now, ["a", "b"], "left_anti").isEmpty()
         discard(now)
         now = after
-        if same == was:
+        if done:
             break
     roots = now.select(F.col("a").alias("node")).distinct()
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
@@ -528,7 +600,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     keyed = posted.join(nodes.select("node", *judges), "node")
     dealt = keyed.repartition("token").sortWithinPartitions("token")
     dealt = dealt.select("node", F.lit(0).cast("long").alias("table"), F.col("token").alias("part"), F.col("j0").alias("fp"), *judges, "n", "place")
-    near = components(bucket_links(dealt, 64, JUDGES, most, spans=True)).withColumnRenamed("component", "near")
+    near = components(bucket_links(dealt, JUDGES, most)).withColumnRenamed("component", "near")
     # One row of each text in question says its set; equal rows meet in the task.
     wanted = cut(nodes.select("node", "spot").join(near, "node"), "wanted")
 

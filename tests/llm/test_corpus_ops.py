@@ -117,26 +117,95 @@ def brute_components(prints):
     return [find(i) for i in range(n)]
 
 
-def test_links_equal_brute_force():
+def random_prints(rng, trial):
+    x = rng.integers(0, 2**63, 8, dtype=np.uint64)[rng.integers(0, 8, int(rng.integers(2, 500)))]
+    for _ in range(int(rng.integers(0, 6))):
+        x = x ^ (np.uint64(1) << rng.integers(0, 64 if trial % 2 else 16, len(x), dtype=np.uint64)) * rng.integers(0, 2, len(x), dtype=np.uint64)
+    return np.unique(x)
+
+
+def united(n, pairs):
+    up = list(range(n))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_gray_index_equals_brute_force():
+    """Over all fingerprints in one tree, and by leading bits, as tables have them."""
     rng = np.random.default_rng(0)
+    first, second = simhash.leads(3)
+    assert len(first) == 4 and len(second) == 16 and all(sorted(sum(first, [])) == list(range(64)) for _ in "a")
     for trial in range(40):
-        x = rng.integers(0, 2**63, 8, dtype=np.uint64)[rng.integers(0, 8, int(rng.integers(2, 500)))]
-        for _ in range(int(rng.integers(0, 6))):
-            x = x ^ (np.uint64(1) << rng.integers(0, 64 if trial % 2 else 16, len(x), dtype=np.uint64)) * rng.integers(0, 2, len(x), dtype=np.uint64)
-        x = np.unique(x)
-        found = simhash.links(x, np.zeros(len(x), int))
-        assert all(bin(int(x[i] ^ x[j])).count("1") <= 3 for i, j in found)
-        up = list(range(len(x)))
-
-        def find(i):
-            while up[i] != i:
-                i = up[i]
-            return i
-
-        for i, j in found:
-            a, b = find(i), find(j)
-            up[max(a, b)] = min(a, b)
-        assert [find(i) for i in range(len(x))] == brute_components([int(v) for v in x])
+        x = random_prints(rng, trial)
+        want = brute_components([int(v) for v in x])
+        assert united(len(x), simhash.GrayIndex(x).links(3)) == want
+        for tables in (first, [b for b in second if b[:16] == first[0]] + first[1:]):
+            pairs = []
+            for bits in tables:
+                found = simhash.GrayIndex(simhash.led_by(x, bits), len(bits)).links(3)
+                assert all(all(int(x[i] ^ x[j]) >> b & 1 == 0 for b in bits) and bin(int(x[i] ^ x[j])).count("1") <= 3 for i, j in found)
+                pairs += found
+            if tables is first:
+                assert united(len(x), pairs) == want
+
+
+def test_gray_index_prunes():
+    """Whole groups fall by accumulated differences, and one component is not compared pair by pair."""
+    rng = np.random.default_rng(1)
+    looked = 0
+
+    class Counting(simhash.Forest):
+        def join(self, a, b):
+            nonlocal looked
+            looked += len(a)
+            return super().join(a, b)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(simhash, "Forest", Counting)
+        far = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
+        assert not simhash.GrayIndex(simhash.led_by(far, list(range(16))), 16).links(3) and looked == 0
+        # A dense group: every pair is a link, and a small part of them is looked at.
+        dense = np.unique(rng.integers(0, 8, 60_000, dtype=np.uint64) | far[0] & ~np.uint64(7) | rng.integers(0, 2, 60_000, dtype=np.uint64) << np.uint64(40))
+        dense = np.unique(np.concatenate([dense ^ np.uint64(1 << k) for k in range(16)]))
+        assert len(set(united(len(dense), simhash.GrayIndex(dense).links(3)))) == 1
+        assert looked < len(dense) ** 2 / 4
+
+
+def test_hot_blocks_are_split(spark, monkeypatch):
+    """Values of a block that many fingerprints have are dealt by a second block, with the same links."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64) & ~np.uint64(0xFFFF)
+    x = np.unique(np.concatenate([base, base[:150] ^ np.uint64(1 << 50), base[:100] ^ np.uint64(7 << 30), base[:60] ^ np.uint64(0b1001 << 20)]))
+    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long").repartition(3)
+    at = {int(v): k for k, v in enumerate(x.view(np.int64))}
+    want = brute_components([int(v) for v in x])
+    for most, chunk in ((1 << 16, 200_000), (20, 200_000), (20, 50)):
+        monkeypatch.setattr(simhash, "SPLIT", most)
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        pairs = [(at[r.a], at[r.b]) for r in simhash.candidate_edges(df).collect()]
+        assert united(len(x), pairs) == want
+
+
+def test_whole_buckets():
+    import pyarrow as pa
+
+    table, part = [0] * 50 + [1] * 70, sorted(random.Random(1).choices(range(6), k=50)) + sorted(random.Random(2).choices(range(3), k=70))
+    columns = [np.arange(120), np.array(table), np.array(part)]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(simhash, "CHUNK", 20)
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + 7]) for c in columns], ["x", "t", "p"]) for k in range(0, 120, 7)]
+        got = list(simhash.whole_buckets(batches, 3))
+    assert np.concatenate([g[0] for g in got]).tolist() == list(range(120)) and len(got) > 3
+    ends = [{(t, p) for t, p in zip(g[1].tolist(), g[2].tolist())} for g in got]
+    assert not any(a & b for a, b in zip(ends, ends[1:]))
 
 
 def test_gray_rank():
