@@ -63,7 +63,7 @@ RADIUS = 3
 SEED = 42
 FANOUT = 8
 #: A block's value that more fingerprints have is split by a second block.
-SPLIT = 1 << 16
+SPLIT = 1 << 14
 #: Rows that a task gathers, in whole buckets, for one index.
 CHUNK = 200_000
 JUDGES = 4
