@@ -14,8 +14,12 @@ has a score: the kind's prior, more by ``CONTEXT_GAIN`` if one of the kind's
 context words stands within ``CONTEXT_CHARS`` characters before it.  An added
 span counts from a score of ``THRESHOLD`` on; base spans always count.
 
-Places are code points, the end exclusive.  Defined cases: a null or empty text
-has no spans; equal rows give equal results; other columns are ignored; an
+Places are code points, the end exclusive.  Running sums over the parts of a
+text are made in blocks of ``BLOCK``, and texts are sliced from pieces of
+``PIECE`` characters, so that a text with very many matches costs in proportion.
+
+Defined cases: a null or empty text has no spans, and a null text stays null
+when redacted; equal rows give equal results; other columns are ignored; an
 empty table gives no rows.  One row's work is bounded by its text; there is no
 shuffle.
 """
@@ -31,6 +35,8 @@ MARK = "\u0001"
 CONTEXT_CHARS = 40
 CONTEXT_GAIN = 0.4
 THRESHOLD = 0.7
+BLOCK = 256
+PIECE = 1000
 
 
 @dataclass(frozen=True)
@@ -93,31 +99,48 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, though lambdas use it often."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def blocks(items: Column) -> Column:
+    """An array in slices of ``BLOCK``."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
+
+
+def running(numbers: Column) -> Column:
+    """Of an array of numbers (one at least) the sums up to each."""
+    sums = lambda xs: F.aggregate(xs, F.array().cast("array<int>"), lambda a, x: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x))
+    inside = lambda xs: F.transform(blocks(xs), sums)
+
+    def shifted(parts: Column) -> Column:
+        ends = sums(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return let(ends, lambda e: F.flatten(F.transform(parts, lambda p, k: F.transform(p, lambda x: x + F.when(k == 0, 0).otherwise(F.get(e, k - 1))))))
+
+    return let(numbers, lambda xs: let(inside(xs), shifted))
+
+
 def proposed(kind: Kind, text: Column) -> Column:
     """Array of (start, end, match, before) of all matches of a kind."""
     # The mark stands for no character of any pattern, so another such character may take its place.
     clean = F.replace(text, F.lit(MARK), F.lit("\u0002"))
     parts = F.split(F.regexp_replace(clean, kind.pattern, MARK + "$0" + MARK), MARK, -1)
-    kinds = "struct<at:int,turn:boolean,before:string,found:array<struct<start:int,end:int,match:string,before:string>>>"
-    start = F.struct(
-        F.lit(0).alias("at"), F.lit(False).alias("turn"), F.lit("").alias("before"), F.array().alias("found")
-    ).cast(kinds)
-
-    def step(state: Column, part: Column) -> Column:
-        end = state["at"] + F.length(part)
-        one = F.struct(
-            state["at"].alias("start"), end.alias("end"), part.alias("match"), state["before"].alias("before")
+
+    def spans(parts: Column, ends: Column) -> Column:
+        # Every second part is a match.
+        one = lambda k: F.struct(
+            F.get(ends, 2 * k).alias("start"),
+            F.get(ends, 2 * k + 1).alias("end"),
+            F.get(parts, 2 * k + 1).alias("match"),
+            F.lower(F.right(F.get(parts, 2 * k), F.lit(CONTEXT_CHARS))).alias("before"),
         )
-        return F.struct(
-            end.alias("at"),
-            (~state["turn"]).alias("turn"),
-            F.when(state["turn"], F.lit("")).otherwise(F.lower(F.right(part, F.lit(CONTEXT_CHARS)))).alias("before"),
-            F.when(state["turn"], F.array_append(state["found"], one)).otherwise(state["found"]).alias("found"),
-        ).cast(kinds)
+        every = F.transform(F.sequence(F.lit(0), (F.size(parts) / 2).cast("int") - 1), one)
+        return F.filter(every, lambda m: confirmed(kind.name, m["match"]))
 
-    every = F.aggregate(parts, start, step)["found"]
-    kept = F.filter(every, lambda m: confirmed(kind.name, m["match"]))
-    return F.when(text.rlike(kind.needs), kept).otherwise(F.array().cast("array<struct<start:int,end:int,match:string,before:string>>"))
+    none = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
+    told = lambda ps: F.when(F.size(ps) > 1, let(running(F.transform(ps, F.length)), lambda ends: spans(ps, ends))).otherwise(none)
+    return F.when(text.rlike(kind.needs), let(parts, told)).otherwise(none)
 
 
 def scored(kind: Kind, rank: int):
@@ -142,10 +165,10 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds=KI
 
     Order: by start, then by the order of kinds.
     """
-    given = df.select(F.col(id_col), *keep, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
+    given = df.select(F.col(id_col), *keep, text_col)
     each = []
     for rank, kind in enumerate(kinds):
-        spans = F.transform(proposed(kind, F.col(text_col)), scored(kind, rank))
+        spans = F.transform(proposed(kind, F.coalesce(F.col(text_col), F.lit(""))), scored(kind, rank))
         each.append(spans if kind.base else F.filter(spans, lambda s: s["score"] >= THRESHOLD))
     return given.withColumn("found", F.array_sort(F.concat(*each)))
 
@@ -158,18 +181,35 @@ def written(spans: Column) -> Column:
 
 def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
     """Replace every span of :func:`find` by its kind in brackets; of overlapping spans, the first."""
-    state = "struct<at:int,out:string>"
+    text = F.col(text_col)
+    gaps = "array<struct<from:int,to:int,kind:string>>"
 
     def step(a: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text_col), a["at"] + 1, s["start"] - a["at"])
-        new = F.struct(s["end"].alias("at"), F.concat(a["out"], gap, F.lit("["), s["kind"], F.lit("]")).alias("out"))
-        more = F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
-        return F.when(s["start"] >= a["at"], new.cast(state)).otherwise(more.cast(state))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(state)
-    done = F.aggregate("found", start, step)
-    rest = F.concat(done["out"], F.substring(F.col(text_col), done["at"] + 1, F.length(text_col)))
-    return found.withColumn(text_col, F.when(F.size("found") > 0, rest).otherwise(F.col(text_col)))
+        gap = F.struct(a["at"].alias("from"), s["start"].alias("to"), s["kind"].alias("kind"))
+        new = F.when(s["start"] >= a["at"], F.array_append(a["gaps"], gap)).otherwise(a["gaps"])
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), new.alias("gaps"))
+
+    def block(a: Column, spans: Column) -> Column:
+        own = F.aggregate(spans, F.struct(a["at"].alias("at"), F.array().cast(gaps).alias("gaps")), step)
+        return let(own, lambda x: F.struct(x["at"].alias("at"), F.array_append(a["gaps"], x["gaps"]).alias("gaps")))
+
+    def cut(pieces: Column, a: Column, b: Column) -> Column:
+        """Characters from ``a`` to ``b``."""
+        first, last = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+        head = F.substring(F.get(pieces, first), a % PIECE + 1, F.when(first == last, b - a).otherwise(PIECE))
+        middle = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        tail = F.when(first < last, F.substring(F.get(pieces, last), F.lit(1), (b - 1) % PIECE + 1)).otherwise("")
+        return F.when(a < b, F.concat(head, middle, tail)).otherwise("")
+
+    def joined(pieces: Column, done: Column) -> Column:
+        shown = F.transform(F.flatten(done["gaps"]), lambda g: F.concat(cut(pieces, g["from"], g["to"]), F.lit("["), g["kind"], F.lit("]")))
+        return F.concat(F.array_join(shown, ""), cut(pieces, done["at"], F.length(text)))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{gaps}>").alias("gaps"))
+    done = F.aggregate(blocks(F.col("found")), start, block)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    out = let(pieces, lambda p: let(done, lambda d: joined(p, d)))
+    return found.withColumn(text_col, F.when(F.size("found") > 0, out).otherwise(text))
 
 
 def counts(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
