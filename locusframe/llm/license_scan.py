@@ -2,30 +2,40 @@
 
 Only DataFrame functions.
 
-1. *Statistics*: every template is a document of the TF-IDF model; terms are
-   lower-case words and numbers, ``idf = ln((1 + n) / (1 + df)) + 1``, and a
-   term that no template has weighs ``ln(1 + n) + 1``.
-2. *Scan*: a file is cut into lines (a header's unit), and each line is compared
-   with every template by cosine of its sparse term weights; a file whose name
-   says it is a licence file is also compared as a whole.  Lines are first held
+1. *Statistics*: every form of a licence's template (title, notice, header,
+   grant, whole text, tag) is a document of the TF-IDF model; terms are
+   lower-case words and numbers, ``idf = ln((1 + n) / (1 + df)) + 1``, a
+   term that no form has weighs ``ln(1 + n) + 1``, and function words nothing.
+   Tags, and forms of few terms or of many, are told from ``STRICT`` on.
+2. *Scan*: a file is cut into lines and into paragraphs (what stands between
+   lines without a term, so that a wrapped header is one), and each of these and
+   the whole text is compared with every form by cosine of its sparse term
+   weights.  A file is a licence file if its name says so, or if its whole text
+   is a licence's (from ``STRICT`` on), whatever its length.  Units are first held
    against a few trigger words.  These are chosen from the model such that a
-   line without any of them has a cosine below the threshold to every template:
-   for each template the terms that are not triggers carry less than the
+   unit without any of them has a cosine below the threshold to every form:
+   for each form the terms that are not triggers carry less than the
    threshold of its norm.  So the filter loses nothing.
 3. *Inheritance*: what licence files say of their directory is aggregated to one
    row a directory; every directory that holds files is joined to it by each of
    its ancestors' paths, the nearest one that has a licence wins, and files
    without a finding of their own take it by a join on their directory.
 
+A unit of two different terms or more says the licence of its best form.  Of a file's units those that name a
+version go before those that name a family of licences only (``FAMILIES``), and
+then the best score.
+
 Templates are a fixed, small table.  The whole text is scanned.  Defined cases:
 a null or empty text has no finding of its own; a null path is the root's file
-with an empty name; ties of cosine go to the first template by name; of several
-licence files in a directory the highest score wins, then the first name;
+with an empty name; ties of cosine go to the first licence by name; of several
+licence files in a directory a version goes before a family, then the highest
+score wins, then the first name;
 repeated rows are kept; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -37,21 +47,150 @@ from pyspark.sql import functions as F
 from locusframe.llm.common import cut
 
 THRESHOLD = 0.6
-#: Short notices by which files declare a licence.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "BSD-style license, see the LICENSE file.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC0-1.0": "All copyright waived under Creative Commons CC0 1.0 Universal.",
-    "GPL-2.0": "Licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This program is free software under the terms of the GNU General Public License, version 3.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software: ISC License.",
-    "LGPL-2.1": "Licensed under the GNU Lesser General Public License, version 2.1.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Proprietary": "Copyright. All rights reserved. Unauthorized copying of this file is prohibited.",
+STRICT = 0.83
+#: Forms of so many terms, those for a sentence, are told from the threshold on.
+SENTENCE = range(5, 13)
+TAG = "SPDX-License-Identifier: "
+#: Words that weigh nothing.
+PLAIN = frozenset("a all an and any are as at be but by can do for from has if in is it its may no nor not of on one only or see shall so such that the this to under was with you your".split())
+#: Words that are common in prose come last as triggers.
+COMMON = frozenset("action associated case code copy event file following form free including language law library list loss means name names other out particular person persons program public published purpose source special use used way whether without work works writing".split())
+#: Names of licences that come in versions, which these do not tell.
+FAMILIES = ("AGPL", "Apache", "GPL", "LGPL", "MPL")
+
+
+# The words of licences, as their authors publish them.
+
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions:"""
+MIT_CONDITION = """The above copyright notice and this permission notice shall be included in all copies or substantial portions
+of the Software."""
+MIT_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD_GRANT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:"""
+BSD_CONDITIONS = """Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_NAME = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF
+THE POSSIBILITY OF SUCH DAMAGE."""
+ISC_GRANT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies."""
+ISC_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
+ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION
+OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+SOFTWARE."""
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"""
+APACHE_WARRANTY = """Unless required by applicable law or agreed to in writing, software distributed under the License is
+distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for
+the specific language governing permissions and limitations under the License."""
+MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means."""
+GNU_HEADER = """This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as
+published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version."""
+#: Of each licence of the family: its name, its version, its work, and the month of its title.
+GNU = {
+    "GPL-2.0": ("General Public License", "2", "program", "June 1991"),
+    "GPL-3.0": ("General Public License", "3", "program", "29 June 2007"),
+    "LGPL-2.1": ("Lesser General Public License", "2.1", "library", "February 1999"),
+    "LGPL-3.0": ("Lesser General Public License", "3", "library", "29 June 2007"),
+    "AGPL-3.0": ("Affero General Public License", "3", "program", "19 November 2007"),
 }
+CREATIVE_COMMONS = {
+    "CC-BY-4.0": "Attribution",
+    "CC-BY-SA-4.0": "Attribution-ShareAlike",
+    "CC-BY-ND-4.0": "Attribution-NoDerivatives",
+    "CC-BY-NC-4.0": "Attribution-NonCommercial",
+    "CC-BY-NC-SA-4.0": "Attribution-NonCommercial-ShareAlike",
+    "CC-BY-NC-ND-4.0": "Attribution-NonCommercial-NoDerivatives",
+}
+
+
+def templates() -> dict[str, tuple[str, ...]]:
+    """Of each licence its forms: titles, notices, headers, grants, whole texts, and the tag of its name."""
+    made = {
+        "Apache-2.0": (
+            "Licensed under the Apache License, Version 2.0.",
+            "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+            APACHE_HEADER,
+            APACHE_WARRANTY,
+            f"{APACHE_HEADER} {APACHE_WARRANTY}",
+        ),
+        "BSD-2-Clause": ("BSD 2-Clause License", f"{BSD_GRANT} {BSD_CONDITIONS} {BSD_WARRANTY}"),
+        "BSD-3-Clause": (
+            "BSD-style license, see the LICENSE file.",
+            "BSD 3-Clause License",
+            BSD_NAME,
+            f"{BSD_GRANT} {BSD_CONDITIONS} {BSD_NAME} {BSD_WARRANTY}",
+        ),
+        "CC0-1.0": ("All copyright waived under Creative Commons CC0 1.0 Universal.", "Creative Commons Legal Code CC0 1.0 Universal"),
+        "ISC": (
+            "Permission to use, copy, modify, and/or distribute this software: ISC License.",
+            "Licensed under the ISC License.",
+            ISC_GRANT,
+            ISC_WARRANTY,
+            f"{ISC_GRANT} {ISC_WARRANTY}",
+        ),
+        "MIT": (
+            "Released under the MIT License.",
+            "Licensed under the MIT License.",
+            "This project is licensed under the terms of the MIT License.",
+            MIT_GRANT,
+            MIT_CONDITION,
+            MIT_WARRANTY,
+            f"{MIT_GRANT} {MIT_CONDITION} {MIT_WARRANTY}",
+        ),
+        "MPL-2.0": (
+            "This file is subject to the terms of the Mozilla Public License, v. 2.0.",
+            "Mozilla Public License Version 2.0",
+            MPL_HEADER,
+        ),
+        "Unlicense": (UNLICENSE,),
+    }
+    for name, (full, version, work, month) in GNU.items():
+        made[name] = (
+            f"GNU {full} Version {version}, {month}",
+            f"Licensed under the GNU {full}, version {version}.",
+            f"This {work} is free software under the terms of the GNU {full}, version {version}.",
+            GNU_HEADER.format(work=work, name=full, v=version),
+        )
+    for name, kind in CREATIVE_COMMONS.items():
+        made[name] = (
+            f"This work is licensed under a Creative Commons {kind} 4.0 International License.",
+            f"Creative Commons {kind} 4.0 International Public License",
+            f"This work is licensed under CC {name[3:-4]} 4.0.",
+        )
+    tagged = {k: (*v, *(f"{TAG}{t}" for t in (k, f"{k}-only", f"{k}-or-later")[: 3 if k in GNU else 1])) for k, v in made.items()}
+    return tagged | {
+        "AGPL": ("GNU Affero General Public License",),
+        "Apache": ("The Apache Software License.", "Licensed under the Apache License."),
+        "GPL": ("GNU General Public License",),
+        "LGPL": ("GNU Lesser General Public License",),
+        "MPL": ("Mozilla Public License",),
+        "Proprietary": ("Copyright. All rights reserved. Unauthorized copying of this file is prohibited.",),
+    }
+
+
+TEMPLATES = templates()
 TERM = "[a-z0-9]+(?:\\.[0-9]+)*"
+#: What stands between paragraphs: a line without a term.
+GAP = "\n[^a-z0-9\n]*\n[^a-z0-9]*"
 LICENSE_FILE = "(?i)^(?:licen[cs]e|copying|notice|unlicense)(?:\\..*)?$"
 
 
@@ -59,53 +198,59 @@ LICENSE_FILE = "(?i)^(?:licen[cs]e|copying|notice|unlicense)(?:\\..*)?$"
 class Model:
     idf: dict[str, float]
     unseen: float
-    #: Of each template, term weights of norm 1.
-    vectors: dict[str, dict[str, float]]
+    #: Of each form (licence, number), term weights of norm 1.
+    vectors: dict[tuple[str, int], dict[str, float]]
+    #: Of each form the cosine from which on it counts.
+    limits: dict[tuple[str, int], float]
     triggers: tuple[str, ...]
 
 
-def model(templates: dict[str, str], threshold: float) -> Model:
-    counts = {k: Counter(re.findall(TERM, v.lower())) for k, v in sorted(templates.items())}
-    n = len(counts)
-    df = Counter(t for c in counts.values() for t in c)
-    idf = {t: math.log((1 + n) / (1 + x)) + 1 for t, x in df.items()}
+def model(templates: dict[str, tuple[str, ...]], threshold: float) -> Model:
+    forms = {(k, i): Counter(re.findall(TERM, text.lower())) for k, v in sorted(templates.items()) for i, text in enumerate(v)}
+    n = len(forms)
+    df = Counter(t for c in forms.values() for t in c)
+    idf = {t: 0.0 if t in PLAIN else math.log((1 + n) / (1 + x)) + 1 for t, x in sorted(df.items())}
     vectors = {}
-    for k, c in counts.items():
+    for k, c in forms.items():
         norm = math.sqrt(sum((x * idf[t]) ** 2 for t, x in c.items()))
-        vectors[k] = {t: x * idf[t] / norm for t, x in c.items()}
-    # Take the term that lowers the open templates' rest the most; words that prose has, and short ones, last.
+        vectors[k] = {t: x * idf[t] / norm for t, x in sorted(c.items()) if idf[t]}
+    loose = {k for k, v in vectors.items() if len(v) in SENTENCE and not templates[k[0]][k[1]].startswith(TAG)}
+    limits = {k: threshold if k in loose else max(threshold, STRICT) for k in vectors}
+    # Take the term that lowers the open forms' rest the most; words that prose has, and short ones, last.
     triggers: list[str] = []
-    plain = {"the", "of", "a", "to", "and", "or", "in", "this", "is", "by", "that", "be", "for", "can", "has", "all", "under", "see"}
     rest = {k: 1.0 for k in vectors}
-    while open_ := {k for k, x in rest.items() if math.sqrt(max(x, 0.0)) >= threshold}:
+    while open_ := {k for k, x in rest.items() if math.sqrt(max(x, 0.0)) >= limits[k]}:
         gain = Counter()
         for k in open_:
             for t, w in vectors[k].items():
                 if t not in triggers:
-                    gain[t] += w * w * (1e-6 if t in plain else 1.0 if len(t) > 4 else 0.1 if t.isalpha() and len(t) > 2 else 1e-3)
+                    gain[t] += w * w * (1e-3 if t in COMMON else 1.0 if len(t) > 4 else 0.1 if len(t) > 2 else 1e-6)
         best = max(sorted(gain), key=gain.__getitem__)
         triggers.append(best)
         for k in rest:
             rest[k] -= vectors[k].get(best, 0.0) ** 2
-    return Model(idf, math.log(1 + n) + 1, vectors, tuple(triggers))
+    return Model(idf, math.log(1 + n) + 1, vectors, limits, tuple(triggers))
 
 
-def cosines(terms: Column, m: Model) -> Column:
-    """Array of (score, name) to each template, of an array of terms; repeats count.
+def best_form(terms: Column, m: Model) -> Column:
+    """(negated score, whether a family, licence) of the best form of an array of terms, or null; repeats count.
 
     One pass over the sorted terms, run by run, adds up the norm and all dot products.
     """
-    names = list(m.vectors)
-    # Of each term its weight, then its shares of the templates.
-    shares = lambda t: [m.idf[t], *[m.idf[t] * m.vectors[k].get(t, 0.0) for k in names]]
-    table = F.create_map(*[x for t in m.idf for x in (F.lit(t), F.array(*map(F.lit, shares(t))))])
+    forms = list(m.vectors)
+    # By first letter, of each term its weight and then its shares of the forms; a constant of the plan.
+    letters: dict[str, dict[str, list[float]]] = {}
+    for t, x in m.idf.items():
+        letters.setdefault(t[0], {})[t] = [x, *[x * m.vectors[k].get(t, 0.0) for k in forms]]
+    table = F.from_json(F.lit(json.dumps(letters)), "map<string,map<string,array<double>>>")
+    named = F.array(*[F.struct(F.lit(k[0] in FAMILIES).alias("family"), F.lit(k[0]).alias("license"), F.lit(m.limits[k]).alias("limit")) for k in forms])
     state = "struct<term:string,n:double,square:double,dots:array<double>>"
 
     def closed(a: Column) -> tuple[Column, Column]:
         """Square and dot products with the run that has come to its end."""
-        row = F.try_element_at(table, a["term"])
+        row = F.try_element_at(F.try_element_at(table, F.left(a["term"], F.lit(1))), a["term"])
         weight = a["n"] * F.coalesce(F.get(row, 0), F.lit(m.unseen))
-        more = F.zip_with(a["dots"], F.slice(row, 2, len(names)), lambda x, y: x + a["n"] * y)
+        more = F.zip_with(a["dots"], F.slice(row, 2, len(forms)), lambda x, y: x + a["n"] * y)
         return a["square"] + weight * weight, F.when(row.isNull(), a["dots"]).otherwise(more)
 
     def step(a: Column, t: Column) -> Column:
@@ -117,21 +262,16 @@ def cosines(terms: Column, m: Model) -> Column:
     def finish(a: Column) -> Column:
         square, dots = closed(a)
         made = F.struct(square.alias("square"), dots.alias("dots"))
-        named = lambda s: F.zip_with(s["dots"], F.array(*map(F.lit, names)), lambda d, k: F.struct((d / F.sqrt(s["square"])).alias("score"), k.alias("license")))
-        return F.when(square > 0, F.get(F.transform(F.array(made), named), 0))
+        scored = lambda s: F.zip_with(s["dots"], named, lambda d, k: F.struct((-d / F.sqrt(s["square"])).alias("s"), k["family"].alias("family"), k["license"].alias("license"), k["limit"].alias("limit")))
+        every = F.get(F.transform(F.array(made), scored), 0)
+        return F.when(square > 0, F.array_min(F.filter(every, lambda x: -x["s"] >= x["limit"])))
 
     start = F.struct(
-        F.lit("").alias("term"), F.lit(0.0).alias("n"), F.lit(0.0).alias("square"), F.array_repeat(F.lit(0.0), len(names)).alias("dots")
+        F.lit("").alias("term"), F.lit(0.0).alias("n"), F.lit(0.0).alias("square"), F.array_repeat(F.lit(0.0), len(forms)).alias("dots")
     ).cast(state)
     return F.aggregate(F.array_sort(terms), start, step, finish)
 
 
-def better(found: Column) -> Column:
-    """The highest score; of equals, the first name."""
-    ordered = F.sort_array(F.transform(found, lambda s: F.struct((-s["score"]).alias("s"), s["license"].alias("license"))))
-    return F.get(ordered, 0)
-
-
 def any_word(words: tuple[str, ...]) -> str:
     """A pattern of any of the words, branched by first letter, wherever the terms may have it as one.
 
@@ -148,7 +288,7 @@ def scan(
     path_col: str = "path",
     text_col: str = "text",
     key_cols: tuple[str, ...] = ("doc_id",),
-    templates: dict[str, str] = TEMPLATES,
+    templates: dict[str, tuple[str, ...]] = TEMPLATES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """The keys, ``path``, ``license``, ``score`` and ``origin``: header, file, the directory inherited from, or none."""
@@ -157,32 +297,25 @@ def scan(
     name = F.element_at(F.split(path, "/"), -1)
     text = F.coalesce(F.col(text_col), F.lit(""))
     trigger = any_word(m.triggers)
-    lowered = F.lower("text")
-    terms_of = lambda line: F.regexp_extract_all(line, F.lit(f"({TERM})"), F.lit(1))
+    terms_of = lambda unit: F.regexp_extract_all(unit, F.lit(f"({TERM})"), F.lit(1))
     given = files.select(
         *key_cols,
         path.alias("path"),
         F.regexp_replace(path, "/?[^/]*$", "").alias("dir"),
-        name.rlike(LICENSE_FILE).alias("is_license"),
-        text.alias("text"),
+        name.rlike(LICENSE_FILE).alias("named"),
+        F.lower(text).alias("low"),
     )
-    # Texts without a trigger skip the cut into lines; a licence file is one unit more.
-    lines = F.when(lowered.rlike(trigger), F.filter(F.split(lowered, "[\\r\\n]+"), lambda x: x.rlike(trigger)))
-    units = F.when(F.col("is_license") & lines.isNotNull(), F.concat(lines, F.array(lowered))).otherwise(lines)
-    units = F.array_distinct(units)
-    marked = given.select(*key_cols, "path", "dir", "is_license", units.alias("units"))
-    hits = F.flatten(F.transform("units", lambda u: cosines(terms_of(u), m)))
-    top = better(F.filter(hits, lambda s: s["score"] >= threshold))
-    found = marked.select(*key_cols, "path", "dir", "is_license", F.when(F.size("units") > 0, top).alias("top"))
+    # Texts without a trigger are done; of others the whole comes first, then paragraphs and lines with one.
+    parts = F.concat(F.split("low", GAP), F.split("low", "[\r\n]+"))
+    units = F.array_distinct(F.concat(F.array("low"), F.filter(parts, lambda x: x.rlike(trigger))))
+    several = lambda terms: F.size(F.array_distinct(terms)) > 1
+    hits = F.transform(F.transform(units, terms_of), lambda t: F.when(several(t), best_form(t, m)))
+    found = given.select(*key_cols, "path", "dir", "named", F.when(F.col("low").rlike(trigger), hits).alias("hits"))
+    by_version = F.transform(F.filter("hits", lambda h: h.isNotNull()), lambda h: F.struct(h["family"].alias("family"), h["s"].alias("s"), h["license"].alias("license")))
+    is_license = F.col("named") | (F.get("hits", 0)["s"] <= -STRICT)
     # Written once, without texts, as three plans start from it.
-    own = cut(found, "licenses").select(
-        *key_cols, "path", "dir", "is_license", F.col("top.license").alias("own"), (-F.col("top.s")).alias("own_score")
-    )
-    says = (
-        own.where(F.col("is_license") & F.col("own").isNotNull())
-        .groupBy(F.col("dir").alias("above"))
-        .agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own").alias("license"))).alias("said"))
-    )
+    own = cut(found, "licenses").select(*key_cols, "path", "dir", F.coalesce(is_license, F.lit(False)).alias("is_license"), F.array_min(by_version).alias("own"))
+    says = own.where(F.col("is_license") & F.col("own").isNotNull()).groupBy(F.col("dir").alias("above")).agg(F.min("own").alias("said"))
     # All ancestors of every directory in use, itself included, by depth.
     steps = F.split("dir", "/")
     above = F.transform(
@@ -201,8 +334,8 @@ def scan(
     return joined.select(
         *key_cols,
         "path",
-        F.coalesce("own", "inherited").alias("license"),
-        F.when(F.col("own").isNotNull(), F.col("own_score")).otherwise(F.col("near_score")).alias("score"),
+        F.coalesce("own.license", "inherited").alias("license"),
+        F.when(F.col("own").isNotNull(), -F.col("own.s")).otherwise(F.col("near_score")).alias("score"),
         F.when(F.col("own").isNotNull(), F.when(F.col("is_license"), "file").otherwise("header"))
         .when(F.col("inherited").isNotNull(), F.concat(F.lit("directory:"), F.col("from")))
         .otherwise("none")

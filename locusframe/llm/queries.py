@@ -23,12 +23,9 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files below source/language/hundred; short licence notices stand for licence files."""
-    text = F.coalesce("text", F.lit(""))
-    notice = (F.length(text) < 300) & F.lower(text).contains("license")
-    name = F.when(notice, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    """Documents as files below source/language/hundred; those that are a licence's text speak for their directory."""
     folder = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 100))
-    files = documents(spark, sf_dir).select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text")
+    files = documents(spark, sf_dir).select("doc_id", F.concat_ws("/", folder, F.concat(F.col("doc_id"), F.lit(".txt"))).alias("path"), "text")
     found = license_scan.scan(files)
     return found.withColumn("score", F.round("score", 6))
 
@@ -85,38 +82,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 def license_sql() -> str:
-    """The licence scan over all lines, without the trigger filter."""
+    """The licence scan over all lines, paragraphs and texts, without the trigger filter."""
     m = license_scan.model(license_scan.TEMPLATES, license_scan.THRESHOLD)
     idf = ", ".join(f"('{t}', {x!r}::double)" for t, x in sorted(m.idf.items()))
-    weights = ", ".join(f"('{k}', '{t}', {w!r}::double)" for k, v in m.vectors.items() for t, w in sorted(v.items()))
+    weights = ", ".join(
+        f"('{k}', {i}, {k in license_scan.FAMILIES}, {m.limits[k, i]!r}::double, '{t}', {w!r}::double)" for (k, i), v in m.vectors.items() for t, w in sorted(v.items())
+    )
     return f"""
-        with idf(term, idf) as (values {idf}), weights(license, term, w) as (values {weights}),
-        given as (
-            select doc_id, lower(coalesce(text, '')) as low, length(coalesce(text, '')) < 300 and lower(coalesce(text, '')) like '%license%' as is_license,
-                   coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || (doc_id // 100) as dir
+        with idf(term, idf) as (values {idf}), weights(license, form, family, least, term, w) as (values {weights}),
+        files as (
+            select doc_id, lower(coalesce(text, '')) as low, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || (doc_id // 100) as dir,
+                   dir || '/' || doc_id || '.txt' as path
             from documents
-        ), files as (
-            select *, dir || '/' || case when is_license then 'LICENSE.' || doc_id else doc_id || '.txt' end as path from given
         ), units as (
-            select distinct doc_id, unit from (
-                select doc_id, unnest(regexp_split_to_array(low, '[\r\n]+')) as unit from files
-                union all select doc_id, low from files where is_license)
+            select doc_id, unit, max(whole) as whole from (
+                select doc_id, unnest(regexp_split_to_array(low, '[\r\n]+')) as unit, 0 as whole from files
+                union all select doc_id, unnest(regexp_split_to_array(low, '{license_scan.GAP}')), 0 from files
+                union all select doc_id, low, 1 from files) group by all
         ), numbered as (
-            select doc_id, row_number() over () as u, unit from units
+            select doc_id, row_number() over () as u, unit, whole from units
         ), counts as (
-            select doc_id, u, term, count(*) as n from (
-                select doc_id, u, unnest(regexp_extract_all(unit, '[a-z0-9]+(?:\\.[0-9]+)*')) as term from numbered) group by all
+            select doc_id, u, whole, term, count(*) as n from (
+                select doc_id, u, whole, unnest(regexp_extract_all(unit, '[a-z0-9]+(?:\\.[0-9]+)*')) as term from numbered) group by all
         ), norms as (
-            select u, sqrt(sum((n * coalesce(idf, {m.unseen!r}::double)) ** 2)) as norm from counts left join idf using (term) group by u
+            select u, sqrt(sum((n * coalesce(idf, {m.unseen!r}::double)) ** 2)) as norm from counts left join idf using (term) group by u having count(*) > 1
         ), dots as (
-            select doc_id, u, license, sum(n * idf * w) as dot from counts join idf using (term) join weights using (term) group by all
+            select doc_id, u, whole, license, form, family, least, sum(n * idf * w) as dot from counts join idf using (term) join weights using (term) group by all
+        ), said as (
+            select doc_id, case when dot / norm >= {license_scan.STRICT} then whole else 0 end as whole, family, license, dot / norm as score, row_number() over (partition by u order by dot / norm desc, family, license) as rn
+            from dots join norms using (u) where dot / norm >= least
         ), best as (
-            select doc_id, dot / norm as score, license, row_number() over (partition by doc_id order by dot / norm desc, license) as rn
-            from dots join norms using (u) where dot / norm >= {license_scan.THRESHOLD}
+            select doc_id, family, license, score, row_number() over (partition by doc_id order by family, score desc, license) as rn,
+                   max(whole) over (partition by doc_id) as whole
+            from said where rn = 1
         ), own as (
-            select f.doc_id, f.path, f.dir, f.is_license, b.license, b.score from files f left join best b on b.doc_id = f.doc_id and b.rn = 1
+            select f.doc_id, f.path, f.dir, coalesce(b.whole = 1, false) as is_license, b.family, b.license, b.score from files f left join best b on b.doc_id = f.doc_id and b.rn = 1
         ), says as (
-            select dir, license, score, row_number() over (partition by dir order by score desc, license) as rn from own where is_license and license is not null
+            select dir, license, score, row_number() over (partition by dir order by family, score desc, license) as rn from own where is_license
         ), chains as (
             select dir, k as depth, array_to_string(list_slice(string_split(dir, '/'), 1, k), '/') as above
             from (select dir, unnest(range(len(string_split(dir, '/')) + 1)) as k from (select distinct dir from own))

@@ -349,31 +349,32 @@ def brute_license(files):
 
     def best(unit):
         c = Counter(re.findall(license_scan.TERM, unit))
-        if not c:
-            return (0.0, "")
         norm = math.sqrt(sum((x * m.idf.get(t, m.unseen)) ** 2 for t, x in c.items()))
-        top = max((sum(c[t] * m.idf[t] * w for t, w in v.items()) / norm, -i, k) for i, (k, v) in enumerate(m.vectors.items()))
-        return (top[0], top[2])
+        if not norm or len(c) < 2:
+            return None
+        scores = ((sum(c[t] * m.idf[t] * w for t, w in v.items()) / norm, k) for k, v in m.vectors.items())
+        top = sorted((-s, k[0] in license_scan.FAMILIES, k[0]) for s, k in scores if s >= m.limits[k])
+        return (top[0][1], top[0][0], top[0][2]) if top else None
 
     own, says = {}, {}
     for i, path, text in files:
         low = (text or "").lower()
         name = path.rsplit("/", 1)[-1]
-        units = [u for u in re.split("[\r\n]+", low)] + ([low] if re.match(license_scan.LICENSE_FILE, name) else [])
-        score, lic = max(map(best, units))
-        own[i] = lic if score >= license_scan.THRESHOLD else None
+        units = re.split("[\r\n]+", low) + re.split(license_scan.GAP, low) + [low]
+        found = [x for x in map(best, units) if x]
+        own[i] = min(found) if found else None
         folder = path.rsplit("/", 1)[0] if "/" in path else ""
-        if own[i] and re.match(license_scan.LICENSE_FILE, name):
-            says[folder] = max(says.get(folder, (0, "")), (score, own[i]))
+        if own[i] and (re.match(license_scan.LICENSE_FILE, name) or (best(low) or (0, 0))[1] <= -license_scan.STRICT):
+            says[folder] = min(says.get(folder, own[i]), own[i])
     out = {}
     for i, path, _ in files:
         found, folder = own[i], path.rsplit("/", 1)[0] if "/" in path else ""
         while found is None:
-            found = says.get(folder, (0, None))[1]
+            found = says.get(folder)
             if not folder:
                 break
             folder = folder.rsplit("/", 1)[0] if "/" in folder else ""
-        out[i] = found
+        out[i] = found[2] if found else None
     return out
 
 
@@ -393,10 +394,47 @@ def test_license(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def wrapped(text, mark="", width=60):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def test_licences_as_they_come(spark):
+    """Whole texts, wrapped headers, first lines and tags."""
+    T = license_scan
+    mit = f"{wrapped(T.MIT_GRANT)}\n\n{wrapped(T.MIT_CONDITION)}\n\n{wrapped(T.MIT_WARRANTY)}\n"
+    bsd2 = f"Copyright (c) 2001, A. Person\n\n{wrapped(T.BSD_GRANT)}\n\n{wrapped(T.BSD_CONDITIONS)}\n\n{wrapped(T.BSD_WARRANTY)}"
+    bsd3 = bsd2.replace(wrapped(T.BSD_WARRANTY), wrapped(T.BSD_NAME) + "\n\n" + wrapped(T.BSD_WARRANTY))
+    code = "\n\nint main() { return 0; }\n" * 30
+    gpl3 = wrapped("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", " * ", 50)
+    cases = {
+        "MIT": [mit, "The MIT License\n\nCopyright (c) 2019\n\n" + mit, "# SPDX-License-Identifier: MIT" + code, "licensed under the MIT license"],
+        "BSD-2-Clause": [bsd2],
+        "BSD-3-Clause": [bsd3, "// SPDX-License-Identifier: BSD-3-Clause" + code, "BSD 3-Clause License"],
+        "GPL": ["GNU GENERAL PUBLIC LICENSE"],
+        "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\n Everyone is permitted", "/*\n" + gpl3 + "\n */" + code, "# SPDX-License-Identifier: GPL-3.0-only" + code],
+        "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991", "/*\n" + gpl3.replace("version 3", "version 2") + "\n */" + code, "// SPDX-License-Identifier: GPL-2.0-or-later"],
+        "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999"],
+        "Apache-2.0": ["  Apache License\n  Version 2.0, January 2004\n  http://www.apache.org/licenses/\n\n TERMS AND CONDITIONS", "/*\n" + wrapped(T.APACHE_HEADER, " * ") + "\n *\n" + wrapped(T.APACHE_WARRANTY, " * ") + "\n */" + code],
+        "Apache": ["Apache License"],
+        "MPL-2.0": ["Mozilla Public License Version 2.0", wrapped(T.MPL_HEADER, "# ", 40) + code],
+        "CC-BY-SA-4.0": ["Licensed under Creative Commons Attribution-ShareAlike 4.0 International", "This work is licensed under CC BY-SA 4.0"],
+        "CC-BY-4.0": ["Creative Commons Attribution 4.0 International Public License"],
+        None: ["mit", "nd", "isc", "the license of the file is version public", "SPDX-License-Identifier: Zlib", "", None, "we went to the public library with no warranty " * 50],
+    }
+    flat = [(k, text) for k, texts in cases.items() for text in texts]
+    files = [(i, f"d{i}/x.c", text) for i, (_, text) in enumerate(flat)]
+    out = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert {i: out[i].license for i in out} == {i: k for i, (k, _) in enumerate(flat)}
+    assert out[0].origin == "file" and out[2].origin == "header"
+    assert {r: out[r].license for r in out} == brute_license(files)
+
+
 def test_license_triggers_lose_nothing():
     m = license_scan.model(license_scan.TEMPLATES, license_scan.THRESHOLD)
-    for v in m.vectors.values():
-        assert math.sqrt(sum(w * w for t, w in v.items() if t not in m.triggers)) < license_scan.THRESHOLD
+    for k, v in m.vectors.items():
+        assert math.sqrt(sum(w * w for t, w in v.items() if t not in m.triggers)) < m.limits[k]
 
 
 def test_license_triggers_beside_underscores(spark):
