@@ -12,10 +12,14 @@ counterfactual, the same text with each term swapped for the next of its group;
 a mere mention of a group moves no score.
 
 The fit uses at most ``max_per_class`` labelled rows of each class, those with
-the lowest hash of their id, and of these only rows with at most
-``max_features`` features: a documented bound on what reaches the driver.
+the lowest hash of their id: a documented bound.  Spark counts which features
+these have; the ``top`` that lean to toxic rows the most, and of every row only
+which of these it has, reach the driver.
 Scoring is one map over all rows with the few weights above zero.
 
+Identity terms are given for four languages, as groups of words of one kind and
+form; others can be passed.
+
 Defined cases: a null or empty text gets the score of no features; rows with a
 null label or id teach nothing; an id with several labels teaches with each;
 equal texts get equal scores; without a row of each class the score is the
@@ -35,16 +39,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.llm.common import cut, discard
+
 WORD = re.compile(r"\w+")
 PREFIXES = range(3, 8)
 #: Marks of one, two and three words with a feature.
 LEVELS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 THRESHOLD = 0.7
-MAX_PER_CLASS = 3000
-MAX_FEATURES = 20_000
+MAX_PER_CLASS = 5000
 KEPT_WORDS = 400_000
 #: Groups of identity terms; a swap takes the next of the group.
 IDENTITY_TERMS = (
+    # English
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
     ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
     ("black", "white", "asian", "latino", "african", "european"),
@@ -54,6 +60,30 @@ IDENTITY_TERMS = (
     ("immigrant", "citizen", "refugee"),
     ("immigrants", "citizens", "refugees"),
     ("disabled", "blind", "deaf"),
+    # German
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+    ("schwule", "lesben", "bisexuelle", "transsexuelle"),
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("einwanderer", "bürger", "flüchtlinge", "ausländer"),
+    ("behinderte", "blinde", "gehörlose"),
+    # French
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("homosexuels", "lesbiennes", "bisexuels", "transgenres"),
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("immigrés", "citoyens", "réfugiés", "étrangers"),
+    ("handicapés", "aveugles", "sourds"),
+    # Spanish
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+    ("homosexuales", "lesbianas", "bisexuales", "transexuales"),
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("inmigrantes", "ciudadanos", "refugiados", "extranjeros"),
+    ("discapacitados", "ciegos", "sordos"),
 )
 
 
@@ -91,39 +121,22 @@ class Model:
         return {w ^ mark for w in self.weights for mark in LEVELS}
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray | None]], l1: float, fairness: float, steps: int, min_df: int, top: int) -> Model:
-    """rows: label, features, features of the counterfactual or None."""
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray | None]], names: np.ndarray, l1: float, fairness: float, steps: int) -> Model:
+    """rows: label, features and features of the counterfactual or None, as places in ``names``."""
     y = np.array([r[0] for r in rows], float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model({}, float(np.log(share / (1 - share))) if 0 < share < 1 else (40.0 if share else -1000.0))
-    flat = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.int64)
+    col = np.concatenate([r[1] for r in rows])
     of_row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
-    names, at, df = np.unique(flat, return_inverse=True, return_counts=True)
-    # Keep what is seen often enough and leans to toxic rows, by log-likelihood ratio.
-    hit = np.bincount(at, weights=y[of_row], minlength=len(names))
-    p, q = (hit + 0.5) / (y.sum() + 1), (df - hit + 0.5) / (len(y) - y.sum() + 1)
-    del flat
-    gain = np.where((df >= min_df) & (p > q), hit * np.log(p / q), -1)
-    keep = np.argsort(-gain, kind="stable")[:top]
-    keep = keep[gain[keep] > 0]
-    place = np.full(len(names), -1, np.int32)
-    place[keep] = np.arange(len(keep))
-    col = place[at]
-    del at
-    of_row, col = of_row[col >= 0].astype(np.int32), col[col >= 0].astype(np.int32)
-    m = len(keep)
+    m = len(names)
     # Counterfactual differences: +1 for what only the text has, -1 for what only the swapped text has.
     pair, pair_col, sign = [], [], []
     for k, r in enumerate(x for x in rows if x[2] is not None):
         for s, part in ((1.0, np.setdiff1d(r[1], r[2])), (-1.0, np.setdiff1d(r[2], r[1]))):
-            spot = np.searchsorted(names, part)
-            spot = spot[(spot < len(names)) & (names[np.minimum(spot, len(names) - 1)] == part)]
-            c = place[spot]
-            c = c[c >= 0]
-            pair += [k] * len(c)
-            pair_col += c.tolist()
-            sign += [s] * len(c)
+            pair += [k] * len(part)
+            pair_col += part.tolist()
+            sign += [s] * len(part)
     pair, pair_col, sign = np.array(pair, int), np.array(pair_col, int), np.array(sign)
     n_pairs = int(pair.max()) + 1 if len(pair) else 0
     # Classes weigh the same.
@@ -156,7 +169,27 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray | None]], l1: float, fairne
         nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, c = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
-    return Model({int(names[keep[i]]): float(w[i]) for i in np.flatnonzero(w > 1e-3)}, float(b))
+    return Model({int(names[i]): float(w[i]) for i in np.flatnonzero(w > 1e-3)}, float(b))
+
+
+def leaning(sample: DataFrame, min_df: int, top: int) -> np.ndarray:
+    """Features seen in ``min_df`` rows at least that lean to toxic rows the most, by log-likelihood ratio; sorted."""
+
+    def count(batches):
+        for batch in batches:
+            y = batch.column(0).to_numpy()
+            own = batch.column(1)
+            names, at = np.unique(own.flatten().to_numpy(), return_inverse=True)
+            of_row = np.repeat(y, own.value_lengths().to_numpy(zero_copy_only=False))
+            found = [names, np.bincount(at, minlength=len(names)), np.bincount(at, weights=of_row, minlength=len(names)).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["f", "df", "hit"])
+
+    counts = sample.select("y", "own").mapInArrow(count, "f long, df long, hit long").groupBy("f").agg(F.sum("df").alias("df"), F.sum("hit").alias("hit"))
+    whole = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
+    p, q = (F.col("hit") + 0.5) / (whole.toxic + 1), (F.col("df") - F.col("hit") + 0.5) / (whole.n - whole.toxic + 1)
+    gain = F.col("hit") * F.log(p / q)
+    best = counts.where((F.col("df") >= min_df) & (gain > 0)).orderBy(gain.desc(), "f").limit(top).select("f")
+    return np.sort(np.array([r.f for r in best.collect()], np.int64))
 
 
 def train(
@@ -166,7 +199,6 @@ def train(
     text_col: str = "text",
     label_col: str = "toxic",
     max_per_class: int = MAX_PER_CLASS,
-    max_features: int = MAX_FEATURES,
     identity_terms=IDENTITY_TERMS,
     l1: float = 3e-4,
     fairness: float = 1.0,
@@ -192,23 +224,32 @@ def train(
             ys, own, other = [], [], []
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = set(WORD.findall(text.as_py().lower()))
-                f = features(words)
-                if len(f) > max_features:
-                    continue
                 ys.append(y)
-                own.append(sorted(f))
+                own.append(sorted(features(words)))
                 other.append(sorted(features({swap.get(w, w) for w in words})) if words & swap.keys() else None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ys, pa.int32()), pa.array(own, pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64()))],
                 ["y", "own", "other"],
             )
 
-    got = rows.mapInArrow(extract, "y int, own array<long>, other array<long>").toArrow()
-    array = lambda x: None if x is None else np.array(x, dtype=np.int64)
-    sample = [(y.as_py(), array(a.values.to_numpy()), None if not o.is_valid else array(o.values.to_numpy())) for y, a, o in zip(*[got.column(i).combine_chunks() if got.num_rows else [] for i in range(3)])]
+    sample = cut(rows.mapInArrow(extract, "y int, own array<long>, other array<long>"), "sample")
+    names = leaning(sample, min_df, top)
+
+    def kept(batches):
+        for batch in batches:
+            out = []
+            for k in (1, 2):
+                places = [None if not x.is_valid else np.flatnonzero(np.isin(names, x.values.to_numpy())).astype(np.int32) for x in batch.column(k)]
+                out.append(pa.array(places, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["y", "own", "other"])
+
+    got = sample.mapInArrow(kept, "y int, own array<int>, other array<int>").toArrow()
+    discard(sample)
+    array = lambda x: np.array(x.values.to_numpy(), np.int64) if x.is_valid else None
+    fitted = [(y.as_py(), array(a), array(o)) for y, a, o in zip(*[got.column(i) for i in range(3)])]
     # Tasks end in any order; a fixed order keeps the fit repeatable.
-    sample.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
-    return fit(sample, l1, fairness, steps, min_df, top)
+    fitted.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
+    return fit(fitted, names, l1, fairness, steps)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -192,6 +192,49 @@ def test_toxicity(spark, model):
     assert sum(unfair.weights.get(f, 0) for f in mention) > 5 * sum(fair.weights.get(f, 0) for f in mention)
 
 
+NEUTRAL = {
+    "en": ("muslims", "jews", "gay", "immigrants", "women", "black"),
+    "de": ("muslime", "juden", "schwule", "ausländer", "frauen", "schwarze"),
+    "fr": ("musulmans", "juifs", "lesbiennes", "immigrés", "femmes", "noirs"),
+    "es": ("musulmanes", "judíos", "lesbianas", "inmigrantes", "mujeres", "negros"),
+}
+
+
+def test_counterfactuals_lower_false_positives(spark):
+    """Neutral mentions of groups that toxic rows name often: how many are taken for toxic, with and without the penalty."""
+    r = random.Random(11)
+    plain = ["".join(r.choices("abcdefghijklm", k=r.randint(3, 8))) for _ in range(400)]
+    rows, rates = [], {}
+    for i in range(1600):
+        terms = NEUTRAL[("en", "de", "fr", "es")[i % 4]]
+        toxic = i % 3 == 0
+        words = r.choices(plain, k=r.randint(4, 25))
+        if toxic and r.random() < 0.7:
+            words.append(r.choice(["vilex", "horridon", "scummo"]))
+        if r.random() < (0.8 if toxic else 0.02):
+            words.append(r.choice(terms))
+        rows.append((i, " ".join(words), int(toxic)))
+    df = docs(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    neutral = docs(spark, [(k, " ".join(r.choices(plain, k=12)) + " " + t) for k, t in enumerate(t for ts in NEUTRAL.values() for t in ts * 5)])
+    insults = docs(spark, [(k, " ".join(r.choices(plain, k=12)) + " " + t) for k, t in enumerate(["vilex", "horridon", "scummo"] * 10)])
+    for fairness in (0.0, 30.0):
+        made = toxicity.train(df, labels, fairness=fairness)
+        hit = lambda x: sum(s.score >= 0.5 for s in toxicity.score(x, made).collect()) / x.count()  # noqa: B023, E731
+        rates[fairness] = (hit(neutral), hit(insults))
+    assert rates[0.0][0] > 0.9 and rates[30.0][0] < 0.1, rates
+    assert rates[30.0][1] == 1.0, rates
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = labelled(300)
+    df = docs(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    few = toxicity.train(df, labels, max_per_class=40)
+    again = toxicity.train(df.repartition(5), labels.repartition(3), max_per_class=40)
+    assert few.weights == again.weights and few.bias == again.bias and few.weights
+
+
 def test_toxicity_odd_rows(spark, model):
     _, _, fair, _ = model
     out = toxicity.score(docs(spark, ODD), fair)
