@@ -461,7 +461,8 @@ def removed(given: DataFrame, length: int, first: bool, words: bool = False) ->
     wanted = kinds.join(several, "a", "left").where("n > 1 or nv > 1").withColumn("nv", F.coalesce("nv", F.lit(1)))
     told = named.join(wanted, ["a", "s"]).select("row", "ord", "a", "s", "lo", "w", "n", "nv", (at == F.col("least")).alias("own"))
     matched = cut(told, "matched")
-    again = occurrences.where("c = 0").select("row", "ord", "lo", "w")
+    again = cut(occurrences.where("c = 0").select("row", "ord", "lo", "w"), "again")
+    release(occurrences)
     copies = matched.where("not own" if first else "n > 1").select("row", "ord", "lo", "w").unionByName(again)
     fetched = cut(fetch(given, matched.where("own and nv > 1"), length, words), "fetched")
     release(spark=fetched.sparkSession)
@@ -469,7 +470,7 @@ def removed(given: DataFrame, length: int, first: bool, words: bool = False) ->
     spans = spans.unionByName(compare(fetched.where(F.col("nv") <= HOT), length, first, words))
     spans = spans.unionByName(count_windows(fetched.where(F.col("nv") > HOT), length, first, words))
     out = cut(merged(spans), "spans")
-    release(occurrences, matched, fetched)
+    release(again, matched, fetched)
     return out
 
 
