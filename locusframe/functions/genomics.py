@@ -85,6 +85,11 @@ def neg_log10_p(p: Column, known: Column | None = None) -> Column:
     return F.when(finite, known).otherwise(own)
 
 
+def usable_p(p: Column) -> Column:
+    """above 0, at most 1, and a number."""
+    return F.coalesce((p > 0.0) & (p <= 1.0) & ~F.isnan(p), F.lit(False))
+
+
 def neg_log10_p_or_zero(p: Column) -> Column:
     """Single precision, zero for p <= 0."""
     return F.when(p > 0.0, -F.log10(p)).otherwise(0.0).cast("float")

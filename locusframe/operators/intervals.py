@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bases of a stretch of a contig in which intervals are united first.
+STRETCH = 1 << 20
 SCHEMA = "contig string, start long, end long"
 TEXT = re.compile(r"^(?P<contig>[^:\s]+):(?P<start>[\d,]+)-(?P<end>[\d,]+)$")
 
@@ -69,15 +71,20 @@ def islands(df: DataFrame, adjacent: bool, group: tuple[str, ...] = ("contig",))
 
 
 def merge(df: DataFrame, adjacent: bool = True, group: tuple[str, ...] = ("contig",)) -> DataFrame:
-    """F12 (adjacent intervals too) and W2 (overlap only): the union of intervals as disjoint ones."""
+    """F12 (adjacent intervals too) and W2 (overlap only): the union of intervals as disjoint ones.
+
+    Intervals that start within one stretch of ``STRETCH`` bases are united first,
+    stretch by stretch; what is left of a contig, which is little where intervals
+    are many, is united then.
+    """
+    stretch = F.floor(F.col("start") / STRETCH).alias("_stretch")
     # Equal intervals meet before the window, so that a repeated interval costs nothing there.
-    once = df.select(*group, "start", "end").distinct()
-    return (
-        islands(once, adjacent, group)
-        .groupBy(*group, "island")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
-        .drop("island")
-    )
+    once = df.select(*group, "start", "end", stretch).distinct()
+
+    def united(part: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        return islands(part, adjacent, by).groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+    return united(united(once, (*group, "_stretch")).drop("_stretch"), group)
 
 
 def union(*tables: DataFrame) -> DataFrame:

@@ -15,21 +15,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN_WIDTH = 1 << 14
-#: Intervals that a bin may list; wider ones are listed under coarser bins.
+#: Bins that may list an interval, but for one; wider intervals are listed under coarser bins.
 MAX_BINS = 64
+#: Levels of bins, each of MAX_BINS times the width of the one before.
+LEVELS = (0, 1, 2, 3, 4)
 
 
-def binned(intervals: DataFrame, bin_width: int, start: str = "start", end: str = "end") -> DataFrame:
-    """Intervals with ``_level`` and ``_bin``: a wide interval is listed under few bins of a coarser level."""
-    width = (F.col(end) - F.col(start)).cast("long")
-    # Each level is MAX_BINS times as wide as the one before.
+def level_of(width: Column, bin_width: int) -> Column:
+    """The finest level at which an interval of this width is listed under few bins."""
     level = F.when(width < bin_width * MAX_BINS, 0)
-    for k in (1, 2, 3):
+    for k in LEVELS[1:-1]:
         level = level.when(width < bin_width * MAX_BINS ** (k + 1), k)
-    level = level.otherwise(4)
-    size = F.lit(bin_width).cast("long") * F.pow(F.lit(MAX_BINS), F.col("_level")).cast("long")
+    return level.otherwise(LEVELS[-1])
+
+
+def bin_size(level: Column, bin_width: int) -> Column:
+    return F.lit(bin_width).cast("long") * F.pow(F.lit(MAX_BINS), level).cast("long")
+
+
+def binned(intervals: DataFrame, bin_width: int, start: str = "start", end: str = "end") -> DataFrame:
+    """Intervals with ``_level`` and ``_bin``: a wide interval is listed under few bins of a coarser level."""
+    size = bin_size(F.col("_level"), bin_width)
     first, last = F.floor(F.col(start) / size).cast("long"), F.floor(F.col(end) / size).cast("long")
-    usable = intervals.where(F.col(start) <= F.col(end)).withColumn("_level", level)
+    usable = intervals.where(F.col(start) <= F.col(end)).withColumn("_level", level_of((F.col(end) - F.col(start)).cast("long"), bin_width))
     return usable.withColumn("_bin", F.explode(F.sequence(first, last)))
 
 
@@ -44,21 +52,19 @@ def interval_join(
     """Each row with every interval that holds its position.
 
     ``intervals`` has ``contig``, ``start``, ``end`` and any other columns; its
-    contig is dropped, and no other name may be in both.  The levels of bins in
-    use follow from the widest interval, which is looked up unless given.
+    contig is dropped, and no other name may be in both.  A row is looked up once
+    at each level of bins in use; unless given, these are a part of the plan (a
+    subquery over the intervals), not a job of its own.
     """
-    if levels is None:
-        widest = intervals.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
-        levels = tuple(range(1 + sum(widest >= bin_width * MAX_BINS ** (k + 1) for k in range(4))))
     marked = binned(intervals.withColumnRenamed("contig", "_contig"), bin_width)
-    at = F.col(position).cast("long")
-    bins = [
-        F.struct(F.lit(k).alias("_level"), F.floor(at / (bin_width * MAX_BINS**k)).cast("long").alias("_bin"))
-        for k in levels
-    ]
-    exploded = rows.withColumn("_at", F.explode(F.array(*bins))) if len(bins) > 1 else rows.withColumn("_at", bins[0])
-    exploded = exploded.withColumn("_l", F.col("_at._level")).withColumn("_b", F.col("_at._bin")).drop("_at")
-    met = exploded.join(
+    if levels is None:
+        width = (F.col("end") - F.col("start")).cast("long")
+        used = intervals.where("start <= end").agg(F.collect_set(level_of(width, bin_width)).alias("used")).scalar()
+    else:
+        used = F.array(*map(F.lit, levels))
+    at = F.floor(F.col(position).cast("long") / bin_size(F.col("_l"), bin_width)).cast("long")
+    listed = rows.withColumn("_l", F.lit(levels[0]) if levels and len(levels) == 1 else F.explode(used)).withColumn("_b", at)
+    met = listed.join(
         marked,
         (F.col(contig) == F.col("_contig"))
         & (F.col("_l") == F.col("_level"))
@@ -72,8 +78,8 @@ def interval_join(
 def interval_semi_join(rows: DataFrame, intervals: DataFrame, contig: str = "contig", position: str = "position", bin_width: int = BIN_WIDTH) -> DataFrame:
     """Rows whose position lies in any interval.
 
-    Merged intervals are disjoint and cut at bins, so a bin holds the ends of a
-    few intervals only and one level of bins is enough.
+    Merged intervals are disjoint, so all of them together are listed under as
+    many bins as the contigs have, and once more each: one level of bins is enough.
     """
     from locusframe.operators.intervals import merge
 
@@ -96,20 +102,34 @@ def bin_pieces(intervals: DataFrame, bin_width: int) -> DataFrame:
 def overlap_join(left: DataFrame, right: DataFrame, bin_width: int = BIN_WIDTH) -> DataFrame:
     """Pairs of intervals of one contig that overlap.
 
-    ``left`` has contig, start, end; ``right`` has g_contig, g_start, g_end.  Of
-    the bins that a pair shares, the one that holds the later start makes it.
+    ``left`` has contig, start, end; ``right`` has g_contig, g_start, g_end.  An
+    interval is at home at the level of its width, and a guest of the few bins of
+    each coarser level that it touches.  A pair meets at the coarser level of the
+    two, in the bin that holds the later start.
     """
-    bins = lambda df, a, b: df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(a) / bin_width), F.floor(F.col(b) / bin_width))))
-    one, two = bins(left, "start", "end"), bins(right, "g_start", "g_end").withColumnRenamed("_bin", "_other")
+
+    def listed(df: DataFrame, a: str, b: str, to: str) -> DataFrame:
+        home = level_of((F.col(b) - F.col(a)).cast("long"), bin_width)
+        every = df.where(F.col(a) <= F.col(b)).withColumn("_home", home)
+        every = every.withColumn("_level", F.explode(F.sequence(F.col("_home"), F.lit(LEVELS[-1]))))
+        size = bin_size(F.col("_level"), bin_width)
+        bins = F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))
+        every = every.withColumn("_bin", F.explode(bins))
+        return every.select(*df.columns, F.struct(F.col("_level").alias("level"), F.col("_bin").alias("bin"), (F.col("_home") == F.col("_level")).alias("home")).alias(to))
+
+    one, two = listed(left, "start", "end", "_one"), listed(right, "g_start", "g_end", "_two")
+    later = F.floor(F.greatest("start", "g_start") / bin_size(F.col("_one.level"), bin_width))
     met = one.join(
         two,
         (F.col("contig") == F.col("g_contig"))
-        & (F.col("_bin") == F.col("_other"))
+        & (F.col("_one.level") == F.col("_two.level"))
+        & (F.col("_one.bin") == F.col("_two.bin"))
+        & (F.col("_one.home") | F.col("_two.home"))
         & (F.col("start") <= F.col("g_end"))
         & (F.col("end") >= F.col("g_start"))
-        & (F.floor(F.greatest("start", "g_start") / bin_width) == F.col("_bin")),
+        & (later == F.col("_one.bin")),
     )
-    return met.drop("_bin", "_other")
+    return met.drop("_one", "_two")
 
 
 def point_lookup(df: DataFrame, **key) -> DataFrame:

@@ -43,9 +43,10 @@ def clump(df: DataFrame, threshold: float = 5e-8, window: int = 1_000_000, min_v
     reach = hits.select("contig", F.greatest(F.lit(1), F.col("position") - window).alias("start"), (F.col("position") + window).alias("end"))
     pieces = merge(reach.distinct(), adjacent=False).withColumnRenamed("start", "piece").withColumnRenamed("end", "piece_end")
     # One piece holds each hit: pieces are disjoint.
-    from locusframe.operators.joins import interval_join
+    from locusframe.operators.joins import LEVELS, interval_join
 
-    named = interval_join(hits, pieces.select("contig", F.col("piece").alias("start"), F.col("piece_end").alias("end")))
+    # Hits are few, so each is looked up at all levels: how wide pieces are is not known before they are made.
+    named = interval_join(hits, pieces.select("contig", F.col("piece").alias("start"), F.col("piece_end").alias("end")), levels=LEVELS)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["position", "ref", "alt"], kind="stable").reset_index(drop=True)
@@ -81,7 +82,7 @@ def loci(df: DataFrame, genes: DataFrame | None = None, strategy: str = "clump",
     significant positions and gene intervals, merged where they touch.
     """
     from locusframe.functions.genomics import locus_id, xpos
-    from locusframe.operators.joins import interval_join
+    from locusframe.operators.joins import LEVELS, interval_join
 
     if strategy == "clump":
         regions = clump(df, threshold, window, min_variants).select("contig", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
@@ -92,7 +93,7 @@ def loci(df: DataFrame, genes: DataFrame | None = None, strategy: str = "clump",
         regions = regions.unionByName(genes.select("contig", F.greatest(F.lit(1), F.col("start") - window).cast("long").alias("start"), (F.col("end") + window).cast("long").alias("end")))
     merged = merge(regions, adjacent=strategy == "window")
     hits = df.where(F.col("pvalue") < threshold)
-    met = interval_join(hits, merged)
+    met = interval_join(hits, merged, levels=LEVELS)
     found = met.groupBy("contig", "start", "end").agg(
         F.min_by(F.struct("position", "ref", "alt", "pvalue", "sequencing_type"), F.struct("pvalue", "position", "ref", "alt")).alias("lead"),
         F.count_if(F.col("sequencing_type") == "exome").alias("exome_count"),

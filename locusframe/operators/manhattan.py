@@ -9,7 +9,7 @@ from locusframe.functions import genomics as g
 from locusframe.operators import burden, loci
 from locusframe.operators.joins import interval_join, pivot_assets
 
-#: Names under which sources give a statistic; the first that is there counts, then any case of it.
+# Names under which sources give a statistic; the first that is there counts, then any case of it.
 ALIASES = {
     "pvalue": ("Pvalue", "pvalue"),
     "neg_log10": ("Pvalue_log10",),
@@ -51,32 +51,53 @@ def association_rows(df: DataFrame) -> DataFrame:
 
 
 def plot_points(df: DataFrame, threshold: float = 5e-8, width: int = 3000, height: int = 800, rounded: bool = True, keep: list[str] = ()) -> DataFrame:
-    """Q12, Q13: pixel places of all variants with a place on the plot."""
+    """Q12, Q13: pixel places of all variants with a place on the plot.
+
+    Rows go by what has no place (contig, position, p), not by the computed
+    places: a filter on these would compute them twice.
+    """
+    placed = F.coalesce(g.strip_chr(F.col("contig")).isin(*g.GRCH38_LENGTHS), F.lit(False)) & F.col("position").isNotNull()
+    df = df.where(placed & (F.col("pvalue") <= 1.0) & ~F.isnan("pvalue"))
     y = g.neg_log10_p(F.col("pvalue"))
     x_px, y_px = g.plot_x(F.col("contig"), F.col("position"), width), g.plot_y(y, height)
     if rounded:
         x_px, y_px = F.round(x_px, 4), F.round(y_px, 4)
-    out = df.select(
+    return df.select(
         "contig", "position", x_px.alias("x_px"), y_px.alias("y_px"), (F.col("pvalue") < threshold).alias("significant"), *([] if rounded else ["pvalue"]), *keep
     )
-    return out.where("x_px is not null and y_px is not null")
+
+
+def p_bucket(p: Column, fine: int = 1024) -> Column:
+    """A number that rises with p: even steps above 1 / ``fine``, halvings below.
+
+    Of p-values without an association, which spread evenly, every step holds as many.
+    """
+    small = F.greatest(-F.floor(-F.log2(p * fine)), F.lit(-1100)).cast("int")
+    return F.when(p * fine < 1.0, small - 1).otherwise(F.floor(p * fine).cast("int"))
 
 
 def qq_points(df: DataFrame, keys: list[str]) -> DataFrame:
     """Q9: observed and expected -log10 p of every contig, expected from the rank of p.
 
-    Ranks are within contigs.  A contig is a window partition and sorts with spill.
+    Ranks are within contigs.  A contig is cut into buckets of p, each of which is
+    ranked on its own; the rows of a contig in lower buckets, counted apart, come
+    on top.  So no task sorts a contig.
     """
-    n = F.count("*").over(Window.partitionBy("contig"))
-    rank = F.row_number().over(Window.partitionBy("contig").orderBy("pvalue", *keys))
-    usable = df.where((F.col("pvalue") > 0) & (F.col("pvalue") <= 1))
-    return usable.select(
+    usable = df.where(g.usable_p(F.col("pvalue"))).withColumn("_bucket", p_bucket(F.col("pvalue")))
+    by_contig = Window.partitionBy("contig")
+    before = by_contig.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each contig and bucket: a few thousand of a contig at most.
+    counts = usable.groupBy("contig", "_bucket").agg(F.count("*").alias("_n"))
+    counts = counts.select("contig", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_below"), F.sum("_n").over(by_contig).alias("_all"))
+    inside = F.row_number().over(Window.partitionBy("contig", "_bucket").orderBy("pvalue", *keys))
+    ranked = usable.withColumn("_inside", inside).join(counts, ["contig", "_bucket"])
+    return ranked.select(
         "contig",
         "position",
         "ref",
         "alt",
         F.round(-F.log10("pvalue"), 6).alias("pvalue_log10"),
-        F.round(-F.log10((rank - F.lit(0.5)) / n), 6).alias("pvalue_expected_log10"),
+        F.round(-F.log10((F.col("_below") + F.col("_inside") - F.lit(0.5)) / F.col("_all")), 6).alias("pvalue_expected_log10"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def hash_order(keys: list[str], seed: int) -> list[Column]:
-    return [F.xxhash64(F.lit(seed), *keys), *[F.col(k) for k in keys]]
+    return [F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), *[F.col(k) for k in keys]]
 
 
 def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:

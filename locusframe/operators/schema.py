@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Names of the kinds in JSON Schema.
 KINDS = {
     "string": (T.StringType,),
     "integer": (T.IntegerType, T.LongType, T.ShortType, T.ByteType),
@@ -23,6 +24,7 @@ def rules(schema: dict, value: Column, kind: T.DataType, path: str = "") -> list
     maxLength, minimum, maximum, exclusiveMinimum, exclusiveMaximum, minItems,
     maxItems and items are known; other keywords are an error.
     """
+    # The keywords.
     known = {
         "type", "required", "properties", "additionalProperties", "enum", "pattern", "minLength", "maxLength", "minimum", "maximum",
         "exclusiveMinimum", "exclusiveMaximum", "minItems", "maxItems", "items", "title", "description", "$schema", "format", "default",
@@ -98,6 +100,13 @@ def first_errors(df: DataFrame, schema: dict, keys: list[str], n: int = 10) -> D
     return validate(df, schema).where(F.size("errors") > 0).orderBy(*keys).limit(n).select(*keys, "errors")
 
 
+def validate_sample(df: DataFrame, schema: dict, n: int, keys: list[str], seed: int = 42) -> DataFrame:
+    """V3: V1 over a seeded sample of ``n`` rows (R1); the sample repeats whatever the partitions."""
+    from locusframe.operators.sampling import sample_rows
+
+    return validate(sample_rows(df, n, keys, seed), schema)
+
+
 def check(df: DataFrame, schema: dict) -> None:
     """V1, fail-fast: an error on the first row that breaks a rule."""
     bad = validate(df, schema).where(F.size("errors") > 0).select("errors").take(1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,10 +131,9 @@ def f9_interval_overlaps(spark, sf):
     return j.overlap_join(v.intervals(spark, sf), right).select("contig", "start", "end", "g_start", "g_end")
 
 
-@query("select k1, k2, k3, k4, ref from variants where k1 % 11 <> 0 and ref = 'A' and alt = 'F'")
+@query("select k1, k2, k3, k4, ref from variants where ref = 'A' and alt = 'F'")
 def f16_allele_filter(spark, sf):
-    rows = v.nested(spark, sf).where("locus is not null")
-    return j.allele_filter(rows, "A", "F").select(*KEYS, F.get("alleles", 0).alias("ref"))
+    return j.allele_filter(v.nested(spark, sf), "A", "F").select(*KEYS, F.get("alleles", 0).alias("ref"))
 
 
 @query("select gene_id, annotation, pvalue, mac from burden where abs(coalesce(max_maf, 0) - 0.01) <= 1e-9")
@@ -155,7 +155,7 @@ def f20_interest(spark, sf):
 
 @query("select gene_id, pvalue from burden where pvalue > 0 and pvalue <= 1")
 def f21_valid_p(spark, sf):
-    return v.burden(spark, sf).where((F.col("pvalue") > 0) & (F.col("pvalue") <= 1) & ~F.isnan("pvalue")).select("gene_id", "pvalue")
+    return v.burden(spark, sf).where(g.usable_p(F.col("pvalue"))).select("gene_id", "pvalue")
 
 
 @query("select contig || '-' || position || '-' || ref || '-' || alt as variant_id, beta, se, af, round(-log10(pvalue), 6) as neg_log10_p from variants where pvalue < 1e-6")
@@ -410,7 +410,22 @@ def v1_schema_rules(spark, sf):
 # Windows, order, limits, samples, unions
 
 
-@query(None)
+#: Each step takes the best hit left of every contig and what lies within the window; the rest goes on.
+CLUMPS = f"""rest as (
+        select 0 as step, contig, position, ref, alt, pvalue, sequencing_type from variants where pvalue < 5e-8
+        union all
+        select step + 1, contig, position, ref, alt, pvalue, sequencing_type from (
+            select *, first_value(position) over (partition by contig order by pvalue, position, ref, alt) as lead_at from rest)
+        where abs(position - lead_at) > {WINDOW}
+    ), placed as (
+        select *, first_value(position) over w as lead_at, row_number() over w as rn from rest window w as (partition by step, contig order by pvalue, position, ref, alt)
+    ), clumps as (
+        select contig, max(position) filter (rn = 1) as lead_position, max(ref) filter (rn = 1) as lead_ref, max(alt) filter (rn = 1) as lead_alt,
+               max(pvalue) filter (rn = 1) as lead_pvalue, count(*) filter (abs(position - lead_at) <= {WINDOW}) as n_variants
+        from placed group by step, contig)"""
+
+
+@query(CLUMPS + f""" select *, cast(greatest(1, lead_position - {WINDOW}) as int) as start, cast(lead_position + {WINDOW} as int) as "end" from clumps""")
 def w1_clump(spark, sf):
     return loci.clump(v.variants(spark, sf), threshold=5e-8, window=WINDOW)
 
@@ -454,18 +469,24 @@ def l1_topk(spark, sf):
     return v.variants(spark, sf).orderBy("pvalue", *KEYS).limit(100).select(*KEYS, "pvalue")
 
 
-@query(None)
+@query("select k1, k2, k3, k4 from variants order by md5(concat_ws('|', 42, k1, k2, k3, k4)), k1, k2, k3, k4 limit 1000")
 def r1_sample(spark, sf):
     return sampling.sample_rows(v.variants(spark, sf), 1000, KEYS).select(*KEYS)
 
 
-@query(None)
+WEIGHTS = {f"chr{k}": float(n) for k, n in g.GRCH38_LENGTHS.items()}
+
+
+@query("shares(contig, share) as (values " + ", ".join(f"('{k}', {int(-(-500 * w // sum(WEIGHTS.values())))})" for k, w in WEIGHTS.items()) + """),
+    ranked as (select contig, k1, k2, k3, k4, share, row_number() over (partition by contig order by md5(concat_ws('|', 42, k1, k2, k3, k4)), k1, k2, k3, k4) as rn from variants join shares using (contig))
+    select contig, k1, k2, k3, k4 from ranked where rn <= share""")
 def r2_weighted_sample(spark, sf):
-    weights = {f"chr{k}": float(n) for k, n in g.GRCH38_LENGTHS.items()}
-    return sampling.sample_by_weight(v.variants(spark, sf), 500, weights, "contig", KEYS).select("contig", *KEYS)
+    return sampling.sample_by_weight(v.variants(spark, sf), 500, WEIGHTS, "contig", KEYS).select("contig", *KEYS)
 
 
-@query(None)
+@query("""ids as (select distinct analysis_id from assets), ranked as (
+    select analysis_id, row_number() over (order by analysis_id not in (1, 2, 3), md5(concat_ws('|', 42, analysis_id)), analysis_id) as rn from ids)
+    select analysis_id from ranked where rn <= (select greatest(3, ceil(count(*) * 0.1)) from ids)""")
 def r3_seeded_sample(spark, sf):
     return sampling.sample_ids(v.assets(spark, sf), "analysis_id", 0.1, always=[1, 2, 3])
 
@@ -553,16 +574,16 @@ LAST = "last as (select * from (select *, row_number() over (partition by worker
 @query(LAST + " select count(*) as active_workers, round(sum(value), 6) as rate from last, clock where ts >= now - interval 30 minutes")
 def c7_cluster_rate(spark, sf):
     rows = v.telemetry(spark, sf)
-    now = rows.agg(F.max("ts")).first()[0]
-    out = telemetry.cluster_rate(rows, F.lit(now), alive_seconds=1800)
+    now = rows.agg(F.max("ts")).scalar()
+    out = telemetry.cluster_rate(rows, now, alive_seconds=1800)
     return out.select("active_workers", F.round("rate", 6).alias("rate"))
 
 
 @query(LAST + " select worker_id, case when ts < now - interval 30 seconds then 'suspected_dead' else 'alive' end as status from last, clock")
 def c7_liveness(spark, sf):
     rows = v.telemetry(spark, sf)
-    now = rows.agg(F.max("ts")).first()[0]
-    return telemetry.liveness(rows, F.lit(now)).select("worker_id", "status")
+    now = rows.agg(F.max("ts")).scalar()
+    return telemetry.liveness(rows, now).select("worker_id", "status")
 
 
 @query("select event_type as status, count(*) as n from telemetry group by event_type")
@@ -585,7 +606,14 @@ def a15_bottleneck(spark, sf):
 # Pipelines
 
 
-@query(None)
+@query(CLUMPS + f""", reach as (select contig, greatest(1, lead_position - {WINDOW}) as start, lead_position + {WINDOW} as "end" from clumps),
+    merged as (select * from (with """ + MERGE.format(src="reach", gap=0) + """)),
+    met as (select m.contig, m.start, m."end", x.position, x.ref, x.alt, x.pvalue, x.sequencing_type from variants x join merged m on m.contig = x.contig and x.position between m.start and m."end" where x.pvalue < 5e-8),
+    ranked as (select *, row_number() over w as rn, count(*) filter (sequencing_type = 'exome') over (partition by contig, start, "end") as exome_count,
+        count(*) filter (sequencing_type = 'genome') over (partition by contig, start, "end") as genome_count from met window w as (partition by contig, start, "end" order by pvalue, position, ref, alt, sequencing_type))
+    select replace(contig, 'chr', '') || '_' || start || '_' || "end" as locus_id, contig, start, "end", cast(substr(contig, 4) as bigint) * 1000000000 + start as xstart,
+        cast(substr(contig, 4) as bigint) * 1000000000 + "end" as xstop, sequencing_type as source, contig || ':' || position as lead_variant, pvalue as lead_pvalue, exome_count, genome_count
+    from ranked where rn = 1""")
 def q6_loci(spark, sf):
     return loci.loci(v.variants(spark, sf), window=WINDOW)
 
@@ -712,9 +740,13 @@ def o3_key_order(spark, sf):
     return rows.orderBy(*order).limit(300).select("contig", "position", "ref", "alt", *KEYS)
 
 
-@query("select cast(k1 % 4 as int) as worker, count(*) as n from variants group by 1")
+@query("select count(*) as n, count(distinct (k1, k2, k3, k4)) as n_keys from variants")
 def p1_modulo_allocation(spark, sf):
-    return v.variants(spark, sf).groupBy(F.pmod("k1", F.lit(4)).cast("int").alias("worker")).agg(F.count("*").alias("n"))
+    """Each row lies in a partition of one of four workers."""
+    rows = v.variants(spark, sf).select(*KEYS)
+    parts = [sampling.owned_partitions(rows, 4, w) for w in range(4)]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return every.agg(F.count("*").alias("n"), F.count_distinct(*KEYS).alias("n_keys"))
 
 
 @query("""select k1, k2, k3, k4, '{"contig":"' || contig || '","position":' || position || ',"note":null}' as json from variants""")
@@ -743,15 +775,97 @@ def q7_locus_region(spark, sf):
     return out.select(*KEYS, "position", F.round(g.locus_x(F.col("position"), F.col("start"), F.col("end"), 800), 4).alias("x"), "is_significant")
 
 
-@query("""select 'significant_variants' as name, count(*) as n from variants where pvalue < 5e-8
+@query(HITS + TESTS + f""", every as (select contig, start, "end" from reach union all
+        select contig, greatest(1, greatest(1, min(position) - 100000) - {WINDOW}), min(position) + 100000 + {WINDOW} from valid where p < 2.5e-6 group by gene_id, contig),
+    merged as (select * from (with """ + MERGE.format(src="every", gap=1) + """)),
+    found as (select * from merged m where exists (select 1 from variants x where x.contig = m.contig and x.pvalue < 5e-8 and x.position between m.start and m."end"))
+    select 'significant_variants' as name, count(*) as n from variants where pvalue < 5e-8
     union all select 'plot_points', count(*) from variants where pvalue <= 1
-    union all select 'gene_associations', count(*) from burden""")
+    union all select 'gene_associations', count(*) from burden
+    union all select 'loci', count(*) from found
+    union all select 'loci_variants', count(*) from variants x join found f on f.contig = x.contig and x.position between f.start and f."end" where x.pvalue > 0 and x.pvalue < 0.01""")
 def q3_pipeline_tables(spark, sf):
-    """Rows of the pipeline's tables that do not depend on clumps."""
-    tables = manhattan.pipeline(v.variants(spark, sf), None, v.burden(spark, sf), None, "height", "eur", window=WINDOW)
-    names = ("significant_variants", "plot_points", "gene_associations")
-    parts = [tables[n].agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in names]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Rows of each of the pipeline's tables."""
+    tables = manhattan.pipeline(v.variants(spark, sf), None, v.burden(spark, sf).withColumn("start", F.col("position")).withColumn("end", F.col("position")), None, "height", "eur", window=WINDOW, strategy="window")
+    parts = [t.agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, t in tables.items()]
+    return reduce(lambda a, x: a.unionByName(x), parts)
+
+
+# Job state, samples that are validated, and columns of other systems
+
+
+TASKS = "tasks as (select user_id as phenotype_id, case when value < 10 then 'failed' when value < 40 then 'running' when value < 60 then 'waiting' else 'done' end as status from events)"
+
+
+def tasks(spark, sf):
+    value = F.col("value")
+    status = F.when(value < 10, "failed").when(value < 40, "running").when(value < 60, "waiting").otherwise("done")
+    return v.table(spark, sf, "events").select(F.col("user_id").alias("phenotype_id"), status.alias("status"))
+
+
+STATES = TASKS + """, states as (select phenotype_id, count(*) as total, count(*) filter (status = 'done') as done, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'running') as running from tasks group by 1),
+    told as (select *, case when failed > 0 then 'failed' when done = total then 'complete' when done + running > 0 then 'active' else 'waiting' end as state from states)"""
+
+
+@query(STATES + " select * from told")
+def c7_phenotype_status(spark, sf):
+    return telemetry.phenotype_status(tasks(spark, sf))
+
+
+PHENOTYPES = """phenos as (select c_custkey as phenotype_id, c_nationkey as partitions, case when c_custkey % 40 = 0 then 'active' when c_custkey % 7 = 0 then 'scanned' else 'waiting' end as state from customer where c_custkey > 0)"""
+
+
+def phenotypes(spark, sf):
+    key = F.col("c_custkey")
+    state = F.when(key % 40 == 0, "active").when(key % 7 == 0, "scanned").otherwise("waiting")
+    return v.table(spark, sf, "customer").select(key.alias("phenotype_id"), F.col("c_nationkey").alias("partitions"), state.alias("state"))
+
+
+@query(PHENOTYPES.replace(" where c_custkey > 0", "") + """, checked as (select phenotype_id, partitions, case when state = 'waiting' and partitions = 0 then 'failed' else state end as state from phenos),
+    ranked as (select *, row_number() over (partition by state order by phenotype_id) as rn, (select count(*) from checked where state = 'active') as active from checked)
+    select phenotype_id, partitions, case when state = 'waiting' and rn <= 30 - active then 'active' else state end as state from ranked""")
+def c4_activation(spark, sf):
+    return telemetry.activate(phenotypes(spark, sf), most=30)
+
+
+@query(PHENOTYPES.replace(" where c_custkey > 0", "") + """ select phenotype_id from phenos where state = 'scanned' and (select count(*) from phenos where state = 'scanned') >= 10 order by phenotype_id limit 10""")
+def c4_aggregate_ready(spark, sf):
+    return telemetry.aggregate_ready(phenotypes(spark, sf)).select("phenotype_id")
+
+
+@query("select count(*) as n from telemetry")
+def c6_snapshot_count(spark, sf):
+    return telemetry.snapshot_count(v.telemetry(spark, sf))
+
+
+@query(LAST + """ select avg(cpu_percent) as cpu, avg(memory_percent) as memory, case when avg(cpu_percent) > 85 then 'cpu' when avg(memory_percent) > 85 then 'memory' when avg(received_mb) > 800 then 'network_in'
+    when avg(sent_mb) > 500 then 'network_out' when avg(cpu_percent) < 30 then 'io_wait' else 'balanced' end as label from last, clock where ts >= now - interval 30 minutes""")
+def c7_cluster_bottleneck(spark, sf):
+    rows = v.telemetry(spark, sf)
+    return telemetry.cluster_bottleneck(rows, rows.agg(F.max("ts")).scalar(), alive_seconds=1800)
+
+
+@query(f"select k1, k2, k3, k4 from (select * from variants order by md5(concat_ws('|', 7, k1, k2, k3, k4)), k1, k2, k3, k4 limit 500) where not ({RULES})")
+def v3_validated_sample(spark, sf):
+    return schema.validate_sample(v.variants(spark, sf), SCHEMA_RULES, 500, KEYS, seed=7).where(F.size("errors") > 0).select(*KEYS)
+
+
+@query(f"select k1, k2, k3, k4 from variants where not ({RULES}) order by k1, k2, k3, k4 limit 10")
+def v2_first_errors(spark, sf):
+    return schema.first_errors(v.variants(spark, sf), SCHEMA_RULES, KEYS).select(*KEYS)
+
+
+@query("select sequencing_type, contig, position, pvalue from variants where sequencing_type = 'exome' and pvalue < 1e-6 union all select sequencing_type, contig, position, pvalue from variants where sequencing_type = 'genome' and pvalue < 1e-6")
+def f17_where_after_interval(spark, sf):
+    """A point filter over what an interval lookup found."""
+    whole = iv.from_text(spark, *[f"chr{k}:1-2000000" for k in range(1, 23)])
+    return pr.where(j.interval_semi_join(v.variants(spark, sf), whole), "pvalue < 1e-6").select("sequencing_type", "contig", "position", "pvalue")
+
+
+@query("select k1, k2, k3, k4 from variants where contig = 'chr3' and position >= 500000 and k1 % 11 <> 0")
+def f2_where_untrimmed(spark, sf):
+    """Conditions as they come in a request: no blanks are cut from values."""
+    return pr.where(v.nested(spark, sf), "locus.contig=chr3", "locus.position>=500000").select(*KEYS)
 
 
 @query("""both_ as (select contig, start, "end" from intervals), """ + TESTS + f""",

@@ -119,7 +119,7 @@ def duck(text: str) -> str:
 
 
 #: Starts every SQL twin; unused views cost nothing.
-PRELUDE = "with " + ", ".join(
+PRELUDE = "with recursive " + ", ".join(
     f"{name} as ({duck(text)})"
     for name, text in (
         ("variants", VARIANTS), ("intervals", INTERVALS), ("genes", GENES), ("burden", BURDEN),
