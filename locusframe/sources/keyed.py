@@ -1,19 +1,24 @@
 """Keyed tables (``.ht`` folders): block-compressed, range-partitioned rows with typed nesting.
 
 Part files are read as whole binary files by Spark and decoded in Arrow batches,
-so any file system that Spark knows will do.  Metadata names the key and each
+and written by Spark's text writer (one row of raw bytes a part), so any file
+system that Spark knows will do.  Metadata names the key and each
 part's range of keys; parts that cannot hold a wanted key are not opened.  Parts
 are pruned by a leading run of the key only: a later field counts while both
-bounds agree on all fields before it.
+bounds agree on all fields before it.  Where a table has an index, a lookup of a
+full key goes down its tree to the place of the row, and only the blocks from
+there on are decompressed.
 """
 
 from __future__ import annotations
 
+import bisect
 import gzip
 import json
-import os
+import posixpath
 import re
 import struct as st
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -31,8 +36,19 @@ LOGICAL = {"EBinary": "String", "EInt32": "Int32", "EInt64": "Int64", "EFloat32"
 # Size of a block, and the names of the layers of buffers.
 BLOCK = 1 << 16
 BUFFERS = {"name": "LEB128BufferSpec", "child": {"name": "BlockingBufferSpec", "blockSize": BLOCK, "child": {"name": "ZstdBlockBufferSpec", "blockSize": BLOCK, "child": {"name": "StreamBlockBufferSpec"}}}}
-#: Longest text or binary, and longest array, that a table may hold.
-MAX_BINARY, MAX_ARRAY = 1_000_000, 100_000
+# Layers of a stack of buffers that can be read, from the outside in; the first may be absent.
+LAYERS = ("LEB128BufferSpec", "BlockingBufferSpec", "ZstdBlockBufferSpec", "StreamBlockBufferSpec")
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Longest text (in bytes) and longest array that a table may hold, for reading and writing alike."""
+
+    binary: int = 1_000_000
+    array: int = 100_000
+
+
+LIMITS = Limits()
 
 
 @dataclass
@@ -128,21 +144,88 @@ def logical_text(p: Physical) -> str:
 # Bytes of rows
 
 
-class Cursor:
-    """A place in bytes."""
+class Blocks:
+    """A part file's blocks by place, decompressed when they are needed.
+
+    An empty block ends them.
+    """
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+        #: Of each block where it stands in the file, where its bytes start once decompressed, and how it ends in the file.
+        self.at: list[int] = []
+        self.start: list[int] = [0]
+        self.end: list[int] = []
+        at = 0
+        while at + 4 <= len(raw):
+            (n,) = st.unpack_from("<I", raw, at)
+            if at + 4 + n > len(raw):
+                raise EOFError("part file ends within a block")
+            if n >= 4:
+                (size,) = st.unpack_from("<i", raw, at + 4)
+                if size == 0:
+                    break
+                self.at.append(at)
+                self.end.append(at + 4 + n)
+                self.start.append(self.start[-1] + size)
+            at += 4 + n
+
+    def read(self, k: int) -> bytes:
+        import zstandard
+
+        size = self.start[k + 1] - self.start[k]
+        return zstandard.ZstdDecompressor().decompress(self.raw[self.at[k] + 8 : self.end[k]], max_output_size=size)
+
+    def holding(self, place: int) -> int:
+        """The block that holds a place of the decompressed bytes."""
+        if not 0 <= place < self.start[-1]:
+            raise ValueError(f"no byte {place}")
+        return bisect.bisect_right(self.start, place) - 1
+
+    def named(self, offset: int) -> int:
+        """The place behind an offset in an index: a block's own offset, or 16 bits within the block of the others."""
+        for file_offset, within in ((offset, 0), (offset >> 16, offset & 0xFFFF)):
+            k = bisect.bisect_left(self.at, file_offset)
+            if k < len(self.at) and self.at[k] == file_offset:
+                return self.start[k] + within
+        raise ValueError(f"no block at offset {offset}")
 
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
+
+class Cursor:
+    """A place in bytes; those of a part file come block by block."""
+
+    def __init__(self, data: bytes | Blocks, place: int = 0, fixed: bool = False):
+        #: Whether numbers have all their bytes (B7), not as few as they need.
+        self.fixed = fixed
+        self.data, self.at, self.blocks, self.next = data, place, None, 0
+        if isinstance(data, Blocks):
+            self.blocks = data
+            self.next = data.holding(place) if place else 0
+            self.data, self.at = b"", place - data.start[self.next]
+
+    def more(self) -> bool:
+        """Whether there is a further byte."""
+        while self.at >= len(self.data) and self.blocks and self.next < len(self.blocks.at):
+            self.at -= len(self.data)
+            self.data = self.blocks.read(self.next)
+            self.next += 1
+        return self.at < len(self.data)
 
     def raw(self, n: int) -> bytes:
         out = self.data[self.at : self.at + n]
-        if len(out) < n:
-            raise EOFError("part file ends within a row")
-        self.at += n
+        self.at += len(out)
+        while len(out) < n:
+            if not self.more():
+                raise EOFError("part file ends within a row")
+            part = self.data[self.at : self.at + n - len(out)]
+            self.at += len(part)
+            out += part
         return out
 
     def number(self, bits: int) -> int:
-        """Unsigned LEB128, read as two's complement of so many bits."""
+        """Unsigned LEB128, read as two's complement of so many bits; B7: or all its bytes, the lowest first."""
+        if self.fixed:
+            return int.from_bytes(self.raw(bits // 8), "little", signed=True)
         out, shift = 0, 0
         while True:
             b = self.raw(1)[0]
@@ -154,7 +237,7 @@ class Cursor:
         return out - (1 << bits) if out >> (bits - 1) else out
 
 
-def decoder(p: Physical) -> Callable[[Cursor], object]:
+def decoder(p: Physical, limits: Limits = LIMITS) -> Callable[[Cursor], object]:
     """A function that reads a value that is there."""
     if p.kind == "EInt32":
         return lambda c: c.number(32)
@@ -170,23 +253,23 @@ def decoder(p: Physical) -> Callable[[Cursor], object]:
 
         def text(c: Cursor) -> str:
             n = c.number(32)
-            if not 0 <= n <= MAX_BINARY:
+            if not 0 <= n <= limits.binary:
                 raise ValueError(f"text of {n} bytes")
             return c.raw(n).decode("utf-8", "replace")
 
         return text
     if p.kind == "EArray":
-        inner, maybe = decoder(p.fields[0][1]), not p.fields[0][1].required
+        inner, maybe = decoder(p.fields[0][1], limits), not p.fields[0][1].required
 
         def array(c: Cursor) -> list:
             n = c.number(32)
-            if not 0 <= n <= MAX_ARRAY:
+            if not 0 <= n <= limits.array:
                 raise ValueError(f"array of {n} elements")
             gone = c.raw((n + 7) // 8) if maybe else b""
             return [None if maybe and gone[i >> 3] >> (i & 7) & 1 else inner(c) for i in range(n)]
 
         return array
-    parts = [(n, decoder(f), not f.required) for n, f in p.fields]
+    parts = [(n, decoder(f, limits), not f.required) for n, f in p.fields]
     n_maybe = sum(m for *_, m in parts)
 
     def record(c: Cursor) -> dict:
@@ -208,8 +291,8 @@ def put_number(out: bytearray, x: int, bits: int) -> None:
     out.append(x)
 
 
-def encoder(p: Physical) -> Callable[[bytearray, object], None]:
-    """The mirror of :func:`decoder`; a null in a required place is an error."""
+def encoder(p: Physical, limits: Limits = LIMITS) -> Callable[[bytearray, object], None]:
+    """The mirror of :func:`decoder`; a null in a required place is an error, and so is what could not be read back."""
     if p.kind in ("EInt32", "EInt64"):
         bits = int(p.kind[4:])
         return lambda o, x: put_number(o, x, bits)
@@ -222,6 +305,8 @@ def encoder(p: Physical) -> Callable[[bytearray, object], None]:
 
         def text(o: bytearray, x: str) -> None:
             raw = x.encode()
+            if len(raw) > limits.binary:
+                raise ValueError(f"text of {len(raw)} bytes; the limit is {limits.binary}")
             put_number(o, len(raw), 32)
             o.extend(raw)
 
@@ -232,9 +317,11 @@ def encoder(p: Physical) -> Callable[[bytearray, object], None]:
         o.extend(bits.to_bytes((len(missing) + 7) // 8, "little"))
 
     if p.kind == "EArray":
-        inner, maybe = encoder(p.fields[0][1]), not p.fields[0][1].required
+        inner, maybe = encoder(p.fields[0][1], limits), not p.fields[0][1].required
 
         def array(o: bytearray, x: list) -> None:
+            if len(x) > limits.array:
+                raise ValueError(f"array of {len(x)} elements; the limit is {limits.array}")
             put_number(o, len(x), 32)
             if maybe:
                 bitmap(o, [e is None for e in x])
@@ -245,7 +332,7 @@ def encoder(p: Physical) -> Callable[[bytearray, object], None]:
                     raise ValueError("null in an array without nulls")
 
         return array
-    parts = [(n, encoder(f), not f.required) for n, f in p.fields]
+    parts = [(n, encoder(f, limits), not f.required) for n, f in p.fields]
 
     def record(o: bytearray, x: dict) -> None:
         bitmap(o, [x.get(n) is None for n, _, maybe in parts if maybe])
@@ -258,24 +345,6 @@ def encoder(p: Physical) -> Callable[[bytearray, object], None]:
     return record
 
 
-def unblocked(raw: bytes) -> bytes:
-    """The bytes behind the blocks; an empty block ends them."""
-    import zstandard
-
-    out, at, z = [], 0, zstandard.ZstdDecompressor()
-    while at + 4 <= len(raw):
-        (n,) = st.unpack_from("<I", raw, at)
-        if at + 4 + n > len(raw):
-            raise EOFError("part file ends within a block")
-        if n >= 4:
-            (size,) = st.unpack_from("<i", raw, at + 4)
-            if size == 0:
-                break
-            out.append(z.decompress(raw[at + 8 : at + 4 + n], max_output_size=size))
-        at += 4 + n
-    return b"".join(out)
-
-
 def blocked(data: bytes) -> bytes:
     """B8."""
     import zstandard
@@ -288,12 +357,61 @@ def blocked(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def rows_of(raw: bytes, p: Physical) -> Iterator[dict]:
-    """Rows of a part file until the mark of the end."""
-    data = unblocked(raw)
-    c, read = Cursor(data), decoder(p)
-    while c.at < len(data) and c.raw(1) != b"\0":
-        yield read(c)
+def rows_of(raw: bytes, p: Physical, fixed: bool = False, limits: Limits = LIMITS) -> Iterator[dict]:
+    """Rows of a part file to its end; marks of absent rows are passed over."""
+    c, read = Cursor(Blocks(raw), fixed=fixed), decoder(p, limits)
+    while c.more():
+        if c.raw(1) != b"\0":
+            yield read(c)
+
+
+# Index: a tree of nodes over the keys of a part
+
+# Names of fields of nodes, and the marks of their kinds.
+LEAF, INTERNAL = b"\0", b"\1"
+
+
+@dataclass(frozen=True)
+class IndexSpec:
+    folder: str
+    leaf: Physical
+    internal: Physical
+    fixed: bool
+
+
+def order_of(value) -> tuple:
+    """Keys compare field by field, texts by their characters; a null comes last."""
+    if isinstance(value, dict):
+        return tuple(order_of(x) for x in value.values())
+    return (value is None, value)
+
+
+def node_at(blocks: Blocks, spec: IndexSpec, offset: int) -> tuple[bool, dict]:
+    """Whether a node is a leaf, and its fields."""
+    c = Cursor(blocks, blocks.named(offset), spec.fixed)
+    c.more()
+    kind = c.raw(1)
+    if kind not in (LEAF, INTERNAL):
+        raise ValueError(f"unknown node {kind!r}")
+    return kind == LEAF, decoder(spec.leaf if kind == LEAF else spec.internal)(c)
+
+
+def find_row(blocks: Blocks, spec: IndexSpec, root: int, height: int, key: dict) -> int | None:
+    """Where the row of a key starts in its part's decompressed bytes, or None.
+
+    From each node it goes down to the last child whose first key is not above the key.
+    """
+    wanted, offset = order_of(key), root
+    for _ in range(height - 1):
+        leaf, node = node_at(blocks, spec, offset)
+        if leaf:
+            raise ValueError("a leaf above the lowest level")
+        below = [c for c in node["children"] if list(c["first_key"]) == list(key) and order_of(c["first_key"]) <= wanted]
+        offset = (below or node["children"])[-1 if below else 0]["index_file_offset"]
+    leaf, node = node_at(blocks, spec, offset)
+    if not leaf:
+        raise ValueError("no leaf at the lowest level")
+    return next((e["offset"] for e in node["keys"] if list(e["key"]) == list(key) and order_of(e["key"]) == wanted), None)
 
 
 # Metadata and pruning
@@ -306,7 +424,8 @@ class Meta:
     row_type: Physical
     parts: tuple[str, ...]
     bounds: tuple[dict, ...]
-    indexed: bool
+    index: IndexSpec | None = None
+    fixed: bool = False
 
 
 def _document(spark: SparkSession, path: str) -> dict:
@@ -314,15 +433,31 @@ def _document(spark: SparkSession, path: str) -> dict:
     return json.loads(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
 
 
+def fixed_numbers(spec: dict) -> bool:
+    """Whether a stack of buffers keeps numbers at their full size; stacks that cannot be read are an error."""
+    names, at = [], spec
+    while at:
+        names.append(at["name"])
+        at = at.get("child")
+    if tuple(names) not in (LAYERS, LAYERS[1:]):
+        raise ValueError(f"buffers not supported: {names}")
+    return names[0] != LAYERS[0]
+
+
 def metadata(spark: SparkSession, path: str, component: str = "rows") -> Meta:
     m = _document(spark, f"{path}/{component}/metadata.json.gz")
-    return Meta(path, tuple(m["_key"]), parse_type(m["_codecSpec"]["_eType"]), tuple(m["_partFiles"]), tuple(m["_jRangeBounds"]), m.get("_indexSpec") is not None)
+    codec, index = m["_codecSpec"], m.get("_indexSpec")
+    if index:
+        leaf, internal = index["_leafCodec"], index["_internalNodeCodec"]
+        folder = f"{path}/" + posixpath.normpath(f"{component}/{index['_relPath']}")
+        index = IndexSpec(folder, parse_type(leaf["_eType"]), parse_type(internal["_eType"]), fixed_numbers(leaf["_bufferSpec"]))
+    return Meta(path, tuple(m["_key"]), parse_type(codec["_eType"]), tuple(m["_partFiles"]), tuple(m["_jRangeBounds"]), index or None, fixed_numbers(codec["_bufferSpec"]))
 
 
 def info(spark: SparkSession, path: str) -> DataFrame:
     """One row of each part with its bounds."""
     m = metadata(spark, path)
-    rows = [(i, p, json.dumps(b["start"]), json.dumps(b["end"]), list(m.key), m.indexed, type_text(m.row_type)) for i, (p, b) in enumerate(zip(m.parts, m.bounds))]
+    rows = [(i, p, json.dumps(b["start"]), json.dumps(b["end"]), list(m.key), m.index is not None, type_text(m.row_type)) for i, (p, b) in enumerate(zip(m.parts, m.bounds))]
     return spark.createDataFrame(rows, "part int, file string, low string, high string, key array<string>, indexed boolean, row_type string")
 
 
@@ -371,8 +506,8 @@ def prune(m: Meta, ranges: list[KeyRange] = (), intervals: list[tuple[str, int,
 # Reading and writing
 
 
-def read(spark: SparkSession, path: str, ranges: list[KeyRange] = (), intervals: list[tuple[str, int, int]] | None = None, parts: list[int] | None = None, component: str = "rows") -> DataFrame:
-    """Rows of a table; ranges prune parts and filter rows."""
+def read(spark: SparkSession, path: str, ranges: list[KeyRange] = (), intervals: list[tuple[str, int, int]] | None = None, parts: list[int] | None = None, component: str = "rows", limits: Limits = LIMITS, ordered: bool = False) -> DataFrame:
+    """Rows of a table; ranges prune parts and filter rows; on demand (S3) in the order of the key."""
     m = metadata(spark, path, component)
     chosen = parts if parts is not None else prune(m, ranges, intervals) if component == "rows" else range(len(m.parts))
     schema = spark_type(m.row_type)
@@ -388,7 +523,7 @@ def read(spark: SparkSession, path: str, ranges: list[KeyRange] = (), intervals:
         for batch in batches:
             for raw in batch.column(0):
                 rows = []
-                for row in rows_of(raw.as_py(), p):
+                for row in rows_of(raw.as_py(), p, m.fixed, limits):
                     rows.append(row)
                     if len(rows) >= 4096:
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -396,18 +531,54 @@ def read(spark: SparkSession, path: str, ranges: list[KeyRange] = (), intervals:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    found = spark.read.format("binaryFile").load(files).select("content").mapInArrow(run, schema)
-    return in_ranges(found, *ranges)
+    found = in_ranges(spark.read.format("binaryFile").load(files).select("content").mapInArrow(run, schema), *ranges)
+    return found.orderBy(*m.key) if ordered and m.key else found
+
+
+class Folder:
+    """A folder of any file system that Spark knows, for the few small files of a table."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark.sparkContext._jvm
+        self.path, self.make = path, jvm.org.apache.hadoop.fs.Path
+        self.fs = self.make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def at(self, name: str):
+        return self.make(f"{self.path}/{name}")
 
+    def put(self, name: str, data: bytes) -> None:
+        out = self.fs.create(self.at(name), True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
 
-def write(df: DataFrame, path: str, key: list[str], partitions: int | None = None) -> None:
-    """K7: a table sorted by its key.  ``path`` must be a folder that all executors share.
+    def move(self, old: str, new: str) -> None:
+        self.fs.mkdirs(self.at(new).getParent())
+        self.fs.delete(self.at(new), False)
+        if not self.fs.rename(self.at(old), self.at(new)):
+            raise OSError(f"cannot rename {self.path}/{old}")
 
-    A part is written under a name of its own and renamed when it is whole, so
-    that a task that runs again does no harm.
+    def only_file(self, name: str) -> str:
+        """The name of the one data file of a folder."""
+        found = [f.getPath().getName() for f in self.fs.listStatus(self.at(name)) if not f.getPath().getName().startswith(("_", "."))]
+        if len(found) != 1:
+            raise OSError(f"{len(found)} files in {self.path}/{name}")
+        return f"{name}/{found[0]}"
+
+    def drop(self, name: str) -> None:
+        self.fs.delete(self.at(name), True)
+
+
+def write(df: DataFrame, path: str, key: list[str], partitions: int | None = None, limits: Limits = LIMITS) -> None:
+    """K7: a table sorted by its key.
+
+    Tasks make the bytes of whole parts, which are written once as Parquet, so
+    that parts and their bounds belong together whatever is run again; then each
+    part becomes a file of its own, and gets its name.  A part must fit in a row.
     """
-    for name in ("rows/parts", "globals/parts"):
-        os.makedirs(f"{path}/{name}", exist_ok=True)
+    spark, folder = df.sparkSession, Folder(df.sparkSession, path)
+    work = f".making-{uuid.uuid4().hex}"
     p = physical_type(df.schema, False)
     if partitions:
         dealt = df.repartitionByRange(partitions, *key)
@@ -415,10 +586,9 @@ def write(df: DataFrame, path: str, key: list[str], partitions: int | None = Non
         dealt = df.repartitionByRange(*key)
     else:
         dealt = df
-    names = df.columns
 
     def run(batches):
-        put, out, n, first, last = encoder(p), bytearray(), 0, None, None
+        put, out, n, first, last = encoder(p, limits), bytearray(), 0, None, None
         index = TaskContext.get().partitionId()
         for batch in batches:
             for row in batch.to_pylist():
@@ -427,36 +597,87 @@ def write(df: DataFrame, path: str, key: list[str], partitions: int | None = Non
                 last = {k: row[k] for k in key}
                 first = first if n else last
                 n += 1
-        out.append(0)
         if n:
-            name = f"part-{index:05d}"
-            hidden = f"{path}/rows/parts/.{name}.{TaskContext.get().taskAttemptId()}"
-            with open(hidden, "wb") as f:
-                f.write(blocked(bytes(out)))
-            os.replace(hidden, f"{path}/rows/parts/{name}")
-            yield pa.RecordBatch.from_pydict({"i": [index], "name": [name], "first": [json.dumps(first)], "last": [json.dumps(last)], "n": [n]}, schema=told)
-
-    told = pa.schema([("i", pa.int32()), ("name", pa.string()), ("first", pa.string()), ("last", pa.string()), ("n", pa.int64())])
+            out.append(0)
+            row = {"i": [index], "first": [json.dumps(first)], "last": [json.dumps(last)], "n": [n], "content": [blocked(bytes(out))]}
+            yield pa.RecordBatch.from_pydict(row, schema=told)
+
+    told = pa.schema([("i", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("n", pa.int64()), ("content", pa.binary())])
     sorted_ = dealt.sortWithinPartitions(*key) if key else dealt
+    sorted_.mapInArrow(run, "i int, first string, last string, n long, content binary").write.parquet(f"{path}/{work}/bytes")
+    whole = spark.read.parquet(f"{path}/{work}/bytes")
+    # Spark's text writer passes bytes on as they are; the line's end comes after the block that ends a part.
+    whole.select("i", F.col("content").cast("string")).write.partitionBy("i").text(f"{path}/{work}/parts")
     # One row a part.
-    made = sorted(sorted_.select(*names).mapInArrow(run, "i int, name string, first string, last string, n long").collect())
+    made = whole.select("i", "first", "last", "n").orderBy("i").collect()
+    folder.drop("rows")
+    for r in made:
+        folder.move(folder.only_file(f"{work}/parts/i={r.i}"), f"rows/parts/part-{r.i:05d}")
+    # The keys of the metadata.
     codec = {"name": "TypedCodecSpec", "_bufferSpec": BUFFERS}
     rows = {"name": "OrderedRVDSpec2", "_key": key, "_codecSpec": codec | {"_eType": type_text(p), "_vType": logical_text(p)}, "_indexSpec": None,
-            "_partFiles": [r.name for r in made], "_jRangeBounds": [{"start": json.loads(r.first), "end": json.loads(r.last), "includeStart": True, "includeEnd": True} for r in made], "_attrs": {"rows": sum(r.n for r in made)}}
+            "_partFiles": [f"part-{r.i:05d}" for r in made], "_jRangeBounds": [{"start": json.loads(r.first), "end": json.loads(r.last), "includeStart": True, "includeEnd": True} for r in made], "_attrs": {"rows": sum(r.n for r in made)}}
     none = Physical("EBaseStruct", True)
     globals_ = rows | {"_key": [], "_codecSpec": codec | {"_eType": type_text(none), "_vType": logical_text(none)}, "_partFiles": ["part-0"], "_attrs": {}, "_jRangeBounds": [{"start": {}, "end": {}, "includeStart": True, "includeEnd": True}]}
-    with open(f"{path}/globals/parts/part-0", "wb") as f:
-        f.write(blocked(b"\1\0"))
+    folder.put("globals/parts/part-0", blocked(b"\1\0"))
     for name, m in (("rows", rows), ("globals", globals_)):
-        with gzip.open(f"{path}/{name}/metadata.json.gz", "wt") as f:
-            json.dump(m, f)
-    open(f"{path}/_SUCCESS", "w").close()
+        folder.put(f"{name}/metadata.json.gz", gzip.compress(json.dumps(m).encode()))
+    folder.drop(work)
+    folder.put("_SUCCESS", b"")
+
+
+def nested(key: dict) -> dict:
+    """Names with double underscores as fields within fields."""
+    out: dict = {}
+    for name, value in key.items():
+        at, parts = out, name.split("__")
+        for part in parts[:-1]:
+            at = at.setdefault(part, {})
+        at[parts[-1]] = value
+    return out
 
 
 def lookup(spark: SparkSession, path: str, **key) -> DataFrame:
-    """The first row of a full key; only parts that can hold it are opened."""
+    """The first row of a full key; only parts that can hold it are opened.
+
+    With an index (B13 to B15) a task reads the index of a part, and another
+    decodes the one row from its place on; else the part's rows are filtered.
+    """
     ranges = [KeyRange.of(k.replace("__", "."), "=", x) for k, x in key.items()]
-    return read(spark, path, ranges).limit(1)
+    m, wanted = metadata(spark, path), nested(key)
+    if m.index is None or list(wanted) != list(m.key):
+        return read(spark, path, ranges).limit(1)
+    spec, schema = m.index, spark_type(m.row_type)
+    files = lambda paths: spark.read.format("binaryFile").load(paths).select("content")
+    for k in prune(m, ranges):
+        folder = f"{spec.folder}/{m.parts[k]}.idx"
+        about = _document(spark, f"{folder}/metadata.json.gz")
+        root, height = about["rootOffset"], about["height"]
+
+        def descend(batches):
+            for batch in batches:
+                for raw in batch.column(0):
+                    place = find_row(Blocks(raw.as_py()), spec, root, height, wanted)  # noqa: B023
+                    yield pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int64())})
+
+        # One number.
+        place = files([f"{folder}/{about['indexPath']}"]).mapInArrow(descend, "place long").first().place
+        if place is None:
+            continue
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+
+        def decode(batches):
+            for batch in batches:
+                for raw in batch.column(0):
+                    c = Cursor(Blocks(raw.as_py()), place, m.fixed)  # noqa: B023
+                    c.more()
+                    if c.raw(1) != b"\0":
+                        yield pa.RecordBatch.from_pylist([decoder(m.row_type)(c)], schema=arrow)  # noqa: B023
+
+        return files([f"{path}/rows/parts/{m.parts[k]}"]).mapInArrow(decode, schema)
+    return spark.createDataFrame([], schema)
 
 
 def with_part(df: DataFrame) -> DataFrame:

@@ -39,6 +39,90 @@ def test_keyed_long_numbers_and_blocks(spark, tmp_path):
         list(keyed.rows_of(keyed.blocked(b"\1\5"), keyed.physical_type(df.schema, False)))
 
 
+def by_hand(parts: list[bytes]) -> bytes:
+    """Blocks of a part file, made apart from our writer."""
+    import struct
+
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=1)
+    out = b""
+    for data in parts:
+        packed = z.compress(data)
+        out += struct.pack("<I", len(packed) + 4) + struct.pack("<i", len(data)) + packed
+    return out
+
+
+#: Rows {k: +EInt32, s: EBinary}: (5, "ab"), an absent row, (300, null), (-1, "é"), cut over blocks within a row.
+PLAIN = b"\1\0\5\2ab" + b"\0" + b"\1\1\xac\x02" + b"\1\0\xff\xff\xff\xff\x0f\2\xc3\xa9" + b"\0"
+KIND = "+EBaseStruct{k:+EInt32,s:EBinary}"
+
+
+def test_rows_made_by_hand():
+    p = keyed.parse_type(KIND)
+    want = [{"k": 5, "s": "ab"}, {"k": 300, "s": None}, {"k": -1, "s": "é"}]
+    for cuts in ([PLAIN], [PLAIN[:3], PLAIN[3:9], PLAIN[9:]], [PLAIN[k : k + 1] for k in range(len(PLAIN))]):
+        assert list(keyed.rows_of(by_hand(cuts), p)) == want
+    fixed = b"\1\0\5\0\0\0\2\0\0\0ab" + b"\0\0" + b"\1\1\x2c\1\0\0"
+    assert list(keyed.rows_of(by_hand([fixed[:7], fixed[7:]]), p, fixed=True)) == want[:2]
+    with pytest.raises(EOFError):
+        list(keyed.rows_of(by_hand([PLAIN[:4]]), p))
+    with pytest.raises(ValueError):
+        list(keyed.rows_of(by_hand([PLAIN]), p, limits=keyed.Limits(binary=1)))
+    with pytest.raises(ValueError):
+        keyed.encoder(p, keyed.Limits(binary=1))(bytearray(), {"k": 1, "s": "ab"})
+    blocks = keyed.Blocks(by_hand([PLAIN[:3], PLAIN[3:9], PLAIN[9:]]))
+    assert [blocks.holding(x) for x in (0, 2, 3, 8, 9)] == [0, 0, 1, 1, 2]
+    with pytest.raises(ValueError):
+        keyed.fixed_numbers({"name": "LZ4BlockBufferSpec"})
+
+
+def test_lookup_by_index(spark, tmp_path):
+    """A table and a tree of two levels made by hand; a lookup goes down the tree to the row's place."""
+    leb = keyed.BUFFERS
+    number = lambda x: bytes([x])  # noqa: E731  below 128
+    leaf = "+EBaseStruct{first_idx:+EInt64,keys:+EArray[+EBaseStruct{key:+EBaseStruct{k:+EInt32},offset:+EInt64,annotation:+EBaseStruct{}}]}"
+    inner = "+EBaseStruct{children:+EArray[+EBaseStruct{index_file_offset:+EInt64,first_idx:+EInt64,first_key:+EBaseStruct{k:+EInt32},first_record_offset:+EInt64,first_annotation:+EBaseStruct{}}]}"
+    keys = [3, 5, 8, 9, 20]
+    rows, places = b"", []
+    for k in keys:
+        places.append(len(rows))
+        rows += b"\1\0" + number(k) + b"\2k" + str(k)[:1].encode()
+    entry = lambda k, at: number(k) + number(at)
+    one = b"\0" + number(0) + number(2) + entry(3, places[0]) + entry(5, places[1])
+    two = b"\0" + number(2) + number(3) + b"".join(entry(k, p) for k, p in zip(keys[2:], places[2:]))
+    first = by_hand([one + two])
+    # The leaves stand in the first block, the second of them by its place in it; the root is a block of its own.
+    put = bytearray()
+    keyed.put_number(put, len(one), 64)
+    root = b"\1" + number(2) + number(0) + number(0) + number(3) + number(0) + bytes(put) + number(2) + number(8) + number(places[2])
+    table = tmp_path / "i.ht"
+    for name in ("rows/parts", "index/part-a.idx"):
+        (table / name).mkdir(parents=True)
+    (table / "rows/parts/part-a").write_bytes(by_hand([rows[:7], rows[7:20], rows[20:] + b"\0"]))
+    (table / "index/part-a.idx/index").write_bytes(first + by_hand([root]))
+    meta = {"fileVersion": 1, "branchingFactor": 2, "height": 2, "keyType": "", "annotationType": "", "nKeys": 5, "indexPath": "index", "rootOffset": len(first), "attributes": {}}
+    (table / "index/part-a.idx/metadata.json.gz").write_bytes(gzip.compress(json.dumps(meta).encode()))
+    codec = lambda kind: {"name": "TypedCodecSpec", "_eType": kind, "_vType": "", "_bufferSpec": leb}
+    spec = {"name": "OrderedRVDSpec2", "_key": ["k"], "_codecSpec": codec(KIND), "_indexSpec": {"_relPath": "../index", "_leafCodec": codec(leaf), "_internalNodeCodec": codec(inner)}, "_partFiles": ["part-a"], "_jRangeBounds": [{"start": {"k": 3}, "end": {"k": 20}, "includeStart": True, "includeEnd": True}], "_attrs": {}}
+    (table / "rows/metadata.json.gz").write_bytes(gzip.compress(json.dumps(spec).encode()))
+    assert [r.k for r in keyed.read(spark, str(table), ordered=True).collect()] == keys
+    for k in keys:
+        assert keyed.lookup(spark, str(table), k=k).collect() == [(k, "k" + str(k)[:1])]
+    for k in (2, 4, 10, 21):
+        assert keyed.lookup(spark, str(table), k=k).collect() == []
+    assert keyed.info(spark, str(table)).first().indexed
+
+
+def test_keyed_write_replaces_and_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "w.ht")
+    keyed.write(spark.range(50).selectExpr("id as k"), f"file://{path}", ["k"], partitions=4)
+    keyed.write(spark.range(7).selectExpr("id as k", "'a\\nb' as s"), path, ["k"], partitions=2)
+    assert sorted(r.k for r in keyed.read(spark, f"file://{path}").collect()) == list(range(7))
+    left = sorted(p.name for p in (tmp_path / "w.ht").iterdir() if not p.name.endswith(".crc"))
+    assert left == ["_SUCCESS", "globals", "rows"]
+
+
 def test_type_text():
     text = "+EBaseStruct{a:+EInt32,`odd name`:EArray[+EBinary],s:EBaseStruct{x:EFloat64}}"
     assert keyed.type_text(keyed.parse_type(text)) == text
