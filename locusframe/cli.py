@@ -1,4 +1,4 @@
-"""Command line: query, summary, info, export, validate, schema, loci, locus, manhattan, batch, serve."""
+"""Command line: query, summary, info, export, validate, schema, loci, locus, manhattan, batch, ingest, serve."""
 
 from __future__ import annotations
 
@@ -9,15 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.functions import predicates
-from locusframe.operators import intervals, joins, loci, manhattan, schema, stats
+from locusframe.operators import intervals, joins, loci, manhattan, sampling, schema, stats
 from locusframe.session import session
 from locusframe.sources import keyed, sinks, tables, vcf
 
 
+#: Intervals up to which these are told to sources, which then open only what can hold them.
+TOLD = 1000
+
+
 def chosen(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    df = predicates.where(tables.open_path(spark, a.table), *a.where, mode=a.mode)
     given = [intervals.from_text(spark, *a.interval)] if a.interval else []
     given += [intervals.read(spark, f) for f in a.intervals_file]
+    # Conditions as the source may use them; in the other mode nulls pass, which bounds do not tell.
+    ranges = predicates.key_ranges(*a.where) if a.mode == "sql" else []
+    few = [tuple(r) for r in intervals.union(*given).limit(TOLD + 1).collect()] if given else []
+    near = few if given and len(few) <= TOLD else None
+    df = predicates.where(tables.open_path(spark, a.table, ranges, near), *a.where, mode=a.mode)
     if given:
         nested = "locus" in df.columns
         work = df.withColumns({"_contig_": df["locus.contig"], "_position_": df["locus.position"]}) if nested else df
@@ -26,14 +34,29 @@ def chosen(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return df if a.limit is None else df.limit(a.limit)
 
 
+def printed(df: DataFrame) -> None:
+    """All rows as JSON lines, partition by partition."""
+    for r in sinks.json_lines(df).toLocalIterator():
+        print(r.json)
+
+
 def renamed_assets(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("ancestry_group", "ancestry")
 
 
+def summary(df: DataFrame) -> None:
+    """Q2: the number of rows, the sizes of partitions, the schema, and statistics of every field."""
+    sizes = df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("rows"))
+    told = stats.partition_sizes(sizes, "rows").withColumnsRenamed({"n": "partitions", "total": "rows"})
+    printed(told)
+    print(schema.tree_text(df.schema))
+    printed(stats.field_statistics(df).orderBy("path"))
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="locusframe")
     sub = top.add_subparsers(dest="command", required=True)
-    for name in ("query", "summary", "info", "export", "validate", "schema", "loci", "locus", "manhattan", "batch", "serve"):
+    for name in ("query", "summary", "info", "export", "validate", "schema", "loci", "locus", "manhattan", "batch", "ingest", "serve"):
         p = sub.add_parser(name)
         p.add_argument("table")
         p.add_argument("--where", action="append", default=[])
@@ -42,15 +65,26 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--limit", type=int)
         p.add_argument("--mode", choices=("sql", "compat"), default="sql")
         if name == "export":
-            p.add_argument("--to", choices=("parquet", "json", "vcf", "ht"), required=True)
-            p.add_argument("--output", required=True)
+            p.add_argument("--to", choices=("parquet", "json", "vcf", "ht", "clickhouse", "bigquery"), required=True)
+            p.add_argument("--output", required=True, help="a path; for clickhouse the end point's URL")
+            p.add_argument("--name", help="the table's name in the other system")
+            p.add_argument("--compression", choices=("none", "gzip"), default="none")
             p.add_argument("--shards", type=int)
             p.add_argument("--group-by", action="append", default=[])
             p.add_argument("--key", action="append", default=[])
         if name == "validate":
             p.add_argument("--schema", required=True)
+            p.add_argument("--sample", type=int, help="so many rows, chosen by a hash of the keys")
+            p.add_argument("--key", action="append", default=[])
+            p.add_argument("--seed", type=int, default=42)
+            p.add_argument("--fail-fast", action="store_true")
+            p.add_argument("--errors", type=int, default=0, help="print so many rows that break a rule")
         if name == "serve":
             p.add_argument("--port", type=int, default=8080)
+        if name == "ingest":
+            p.add_argument("--phenotype", required=True)
+            p.add_argument("--ancestry", default="")
+            p.add_argument("--output", required=True)
         if name == "manhattan":
             p.add_argument("--phenotype", required=True)
             p.add_argument("--ancestry", default="")
@@ -69,10 +103,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     a = parser().parse_args(argv)
     spark = spark or session()
     if a.command == "info":
-        (keyed.info(spark, a.table) if a.table.rstrip("/").endswith(".ht") else stats.file_sizes(tables.open_path(spark, a.table))).show(truncate=False)
+        printed(keyed.info(spark, a.table) if a.table.rstrip("/").endswith(".ht") else stats.file_sizes(tables.open_path(spark, a.table)))
         return
     if a.command == "batch":
-        manhattan.batch_plan(renamed_assets(tables.assets(spark, a.table))).show(1000, truncate=False)
+        printed(manhattan.batch_plan(renamed_assets(tables.assets(spark, a.table))))
+        return
+    if a.command == "ingest":
+        printed(sinks.ingest(spark, a.table, a.output, a.phenotype, a.ancestry))
         return
     if a.command == "serve":
         from locusframe.server import serve
@@ -80,19 +117,25 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         serve(spark, a.port).serve_forever()
     df = chosen(spark, a)
     if a.command == "query":
-        for r in sinks.json_lines(df).toLocalIterator():
-            print(r.json)
+        printed(df)
     elif a.command == "summary":
-        stats.field_statistics(df).orderBy("path").show(1000, truncate=60)
+        summary(df)
     elif a.command == "schema":
         print(json.dumps(schema.generate(df.schema), indent=2))
     elif a.command == "validate":
         with open(a.schema, encoding="utf-8") as f:
-            schema.validation_counts(df, json.load(f)).show()
+            rules = json.load(f)
+        keys = a.key or df.columns
+        some = df if a.sample is None else sampling.sample_rows(df, a.sample, keys, a.seed)
+        if a.fail_fast:
+            schema.check(some, rules)
+        if a.errors:
+            printed(schema.first_errors(some, rules, keys, a.errors))
+        printed(schema.validation_counts(some, rules))
     elif a.command == "loci":
-        loci.loci(df, strategy=a.strategy, threshold=a.threshold, window=a.window).orderBy("lead_pvalue").show(1000, truncate=False)
+        printed(loci.loci(df, strategy=a.strategy, threshold=a.threshold, window=a.window).orderBy("lead_pvalue"))
     elif a.command == "locus":
-        manhattan.locus_variants(df, intervals.from_text(spark, *a.interval)).orderBy("pvalue").show(1000, truncate=False)
+        printed(manhattan.locus_variants(df, intervals.from_text(spark, *a.interval)).orderBy("pvalue"))
     elif a.command == "manhattan":
         given = lambda path: tables.open_path(spark, path) if path else None
         made = manhattan.pipeline(df, None, given(a.genes), given(a.annotations), a.phenotype, a.ancestry, threshold=a.threshold, window=a.window, strategy=a.strategy)
@@ -103,7 +146,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.to == "json":
         sinks.ndjson(df, a.output, a.group_by)
     elif a.to == "vcf":
-        vcf.write(df, a.output)
+        vcf.write(df, a.output, a.compression)
+    elif a.to == "clickhouse":
+        print(json.dumps({"table": a.name, "rows": sinks.clickhouse(df, a.output, a.name, a.key)}))
+    elif a.to == "bigquery":
+        print(json.dumps(sinks.bigquery(df, a.output, a.name)))
     else:
         keyed.write(df, a.output, a.key, a.shards)
 

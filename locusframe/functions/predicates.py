@@ -122,6 +122,12 @@ def condition(df: DataFrame, c: Clause, mode: str = "sql") -> Column:
     return made
 
 
+def key_ranges(*conditions: str) -> list[KeyRange]:
+    """the conditions that are ranges, for pruning; others stay with :func:`where`."""
+    made = [clause(p) for text in conditions for p in re.split(r"\s+AND\s+", text, flags=re.I)]
+    return [KeyRange.of(".".join(c.path), c.op, c.value) for c in made if c.op != "!="]
+
+
 def where(df: DataFrame, *conditions: str, mode: str = "sql") -> DataFrame:
     """rows that meet all conditions; each may join several by AND."""
     parts = [p for text in conditions for p in re.split(r"\s+AND\s+", text, flags=re.I)]

@@ -63,7 +63,14 @@ def handler(spark: SparkSession) -> type[BaseHTTPRequestHandler]:
 
                 self.send("text/event-stream", events())
             else:
-                self.send("application/json", ["[" + ",".join(rows) + "]"])
+
+                def array():
+                    yield "["
+                    for i, r in enumerate(rows):
+                        yield ("," if i else "") + r
+                    yield "]"
+
+                self.send("application/json", array())
 
     return Handler
 

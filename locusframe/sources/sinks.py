@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import json
 import math
+import urllib.parse
+import urllib.request
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MODES = {"create": "errorifexists", "replace": "overwrite", "append": "append"}
 
-#: Keys of the warehouse's tables.
+# Fixed values (K13): keys of the warehouse's tables.
 WAREHOUSE_KEYS = {
     "loci": ["phenotype", "ancestry", "locus_id"],
     "loci_variants": ["phenotype", "ancestry", "locus_id", "xpos", "ref", "alt"],
@@ -23,6 +26,11 @@ WAREHOUSE_KEYS = {
 }
 
 
+#: The time of a row's load.
+LOADED = "_loaded_at"
+SEQUENCING = ("exome", "genome")
+
+
 def parquet(df: DataFrame, path: str, shards: int | None = None, init: str = "create", row_group: int = 100_000) -> None:
     """K1 (one shard), K2, K3: files of zstd-compressed row groups."""
     out = df if shards is None else df.coalesce(1) if shards == 1 else df.repartition(shards)
@@ -62,11 +70,63 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def warehouse(tables: dict[str, DataFrame], path: str, init: str = "append") -> None:
-    """Tables below a folder, by phenotype."""
+    """Tables below a folder, by phenotype.
+
+    Rows carry the time of their load; :func:`read_warehouse` shows of each key
+    the last one loaded, so that loading a phenotype again replaces its rows.
+    """
     for name, df in tables.items():
         if name not in WAREHOUSE_KEYS:
             raise ValueError(f"not a warehouse table: {name}")
-        df.write.mode(MODES[init]).partitionBy("phenotype").parquet(f"{path}/{name}")
+        stamped = df.drop(LOADED).withColumn(LOADED, F.current_timestamp())
+        stamped.write.mode(MODES[init]).partitionBy("phenotype").parquet(f"{path}/{name}")
+
+
+def read_warehouse(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table with one row for each key, the last loaded."""
+    df = spark.read.parquet(f"{path}/{name}")
+    keys = [k for k in WAREHOUSE_KEYS[name] if k in df.columns]
+    return last_per_key(df, keys, [LOADED]).drop(LOADED)
+
+
+def insert_chunks(df: DataFrame, url: str, table: str, rows: int = 25_000, partitions: int = 8) -> None:
+    """K8, K9: rows as JSON lines to a column store's HTTP end point, sent by the executors."""
+    query = urllib.parse.urlencode({"query": f"INSERT INTO {table} FORMAT JSONEachRow"})
+
+    def send(chunk: list[dict]) -> None:
+        data = "\n".join(r["json"] for r in chunk).encode()
+        with urllib.request.urlopen(urllib.request.Request(f"{url}/?{query}", data=data), timeout=600) as answer:
+            answer.read()
+
+    post_chunks(json_lines(df), send, rows, partitions)
+
+
+def clickhouse(df: DataFrame, url: str, table: str, keys: list[str]) -> int:
+    """K8: create the table, load the rows, and compare the counts; how many rows there are."""
+    from locusframe.operators.schema import clickhouse_ddl
+
+    def ask(text: str) -> str:
+        with urllib.request.urlopen(urllib.request.Request(url, data=text.encode()), timeout=600) as answer:
+            return answer.read().decode()
+
+    ask(clickhouse_ddl(table, df.schema, keys))
+    before = int(ask(f"SELECT count() FROM {table}").strip() or 0)
+    insert_chunks(df, url, table)
+    found, wanted = int(ask(f"SELECT count() FROM {table}").strip()) - before, df.count()
+    if found != wanted:
+        raise OSError(f"{table} has {found} new rows of {wanted}")
+    return found
+
+
+def bigquery(df: DataFrame, path: str, table: str) -> dict:
+    """Rows as Parquet below a folder, and beside them the job that loads them; the job's text."""
+    from locusframe.operators.schema import bigquery_schema
+    from locusframe.sources.keyed import Folder
+
+    parquet(df, f"{path}/rows")
+    job = {"load": {"sourceUris": [f"{path}/rows/*.parquet"], "sourceFormat": "PARQUET", "writeDisposition": "WRITE_APPEND", "destinationTable": table, "schema": {"fields": bigquery_schema(df.schema)}}}
+    Folder(df.sparkSession, path).put("job.json", json.dumps(job, indent=2).encode())
+    return job
 
 
 def post_chunks(df: DataFrame, send: Callable[[list[dict]], None], rows: int = 25_000, partitions: int = 8) -> None:
@@ -85,6 +145,39 @@ def post_chunks(df: DataFrame, send: Callable[[list[dict]], None], rows: int = 2
     df.coalesce(partitions).foreachPartition(run)
 
 
+def ingest(spark: SparkSession, base: str, path: str, phenotype: str, ancestry: str) -> DataFrame:
+    """Q11: the outputs of one phenotype into the warehouse; one row for each step with its number of rows.
+
+    Steps: the manifest, loci, plots, significant variants of each sequencing
+    type, variants of loci, gene associations, QQ points of each type.  A step
+    without a file adds nothing; without a manifest there is nothing to take in.
+    """
+    from locusframe.sources.keyed import Folder
+
+    folder = Folder(spark, base)
+    if not folder.fs.exists(folder.at("manifest.json")):
+        raise FileNotFoundError(f"{base}/manifest.json")
+    whole = spark.read.text(f"{base}/manifest.json", wholetext=True)
+    known = json.loads(whole.first().value)
+    named = {"phenotype": F.lit(phenotype), "ancestry": F.lit(ancestry)}
+    steps: list[tuple[str, DataFrame]] = []
+    if known.get("loci"):
+        steps.append(("loci", spark.createDataFrame(known["loci"]).withColumns(named)))
+    if known.get("plots"):
+        steps.append(("phenotype_plots", spark.createDataFrame([{"plot_type": k, "gcs_uri": u} for k, u in sorted(known["plots"].items())]).withColumns(named)))
+    files = [("significant_variants", f"{kind}_significant.parquet", kind) for kind in SEQUENCING]
+    files += [("loci_variants", "loci_variants.parquet", None), ("gene_associations", "gene_associations.parquet", None)]
+    files += [("qq_points", f"qq_{kind}.parquet", kind) for kind in SEQUENCING]
+    for table, name, kind in files:
+        if folder.fs.exists(folder.at(name)):
+            df = spark.read.parquet(f"{base}/{name}").withColumns(named)
+            steps.append((table, df.withColumn("sequencing_type", F.lit(kind)) if kind else df))
+    for table, df in steps:
+        warehouse({table: df}, path)
+    counts = [df.agg(F.lit(i).alias("step"), F.lit(t).alias("table"), F.count("*").alias("rows")) for i, (t, df) in enumerate(steps)]
+    return reduce(lambda a, b: a.unionByName(b), counts).orderBy("step") if counts else spark.createDataFrame([], "step int, table string, rows long")
+
+
 def manifest(counts: DataFrame, **head) -> str:
     """A small table of aggregates as a JSON document."""
     return json.dumps(head | {"rows": [r.asDict(recursive=True) for r in counts.collect()]}, default=str, sort_keys=True)

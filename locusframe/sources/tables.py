@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusframe.functions.predicates import KeyRange
 from locusframe.sources import keyed, vcf
 
 
-def open_path(spark: SparkSession, path: str) -> DataFrame:
-    """By suffix: variant-call text, keyed table, or what Spark reads itself."""
+def open_path(spark: SparkSession, path: str, ranges: list[KeyRange] = (), intervals: list[tuple[str, int, int]] | None = None) -> DataFrame:
+    """By suffix: variant-call text, keyed table, or what Spark reads itself.
+
+    Ranges and intervals tell what is wanted, so that parts that cannot hold it
+    are not opened; callers filter the rows themselves.
+    """
     if path.endswith((".vcf", ".vcf.gz", ".vcf.bgz")):
-        return vcf.read(spark, path)
+        return vcf.read(spark, path, intervals)
     if path.rstrip("/").endswith(".ht"):
-        return keyed.read(spark, path.rstrip("/"))
+        return keyed.read(spark, path.rstrip("/"), ranges, intervals)
     for suffix, kind in ((".json", "json"), (".ndjson", "json"), (".orc", "orc"), (".csv", "csv")):
         if path.endswith(suffix):
             return spark.read.format(kind).load(path)

@@ -1,7 +1,9 @@
 """Variant-call text files as typed rows, and back.
 
 Lines are read by Spark's text source, so that compressed and remote files need
-nothing more; the header is a few lines and shapes the schema.
+nothing more; the header is a few lines and shapes the schema.  Regions are
+compared on the first two fields of a line, before the others are parsed; a
+region index of a compressed file is not used, as Spark hands out whole files.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import re
 import struct as st
 import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,13 +74,36 @@ def _scalar(text: Column, kind: T.DataType) -> Column:
     return there if isinstance(kind, T.StringType) else there.try_cast(kind)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """``locus``, ``alleles``, ``rsid``, ``qual``, ``filters``, ``info`` and, with samples, ``genotypes``."""
+def head_of(lines: DataFrame) -> list[str]:
+    """The header's lines, which a file starts with; no more of it is read than its first partitions."""
+    n = 256
+    while True:
+        got = [r.value for r in lines.take(n)]
+        if len(got) < n or any(not x.startswith("#") for x in got):
+            return [x for x in got if x.startswith("#")]
+        n *= 4
+
+
+def read(spark: SparkSession, path: str, intervals: list[tuple[str, int, int]] | None = None, by_contig: bool = False) -> DataFrame:
+    """``locus``, ``alleles``, ``rsid``, ``qual``, ``filters``, ``info`` and, with samples, ``genotypes``.
+
+    S8: with ``intervals`` (contig, start, end), rows within any of them.  S9: on
+    demand with every contig's rows in a partition of its own, in order of place.
+    """
     lines = spark.read.text(path)
-    # Header lines only: a few, whatever the size of the file.
-    h = header([r.value for r in lines.where(F.col("value").startswith("#")).collect()])
+    h = header(head_of(lines))
+    texts = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0))
+    if intervals is not None:
+        front = F.split(F.col("value"), "\t", 3)
+        contig, position = front[0], front[1].cast("int")
+        within = [(contig == c) & position.between(a, b) for c, a, b in intervals]
+        texts = texts.where(reduce(lambda x, y: x | y, within, F.lit(False)))
+    if by_contig:
+        front = F.split(F.col("value"), "\t", 3)
+        contigs = max(1, len(h.contigs))
+        texts = texts.repartition(contigs, front[0]).sortWithinPartitions(front[0], front[1].cast("int"))
     part = F.split(F.rtrim(F.col("value")), "\t")
-    rows = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0)).select(part.alias("p"))
+    rows = texts.select(part.alias("p"))
     col = {n: F.get(F.col("p"), i) for i, n in enumerate(FIXED)}
     known = F.when(col["INFO"] != ".", F.str_to_map(col["INFO"], F.lit(";"), F.lit("=")))
 
@@ -109,7 +135,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*out)
 
 
-def header_lines(schema: T.StructType, contigs: list[str] = ()) -> list[str]:
+def call_fields(schema: T.StructType) -> list[T.StructField]:
+    """Fields of a genotype but for its sample's name; GT comes first, as the format has it."""
+    if "genotypes" not in schema.names:
+        return []
+    fields = [f for f in schema["genotypes"].dataType.elementType.fields if f.name != "sample_id"]
+    return sorted(fields, key=lambda f: f.name != "GT")
+
+
+def header_lines(schema: T.StructType, contigs: list[str] = (), samples: list[str] = ()) -> list[str]:
     """K6: a header that fits the rows' schema."""
     names = {T.IntegerType: "Integer", T.LongType: "Integer", T.FloatType: "Float", T.DoubleType: "Float", T.BooleanType: "Flag"}
 
@@ -124,12 +158,12 @@ def header_lines(schema: T.StructType, contigs: list[str] = ()) -> list[str]:
     out += [f"##contig=<ID={c}>" for c in contigs]
     if "info" in schema.names:
         out += [line("INFO", f) for f in schema["info"].dataType.fields]
-    last = "#" + "\t".join(FIXED[:8])
-    return [*out, last]
+    out += [line("FORMAT", f) for f in call_fields(schema)]
+    return [*out, "#" + "\t".join([*FIXED[:8], *(["FORMAT", *samples] if samples else [])])]
 
 
-def record(schema: T.StructType) -> Column:
-    """K6: a row as a line; genotypes are left out."""
+def record(schema: T.StructType, samples: list[str] = ()) -> Column:
+    """K6: a row as a line, with a call of every sample given; a sample that the row lacks is missing."""
     names = schema.names
 
     def text(value: Column, kind: T.DataType) -> Column:
@@ -148,8 +182,15 @@ def record(schema: T.StructType) -> Column:
                 parts.append(F.when(v.isNotNull(), F.concat(F.lit(f.name + "="), text(v, f.dataType))))
         joined = F.concat_ws(";", *parts)
         info = F.when(joined == "", ".").otherwise(joined)
-    alt = F.array_join(F.slice("alleles", 2, 10_000), ",")
+    alt = F.array_join(F.slice("alleles", 2, F.greatest(F.size("alleles"), F.lit(1))), ",")
     get = lambda n: F.col(n) if n in names else F.lit(None)
+    calls = []
+    if samples:
+        fields = call_fields(schema)
+        dot = lambda x: F.coalesce(x, F.lit("."))
+        one = lambda g: F.concat_ws(":", *[dot(F.nullif(text(g.getField(f.name), f.dataType), F.lit(""))) for f in fields])
+        known = F.map_from_entries(F.transform(F.coalesce("genotypes", F.array().cast(schema["genotypes"].dataType)), lambda g: F.struct(g["sample_id"], one(g))))
+        calls = [F.lit(":".join(f.name for f in fields)), *[dot(F.try_element_at(known, F.lit(s))) for s in samples]]
     filters = F.when(F.size("filters") == 0, "PASS").otherwise(F.array_join("filters", ";")) if "filters" in names else F.lit(None)
     return F.concat_ws(
         "\t",
@@ -161,15 +202,23 @@ def record(schema: T.StructType) -> Column:
         F.coalesce(get("qual").cast("string"), F.lit(".")),
         F.coalesce(filters.cast("string"), F.lit(".")),
         info,
+        *calls,
     )
 
 
-def write(df: DataFrame, path: str, compression: str = "none") -> None:
-    """One text file in a folder: header first, then rows by contig and position."""
+def write(df: DataFrame, path: str, compression: str = "none", samples: list[str] | None = None) -> None:
+    """One text file in a folder: header first, then rows by contig and position.
+
+    Samples are those given, or those of the genotypes of any row, by name.
+    """
     spark = df.sparkSession
     contigs = [r[0] for r in df.select("locus.contig").distinct().orderBy("contig").collect()]
-    head = spark.createDataFrame([("\n".join(header_lines(df.schema, contigs)),)], "value string")
-    rows = df.orderBy("locus.contig", "locus.position", "alleles").select(record(df.schema).alias("value"))
+    if samples is None and call_fields(df.schema):
+        # One name a sample: a line of the header.
+        samples = [r[0] for r in df.select(F.explode("genotypes.sample_id").alias("s")).where("s is not null").distinct().orderBy("s").collect()]
+    samples = samples or []
+    head = spark.createDataFrame([("\n".join(header_lines(df.schema, contigs, samples)),)], "value string")
+    rows = df.orderBy("locus.contig", "locus.position", "alleles").select(record(df.schema, samples).alias("value"))
     head.coalesce(1).union(rows).coalesce(1).write.option("compression", compression).text(path)
 
 

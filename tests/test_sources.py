@@ -179,6 +179,80 @@ def test_vcf_round_trip(spark, tmp_path):
     assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
 
 
+def test_vcf_with_genotypes_and_regions(spark, tmp_path):
+    (tmp_path / "a.vcf").write_text(VCF)
+    df = vcf.read(spark, str(tmp_path / "a.vcf"))
+    vcf.write(df, str(tmp_path / "out"), compression="gzip")
+    back = vcf.read(spark, str(tmp_path / "out"))
+    assert back.schema == df.schema
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
+    places = lambda **how: [tuple(r.locus) for r in vcf.read(spark, str(tmp_path / "a.vcf"), **how).collect()]
+    assert places(intervals=[("chr1", 15, 30), ("chr2", 1, 5)]) == [("chr1", 20), ("chr2", 5)] and places(intervals=[]) == []
+    assert sorted(places(by_contig=True)) == [("chr1", 10), ("chr1", 20), ("chr2", 5)]
+    many = df.selectExpr("locus", "transform(sequence(1, 12000), x -> concat('A', x)) as alleles").limit(1)
+    line = many.select(vcf.record(many.schema).alias("x")).first().x
+    assert line.split("\t")[4].count(",") == 11_998 and line.split("\t")[4].endswith("A12000")
+    assert len(vcf.head_of(spark.createDataFrame([(f"##x={i}",) for i in range(600)] + [("#CHROM",), ("chr1\t5",)], "value string").coalesce(1))) == 601
+
+
+def test_warehouse_shows_the_last_load(spark, tmp_path):
+    rows = lambda p: spark.createDataFrame([("h", "eur", "1_5_9", p), ("h", "eur", "1_20_30", 0.5)], "phenotype string, ancestry string, locus_id string, lead_pvalue double")
+    for p in (0.1, 0.2):
+        sinks.warehouse({"loci": rows(p)}, str(tmp_path / "w"))
+    out = sinks.read_warehouse(spark, str(tmp_path / "w"), "loci")
+    assert sorted((r.locus_id, r.lead_pvalue) for r in out.collect()) == [("1_20_30", 0.5), ("1_5_9", 0.2)] and "_loaded_at" not in out.columns
+
+
+def test_ingest_steps(spark, tmp_path):
+    base = tmp_path / "h"
+    base.mkdir()
+    with pytest.raises(FileNotFoundError):
+        sinks.ingest(spark, str(base), str(tmp_path / "w"), "h", "eur")
+    (base / "manifest.json").write_text(json.dumps({"loci": [{"locus_id": "1_5_9", "lead_pvalue": 1e-9}], "plots": {"manhattan": "u.png", "qq": "v.png"}}))
+    spark.createDataFrame([(5, "A", "C", 1e-9)], "xpos long, ref string, alt string, pvalue double").write.parquet(str(base / "exome_significant.parquet"))
+    spark.createDataFrame([("g", "a", 0.1)], "gene_id string, annotation string, max_maf double").write.parquet(str(base / "gene_associations.parquet"))
+    spark.createDataFrame([("chr1", 5, "A", "C")] * 3, "contig string, position int, ref string, alt string").write.parquet(str(base / "qq_genome.parquet"))
+    for _ in range(2):
+        told = [(r.table, r.rows) for r in sinks.ingest(spark, str(base), str(tmp_path / "w"), "h", "eur").collect()]
+    assert told == [("loci", 1), ("phenotype_plots", 2), ("significant_variants", 1), ("gene_associations", 1), ("qq_points", 3)]
+    assert sinks.read_warehouse(spark, str(tmp_path / "w"), "phenotype_plots").count() == 2
+    assert sinks.read_warehouse(spark, str(tmp_path / "w"), "significant_variants").first().sequencing_type == "exome"
+
+
+def test_column_store(spark, tmp_path):
+    """Rows go to an end point in chunks, sent by tasks; a count that differs is an error."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    seen, stuck = [], []
+
+    class Store(BaseHTTPRequestHandler):
+        def log_message(self, *_):
+            pass
+
+        def do_POST(self):  # noqa: N802
+            body = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            if "INSERT" in self.path:
+                seen.extend(body.splitlines())
+            answer = str(stuck[0] if stuck else len(seen)) if body.startswith("SELECT") else ""
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(answer.encode())
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Store)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    df = spark.range(2500).selectExpr("id", "if(id = 7, double('nan'), 0.5) as x").repartition(3)
+    assert sinks.clickhouse(df, url, "d.t", ["id"]) == 2500
+    assert sorted(json.loads(x)["id"] for x in seen) == list(range(2500)) and '{"id":7,"x":null}' in seen
+    stuck.append(len(seen))
+    with pytest.raises(OSError):
+        sinks.clickhouse(df, url, "d.t", ["id"])
+    server.shutdown()
+    job = sinks.bigquery(df, str(tmp_path / "b"), "p.d.t")
+    assert spark.read.parquet(str(tmp_path / "b" / "rows")).count() == 2500 and json.loads((tmp_path / "b" / "job.json").read_text()) == job
+
+
 def test_ndjson(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan"), [1.0, float("inf")]), (2, 0.5, None)], "k int, x double, xs array<double>")
     sinks.ndjson(df, str(tmp_path / "j"))
@@ -215,6 +289,42 @@ def test_cli(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out) == {"id": 1, "contig": "chr1", "position": 5}
 
 
+def test_cli_commands(spark, tmp_path, capsys):
+    from locusframe import cli
+
+    def run(*args):
+        cli.main([str(x) for x in args], spark)
+        return capsys.readouterr().out
+
+    path = tmp_path / "t.parquet"
+    spark.range(3000).selectExpr("id", "concat('chr', id % 3) as contig", "int(id) as position").write.parquet(str(path))
+    lines = run("summary", path).splitlines()
+    assert json.loads(lines[0])["rows"] == 3000 and "contig: string" in lines[2] and json.loads(lines[-1])["count"] == 3000
+    (tmp_path / "s.json").write_text(json.dumps({"type": "object", "properties": {"position": {"type": "integer", "minimum": 1000}}}))
+    assert json.loads(run("validate", path, "--schema", tmp_path / "s.json")) == {"scanned": 3000, "valid": 2000, "invalid": 1000}
+    some = [run("validate", path, "--schema", tmp_path / "s.json", "--sample", 100, "--key", "id", "--seed", 5, "--errors", 2).splitlines() for _ in range(2)]
+    assert some[0] == some[1] and len(some[0]) == 3 and json.loads(some[0][-1])["scanned"] == 100
+    with pytest.raises(ValueError):
+        run("validate", path, "--schema", tmp_path / "s.json", "--fail-fast")
+    assets = [{"ancestry_group": "eur", "analysis_id": f"a{i}", "uri": "u", "asset_type": "variant", "sequencing_type": "exome"} for i in range(1500)]
+    (tmp_path / "a.json").write_text(json.dumps(assets))
+    assert len(run("batch", tmp_path / "a.json").splitlines()) == 1500
+
+
+def test_cli_opens_only_parts_that_can_hold_a_row(spark, tmp_path, capsys, monkeypatch):
+    from locusframe import cli
+
+    path = str(tmp_path / "p.ht")
+    rows = spark.range(900).selectExpr("struct(concat('chr', 1 + id div 300) as contig, int(id % 300) as position) as locus", "id as n")
+    keyed.write(rows, path, ["locus"], partitions=6)
+    opened, prune = [], keyed.prune
+    monkeypatch.setattr(keyed, "prune", lambda *a: opened.append(prune(*a)) or opened[-1])
+    cli.main(["query", path, "--interval", "chr2:10-20", "--where", "n >= 312"], spark)
+    assert [json.loads(x)["n"] for x in capsys.readouterr().out.splitlines()] == list(range(312, 321)) and len(opened[-1]) <= 2
+    cli.main(["query", path, "--where", "locus.contig = chr3", "--where", "n < 603"], spark)
+    assert sorted(json.loads(x)["n"] for x in capsys.readouterr().out.splitlines()) == [600, 601, 602] and len(opened[-1]) <= 3
+
+
 def test_stream(spark, tmp_path):
     from locusframe.streaming import liveness
 
