@@ -7,11 +7,15 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_open: list[set[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
@@ -35,10 +39,25 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables made by :func:`cut` within go at the end, but for those taken out of the set given."""
+    made: set[str] = set()
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+    for path in made:
+        delete(spark, path)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which ends its lineage."""
     spark = df.sparkSession
     path = shared_path(spark, label)
+    for made in _open:
+        made.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_at = path
@@ -47,6 +66,8 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`cut` that nothing needs any more."""
+    for made in _open:
+        made.discard(df.shared_at)
     delete(df.sparkSession, df.shared_at)
 
 
@@ -58,7 +79,3 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def text_or_empty(name: str):
-    return F.coalesce(F.col(name), F.lit(""))

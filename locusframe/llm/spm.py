@@ -45,6 +45,8 @@ class PieceEncoder:
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        if sp.get_piece_size() > 1 << 16:
+            raise ValueError("pairs of pieces are numbers of 16 bits each")
         self.end = sp.eos_id()
         self.unknown = sp.unk_id()
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]

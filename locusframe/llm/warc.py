@@ -10,13 +10,15 @@
 3. *Archives*: every record gets fresh headers, and the records are written as
    gzip files to the shared folder by Spark's text writer, which commits whole
    tasks: a record ends in two line ends, which is the writer's line separator.
+   A file holds ``PER_FILE`` records at most, as it is read back as one value.
 4. *Reading*: archive files are inflated as a stream and cut into records by
    their Content-Length, never by searching for separators in payloads.  The
    digest of every response is verified.
 
 Defined cases: a null payload is empty; equal pages under one id are all
 responses if that id is the largest; a null id is never referred to while a
-page with an id has the same payload, and is written as ``null``; line ends and
+page with an id has the same payload, and is written as ``null`` and a name of
+its own; line ends and
 blanks in a url are escaped, a null url is written as ``urn:none``; other
 columns are ignored; an empty table gives no rows.
 """
@@ -36,6 +38,7 @@ from locusframe.llm.common import shared_path
 
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+PER_FILE = 10_000
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 KINDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
@@ -69,9 +72,10 @@ def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "payload", "n", "sha1", F.when(other, F.col("winner")).alias("refers_to"))
 
 
-def records(resolved: DataFrame, date: str) -> DataFrame:
-    """One column of WARC records, each without the two line ends that close it."""
-    name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
+def records(resolved: DataFrame, date: str | None = None) -> DataFrame:
+    """One column of WARC records, each without the two line ends that close it; dated now unless a date is given."""
+    name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.concat(F.lit("null:"), F.uuid())), F.lit(">"))
+    made = F.lit(date) if date else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     revisit = F.col("refers_to").isNotNull()
     url = F.regexp_replace(F.col("url"), "[\\x00-\\x20\\x7f]", "%20")
     http = F.concat(
@@ -85,7 +89,9 @@ def records(resolved: DataFrame, date: str) -> DataFrame:
         F.when(revisit, "revisit").otherwise("response"),
         F.lit(f"{END}WARC-Record-ID: "),
         name(F.col("page_id")),
-        F.lit(f"{END}WARC-Date: {date}{END}WARC-Target-URI: "),
+        F.lit(f"{END}WARC-Date: "),
+        made,
+        F.lit(f"{END}WARC-Target-URI: "),
         F.coalesce(url, F.lit("urn:none")),
         F.lit(f"{END}WARC-Payload-Digest: sha1:"),
         base32_of_hex(F.col("sha1")),
@@ -97,10 +103,10 @@ def records(resolved: DataFrame, date: str) -> DataFrame:
     return resolved.select(F.concat(head, block).alias("value"))
 
 
-def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", min_bytes: int = 0) -> None:
+def write(pages: DataFrame, path: str, date: str | None = None, min_bytes: int = 0) -> None:
     """Deduplicated archives in ``path``."""
     out = records(resolve(pages, min_bytes), date)
-    out.write.option("lineSep", END + END).option("compression", "gzip").text(path)
+    out.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 def parse(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -153,7 +159,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
     def number(name: str) -> int | None:
         value = name.removeprefix("<urn:x-page:").removesuffix(">")
-        return None if value == "null" else int(value)
+        return None if value.startswith("null") else int(value)
 
     names = [x.split()[0] for x in KINDS.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]

@@ -53,7 +53,7 @@ def test_topk_odd(spark):
 # Archives
 
 
-def test_warc(spark):
+def test_warc(spark, monkeypatch):
     rows = [(i, f"http://x/{i}", "<p>\r\n\r\nWARC/1.1\r\n" * (i % 3)) for i in range(1, 40)]
     rows += [(100, None, None), (101, "http://x/a b\r\nEvil: 1", "é日本"), (102, "u", "é日本"), (103, "u", "x" * 300_000), (None, "u", "é日本"), (None, "u", "alone")]
     df = spark.createDataFrame([(*x, "clash") for x in rows], "page_id long, url string, html string, refers_to string")
@@ -75,6 +75,11 @@ def test_warc(spark):
         assert r.payload == (b if first else None)
     loose = {(r.record_type, r.refers_to) for r in out if r.page_id is None}
     assert loose == {("revisit", 102), ("response", None)}
+    text = "".join(r.value for r in spark.read.option("lineSep", "\r\n").text(path).collect())
+    ids = re.findall(r"WARC-Record-ID: (<[^>]*>)", text)
+    assert len({i for i in ids if "null" in i}) == 2 and "1970" not in text
+    monkeypatch.setattr(warc, "PER_FILE", 5)
+    assert warc.read(spark, warc.archive(df.coalesce(1))).count() == len(rows)
     assert warc.read(spark, warc.archive(df, min_bytes=1000)).where("record_type = 'revisit'").count() == 0
     assert warc.read(spark, warc.archive(df.limit(0))).count() == 0
 
