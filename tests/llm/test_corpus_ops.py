@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -242,6 +243,12 @@ def test_simhash(spark):
     for (i, _), p, c in zip(rows, prints, comp):
         assert out[i] == (p, least[c]), i
     assert simhash.dedupe(df).count() == len(rows)
+    from locusframe.llm import queries
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(queries, "documents", lambda *_: df)
+        query = queries.QUERIES["op7_simhash"](spark, "").collect()
+    assert {x.doc_id: (int(x.fingerprint, 16), x.component_id) for x in query} == out and all(len(x.fingerprint) == 16 for x in query)
     lone = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (4, "a b c d"), (None, "other words here now")], "doc_id long, text string")
     assert sorted(str(x.component_id) for x in simhash.dedupe(lone).collect()) == ["4", "4", "4", "None"]
     assert simhash.dedupe(df.limit(0)).count() == 0
@@ -395,6 +402,42 @@ def test_suffix_ranks():
 # Pipeline
 
 
+def brute_passages(rows):
+    """Texts without words of a run of 51 that an earlier place has as well; rows in order of their ids."""
+    seen, left = set(), {}
+    for i, t in rows:
+        places = [m.span() for m in re.finditer(rb"\S+", (t or "").encode())]
+        raw, gone = (t or "").encode(), []
+        for k in range(len(places) - 50):
+            window = tuple(raw[a:b] for a, b in places[k : k + 51])
+            if window in seen:
+                gone.append((places[k][0], places[k + 50][1]))
+            seen.add(window)
+        inside = [k for k in range(len(raw)) if not any(a <= k < b for a, b in gone)]
+        raw = bytes(raw[k] for k in inside)
+        left[i] = None if t is None else raw.decode()
+    return left
+
+
+def brute_survivors(rows):
+    """Of groups linked by a five-word similarity of 0.8 the smallest id, and of equal rows one."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    links = []
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                links.append((a, b))
+    group = united(len(rows), links)
+    least = {}
+    for (i, _), g in zip(rows, group):
+        least[g] = min(least.get(g, i), i)
+    return sorted(set(least.values()))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
@@ -423,13 +466,22 @@ def test_pipeline(spark, tmp_path):
     left = ids("simhash_near_dedup")
     assert 0 in left and 200 not in left and 201 not in left and 400 in left and 401 not in left
     assert len(left) == len(set(left)) == 120 + 3 + 1
+    assert left == brute_survivors([(x.doc_id, x.text) for x in seen["toxicity"].collect()])
+    kept = sorted(((x.doc_id, x.text) for x in seen["simhash_near_dedup"].collect()), key=lambda x: x[0])
+    assert {x.doc_id: x.text for x in seen["suffix_array_dedup"].collect()} == brute_passages(kept)
     text = {x.doc_id: x for x in seen["suffix_array_dedup"].collect()}
     assert passage in text[300].text and passage not in text[301].text and text[301].n_chars == len(text[301].text)
     assert "a@b.org" not in "".join(x.text or "" for x in seen["pii"].collect())
     assert "[email]" in {x.doc_id: x.text for x in seen["pii"].collect()}[302]
     tokens = seen["packing"].groupBy("doc_id").sum("length").count()
     assert tokens == len(left)
+    from locusframe.llm.common import shared_dir
+
+    shared = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(shared))
     assert p.run(spark, str(tmp_path)).count() == seen["packing"].count()
+    # The last stage's input only is left.
+    assert [x.split("-")[0] for x in set(os.listdir(shared)) - before] == ["pii"]
 
 
 def test_similar_texts(spark):
@@ -504,22 +556,7 @@ def test_passages_by_words(spark, monkeypatch, hot):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = {x.doc_id: x.text for x in p.cut_repeats(spark, df, "").collect()}
 
-    def brute(rows):
-        seen, left = set(), {}
-        for i, t in rows:
-            places = [m.span() for m in re.finditer(rb"\S+", (t or "").encode())]
-            raw, gone = (t or "").encode(), []
-            for k in range(len(places) - 50):
-                window = tuple(raw[a:b] for a, b in places[k : k + 51])
-                if window in seen:
-                    gone.append((places[k][0], places[k + 50][1]))
-                seen.add(window)
-            inside = [k for k in range(len(raw)) if not any(a <= k < b for a, b in gone)]
-            raw = bytes(raw[k] for k in inside)
-            left[i] = None if t is None else raw.decode()
-        return left
-
-    assert out == brute(rows)
+    assert out == brute_passages(rows)
     assert len(short) < 256 < len(fifty) and short not in out[1] and out[2] == "" and fifty in out[3] and fifty in out[4] and "end" in out[6] and out[5] == spaced
 
 

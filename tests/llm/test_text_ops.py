@@ -489,3 +489,85 @@ def test_license_triggers_beside_underscores(spark):
             assert w not in re.findall(license_scan.TERM, line) or trigger.search(line), line
     df = spark.createDataFrame([(1, "a/x.txt", "mit_license"), (2, "b/x.txt", "x\n_mit_license_\ny")], "doc_id long, path string, text string")
     assert [x.license for x in license_scan.scan(df).orderBy("doc_id").collect()] == ["MIT", "MIT"]
+
+
+# The queries themselves
+
+
+def contract(name, df, monkeypatch, tables=""):
+    """A query over the given documents, in place of its own."""
+    from locusframe.llm import queries
+
+    monkeypatch.setattr(queries, "documents", lambda *_: df)
+    return queries.QUERIES[name](df.sparkSession, tables).collect()
+
+
+def test_query_sentencepiece(spark, monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    out = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in contract("op5_sentencepiece", docs(spark, ODD), monkeypatch)}
+    want = set()
+    for i, t in ODD:
+        ids = sp.encode(t or "", add_eos=True)
+        want.add((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
+    assert out == want
+
+
+def test_query_pii(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, "".join(r.choice("0123456789" * 2 + ".. -@+()aZé😀") for _ in range(r.randint(0, 150)))) for i in range(400)] + [(1000 + k, t) for k, (_, t) in enumerate(ODD)]
+    out = contract("op6_pii", docs(spark, rows), monkeypatch)
+    assert sorted((x.doc_id, x.n_email, x.n_ip, x.n_card, x.n_phone, x.base_sha256) for x in out) == sorted((i, *brute_pii(t)) for i, t in rows)
+
+
+def test_query_media(spark, monkeypatch):
+    out = contract("op8_media_columns", docs(spark, ODD), monkeypatch)
+    want = []
+    for i, t in ODD:
+        raw = (t or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        want.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
+    assert sorted((tuple(x[:5]) for x in out), key=str) == sorted(want, key=str)
+    same = [(x.media_bytes, x.media_sha256, x.feature) for x in out if x.doc_id == 4]
+    assert len(same) == 2 and same[0] == same[1] and all(x.media_bytes > x.payload_bytes for x in out)
+
+
+def test_query_packing(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    r = random.Random(6)
+    rows = [(i, t) for i, (_, t) in enumerate(ODD)] + [(100 + i, " ".join(r.choices(["alpha", "bé", "7", "\n"], k=i * 40))) for i in range(60)]
+    out = contract("op9_packing", docs(spark, rows), monkeypatch)
+    ids = {i: [*slow.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
+    seen, place = {i: [] for i in ids}, {}
+    for x in sorted(out, key=lambda x: (x.doc_id, x.start)):
+        piece = ids[x.doc_id][x.start : x.start + x.length]
+        assert x.doc_tokens == len(ids[x.doc_id]) and x.ids_crc32 == zlib.crc32(b"".join(t.to_bytes(4, "little") for t in piece))
+        assert x.start == sum(map(len, seen[x.doc_id]))
+        seen[x.doc_id].append(piece)
+        place.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    assert {i: sum(map(len, v)) for i, v in seen.items()} == {i: len(v) for i, v in ids.items()}
+    for parts in place.values():
+        assert [a for a, _ in sorted(parts)] == [sum(n for o, n in parts if o < a) for a, _ in sorted(parts)] and sum(n for _, n in parts) <= 2048
+
+
+def test_query_toxicity(spark, monkeypatch, tmp_path):
+    """Scores of the query equal those of a plain sum over a text's features; held-out rows teach nothing."""
+    rows = labelled(500)
+    df = docs(spark, [(i, t) for i, t, _ in rows] + [(9000, None), (9001, "")])
+    kept = [(i, y) for i, _, y in rows]
+    spark.createDataFrame(kept, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = {x.doc_id: x for x in contract("op4_toxicity", df, monkeypatch, str(tmp_path))}
+    out_of = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    assert all(x.held_out == out_of(i) and x.predicted == int(x.score >= 0.7) for i, x in out.items()) and len(out) == len(rows) + 2
+    # Other labels of held-out rows change nothing.
+    flipped = tmp_path / "flipped"
+    spark.createDataFrame([(i, 1 - y if out_of(i) else y) for i, y in kept], "doc_id long, toxic int").write.parquet(str(flipped / "labels.parquet"))
+    assert {i: x.score for i, x in out.items()} == {x.doc_id: x.score for x in contract("op4_toxicity", df, monkeypatch, str(flipped))}
+    labels = spark.createDataFrame([(i, y) for i, y in kept if not out_of(i)], "doc_id long, toxic int")
+    made = toxicity.train(df, labels)
+    for i, t, _ in rows:
+        z = made.bias + sum(w for f, w in made.weights.items() if f in toxicity.features(set(re.findall(r"\w+", t.lower()))))
+        assert abs(out[i].score - 1 / (1 + math.exp(-z))) < 1e-9
