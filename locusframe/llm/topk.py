@@ -7,9 +7,12 @@ mass first.  For a query it accumulates products block of dimensions by block;
 after each block the mass that remains (the norms of what is left of query and
 candidate, whose product bounds what the rest can add) gives every candidate an
 upper bound, and candidates under the k-th best known score fall out: the
-survivors are compacted before the next block.  The k-th best starts from full
-scores of a few candidates and rises as cells go on.  Cells pass on k rows a
-query, and a last aggregate keeps the best k.
+survivors are compacted before the next block.  Where there is more than one
+block of candidates, every query is first searched in one of them, those of the
+lowest hash of their id; the k-th best of it goes along to all cells, so that
+these prune from their first block on.  Within a cell it rises by full scores of
+the best so far.  Cells pass on k rows a query, and a last aggregate keeps the
+best k.
 
 A query set is compared with all rows, in blocks; with n candidates and q
 queries the grid sends each candidate to q / QUERY_BLOCK cells and each query to
@@ -46,8 +49,11 @@ def quantised(vector: Column, scale: int = 256) -> Column:
     return F.when(usable, ints)
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int):
-    """(query position, row id, score) of the k best rows of each query; rows of one id count once."""
+def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, known: np.ndarray | None = None):
+    """(query position, row id, score) of the k best rows of each query; rows of one id count once.
+
+    With ``known``, scores that the k-th best of all rows reaches, rows below may be missing.
+    """
     out_q, out_i, out_s = [], [], []
     if not len(rows):
         return out_q, out_i, out_s
@@ -77,17 +83,20 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
         else:
             alive = np.flatnonzero(~own)
             score = v[: cuts[1]] @ columns[: cuts[1]][:, alive] if own.any() else v[: cuts[1]] @ columns[: cuts[1]]
-            low = None
+            low = None if known is None or np.isnan(known[q]) else known[q]
+            tried = False
             for a, b in zip(cuts[1:], cuts[2:]):
                 bound = q_left[a] * row_left[a][alive]
-                if low is None and len(alive) > 4 * k:
+                if not tried and len(alive) > 4 * k:
+                    tried = True
                     # Whole scores of the best so far give a k-th best to prune by.
                     some = np.argpartition(-score, 2 * k)[: 2 * k]
                     at = alive[some]
                     some = some[np.unique(row_ids[at], return_index=True)[1]] if repeated else some
                     if len(some) >= k:
                         whole = v @ columns[:, alive[some]]
-                        low = np.partition(whole, len(whole) - k)[len(whole) - k]
+                        edge = np.partition(whole, len(whole) - k)[len(whole) - k]
+                        low = edge if low is None else max(low, edge)
                 if low is not None:
                     keep = score + bound >= low
                     alive, score = alive[keep], score[keep]
@@ -121,15 +130,6 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5, id_col: str = "vec_i
             "id is not null and v is not null"
         )
 
-    asked, all_rows = usable(queries), usable(rows)
-    # Two numbers of the inputs size the grid.
-    down = -(-asked.count() // QUERY_BLOCK) or 1
-    across = -(-all_rows.count() // CANDIDATE_BLOCK) or 1
-    spread = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumn("r", spread(down)).withColumn("c", every(across)).withColumn("d", F.size("v"))
-    right = all_rows.withColumn("c", spread(across)).withColumn("r", every(down)).withColumn("d", F.size("v"))
-
     def matrix(t: pa.Table, d: int) -> np.ndarray:
         flat = t.column("v").combine_chunks()
         return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), d)
@@ -138,7 +138,8 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5, id_col: str = "vec_i
         if q.num_rows and c.num_rows:
             d = q.column("d")[0].as_py()
             ids = q.column("id").to_numpy()
-            at, row, score = best(matrix(q, d), ids, matrix(c, d), c.column("id").to_numpy(), k)
+            known = q.column("known").to_numpy(zero_copy_only=False).astype(float)
+            at, row, score = best(matrix(q, d), ids, matrix(c, d), c.column("id").to_numpy(), k, known)
         else:
             at, row, score, ids = [], [], [], np.zeros(0, np.int64)
         return pa.table(
@@ -149,11 +150,29 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5, id_col: str = "vec_i
             }
         )
 
-    found = (
-        left.groupBy("r", "c", "d").cogroup(right.groupBy("r", "c", "d")).applyInArrow(cell, "query_id long, id long, score long")
-    )
-    once = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    # The window limit is applied before the shuffle too: k rows a query and task are sent.
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    def ranked(asked: DataFrame, others: DataFrame, down: int, across: int) -> DataFrame:
+        """``query_id``, ``id``, ``score`` and ``rank`` of the k best, by the cells of a grid."""
+        spread = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = asked.withColumn("r", spread(down)).withColumn("c", every(across)).withColumn("d", F.size("v"))
+        right = others.withColumn("c", spread(across)).withColumn("r", every(down)).withColumn("d", F.size("v"))
+        cells = left.groupBy("r", "c", "d").cogroup(right.groupBy("r", "c", "d"))
+        found = cells.applyInArrow(cell, "query_id long, id long, score long")
+        once = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        # The window limit is applied before the shuffle too: k rows a query and task are sent.
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    asked, all_rows = usable(queries), usable(rows)
+    # Two numbers of the inputs size the grid.
+    down = -(-asked.count() // QUERY_BLOCK) or 1
+    across = -(-all_rows.count() // CANDIDATE_BLOCK) or 1
+    asked_with = asked.withColumn("known", F.lit(None).cast("double"))
+    if across > 1:
+        first = all_rows.orderBy(F.xxhash64("id"), "id").limit(CANDIDATE_BLOCK)
+        reached = ranked(asked_with, first, down, 1).where(F.col("rank") == k)
+        # A bound from scores as doubles must not be above the score.
+        bound = reached.select(F.col("query_id").alias("id"), (F.col("score") - F.abs(F.col("score")) * 1e-15 - 1).cast("double").alias("known"))
+        asked_with = asked.join(bound, "id", "left")
+    out = ranked(asked_with, all_rows, down, across)
+    return out.select("query_id", "rank", F.col("id").alias(id_col), "score")
