@@ -155,11 +155,11 @@ def plot_x(contig: Column, position: Column, width: int = 3000, gap: int = 4) ->
     return start + position * F.lit(scale)
 
 
-def plot_y(value: Column, height: int = 800, top: float = 20.0, threshold: float = 10.0, share: float = 0.6) -> Column:
+def plot_y(value: Column, height: int = 800, top: float | Column = 20.0, threshold: float = 10.0, share: float = 0.6) -> Column:
     """Pixel row; linear up to the threshold over a share of the height, logarithmic above."""
-    most = max(top, 20.0)
+    span = F.log(F.greatest(top, F.lit(20.0)) / threshold) if isinstance(top, Column) else math.log(max(top, 20.0) / threshold)
     low = height - value / threshold * (height * share)
-    part = F.least(F.log(value / threshold) / math.log(most / threshold), F.lit(1.0))
+    part = F.least(F.log(value / threshold) / span, F.lit(1.0))
     high = F.greatest(height * (1 - share) - part * (height * (1 - share)), F.lit(0.0))
     return F.when(value <= threshold, low).otherwise(high)
 

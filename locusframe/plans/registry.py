@@ -661,6 +661,23 @@ def g1_pixel_density(spark, sf):
     return render.pixels(manhattan.plot_points(v.variants(spark, sf), rounded=False))
 
 
+@query("""near as (select *, -log10(pvalue) as y from variants where contig = 'chr4' and position between 400000 and 600000 and pvalue > 0), top as (select greatest(10, max(y)) * 1.1 as top from near)
+    select k1, k2, k3, k4, round((position - 400000) / 200000.0::double * 800, 4) as x_px, round(400 - y / top * 400, 4) as y_px, case when sequencing_type = 'exome' then 'diamond' else 'circle' end as shape from near, top""")
+def g3_locus_points(spark, sf):
+    near = v.variants(spark, sf).where("contig = 'chr4'")
+    return render.locus_points(near, 400000, 600000).select(*KEYS, F.round("x_px", 4).alias("x_px"), F.round("y_px", 4).alias("y_px"), "shape")
+
+
+@query(TESTS + f""", best as (select gene_id, contig, position, annotation, max_maf, min(p) as p from valid group by all),
+    every as (select gene_id, contig, position, min(p) as p, 'all' as panel from best group by 1, 2, 3 union all select gene_id, contig, position, p, annotation || ':' || printf('%.4f', max_maf) from best),
+    seen as (select *, -log10(p) as y, greatest(10, least(50, max(-log10(p)) over (partition by panel))) as top from every)
+    select panel, gene_id, p as pvalue, round({PLOT_X}, 4) as x_px,
+        round(case when y <= 10 then 800 - y / 10 * 480 else greatest(320 - least(ln(y / 10) / ln(greatest(top, 20) / 10), 1) * 320, 0) end, 4) as y_px from seen""")
+def g4_gene_panels(spark, sf):
+    out = render.gene_points(v.burden(spark, sf))
+    return out.select("panel", "gene_id", "pvalue", F.round("x_px", 4).alias("x_px"), F.round("y_px", 4).alias("y_px"))
+
+
 @query(f"""points as (select *, -log10(pvalue) as y from variants where pvalue < 1e-7), spot as (select {PLOT_X} as x, {PLOT_Y} as y_px, k1, k2, k3, k4 from points),
     asked as (select s_suppkey as id, (s_suppkey * 37) % 3000 as qx, (s_suppkey * 53) % 800 as qy from supplier),
     ranked as (select a.id, p.k1, p.k2, p.k3, p.k4, row_number() over (partition by a.id order by (p.x - a.qx) * (p.x - a.qx) + (p.y_px - a.qy) * (p.y_px - a.qy), p.k1, p.k2, p.k3, p.k4) as rn

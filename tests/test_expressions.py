@@ -1,5 +1,8 @@
 import math
+import zlib
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from locusframe.functions import genomics as g
@@ -90,8 +93,40 @@ def test_progress(spark):
 def test_png():
     import zlib
 
-    import numpy as np
-
     raw = render.png(np.zeros((2, 3, 3), np.uint8))
     assert raw[:4] == b"\x89PNG" and zlib.decompress(raw[raw.index(b"IDAT") + 4 : -16]) == bytes(2 * 10)
-    assert math.isclose(render.style({"width": 5}, {"width": None})["width"], 5)
+    text = """
+    [defaults]
+    point_alpha = 0.2
+    [variant]
+    point_radius = 4.0
+    [variant.genome]
+    background = "#112233"
+    [locus]
+    point_alpha = 0.7
+    """
+    made = render.load_style(text)
+    assert render.resolve() == render.LOOK and render.resolve(None, "gene_burden")["point_radius"] == 5.0
+    assert [render.resolve(made, k)["point_radius"] for k in ("exome", "genome", "gene_burden", "locus")] == [4.0, 4.0, 5.0, 3.0]
+    assert [render.resolve(made, k)["point_alpha"] for k in ("exome", "gene_burden", "locus")] == [0.2, 0.9, 0.7]
+    assert render.resolve(made, "genome")["background"] == "#112233" and render.resolve(made)["background"] == "white"
+    with pytest.raises(ValueError):
+        render.resolve({"locus": {"size": 3}}, "locus")
+
+
+def test_draw(spark):
+    """Circles, diamonds over them, a threshold line, and points at the edge."""
+    rows = [(10.2, 10.9, "circle"), (10.7, 10.1, "circle"), (30.0, 10.0, "diamond"), (-3.0, 500.0, "circle")]
+    points = spark.createDataFrame(rows, "x_px double, y_px double, shape string")
+    look = render.resolve({"defaults": {"point_alpha": 1.0, "threshold_alpha": 1.0}}, "locus")
+    raw = render.draw(points, 40, 20, threshold_y=3, look=look)
+    data, at = b"", 8
+    while at < len(raw):
+        n, kind = int.from_bytes(raw[at : at + 4], "big"), raw[at + 4 : at + 8]
+        data += raw[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+        at += 12 + n
+    image = np.frombuffer(zlib.decompress(data), np.uint8).reshape(20, 1 + 120)[:, 1:].reshape(20, 40, 3)
+    blue, red, line = (0x5E, 0x81, 0xAC), (0xBF, 0x61, 0x6A), (0xB7, 0x1C, 0x1C)
+    assert tuple(image[10, 10]) == tuple(image[12, 12]) == blue and tuple(image[13, 13]) == (255, 255, 255)
+    assert tuple(image[10, 33]) == red and tuple(image[12, 32]) == (255, 255, 255)
+    assert tuple(image[3, 0]) == line and tuple(image[19, 0]) == blue
