@@ -38,10 +38,14 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def queries():
+    from locusframe.plans import round_trips  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql():
+    from locusframe.plans import round_trips  # noqa: F401
+
     return dict(_SQL)
 
 

@@ -218,8 +218,11 @@ def write(df: DataFrame, path: str, compression: str = "none", samples: list[str
         samples = [r[0] for r in df.select(F.explode("genotypes.sample_id").alias("s")).where("s is not null").distinct().orderBy("s").collect()]
     samples = samples or []
     head = spark.createDataFrame([("\n".join(header_lines(df.schema, contigs, samples)),)], "value string")
-    rows = df.orderBy("locus.contig", "locus.position", "alleles").select(record(df.schema, samples).alias("value"))
-    head.coalesce(1).union(rows).coalesce(1).write.option("compression", compression).text(path)
+    rows = df.select(F.col("locus.contig").alias("contig"), F.col("locus.position").alias("position"), "alleles", record(df.schema, samples).alias("value"))
+    # One file is one task, which sorts with spill; the header has no contig and comes first.
+    every = rows.unionByName(head, allowMissingColumns=True).repartition(1)
+    ordered = every.sortWithinPartitions(F.asc_nulls_first("contig"), "position", "alleles")
+    ordered.select("value").write.option("compression", compression).text(path)
 
 
 def bgzf(data: bytes) -> bytes:
