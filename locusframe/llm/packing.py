@@ -41,8 +41,9 @@ END_ID = 1
 SEQ_LEN = 2048
 GROUP_TOKENS = 1 << 21
 GROUP_PIECES = 1 << 16
-#: Runs of white space from 4096 on; the merging library's pattern recurses once for each of their characters.
-_LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
+#: Runs of white space from here on are cut out: the merging library's pattern recurses once for each of their characters.
+LONG_SPACE = 4096
+_LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG_SPACE)
 
 
 @lru_cache(maxsize=2)
@@ -86,7 +87,7 @@ def encoder(path: str):
         if any(s in text for s in special):
             return slow.encode(text, add_special_tokens=False).ids
         ids, at = [], 0
-        for run in _LONG_SPACE.finditer(text):
+        for run in _LONG_SPACE.finditer(text) if len(text) >= LONG_SPACE else ():
             # The word pattern cuts before a run, and before its last character if a word follows.
             a, b = run.start(), run.end() - (run.end() < len(text))
             ids += fast.encode_ordinary(text[at:a]) + slow.encode(text[a:b], add_special_tokens=False).ids
