@@ -35,8 +35,10 @@ similarity of 0.8 or more:
    bits.  At 0.8 about 39 +- 6 of 256 differ (48 +- 6 in the smallest sets), so
    by the binomial model under one pair in 10^9 is lost.  A task passes on a
    spanning forest of the proposed pairs.
-3. *Confirmation*: the sets of a group of proposals meet once, in one task, and
-   only pairs whose counted similarity is 0.8 or more are linked.
+3. *Confirmation*: the sets of a group of proposals meet, and only pairs whose
+   counted similarity is 0.8 or more are linked.  A group of over ``BLOCK`` sets is
+   cut into blocks by hash, of which every two meet in a task, so that no task
+   holds more than two blocks.
 
 Every step is linear in the distinct fingerprints but the links inside a
 bucket; skewed joins (many documents of one fingerprint) are split by adaptive
@@ -69,6 +71,8 @@ CHUNK = 200_000
 JUDGES = 4
 #: Five-word shingles at a similarity s of sets have an angle of cosine 2s / (1 + s); of 256 bits about 39 differ at 0.8.
 JUDGED_BITS = 96
+#: Sets that a block holds.
+BLOCK = 10_000
 #: Texts, about, by which common shingles are known.
 SAMPLE = 4000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -506,10 +510,15 @@ def alike(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def confirmed(sets: DataFrame) -> DataFrame:
-    """(``node``, ``component``) of rows (``near``, ``node``, ``hashes``) dealt and sorted by ``near``."""
+    """(``node``, ``component``) by the sets (``near``, ``node``, ``g``, ``hashes``) of groups, each of ``g`` blocks."""
+    own = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
+    # Every two blocks meet; a group of one block meets itself.
+    other = F.filter(F.sequence(F.lit(0), F.col("g") - 1), lambda k: (k != F.col("own")) | (F.col("g") == 1))
+    dealt = sets.withColumn("own", own).withColumn("other", F.explode(other))
+    dealt = dealt.select("near", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "hashes")
 
     def run(batches):
-        near, held = None, {}
+        cell, held = None, {}
 
         def settle():
             nodes = sorted(held)
@@ -518,17 +527,16 @@ def confirmed(sets: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(component, pa.int64())], ["node", "component"])
 
         for batch in batches:
-            for x in batch.to_pylist():
-                if x["near"] != near and held:
+            for near, i, j, node, hashes in zip(*[c.to_pylist() for c in batch.columns]):
+                if (near, i, j) != cell and held:
                     yield settle()
                     held = {}
-                near = x["near"]
-                held[x["node"]] = x["hashes"]
+                cell = near, i, j
+                held[node] = hashes
         if held:
             yield settle()
 
-    dealt = sets.repartition("near").sortWithinPartitions("near")
-    return dealt.mapInArrow(run, "node long, component long")
+    return dealt.repartition("near", "i", "j").sortWithinPartitions("near", "i", "j").mapInArrow(run, "node long, component long")
 
 
 def spot(id_col: str, text_col: str) -> Column:
@@ -602,17 +610,21 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     dealt = dealt.select("node", F.lit(0).cast("long").alias("table"), F.col("token").alias("part"), F.col("j0").alias("fp"), *judges, "n", "place")
     near = components(bucket_links(dealt, JUDGES, most)).withColumnRenamed("component", "near")
     # One row of each text in question says its set; equal rows meet in the task.
-    wanted = cut(nodes.select("node", "spot").join(near, "node"), "wanted")
+    sizes = near.groupBy("near").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
+    wanted = cut(nodes.select("node", "spot").join(near, "node").join(sizes, "near").select("near", "node", "spot", "g"), "wanted")
 
     def fetch(batches):
         for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(2)]
+            sets = [shingle_set(t.as_py()) for t in batch.column(3)]
             ok = pa.array([set_node(s) == n for s, n in zip(sets, batch.column(1).to_pylist())], pa.bool_())
             hashes = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hashes], ["near", "node", "hashes"]).filter(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], hashes], ["near", "node", "g", "hashes"]).filter(ok)
 
-    texts = given.select("spot", "text").join(wanted, "spot").select("near", "node", "text")
-    joined = confirmed(texts.mapInArrow(fetch, "near long, node long, hashes binary"))
+    texts = given.select("spot", "text").join(wanted, "spot").select("near", "node", "g", "text")
+    joined = confirmed(texts.mapInArrow(fetch, "near long, node long, g int, hashes binary"))
+    if not wanted.where("g > 1").isEmpty():
+        # What the cells of a group found apart comes together.
+        joined = components(joined.select(F.col("component").alias("a"), F.col("node").alias("b")).distinct())
     labelled = nodes.select("node", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = cut(labelled, "labelled")
     first = labelled.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -510,8 +510,10 @@ def test_similar_texts(spark):
     assert simhash.similar(df.limit(0)).count() == 0
 
 
-def test_similar_equals_brute_force(spark):
-    """Around 0.8, short texts too, pairs are linked if and only if their exact similarity says so."""
+@pytest.mark.parametrize("block", [10_000, 2])
+def test_similar_equals_brute_force(spark, monkeypatch, block):
+    """Around 0.8, short texts too, pairs are linked if and only if their exact similarity says so, in one block or many."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
     r = random.Random(17)
     words = ["".join(r.choices("abcdefghijklmn", k=r.randint(2, 9))) for _ in range(4000)]
     texts = []
