@@ -63,7 +63,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--interval", action="append", default=[])
         p.add_argument("--intervals-file", action="append", default=[])
         p.add_argument("--limit", type=int)
-        p.add_argument("--mode", choices=("sql", "compat"), default="sql")
+        p.add_argument("--mode", choices=("sql", "compat", "calls"), default="sql")
         if name == "export":
             p.add_argument("--to", choices=("parquet", "json", "vcf", "ht", "clickhouse", "bigquery"), required=True)
             p.add_argument("--output", required=True, help="a path; for clickhouse the end point's URL")

@@ -4,6 +4,8 @@ A clause is ``path operator literal``; clauses are joined by AND.  Literals are
 read as int, long, double, true or false, or text.  In mode ``sql`` (default) a
 literal is cast to the column's type and a null drops the row.  In mode
 ``compat`` a null, an unknown path or a literal of another type keeps the row.
+In mode ``calls`` (F7) an unknown path, or a null above the field, drops it, and
+a null field or a literal of another type counts as equal to the literal.
 """
 
 from __future__ import annotations
@@ -109,8 +111,8 @@ def comparable(value, kind: T.DataType) -> bool:
 def condition(df: DataFrame, c: Clause, mode: str = "sql") -> Column:
     kind = field_type(df.schema, c.path)
     if kind is None:
-        if mode == "compat":
-            return F.lit(True)
+        if mode in ("compat", "calls"):
+            return F.lit(mode == "compat")
         raise ValueError(f"no field {'.'.join(c.path)}")
     # A number wider than an integer column is compared as double, so that x > 1.5 keeps its sense.
     target = T.DoubleType() if isinstance(c.value, float) and comparable(1, kind) else kind
@@ -119,6 +121,10 @@ def condition(df: DataFrame, c: Clause, mode: str = "sql") -> Column:
     made = {"=": at == value, "!=": at != value, ">": at > value, ">=": at >= value, "<": at < value, "<=": at <= value}[c.op]
     if mode == "compat":
         return F.coalesce(made, F.lit(True)) if comparable(c.value, kind) else F.lit(True)
+    if mode == "calls":
+        equal = F.lit(c.op in ("=", ">=", "<="))
+        told = F.coalesce(made, equal) if comparable(c.value, kind) else equal
+        return told & field(c.path[:-1]).isNotNull() if len(c.path) > 1 else told
     return made
 
 

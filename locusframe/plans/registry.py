@@ -104,6 +104,12 @@ def f6_type_mismatch_compat(spark, sf):
     return pr.where(v.nested(spark, sf), "af > 1", mode="compat").select(*KEYS)
 
 
+@query("select k1, k2, k3, k4 from variants where contig = 'chr3' and k1 % 11 <> 0 and coalesce(nullif(af, 0.25) <= 0.3, true)")
+def f7_calls_mode(spark, sf):
+    """A null above a field drops the row, a null field is equal to the literal, and so is one of another type."""
+    return pr.where(v.nested(spark, sf), "locus.contig = chr3", "af <= 0.3", "pvalue >= 1", mode="calls").select(*KEYS)
+
+
 @query("select k1, k2, k3, k4, beta from variants where contig <> 'chr1' and beta <= -0.04")
 def f1_where_parser(spark, sf):
     return pr.where(v.variants(spark, sf), "contig != chr1 AND beta <= -4e-2").select(*KEYS, "beta")

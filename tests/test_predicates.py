@@ -52,6 +52,14 @@ def test_modes(spark):
     assert ids(p.where(rows(spark), "id > 3.5")) == [4, 5]
 
 
+def test_calls_mode(spark):
+    """An unknown path or a null above drops; a null or a literal of another kind is equal."""
+    met = lambda *text: ids(p.where(rows(spark), *text, mode="calls"))
+    assert met("none = 1") == [] and met("af > 0.3") == [3, 4, 5] and met("af >= 0.3") == [2, 3, 4, 5]
+    assert met("af > 1") == [] and met("af <= 1") == [1, 2, 3, 4, 5]
+    assert met("locus.position >= 100") == [2, 3, 4] and met("locus.contig >= 5") == [1, 2, 3, 4] and met("locus.contig > 5") == []
+
+
 def test_pushdown(spark, tmp_path):
     path = str(tmp_path / "t")
     rows(spark).write.parquet(path)
