@@ -412,19 +412,24 @@ def components(edges: DataFrame) -> DataFrame:
         if done:
             break
     roots = now.select(F.col("a").alias("node")).distinct()
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
+    out = now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))
     )
+    # The table that it is read from.
+    out.shared_at = now.shared_at
+    return out
 
 
 def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """The id, ``fp`` and ``component_id`` (the smallest id reachable over links) of every row."""
     prints = cut(fingerprints(df, id_col, text_col, width), "prints")
     nodes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    joined = components(candidate_edges(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    labelled = nodes.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    found = components(candidate_edges(nodes.select("fp"), radius))
+    labelled = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     first = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     named = cut(labelled.join(first, "component").select("fp", "component_id"), "named")
+    discard(nodes)
+    discard(found)
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
@@ -605,10 +610,14 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     posted = prints.select("node", "n", F.posexplode("front").alias("place", "token")).select("token", "node", "n", F.col("place").cast("long").alias("place"))
     by_token = posted.repartition("token").sortWithinPartitions("token", "node")
     posted = cut(by_token.mapInArrow(shared, "token long, node long, n long, place long"), "shared")
+    rows = cut(prints.select(id_col, "node", "spot"), "rows")
+    discard(prints)
     keyed = posted.join(nodes.select("node", *judges), "node")
     dealt = keyed.repartition("token").sortWithinPartitions("token")
     dealt = dealt.select("node", F.lit(0).cast("long").alias("table"), F.col("token").alias("part"), F.col("j0").alias("fp"), *judges, "n", "place")
-    near = components(bucket_links(dealt, JUDGES, most)).withColumnRenamed("component", "near")
+    proposed = components(bucket_links(dealt, JUDGES, most))
+    discard(posted)
+    near = proposed.withColumnRenamed("component", "near")
     # One row of each text in question says its set; equal rows meet in the task.
     sizes = near.groupBy("near").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
     wanted = cut(nodes.select("node", "spot").join(near, "node").join(sizes, "near").select("near", "node", "spot", "g"), "wanted")
@@ -622,11 +631,16 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
 
     texts = given.select("spot", "text").join(wanted, "spot").select("near", "node", "g", "text")
     joined = confirmed(texts.mapInArrow(fetch, "near long, node long, g int, hashes binary"))
+    done = [nodes, proposed, wanted]
     if not wanted.where("g > 1").isEmpty():
         # What the cells of a group found apart comes together.
         joined = components(joined.select(F.col("component").alias("a"), F.col("node").alias("b")).distinct())
+        done.append(joined)
     labelled = nodes.select("node", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = cut(labelled, "labelled")
+    for table in done:
+        discard(table)
     first = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     named = cut(labelled.join(first, "component").select("node", "component_id"), "named")
-    return prints.select(id_col, "node", "spot").join(named, "node").select(id_col, "node", "component_id", "spot")
+    discard(labelled)
+    return rows.join(named, "node").select(id_col, "node", "component_id", "spot")
