@@ -60,7 +60,7 @@ LENGTH = 400
 SHORT = 256
 CHUNK = 1 << 20
 HOT = 2048
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 WORD = re.compile(rb"\S+")
 SPANS = "array<struct<lo:int,hi:int>>"
@@ -132,43 +132,78 @@ def padded(data: np.ndarray, length: int) -> tuple[np.ndarray, int]:
     return words, known
 
 
-def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Of every place the rank of the ``length`` symbols from there on, in their order; past the end are zeros."""
-    n = len(data)
+def ranks_of(key: np.ndarray, bits: int) -> np.ndarray:
+    """Of numbers of so many bits their ranks, equal for equal ones."""
+    n = len(key)
+    own = max(1, (n - 1).bit_length())
+    if bits + own <= 63:
+        # Numbers with their places sort as they are, which is faster than sorting places.
+        both = np.sort((key.astype(np.int64) << own) | np.arange(n))
+        order, key = both & ((1 << own) - 1), both >> own
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+    return rank
+
+
+def prefix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """Ranks of all places, and of ``length`` beyond the end, by longer and longer prefixes: (symbols, ranks)."""
     words, known = padded(data, length)
-    if known > length:
-        words, known = words >> np.uint64(8 * (known - length)), length
-    rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
+    if known > 1:
+        # Five bytes and a place fit in one number.
+        shown = min(5, length)
+        words, known = words >> np.uint64(8 * (known - shown)), shown
+    out = [(known, ranks_of(words, 8 * known if data.itemsize == 1 else 64))]
+    own = max(1, (len(words) - 1).bit_length())
     while known < length:
-        step = min(known, length - known)
-        top = int(rank.max()) + 1
-        after = np.concatenate([rank[step:], np.zeros(step, np.int64)])
-        rank = np.unique(rank * top + after, return_inverse=True)[1].astype(np.int64)
-        known += step
-    return rank[:n]
+        rank = out[-1][1]
+        bits = max(1, int(rank.max()).bit_length())
+        # As many ranks as fit make a longer prefix at once; the last one may overlap.
+        several = min(max(2, (63 - own) // bits), 63 // bits, -(-length // known))
+        key = rank.copy()
+        for k in range(1, several):
+            step = min(k * known, length - known)
+            key <<= bits
+            key[: len(rank) - step] |= rank[step:]
+        known = min(length, several * known)
+        out.append((known, ranks_of(key, several * bits)))
+    return out
 
 
-def shared_lengths(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """How much every place in ``order`` shares with the one before it, ``length`` at most."""
-    words, known = padded(data, length)
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """Of every place the rank of the ``length`` symbols from there on, in their order; past the end are zeros."""
+    return prefix_ranks(data, length)[-1][1][: len(data)]
+
+
+def shared_lengths(data: np.ndarray, order: np.ndarray, length: int, ranks: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """How much every place in ``order`` shares with the one before it, ``length`` at most.
+
+    The prefixes' ranks tell by steps of their lengths, the longest first, and the symbols tell the rest.
+    """
+    words, whole = padded(data, length)
     out = np.zeros(len(order), np.int64)
-    live = np.arange(1, len(order))
-    while len(live):
-        at = out[live]
-        differ = words[order[live - 1] + at] ^ words[order[live] + at]
-        out[live] += known
-        stop = differ != 0
-        if known > 1:
-            # Of a word that differs the bytes before the first difference are shared.
-            left = np.zeros(int(stop.sum()), np.int64)
-            for k in range(1, known + 1):
-                left += differ[stop] >= np.uint64(1 << 64 - 8 * k)
-            out[live[stop]] -= left.clip(1)
-        else:
-            out[live[stop]] -= 1
-        live = live[~stop]
-        live = live[out[live] < length]
-    return np.minimum(out, length)
+    if not len(order):
+        return out
+    a, b = order[:-1], order[1:]
+    same = ranks[-1][1][a] == ranks[-1][1][b]
+    out[1:][same] = length
+    live = np.flatnonzero(~same) + 1
+    a, b, got = order[live - 1], order[live], np.zeros(len(live), np.int64)
+    for known, rank in ranks[-2::-1]:
+        more = np.arange(len(live))
+        while len(more):
+            more = more[got[more] + known <= length]
+            more = more[rank[a[more] + got[more]] == rank[b[more] + got[more]]]
+            got[more] += known
+    if whole > 1:
+        # Of the words from there on the bytes before the first difference are shared.
+        differ = words[a + got] ^ words[b + got]
+        for k in range(1, whole):
+            got += differ < np.uint64(1 << 64 - 8 * k)
+    out[live] = np.minimum(got, length)
+    return out
 
 
 def smaller_before(place: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,13 +220,14 @@ def smaller_before(place: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, n
     return to, low
 
 
-def longest_previous(data: np.ndarray, order: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def longest_previous(data: np.ndarray, order: np.ndarray, length: int, ranks: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Of every rank of ``order`` the longest match with a smaller place, and that place (or -1).
 
-    ``order`` holds places in suffix order; matches are known up to ``length``.
+    ``order`` holds places in suffix order, by the last of the ``ranks`` of
+    prefixes; matches are known up to ``length``.
     """
     n = len(order)
-    shared = shared_lengths(data, order, length)
+    shared = shared_lengths(data, order, length, ranks)
     before, low = smaller_before(order, shared)
     # The next smaller position is the previous one of the order turned round.
     after, low_after = smaller_before(order[::-1], np.r_[0, shared[:0:-1]] if n else shared)
@@ -208,10 +244,11 @@ def matches(segments: list[np.ndarray], length: int) -> list[tuple[np.ndarray, n
     sizes = np.array([len(s) for s in segments])
     ends = np.cumsum(sizes)
     data = np.concatenate(segments)
-    rank = suffix_ranks(data, length)
+    ranks = prefix_ranks(data, length)
+    rank = ranks[-1][1]
     at = np.concatenate([np.arange(e - n, e - length + 1) for e, n in zip(ends, sizes)])
     order = at[np.lexsort((at, rank[at]))]
-    factor, source = longest_previous(data, order, length)
+    factor, source = longest_previous(data, order, length, ranks)
     whole = factor >= length
     previous = np.zeros(len(data), bool)
     previous[order[whole]] = True

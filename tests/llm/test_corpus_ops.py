@@ -349,7 +349,7 @@ def test_longest_previous():
         cap = r.choice([1, 5, 9, 20])
         raw = data.tolist() + [0] * cap
         at = sorted(range(len(data)), key=lambda i: (raw[i : i + cap] + [0] * cap)[:cap] + [i])
-        factor, source = suffix.longest_previous(data, np.array(at), cap)
+        factor, source = suffix.longest_previous(data, np.array(at), cap, suffix.prefix_ranks(data, cap))
         for k, i in enumerate(at):
             share = lambda j: next((n for n in range(cap) if (raw + [0] * cap)[i + n] != (raw + [0] * cap)[j + n]), cap)  # noqa: B023, E731
             assert factor[k] == max((share(j) for j in range(i)), default=0)
