@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import license_scan, ogg, packing, pii, simhash, spm, suffix, topk, toxicity, warc
+from locusframe.llm import license_scan, mining, ogg, packing, pii, simhash, spm, suffix, topk, toxicity, warc
 from locusframe.llm.common import documents
 
 
@@ -68,6 +68,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(documents(spark, sf_dir), length=400, keep="none")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = rows.select("vec_id", moved.alias("label"), topk.quantised(F.col("embedding")).alias("ints"))
+    return mining.mine(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_license_scan": op2_license_scan,
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 def license_sql() -> str:
@@ -151,6 +159,29 @@ ORACLES: dict[str, str] = {
         )
         select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5
     """,
+    "op13_hard_negatives": """
+        with v as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as e
+            from embeddings
+            where vec_id is not null and label is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+            select a.vec_id as anchor_id, a.label = r.label as same, r.vec_id,
+                   cast(list_sum(list_transform(list_zip(a.e, r.e), lambda p: p[1] * p[2])) as bigint) as score
+            from v a join v r on a.vec_id <> r.vec_id and len(a.e) = len(r.e)
+            where a.vec_id % 50 = 0
+        ), positives as (
+            select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+            qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+        )
+        select p.anchor_id, p.positive_id,
+               cast(row_number() over (partition by p.anchor_id, p.positive_id order by n.score desc, n.vec_id) as integer) as rank,
+               n.vec_id as negative_id, p.positive_score, n.score as negative_score
+        from positives p join scored n on n.anchor_id = p.anchor_id and not n.same
+         and 50 * p.positive_score <= 100 * n.score and 100 * n.score <= 95 * p.positive_score
+        qualify rank <= 3
+    """,
     "op3_warc": """
         with given as (
             select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as h from pages
