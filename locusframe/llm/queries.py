@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import license_scan, mining, ogg, packing, pii, simhash, spm, suffix, topk, toxicity, warc
+from locusframe.llm import divergence, license_scan, mining, ogg, packing, pii, simhash, spm, suffix, topk, toxicity, warc
 from locusframe.llm.common import documents
 
 
@@ -68,6 +68,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(documents(spark, sf_dir), length=400, keep="none")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_source_divergence": op11_source_divergence,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -159,6 +164,43 @@ ORACLES: dict[str, str] = {
         )
         select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5
     """,
+    "op11_source_divergence": """
+        with given as (
+            select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+            from documents
+        ), said as (
+            select d, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from given
+        ), kept as (
+            select lang, term, count(*) as total from said group by lang, term having count(distinct d) >= 10
+        ), groups as (
+            select distinct lang, source from given
+        ), counts as (
+            select lang, source, term, count(*) as n from said join kept using (lang, term) group by all
+        ), langs as (
+            select lang, count(*) as v, sum(total) as n from kept group by lang
+        ), cells as (
+            select g.lang, g.source, k.term, k.total, coalesce(c.n, 0) as n, sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) as whole
+            from groups g join kept k using (lang) left join counts c using (lang, source, term)
+        ), shares as (
+            select c.lang, source, term, c.n, 1 + (1000000000::hugeint * (c.n + 2)) // (whole + 2 * v)::hugeint as p,
+                   1 + (1000000000::hugeint * (total + 2)) // (l.n + 2 * v)::hugeint as q
+            from cells c join langs l using (lang)
+        ), pairs as (
+            select g.lang, g.source, o.source as item, coalesce(any_value(s.value), 0) as value
+            from groups g join groups o on g.lang = o.lang and g.source <> o.source
+            left join (
+                select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+                from shares a join shares b using (lang, term) where a.source <> b.source group by all
+            ) s on s.lang = g.lang and s.source = g.source and s.item = o.source
+            group by all
+        ), parts as (
+            select lang, source, 'pair' as part, item, value::bigint as value from pairs
+            union all select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from shares where n > 0 and p > q
+        )
+        select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
+        from parts qualify part = 'pair' or rank <= 10
+    """,
     "op13_hard_negatives": """
         with v as (
             select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
