@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import divergence, license_scan, mining, ogg, packing, pii, simhash, spm, suffix, topk, toxicity, warc
+from locusframe.llm import divergence, license_scan, mining, ngram_join, ogg, packing, pii, simhash, spm, suffix, topk, toxicity, warc
 from locusframe.llm.common import documents
 
 
@@ -72,6 +72,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_ngram_join": op12_ngram_join,
     "op13_hard_negatives": op13_hard_negatives,
 }
 

@@ -23,22 +23,9 @@
    gathered on the driver.
 
 :func:`similar` groups texts whose sets of five-word shingles have an exact
-similarity of 0.8 or more:
-
-1. *Prefixes*: of n shingles, in an order that all texts share (those common in
-   a bounded sample last, then by hash), the first ``n - ceil(0.8 n) + 1``.  Two
-   sets at 0.8 share one of these at least, whatever the order; the sample
-   decides on the cost only.
-2. *Proposals*: texts that share a shingle of their prefixes meet in its bucket.
-   Sizes and places in the order bound the overlap, which loses nothing, and
-   ``JUDGES`` fingerprints of 64 bits must differ in at most ``JUDGED_BITS``
-   bits.  At 0.8 about 39 +- 6 of 256 differ (48 +- 6 in the smallest sets), so
-   by the binomial model under one pair in 10^9 is lost.  A task passes on a
-   spanning forest of the proposed pairs.
-3. *Confirmation*: the sets of a group of proposals meet, and only pairs whose
-   counted similarity is 0.8 or more are linked.  A group of over ``BLOCK`` sets is
-   cut into blocks by hash, of which every two meet in a task, so that no task
-   holds more than two blocks.
+similarity of 0.8 or more: :mod:`locusframe.llm.ngram_join` proposes pairs by
+shared shingles, ``JUDGES`` fingerprints of 64 bits judge them (they must differ in
+at most ``JUDGED_BITS`` bits), and counted shingles decide.
 
 Every step is linear in the distinct fingerprints but the links inside a
 bucket; skewed joins (many documents of one fingerprint) are split by adaptive
@@ -71,10 +58,6 @@ CHUNK = 200_000
 JUDGES = 4
 #: Five-word shingles at a similarity s of sets have an angle of cosine 2s / (1 + s); of 256 bits about 39 differ at 0.8.
 JUDGED_BITS = 96
-#: Sets that a block holds.
-BLOCK = 10_000
-#: Texts, about, by which common shingles are known.
-SAMPLE = 4000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
 
@@ -233,12 +216,12 @@ class GrayIndex:
         return [(int(self.order[a]), int(self.order[b])) for a, b in found]
 
 
-def links(fp: np.ndarray, bucket: np.ndarray, judges: np.ndarray, most: int, spans: np.ndarray) -> list[tuple[int, int]]:
+def links(fp: np.ndarray, bucket: np.ndarray, judges: np.ndarray, most: int, spans: np.ndarray, percent: int = 80) -> list[tuple[int, int]]:
     """A spanning forest, as positions, of the proposed pairs of each bucket.
 
     ``judges`` are fingerprints of every row, of which a pair must differ in at
     most ``most`` bits; ``spans`` the size of every row's set and how much of it
-    precedes the bucket's shingle: sets at 0.8 must be possible.
+    precedes the bucket's shingle: sets of a similarity of ``percent`` hundredths must be possible.
     """
     n = len(fp)
     order = np.lexsort((gray_rank(fp), bucket))
@@ -249,7 +232,7 @@ def links(fp: np.ndarray, bucket: np.ndarray, judges: np.ndarray, most: int, spa
     def near(a, b):
         # All that the sets share comes from this shingle on.
         x, y = spans[a], spans[b]
-        ok = 9 * np.minimum(x[:, 0] - x[:, 1], y[:, 0] - y[:, 1]) >= 4 * (x[:, 0] + y[:, 0])
+        ok = (100 + percent) * np.minimum(x[:, 0] - x[:, 1], y[:, 0] - y[:, 1]) >= percent * (x[:, 0] + y[:, 0])
         a, b = a[ok], b[ok]
         ok = np.bitwise_count(judges[a] ^ judges[b]).sum(1, dtype=np.int64) <= most
         found.extend(forest.join(a[ok], b[ok]))
@@ -337,7 +320,7 @@ def linked(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def bucket_links(dealt: DataFrame, n_judges: int, most: int) -> DataFrame:
+def bucket_links(dealt: DataFrame, n_judges: int, most: int, percent: int = 80) -> DataFrame:
     """Proposed links (``a``, ``b``) between nodes, of rows dealt and sorted by ``table`` and ``part``.
 
     Columns: ``node``, ``table``, ``part``, ``fp``, the judges and the two of ``spans``.
@@ -354,7 +337,7 @@ def bucket_links(dealt: DataFrame, n_judges: int, most: int) -> DataFrame:
             bucket = np.repeat(np.arange(len(start)), size)[live]
             more = [j[live] for j in more]
             told = np.stack(more[:n_judges], 1).view(np.uint64)
-            got = links(fp[live].view(np.uint64), bucket, told, most, np.stack(more[n_judges:], 1))
+            got = links(fp[live].view(np.uint64), bucket, told, most, np.stack(more[n_judges:], 1), percent)
             node = node[live]
             yield linked(node[[x for x, _ in got]] if got else node[:0], node[[y for _, y in got]] if got else node[:0])
 
@@ -433,214 +416,23 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The hashes of the five-word shingles, sorted, each once."""
-    words = words_of(text or "")
-    return np.unique(shingle_hashes(words, 5)) if words else np.zeros(0, np.uint64)
-
-
 def set_node(hashes: np.ndarray) -> int:
     """The name of a set as a signed 64-bit number, zero for the empty one."""
     name = xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0
     return name - (1 << 64) if name >> 63 else name
 
 
-def prefix_size(n):
-    """Of n shingles in a shared order, how many at the front sets at 0.8 cannot all miss."""
-    return n - (4 * n + 4) // 5 + (n > 0)
-
-
-def common_shingles(given: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a bounded sample have, sorted, and how many."""
-
-    def run(batches):
-        for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(0)]
-            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            name = np.repeat(np.array([set_node(s) for s in sets], np.int64), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(flat)], ["node", "h"])
-
-    some = given.where(F.pmod(F.xxhash64("text"), F.lit(max(1, rows // SAMPLE))) == 0).select("text")
-    counts = some.mapInArrow(run, "node long, h long").distinct().groupBy("h").count().where("count > 2")
-    top = counts.orderBy(F.desc("count"), "h").limit(100_000).collect()
-    h = np.array([x["h"] for x in top], np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.array([x["count"] for x in top], np.int64)[order]
-
-
-def alike(sets: list[np.ndarray]) -> np.ndarray:
-    """Of each set the first position of its component over pairs with a similarity of 0.8 or more, counted."""
-    sizes = np.array([len(s) for s in sets])
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    # Rarest first, as places in one order.
-    place = np.empty(len(values), np.int64)
-    place[np.lexsort((values, counts))] = np.arange(len(values))
-    sets = np.split(place[inverse], np.cumsum(sizes)[:-1])
-    up = np.arange(len(sets))
-
-    def find(i):
-        while True:
-            above = up[i]
-            if (up[above] == above).all():
-                return above
-            up[i] = up[above]
-
-    mark = np.zeros(len(values), bool)
-    tried = np.full(len(sets), -1)
-    # Of each shingle the texts that have it in their prefixes, by size.
-    order = np.argsort(sizes, kind="stable")
-    fronts = [np.sort(sets[i])[: prefix_size(len(sets[i]))] for i in order.tolist()]
-    token = np.concatenate(fronts)
-    owner = np.repeat(order, [len(x) for x in fronts])
-    rank = np.repeat(np.arange(len(order)), [len(x) for x in fronts])
-    by = np.lexsort((rank, token))
-    owner, rank, token = owner[by], rank[by], token[by]
-    at = np.searchsorted(token, np.arange(len(values) + 1))
-    for r, i in enumerate(order.tolist()):
-        mark[sets[i]] = True
-        for t in fronts[r].tolist():
-            a, b = at[t], at[t + 1]
-            j = owner[a : a + np.searchsorted(rank[a:b], r)]
-            j = j[(tried[j] != i) & (5 * sizes[j] >= 4 * sizes[i])]
-            j = j[find(j) != find(np.array([i]))] if len(j) else j
-            while len(j):
-                tried[j[-1]] = i
-                one, j = int(j[-1]), j[:-1]
-                if 9 * int(mark[sets[one]].sum()) >= 4 * int(sizes[i] + sizes[one]):
-                    x, y = int(find(np.array([i]))[0]), int(find(np.array([one]))[0])
-                    up[max(x, y)] = min(x, y)
-                    j = j[find(j) != min(x, y)]
-        mark[sets[i]] = False
-    return find(np.arange(len(sets)))
-
-
-def confirmed(sets: DataFrame) -> DataFrame:
-    """(``node``, ``component``) by the sets (``near``, ``node``, ``g``, ``hashes``) of groups, each of ``g`` blocks."""
-    own = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
-    # Every two blocks meet; a group of one block meets itself.
-    other = F.filter(F.sequence(F.lit(0), F.col("g") - 1), lambda k: (k != F.col("own")) | (F.col("g") == 1))
-    dealt = sets.withColumn("own", own).withColumn("other", F.explode(other))
-    dealt = dealt.select("near", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "hashes")
-
-    def run(batches):
-        cell, held = None, {}
-
-        def settle():
-            nodes = sorted(held)
-            first = alike([np.frombuffer(held[k], np.uint64) for k in nodes])
-            component = [nodes[k] for k in first.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(component, pa.int64())], ["node", "component"])
-
-        for batch in batches:
-            for near, i, j, node, hashes in zip(*[c.to_pylist() for c in batch.columns]):
-                if (near, i, j) != cell and held:
-                    yield settle()
-                    held = {}
-                cell = near, i, j
-                held[node] = hashes
-        if held:
-            yield settle()
-
-    return dealt.repartition("near", "i", "j").sortWithinPartitions("near", "i", "j").mapInArrow(run, "node long, component long")
-
-
 def spot(id_col: str, text_col: str) -> Column:
     """A row's hash by id and text."""
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
-def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = JUDGED_BITS) -> DataFrame:
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, ``node``, ``component_id`` and ``spot`` of every row: groups of texts alike by five-word shingles.
 
     Ids that are null name no group; ``spot`` is :func:`spot` of the row.
     """
-    judges = [f"j{k}" for k in range(JUDGES)]
-    given = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    given = given.withColumn("spot", spot("key", "text"))
-    common, often = common_shingles(given, given.count())
-
-    def run(batches):
-        for batch in batches:
-            marks = np.zeros((batch.num_rows, JUDGES), np.uint64)
-            names, sizes, fronts = [], [], []
-            for i, text in enumerate(batch.column(1)):
-                s = shingle_set(text.as_py())
-                names.append(set_node(s))
-                sizes.append(len(s))
-                if len(s):
-                    marks[i] = variations(s, JUDGES)
-                if len(common):
-                    k = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    s = s[np.lexsort((s, np.where(common[k] == s, often[k], 0)))]
-                fronts.append(s[: prefix_size(len(s))].view(np.int64))
-            ends = np.cumsum([0, *map(len, fronts)])
-            front = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([*fronts, np.zeros(0, np.int64)])))
-            columns = [pa.array(np.ascontiguousarray(marks[:, k]).view(np.int64)) for k in range(JUDGES)]
-            front = front.cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *columns, front],
-                ["key", "spot", "node", "n", *judges, "front"],
-            )
+    from locusframe.llm import ngram_join
 
-    def shared(batches):
-        """Rows whose shingle another text has as well; equal texts count once."""
-        last, waiting, told = None, None, False
-        for batch in batches:
-            token, node = (batch.column(k).to_numpy() for k in (0, 1))
-            if not len(token):
-                continue
-            new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
-            new[0] = last != (token[0], node[0])
-            last = (token[-1], node[-1])
-            batch = batch.filter(pa.array(new))
-            if waiting is not None:
-                batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
-            token = batch.column(0).to_numpy()
-            same = token[1:] == token[:-1]
-            keep = np.r_[told, same] | np.r_[same, False]
-            yield batch.slice(0, len(token) - 1).filter(pa.array(keep[:-1]))
-            # The last row waits for the next; told says that an earlier row shares its shingle.
-            waiting, told = batch.slice(len(token) - 1), bool(keep[-1])
-        if waiting is not None and told:
-            yield waiting
-
-    layout = "key long, spot long, node long, n long, " + ", ".join(f"{m} long" for m in judges) + ", front array<long>"
-    prints = cut(given.mapInArrow(run, layout).withColumnRenamed("key", id_col), "prints")
-    nodes = cut(prints.groupBy("node", "n", *judges).agg(F.min(id_col).alias("least"), F.min("spot").alias("spot")), "nodes")
-    posted = prints.select("node", "n", F.posexplode("front").alias("place", "token")).select("token", "node", "n", F.col("place").cast("long").alias("place"))
-    by_token = posted.repartition("token").sortWithinPartitions("token", "node")
-    posted = cut(by_token.mapInArrow(shared, "token long, node long, n long, place long"), "shared")
-    rows = cut(prints.select(id_col, "node", "spot"), "rows")
-    discard(prints)
-    keyed = posted.join(nodes.select("node", *judges), "node")
-    dealt = keyed.repartition("token").sortWithinPartitions("token")
-    dealt = dealt.select("node", F.lit(0).cast("long").alias("table"), F.col("token").alias("part"), F.col("j0").alias("fp"), *judges, "n", "place")
-    proposed = components(bucket_links(dealt, JUDGES, most))
-    discard(posted)
-    near = proposed.withColumnRenamed("component", "near")
-    # One row of each text in question says its set; equal rows meet in the task.
-    sizes = near.groupBy("near").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
-    wanted = cut(nodes.select("node", "spot").join(near, "node").join(sizes, "near").select("near", "node", "spot", "g"), "wanted")
-
-    def fetch(batches):
-        for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(3)]
-            ok = pa.array([set_node(s) == n for s, n in zip(sets, batch.column(1).to_pylist())], pa.bool_())
-            hashes = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], hashes], ["near", "node", "g", "hashes"]).filter(ok)
-
-    texts = given.select("spot", "text").join(wanted, "spot").select("near", "node", "g", "text")
-    joined = confirmed(texts.mapInArrow(fetch, "near long, node long, g int, hashes binary"))
-    done = [nodes, proposed, wanted]
-    if not wanted.where("g > 1").isEmpty():
-        # What the cells of a group found apart comes together.
-        joined = components(joined.select(F.col("component").alias("a"), F.col("node").alias("b")).distinct())
-        done.append(joined)
-    labelled = nodes.select("node", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = cut(labelled, "labelled")
-    for table in done:
-        discard(table)
-    first = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = cut(labelled.join(first, "component").select("node", "component_id"), "named")
-    discard(labelled)
-    return rows.join(named, "node").select(id_col, "node", "component_id", "spot")
+    found = ngram_join.join(df, 5, 80, id_col, text_col, empty_alone=False)
+    return found.select(id_col, "node", "component_id", "spot")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from locusframe.llm import simhash, suffix, topk, warc
+from locusframe.llm import ngram_join, simhash, suffix, topk, warc
 
 
 # Top-k
@@ -513,7 +513,7 @@ def test_similar_texts(spark):
 @pytest.mark.parametrize("block", [10_000, 2])
 def test_similar_equals_brute_force(spark, monkeypatch, block):
     """Around 0.8, short texts too, pairs are linked if and only if their exact similarity says so, in one block or many."""
-    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     r = random.Random(17)
     words = ["".join(r.choices("abcdefghijklmn", k=r.randint(2, 9))) for _ in range(4000)]
     texts = []
