@@ -2,17 +2,17 @@
 
 How differently do the sources of a language use its words?
 
-1. *Tries*: a task counts the terms of its texts in one byte trie a language
-   (edges are byte strings, split where terms part), with a counter for each
-   source and one for documents at the leaves.  Hash tables of a few thousand texts are
-   folded into it; a trie that has ``LEAVES`` leaves is passed on and begun anew, so
-   a task holds little whatever it reads.
-2. *Merge*: leaves leave a trie in the order of its traversal, which is that of
-   their bytes.  Spark deals them by ranges of (language, term), sampled, so that a prefix that
-   many terms share becomes many ranges; a task merges the tries' leaves of its
-   range in one streaming traversal, adds up equal ones and keeps terms of
-   enough documents.  A frequent term is one leaf of each trie, never a row an
-   occurrence.
+1. *Tries*: a task counts the terms of its texts in one byte trie, with a counter
+   for each source and one for documents at the leaves.  The trie is held in
+   columns, leaf by leaf in the order of bytes; texts are cut into terms and counted
+   a few MB at a time, and each count is merged into the trie.  A trie of ``LEAVES``
+   leaves is passed on and begun anew, so a task holds little whatever it reads.
+2. *Merge*: a trie leaves its task in pages, one for each node of ``PREFIX`` bytes
+   with leaves below it: the tails of its terms with their counters.  Spark deals pages by ranges of (language,
+   prefix), sampled, each range to a task, which merges the pages of a prefix, adds up equal
+   leaves and keeps terms of enough documents.  A frequent term is one leaf of each trie, never a row an
+   occurrence; pages of a prefix are merged as they come, so that what is held is
+   bounded by its distinct terms.
 3. *Shares*: with V terms kept in a language and N occurrences of them in a group,
    p = 1 + floor(10**9 (count + 2) / (N + 2 V)); the divergence of p and q at a term is
    floor((p - q)**2 / (p + q)).
@@ -34,185 +34,277 @@ times as they stand; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import cut
 
-#: Leaves that the tries of a task hold, about.
-LEAVES = 150_000
+#: Leaves that the trie of a task holds, and pages' leaves that a merge holds, about.
+LEAVES = 500_000
+HELD = 200_000
+#: Bytes of a node from which on a trie is cut into pages.
+PREFIX = 3
+#: Bytes of text that are counted at a time.
+GATHER = 8_000_000
 #: Terms and sources of a cell, about.
 TERMS = 8192
 SOURCES = 128
-#: Texts whose terms are counted in hash tables before these are folded into the tries.
-GATHER = 4096
 MIN_DOCS = 10
 SCALE = 1_000_000_000
 TOP = 10
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = {65 + i: 97 + i for i in range(26)}
+_BYTES = np.arange(256)
+_LETTER = (_BYTES > 127) | (65 <= _BYTES) & (_BYTES <= 90) | (97 <= _BYTES) & (_BYTES <= 122)
+_LOWER = np.where((65 <= _BYTES) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
+_PAGES = "lang string, prefix binary, page binary"
+_LEAF = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+_LEAF_DDL = "lang string, term binary, docs long, sources array<string>, counts array<long>"
 
 
-class Trie:
-    """A radix trie over byte strings; a leaf counts documents and, by source, occurrences."""
+def _binary(data: bytes | np.ndarray, ends: np.ndarray) -> pa.Array:
+    """An array of byte strings, which follow each other in ``data``; ``ends`` starts with 0."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
-    __slots__ = ("root", "leaves")
 
-    def __init__(self):
-        # A node: its edges by first byte, each [label, node], and its counters if a term ends here.
-        self.root: list = [{}, None]
-        self.leaves = 0
-
-    def leaf(self, term: bytes) -> list:
-        """The counters [documents, {source: occurrences}] of a term."""
-        node, at = self.root, 0
-        while at < len(term):
-            edge = node[0].get(term[at])
-            if edge is None:
-                edge = node[0][term[at]] = [term[at:], [{}, None]]
-                node = edge[1]
-                break
-            label, below = edge
-            if not term.startswith(label, at):
-                # The edge is split where the term leaves it.
-                shared = 1
-                while at + shared < len(term) and shared < len(label) and term[at + shared] == label[shared]:
-                    shared += 1
-                below = [{label[shared]: [label[shared:], below]}, None]
-                edge[0], edge[1] = label[:shared], below
-                label = edge[0]
-            node, at = below, at + len(label)
-        if node[1] is None:
-            node[1] = [0, {}]
-            self.leaves += 1
-        return node[1]
-
-    def walk(self) -> Iterator[tuple[bytes, int, dict[str, int]]]:
-        """Terms with their counters in the order of their bytes."""
-        left = [(b"", self.root)]
-        while left:
-            term, (edges, counted) = left.pop()
-            if counted is not None:
-                yield term, *counted
-            for first in sorted(edges, reverse=True):
-                label, below = edges[first]
-                left.append((term + label, below))
-
-    def merge(self, other: Trie) -> Trie:
-        for term, docs, by_source in other.walk():
-            counted = self.leaf(term)
-            counted[0] += docs
-            for source, n in by_source.items():
-                counted[1][source] = counted[1].get(source, 0) + n
-        return self
-
-
-def terms_of(text: str) -> list[str]:
-    return TERM.findall(text.translate(_LOWER))
+def _raw(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of texts or byte strings, and where each ends (from 0)."""
+    ends = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int32)
+    data = np.frombuffer(array.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return data, ends - ends[0]
 
 
-_LEAF = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-_LEAF_DDL = "lang string, term binary, docs long, sources array<string>, counts array<long>"
+def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The terms of all texts, and of each the position of its text."""
+    data, ends = _raw(texts)
+    letter = _LETTER[data]
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    # A text begins a new term, whatever the one before ends with.
+    begin = ends[:-1][ends[:-1] < len(data)]
+    first[begin] |= letter[begin]
+    at = np.flatnonzero(first)
+    place = np.cumsum(letter, dtype=np.int32)
+    found = _binary(_LOWER[data[letter]], np.r_[place[at] - 1, place[-1] if len(place) else 0])
+    return found, np.searchsorted(ends, at, "right") - 1
+
+
+def _added(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with the sums of their values."""
+    if not len(keys):
+        return keys, values
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[at], np.add.reduceat(values[order], at)
+
+
+class Trie:
+    """A byte trie in columns: terms, and at its leaves counters of documents by language and of occurrences by group.
+
+    ``docs`` and ``uses`` are (term, language or group, number) columns; a group is a (language, source).
+    """
+
+    def __init__(self):
+        self.terms = pa.array([], pa.binary())
+        self.langs: dict[str, int] = {}
+        self.groups: dict[tuple[str, str], int] = {}
+        none = np.zeros(0, np.int64)
+        self.docs, self.uses = (none, none, none), (none, none, none)
+
+    @property
+    def leaves(self) -> int:
+        return len(self.docs[0])
+
+    def count(self, texts: pa.Array, langs: list[str], sources: list[str]) -> None:
+        lang = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], np.int64)
+        group = np.array([self.groups.setdefault(x, len(self.groups)) for x in zip(langs, sources)], np.int64)
+        found, of = terms_of(texts)
+        coded = found.dictionary_encode()
+        term = coded.indices.to_numpy().astype(np.int64)
+        n, ones = max(len(lang), 1), np.ones(len(term), np.int64)
+        # Of each text each term once.
+        pair, _ = _added(term * n + of, ones)
+        docs, uses = (pair // n, lang[pair % n], np.ones(len(pair), np.int64)), (term, group[of], ones)
+        self.merge(coded.dictionary, docs, uses)
+
+    def merge(self, terms: pa.Array, docs: tuple, uses: tuple) -> None:
+        """Add the counters of another trie's leaves, whose languages and groups are this one's."""
+        before = len(self.terms)
+        coded = pa.concat_arrays([self.terms, terms]).dictionary_encode()
+        to = coded.indices.to_numpy().astype(np.int64)
+        self.terms = coded.dictionary
+
+        def both(old, new, n):
+            keys = np.r_[to[old[0]] * n + old[1], to[before + new[0]] * n + new[1]]
+            keys, total = _added(keys, np.r_[old[2], new[2]])
+            return keys // n, keys % n, total
+
+        self.docs = both(self.docs, docs, max(len(self.langs), 1))
+        self.uses = both(self.uses, uses, max(len(self.groups), 1))
+
+    def pages(self) -> Iterator[tuple[str, bytes, bytes]]:
+        """(language, prefix, page) in the order of their bytes."""
+        if not self.leaves:
+            return
+        order = pc.sort_indices(self.terms).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        names, groups, n = list(self.langs), list(self.groups), len(order)
+        lang_of = np.array([self.langs[g[0]] for g in groups], np.int64)
+        at = np.argsort(self.docs[1] * n + rank[self.docs[0]])
+        lang, leaf, docs = (x[at] for x in (self.docs[1], rank[self.docs[0]], self.docs[2]))
+        use = np.argsort(lang_of[self.uses[1]] * n + rank[self.uses[0]], kind="stable")
+        entries = _entries(pa.array([s.encode() for _, s in groups], pa.binary()), self.uses[1][use], self.uses[2][use])
+        data, ends = _raw(entries)
+        of = lang_of[self.uses[1][use]] * n + rank[self.uses[0][use]]
+        # Leaves and uses go in one order.
+        start = np.searchsorted(of, lang * n + leaf)
+        uses_end = ends[np.r_[start, len(of)]]
+        terms = self.terms.take(pa.array(order)).take(pa.array(leaf))
+        raw, term_end = _raw(terms)
+        size = np.diff(term_end)
+        low = np.arange(len(raw), dtype=np.int32) - np.repeat(term_end[:-1], size) >= PREFIX
+        prefix = _binary(raw[~low], np.r_[0, np.cumsum(np.minimum(size, PREFIX))])
+        tails, tails_end = raw[low], np.r_[0, np.cumsum(np.maximum(size - PREFIX, 0))]
+        head = prefix.dictionary_encode().indices.to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (lang[1:] != lang[:-1])])
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(leaf)]):
+            page = _page(np.diff(tails_end[a : b + 1]), docs[a:b], np.diff(uses_end[a : b + 1]), tails[tails_end[a] : tails_end[b]].tobytes(), data[uses_end[a] : uses_end[b]].tobytes())
+            yield names[lang[a]], prefix[a].as_py(), page
+
+
+def _entries(sources: pa.Array, group: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The counters of uses as bytes: number, length of the source's name, name."""
+    head = pa.array([struct.pack("<I", len(s.as_py())) + s.as_py() for s in sources], pa.binary())
+    numbers = _binary(n.astype("<i8").view(np.uint8), 8 * np.arange(len(n) + 1))
+    return pc.binary_join_element_wise(numbers, head.take(pa.array(group)), pa.scalar(b"", pa.binary()))
+
+
+def _uses(raw: bytes) -> Iterator[tuple[str, int]]:
+    at = 0
+    while at < len(raw):
+        n, size = struct.unpack_from("<qI", raw, at)
+        at += 12 + size
+        yield raw[at - size : at].decode(), n
+
+
+def _page(tails: np.ndarray, docs: np.ndarray, uses: np.ndarray, tail_bytes: bytes, use_bytes: bytes) -> bytes:
+    return np.r_[len(docs), tails, docs, uses].astype("<i8").tobytes() + tail_bytes + use_bytes
 
 
 def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The leaves of a task's tries, in order."""
-    tries: dict[str, Trie] = defaultdict(Trie)
+    """The pages of a task's tries."""
+    trie = Trie()
 
     def told():
-        for lang in sorted(tries):
-            rows: list[tuple] = []
-            for term, docs, by_source in tries[lang].walk():
-                rows.append((lang, term, docs, list(by_source), list(by_source.values())))
-                if len(rows) == 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _LEAF)], schema=_LEAF)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _LEAF)], schema=_LEAF)
-        tries.clear()
-
+        rows: list[tuple] = []
+        for row in trie.pages():
+            rows.append(row)
+            if len(rows) == 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["lang", "prefix", "page"])
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["lang", "prefix", "page"])
+
+    kinds = pa.string(), pa.binary(), pa.binary()
     for batch in batches:
-        for at in range(0, batch.num_rows, GATHER):
-            counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-            docs: dict[str, Counter] = defaultdict(Counter)
-            for text, lang, source in zip(*[c.to_pylist() for c in batch.slice(at, GATHER).columns]):
-                found = terms_of(text)
-                counts[lang, source].update(found)
-                docs[lang].update(set(found))
-            leaves: dict[tuple[str, str], list] = {}
-            for lang, held in docs.items():
-                trie = tries[lang]
-                for term, n in held.items():
-                    own = leaves[lang, term] = trie.leaf(term.encode())
-                    own[0] += n
-            for (lang, source), held in counts.items():
-                for term, n in held.items():
-                    own = leaves[lang, term][1]
-                    own[source] = own.get(source, 0) + n
-            if sum(t.leaves for t in tries.values()) >= LEAVES:
+        _, ends = _raw(batch.column(0))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + GATHER, "right")) - 1)
+            some = batch.slice(at, to - at)
+            trie.count(some.column(0), some.column(1).to_pylist(), some.column(2).to_pylist())
+            at = to
+            if trie.leaves >= LEAVES:
                 yield from told()
+                trie = Trie()
     yield from told()
 
 
-def _starts(*columns: np.ndarray) -> np.ndarray:
-    """Positions at which a run of equal values begins."""
-    new = np.zeros(len(columns[0]), bool)
-    new[:1] = True
-    for x in columns:
-        new[1:] |= x[1:] != x[:-1]
-    return np.flatnonzero(new)
-
-
 def _merged(min_docs: int):
-    """Of leaves sorted by (language, term) the sums of those in ``min_docs`` documents at least."""
-
-    def settle(t: pa.Table, min_docs: int = min_docs) -> pa.Table:
-        key = [t.column(c).combine_chunks().dictionary_encode() for c in ("lang", "term")]
-        at = _starts(*[k.indices.to_numpy() for k in key])
-        docs = np.add.reduceat(t.column("docs").to_numpy(), at)
-        rows: list[tuple] = []
-        ends = np.r_[at[1:], t.num_rows]
-        keep = docs >= min_docs
-        for a, b, n in zip(at[keep].tolist(), ends[keep].tolist(), docs[keep].tolist()):
-            total: Counter = Counter()
-            own = t.slice(a, b - a)
-            for sources, counts in zip(own.column("sources").to_pylist(), own.column("counts").to_pylist()):
-                for source, count in zip(sources, counts):
-                    total[source] += count
-            rows.append((own.column("lang")[0].as_py(), own.column("term")[0].as_py(), n, list(total), list(total.values())))
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _LEAF)], schema=_LEAF) if rows else _LEAF.empty_table()
+    """Of pages sorted by (language, prefix) the leaves in ``min_docs`` documents at least."""
+
+    def summed(pages: list[tuple[str, bytes, bytes]]):
+        """Leaves of pages, added up: position of their (language, prefix), tail, documents, uses."""
+        heads: dict[tuple[str, bytes], int] = {}
+        of, lens, docs, sizes, tails, uses = [], [], [], [], [], []
+        for lang, prefix, page in pages:
+            n = int.from_bytes(page[:8], "little")
+            told = np.frombuffer(page, "<i8", 3 * n, 8).reshape(3, n)
+            of.append(np.full(n, heads.setdefault((lang, prefix), len(heads))))
+            lens.append(told[0])
+            docs.append(told[1])
+            sizes.append(told[2])
+            middle = 8 + 24 * n + int(told[0].sum())
+            tails.append(page[8 + 24 * n : middle])
+            uses.append(page[middle:])
+        of, lens, docs, sizes = (np.concatenate(x) for x in (of, lens, docs, sizes))
+        coded = _binary(b"".join(tails), np.r_[0, np.cumsum(lens)]).dictionary_encode()
+        key = of * len(coded.dictionary) + coded.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        at = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        return list(heads), of, coded, order, at, np.add.reduceat(docs[order], at), b"".join(uses), np.r_[0, np.cumsum(sizes)]
+
+    def leaves(pages, least: int):
+        heads, of, coded, order, at, docs, uses, ends = summed(pages)
+        stop = np.r_[at[1:], len(order)]
+        keep = docs >= least
+        for a, b, n in zip(at[keep].tolist(), stop[keep].tolist(), docs[keep].tolist()):
+            total: dict[str, int] = {}
+            for k in order[a:b].tolist():
+                for source, m in _uses(uses[ends[k] : ends[k + 1]]):
+                    total[source] = total.get(source, 0) + m
+            lang, prefix = heads[of[order[a]]]
+            yield lang, prefix, coded.dictionary[coded.indices[int(order[a])].as_py()].as_py(), n, total
+
+    def told(pages):
+        rows = [(lang, prefix + tail, n, list(total), list(total.values())) for lang, prefix, tail, n, total in leaves(pages, min_docs)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _LEAF)], schema=_LEAF)
+
+    def one(pages):
+        """Pages of one prefix as a single one."""
+        found = list(leaves(pages, 0))
+        names = sorted({s for *_, total in found for s in total})
+        place = {s: k for k, s in enumerate(names)}
+        group, n = (np.array([f(x) for *_, total in found for x in total.items()], np.int64) for f in (lambda x: place[x[0]], lambda x: x[1]))
+        data, ends = _raw(_entries(pa.array([s.encode() for s in names], pa.binary()), group, n))
+        sizes = np.diff(ends[np.r_[0, np.cumsum([len(total) for *_, total in found])]])
+        return [(*pages[0][:2], _page(np.array([len(x[2]) for x in found]), np.array([x[3] for x in found]), sizes, b"".join(x[2] for x in found), data.tobytes()))]
 
     def run(batches):
-        held = _LEAF.empty_table()
+        held: list[tuple[str, bytes, bytes]] = []
+        n = least = 0
         for batch in batches:
-            held = pa.concat_tables([held, pa.Table.from_batches([batch]).cast(_LEAF)])
-            if held.num_rows < 20_000:
-                continue
-            # The last term may go on in the next batch.
-            last = [held.column(c)[-1] for c in ("lang", "term")]
-            stop = held.num_rows - 1
-            while stop and [held.column(c)[stop - 1] for c in ("lang", "term")] == last:
-                stop -= 1
-            if stop:
-                yield from settle(held.slice(0, stop)).to_batches()
-            # A term of very many tries is added up as it comes.
-            held = settle(held.slice(stop), 0)
-        if held.num_rows:
-            yield from settle(held).to_batches()
+            for page in zip(*[c.to_pylist() for c in batch.columns]):
+                if n > max(HELD, 2 * least):
+                    if held[-1][:2] != page[:2]:
+                        yield from told(held)
+                        held, n, least = [], 0, 0
+                    else:
+                        # The last prefix goes on: the others are settled, its pages become one.
+                        cut_at = next(k for k, x in enumerate(held) if x[:2] == page[:2])
+                        if cut_at:
+                            yield from told(held[:cut_at])
+                        held = one(held[cut_at:])
+                        n = least = int.from_bytes(held[0][2][:8], "little")
+                held.append(page)
+                n += int.from_bytes(page[2][:8], "little")
+        if held:
+            yield from told(held)
 
     return run
 
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``lang``, ``term`` (bytes), ``docs`` and, by source, ``counts`` of the terms kept."""
-    leaves = cut(docs.select("text", "lang", "source").mapInArrow(_tries, _LEAF_DDL), "leaves")
-    ranged = leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
+    pages = cut(docs.select("text", "lang", "source").mapInArrow(_tries, _PAGES), "pages")
+    ranged = pages.repartitionByRange("lang", "prefix").sortWithinPartitions("lang", "prefix")
     return ranged.mapInArrow(_merged(min_docs), _LEAF_DDL)
 
 

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,9 +137,9 @@ def brute_divergence(rows, min_docs, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("leaves, terms, sources", [(150_000, 8192, 128), (5, 7, 2)])
+@pytest.mark.parametrize("leaves, terms, sources", [(500_000, 8192, 128), (5, 7, 2)])
 def test_divergence(spark, monkeypatch, leaves, terms, sources):
-    for name, x in (("LEAVES", leaves), ("TERMS", terms), ("SOURCES", sources), ("GATHER", 9 if leaves == 5 else 4096)):
+    for name, x in (("LEAVES", leaves), ("TERMS", terms), ("SOURCES", sources), ("GATHER", 90 if leaves == 5 else 8_000_000), ("HELD", 20 if leaves == 5 else 200_000)):
         monkeypatch.setattr(divergence, name, x)
     r = random.Random(2)
     vocabulary = ["".join(r.choices("abcé漢ÀZ", k=r.randint(1, 4))) for _ in range(90)]
@@ -151,18 +152,32 @@ def test_divergence(spark, monkeypatch, leaves, terms, sources):
     assert divergence.audit(df.limit(0)).count() == 0
 
 
-def test_tries():
+@pytest.mark.parametrize("held", [200_000, 3])
+def test_tries(monkeypatch, held):
+    """Pages of several tries, cut anyhow, merge to the counts of all terms."""
+    monkeypatch.setattr(divergence, "HELD", held)
     r = random.Random(5)
-    words = [bytes(r.choices(b"ab\xc3\xa9", k=r.randint(0, 6))) for _ in range(2000)]
-    want, tries = Counter(), [divergence.Trie(), divergence.Trie()]
-    for k, w in enumerate(words):
-        leaf = tries[k % 2].leaf(w)
-        leaf[0] += 1
-        leaf[1]["s"] = leaf[1].get("s", 0) + 2
-        want[w] += 1
-    both = tries[0].merge(tries[1])
-    assert [(w, n, s["s"]) for w, n, s in both.walk()] == [(w, want[w], 2 * want[w]) for w in sorted(want)]
-    assert both.leaves == len(want)
+    texts = ["".join(r.choices("abAé 1", k=r.randint(0, 40))) for _ in range(300)]
+    uses, docs, pages = Counter(), Counter(), []
+    for a in range(0, 300, 60):
+        trie = divergence.Trie()
+        for b in range(a, a + 60, 20):
+            some = texts[b : b + 20]
+            trie.count(pa.array(some), ["l" if k % 2 else "m" for k in range(20)], [f"s{k % 3}" for k in range(20)])
+            for k, t in enumerate(some):
+                found = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t.replace("A", "a"))
+                for w in found:
+                    uses["l" if k % 2 else "m", w, f"s{k % 3}"] += 1
+                for w in set(found):
+                    docs["l" if k % 2 else "m", w] += 1
+        own = list(trie.pages())
+        assert [x[:2] for x in own] == sorted(x[:2] for x in own) or {x[0] for x in own} == {"l", "m"}
+        pages += own
+    pages.sort(key=lambda x: x[:2])
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*pages[k : k + 7])], ["lang", "prefix", "page"]) for k in range(0, len(pages), 7)]
+    out = [row for b in divergence._merged(1)(iter(batches)) for row in b.to_pylist()]
+    assert Counter({(x["lang"], x["term"].decode()): x["docs"] for x in out}) == docs and len(out) == len(docs)
+    assert Counter({(x["lang"], x["term"].decode(), s): n for x in out for s, n in zip(x["sources"], x["counts"])}) == uses
 
 
 def test_shares_are_exact():
