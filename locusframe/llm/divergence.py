@@ -55,6 +55,8 @@ GATHER = 8_000_000
 #: Terms and sources of a cell, about.
 TERMS = 8192
 SOURCES = 128
+#: Places in which a language's terms meet its numbers.
+SALT = 64
 MIN_DOCS = 10
 SCALE = 1_000_000_000
 TOP = 10
@@ -398,7 +400,9 @@ def audit(df: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, text_col: str
     groups = groups.select("lang", "source", "block", "t", whole.alias("whole"), (F.col("all") + 2 * F.col("v")).alias("everything"), other)
     groups = groups.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     groups = groups.select("lang", "source", "block", "whole", "everything", "b", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    terms = kept.join(sized, "lang").withColumn("b", F.pmod(F.xxhash64("term"), F.col("t")).cast("int"))
+    # A language may have most terms: these meet its numbers in many places.
+    spread = sized.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    terms = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALT)).cast("int")).join(spread, ["lang", "salt"]).withColumn("b", F.pmod(F.xxhash64("term"), F.col("t")).cast("int"))
     terms = terms.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).withColumn("j", F.explode(F.sequence(F.col("i"), F.col("s") - 1)))
     key = ["lang", "b", "i", "j"]
     terms = terms.select(*[F.col(c).alias(c) for c in (*key, "term", "sources", "counts", "total")])
