@@ -1,8 +1,8 @@
 """Keyed tables (``.ht`` folders): block-compressed, range-partitioned rows with typed nesting.
 
-Part files are read as whole binary files by Spark and decoded in Arrow batches,
-and written by Spark's text writer (one row of raw bytes a part), so any file
-system that Spark knows will do.  Metadata names the key and each
+Part files are read by place and written as streams (:mod:`.keyed_source`) where
+Arrow knows the file system; elsewhere Spark reads parts as whole binary files and
+writes them by its text writer (one row of raw bytes a part).  Metadata names the key and each
 part's range of keys; parts that cannot hold a wanted key are not opened.  Parts
 are pruned by a leading run of the key only: a later field counts while both
 bounds agree on all fields before it.  Where a table has an index, a lookup of a
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import gzip
+import io
 import json
 import posixpath
 import re
@@ -21,6 +22,7 @@ import struct as st
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locusframe.functions.predicates import KeyRange, in_ranges
+from locusframe.sources.files import reachable
 
 # Names of the physical types in the format.
 PRIMITIVES = {"EBinary": T.StringType(), "EInt32": T.IntegerType(), "EInt64": T.LongType(), "EFloat32": T.FloatType(), "EFloat64": T.DoubleType(), "EBoolean": T.BooleanType()}
@@ -145,39 +148,58 @@ def logical_text(p: Physical) -> str:
 
 
 class Blocks:
-    """A part file's blocks by place, decompressed when they are needed.
+    """A part file's blocks by place, found and decompressed when they are needed.
 
-    An empty block ends them.
+    Of blocks that are passed over only the head is read.  An empty block ends them.
     """
 
-    def __init__(self, raw: bytes):
-        self.raw = raw
-        #: Of each block where it stands in the file, where its bytes start once decompressed, and how it ends in the file.
+    def __init__(self, raw: bytes | BinaryIO):
+        self.file = io.BytesIO(raw) if isinstance(raw, bytes) else raw
+        self.size = self.file.seek(0, 2)
+        #: Of each block known so far where it stands in the file, where its bytes start once decompressed, and how it ends in the file.
         self.at: list[int] = []
         self.start: list[int] = [0]
         self.end: list[int] = []
-        at = 0
-        while at + 4 <= len(raw):
-            (n,) = st.unpack_from("<I", raw, at)
-            if at + 4 + n > len(raw):
+        self.next, self.ended = 0, False
+
+    def find(self) -> bool:
+        """Whether there is a further block; its head is read."""
+        while not self.ended and self.next + 4 <= self.size:
+            at = self.next
+            self.file.seek(at)
+            head = self.file.read(8)
+            (n,) = st.unpack_from("<I", head)
+            if at + 4 + n > self.size:
                 raise EOFError("part file ends within a block")
+            self.next = at + 4 + n
             if n >= 4:
-                (size,) = st.unpack_from("<i", raw, at + 4)
+                (size,) = st.unpack_from("<i", head, 4)
                 if size == 0:
                     break
                 self.at.append(at)
-                self.end.append(at + 4 + n)
+                self.end.append(self.next)
                 self.start.append(self.start[-1] + size)
-            at += 4 + n
+                return True
+        self.ended = True
+        return False
+
+    def has(self, k: int) -> bool:
+        while k >= len(self.at):
+            if not self.find():
+                return False
+        return True
 
     def read(self, k: int) -> bytes:
         import zstandard
 
-        size = self.start[k + 1] - self.start[k]
-        return zstandard.ZstdDecompressor().decompress(self.raw[self.at[k] + 8 : self.end[k]], max_output_size=size)
+        self.file.seek(self.at[k] + 8)
+        raw = self.file.read(self.end[k] - self.at[k] - 8)
+        return zstandard.ZstdDecompressor().decompress(raw, max_output_size=self.start[k + 1] - self.start[k])
 
     def holding(self, place: int) -> int:
         """The block that holds a place of the decompressed bytes."""
+        while place >= self.start[-1] and self.find():
+            pass
         if not 0 <= place < self.start[-1]:
             raise ValueError(f"no byte {place}")
         return bisect.bisect_right(self.start, place) - 1
@@ -185,6 +207,8 @@ class Blocks:
     def named(self, offset: int) -> int:
         """The place behind an offset in an index: a block's own offset, or 16 bits within the block of the others."""
         for file_offset, within in ((offset, 0), (offset >> 16, offset & 0xFFFF)):
+            while (not self.at or self.at[-1] < file_offset) and self.find():
+                pass
             k = bisect.bisect_left(self.at, file_offset)
             if k < len(self.at) and self.at[k] == file_offset:
                 return self.start[k] + within
@@ -205,7 +229,7 @@ class Cursor:
 
     def more(self) -> bool:
         """Whether there is a further byte."""
-        while self.at >= len(self.data) and self.blocks and self.next < len(self.blocks.at):
+        while self.at >= len(self.data) and self.blocks and self.blocks.has(self.next):
             self.at -= len(self.data)
             self.data = self.blocks.read(self.next)
             self.next += 1
@@ -357,9 +381,9 @@ def blocked(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def rows_of(raw: bytes, p: Physical, fixed: bool = False, limits: Limits = LIMITS) -> Iterator[dict]:
-    """Rows of a part file to its end; marks of absent rows are passed over."""
-    c, read = Cursor(Blocks(raw), fixed=fixed), decoder(p, limits)
+def rows_of(raw: bytes | Blocks, p: Physical, fixed: bool = False, limits: Limits = LIMITS, place: int = 0) -> Iterator[dict]:
+    """Rows of a part file from a place to its end; marks of absent rows are passed over."""
+    c, read = Cursor(raw if isinstance(raw, Blocks) else Blocks(raw), place, fixed), decoder(p, limits)
     while c.more():
         if c.raw(1) != b"\0":
             yield read(c)
@@ -380,12 +404,27 @@ class IndexSpec:
 
 
 def order_of(value) -> tuple:
-    """Keys compare field by field, texts by their characters; a null comes last."""
+    """Keys compare field by field, texts by their characters, contigs by their numbers first; a null comes last."""
     if isinstance(value, dict):
+        if list(value) == ["contig", "position"]:
+            return (contig_order(value["contig"]), order_of(value["position"]))
         return tuple(order_of(x) for x in value.values())
     return (value is None, value)
 
 
+# Contigs after the numbered ones, in order.
+_LETTERED = {"X": 23, "Y": 24, "M": 25, "MT": 25}
+
+
+def contig_order(contig: str | None) -> tuple:
+    """Numbered contigs, X, Y and M, then others by name; a null comes last."""
+    if contig is None:
+        return (2, 0, "")
+    name = contig.removeprefix("chr")
+    n = int(name) if name.isdigit() else _LETTERED.get(name)
+    return (0, n, "") if n is not None else (1, 0, contig)
+
+
 def node_at(blocks: Blocks, spec: IndexSpec, offset: int) -> tuple[bool, dict]:
     """Whether a node is a leaf, and its fields."""
     c = Cursor(blocks, blocks.named(offset), spec.fixed)
@@ -514,6 +553,11 @@ def read(spark: SparkSession, path: str, ranges: list[KeyRange] = (), intervals:
     files = [f"{path}/{component}/parts/{m.parts[i]}" for i in chosen]
     if not files or not schema.fields:
         return spark.createDataFrame([], schema)
+    if reachable(path):
+        from locusframe.sources import keyed_source
+
+        found = in_ranges(keyed_source.load(spark, m, component, list(chosen), list(ranges), intervals, limits), *ranges)
+        return found.orderBy(*m.key) if ordered and m.key else found
     p = m.row_type
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -571,7 +615,21 @@ class Folder:
 
 
 def write(df: DataFrame, path: str, key: list[str], partitions: int | None = None, limits: Limits = LIMITS) -> None:
-    """K7: a table sorted by its key.
+    """K7: a table sorted by its key, with an index of each part.
+
+    Tasks stream their parts, of any size, and a commit names them
+    (:mod:`locusframe.sources.keyed_source`).
+    """
+    if not reachable(path):
+        return write_whole(df, path, key, partitions, limits)
+    from locusframe.sources import keyed_source
+
+    dealt = df.repartitionByRange(*([partitions] if partitions else []), *key) if key else df.repartition(partitions) if partitions else df
+    keyed_source.save(dealt.sortWithinPartitions(*key) if key else dealt, path, key, limits)
+
+
+def write_whole(df: DataFrame, path: str, key: list[str], partitions: int | None = None, limits: Limits = LIMITS) -> None:
+    """K7 on file systems that only Spark reaches: a table sorted by its key, without an index.
 
     Tasks make the bytes of whole parts, which are written once as Parquet, so
     that parts and their bounds belong together whatever is run again; then each
@@ -613,17 +671,22 @@ def write(df: DataFrame, path: str, key: list[str], partitions: int | None = Non
     folder.drop("rows")
     for r in made:
         folder.move(folder.only_file(f"{work}/parts/i={r.i}"), f"rows/parts/part-{r.i:05d}")
+    for name, data in documents(p, key, [f"part-{r.i:05d}" for r in made], [(json.loads(r.first), json.loads(r.last)) for r in made], sum(r.n for r in made)).items():
+        folder.put(name, data)
+    folder.drop(work)
+    folder.put("_SUCCESS", b"")
+
+
+def documents(p: Physical, key: list[str], parts: list[str], bounds: list[tuple[dict, dict]], n: int, index: dict | None = None) -> dict[str, bytes]:
+    """The small files of a table by name."""
     # The keys of the metadata.
     codec = {"name": "TypedCodecSpec", "_bufferSpec": BUFFERS}
-    rows = {"name": "OrderedRVDSpec2", "_key": key, "_codecSpec": codec | {"_eType": type_text(p), "_vType": logical_text(p)}, "_indexSpec": None,
-            "_partFiles": [f"part-{r.i:05d}" for r in made], "_jRangeBounds": [{"start": json.loads(r.first), "end": json.loads(r.last), "includeStart": True, "includeEnd": True} for r in made], "_attrs": {"rows": sum(r.n for r in made)}}
+    told = [{"start": a, "end": b, "includeStart": True, "includeEnd": True} for a, b in bounds]
+    rows = {"name": "OrderedRVDSpec2", "_key": key, "_codecSpec": codec | {"_eType": type_text(p), "_vType": logical_text(p)}, "_indexSpec": index, "_partFiles": parts, "_jRangeBounds": told, "_attrs": {"rows": n}}
     none = Physical("EBaseStruct", True)
-    globals_ = rows | {"_key": [], "_codecSpec": codec | {"_eType": type_text(none), "_vType": logical_text(none)}, "_partFiles": ["part-0"], "_attrs": {}, "_jRangeBounds": [{"start": {}, "end": {}, "includeStart": True, "includeEnd": True}]}
-    folder.put("globals/parts/part-0", blocked(b"\1\0"))
-    for name, m in (("rows", rows), ("globals", globals_)):
-        folder.put(f"{name}/metadata.json.gz", gzip.compress(json.dumps(m).encode()))
-    folder.drop(work)
-    folder.put("_SUCCESS", b"")
+    globals_ = rows | {"_key": [], "_codecSpec": codec | {"_eType": type_text(none), "_vType": logical_text(none)}, "_indexSpec": None, "_partFiles": ["part-0"], "_attrs": {}, "_jRangeBounds": [{"start": {}, "end": {}, "includeStart": True, "includeEnd": True}]}
+    out = {f"{name}/metadata.json.gz": gzip.compress(json.dumps(m).encode()) for name, m in (("rows", rows), ("globals", globals_))}
+    return out | {"globals/parts/part-0": blocked(b"\1\0")}
 
 
 def nested(key: dict) -> dict:
@@ -645,6 +708,11 @@ def lookup(spark: SparkSession, path: str, **key) -> DataFrame:
     """
     ranges = [KeyRange.of(k.replace("__", "."), "=", x) for k, x in key.items()]
     m, wanted = metadata(spark, path), nested(key)
+    if reachable(path):
+        from locusframe.sources import keyed_source
+
+        full = m.index is not None and list(wanted) == list(m.key)
+        return in_ranges(keyed_source.load(spark, m, "rows", prune(m, ranges), ranges, None, LIMITS, wanted if full else None), *ranges).limit(1)
     if m.index is None or list(wanted) != list(m.key):
         return read(spark, path, ranges).limit(1)
     spec, schema = m.index, spark_type(m.row_type)

@@ -120,7 +120,7 @@ def test_keyed_write_replaces_and_leaves_nothing(spark, tmp_path):
     keyed.write(spark.range(7).selectExpr("id as k", "'a\\nb' as s"), path, ["k"], partitions=2)
     assert sorted(r.k for r in keyed.read(spark, f"file://{path}").collect()) == list(range(7))
     left = sorted(p.name for p in (tmp_path / "w.ht").iterdir() if not p.name.endswith(".crc"))
-    assert left == ["_SUCCESS", "globals", "rows"]
+    assert left == ["_SUCCESS", "globals", "index", "rows"]
 
 
 def test_type_text():
