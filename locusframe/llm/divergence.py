@@ -46,12 +46,12 @@ from pyspark.sql import functions as F
 from locusframe.llm.common import cut
 
 #: Leaves that the trie of a task holds, and pages' leaves that a merge holds, about.
-LEAVES = 500_000
+LEAVES = 250_000
 HELD = 200_000
 #: Bytes of a node from which on a trie is cut into pages.
 PREFIX = 3
 #: Bytes of text that are counted at a time.
-GATHER = 8_000_000
+GATHER = 4_000_000
 #: Terms and sources of a cell, about.
 TERMS = 8192
 SOURCES = 128

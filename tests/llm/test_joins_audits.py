@@ -137,9 +137,9 @@ def brute_divergence(rows, min_docs, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("leaves, terms, sources", [(500_000, 8192, 128), (5, 7, 2)])
+@pytest.mark.parametrize("leaves, terms, sources", [(250_000, 8192, 128), (5, 7, 2)])
 def test_divergence(spark, monkeypatch, leaves, terms, sources):
-    for name, x in (("LEAVES", leaves), ("TERMS", terms), ("SOURCES", sources), ("GATHER", 90 if leaves == 5 else 8_000_000), ("HELD", 20 if leaves == 5 else 200_000)):
+    for name, x in (("LEAVES", leaves), ("TERMS", terms), ("SOURCES", sources), ("GATHER", 90 if leaves == 5 else 4_000_000), ("HELD", 20 if leaves == 5 else 200_000)):
         monkeypatch.setattr(divergence, name, x)
     r = random.Random(2)
     vocabulary = ["".join(r.choices("abcé漢ÀZ", k=r.randint(1, 4))) for _ in range(90)]
