@@ -68,7 +68,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--to", choices=("parquet", "json", "vcf", "ht", "clickhouse", "bigquery"), required=True)
             p.add_argument("--output", required=True, help="a path; for clickhouse the end point's URL")
             p.add_argument("--name", help="the table's name in the other system")
-            p.add_argument("--compression", choices=("none", "gzip"), default="none")
+            p.add_argument("--compression", choices=("none", "gzip", "bgzf"), default="none")
             p.add_argument("--shards", type=int)
             p.add_argument("--group-by", action="append", default=[])
             p.add_argument("--key", action="append", default=[])

@@ -1,16 +1,15 @@
 """Variant-call text files as typed rows, and back.
 
-Lines are read by Spark's text source, so that compressed and remote files need
-nothing more; the header is a few lines and shapes the schema.  Regions are
-compared on the first two fields of a line, before the others are parsed; a
-region index of a compressed file is not used, as Spark hands out whole files.
+The header is a few lines and shapes the schema.  Block-gzipped files are read in
+parallel, and by region with an index beside them (:mod:`.bgzf`); other lines
+come from Spark's text source, so that compressed and remote files need nothing
+more.  Regions are compared on the first two fields of a line, before the others
+are parsed.
 """
 
 from __future__ import annotations
 
 import re
-import struct as st
-import zlib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,6 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from locusframe.sources import bgzf, files
+from locusframe.sources.files import reachable
+
 SCALARS = {"Integer": T.IntegerType(), "Float": T.FloatType(), "String": T.StringType(), "Character": T.StringType()}
 FIXED = ("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")
 
@@ -90,8 +92,11 @@ def read(spark: SparkSession, path: str, intervals: list[tuple[str, int, int]] |
     S8: with ``intervals`` (contig, start, end), rows within any of them.  S9: on
     demand with every contig's rows in a partition of its own, in order of place.
     """
-    lines = spark.read.text(path)
-    h = header(head_of(lines))
+    if path.endswith((".gz", ".bgz")) and reachable(path) and files.size(path) and bgzf.is_blocked(path):
+        lines, h = bgzf.read_lines(spark, path, intervals), header(bgzf.head_lines(path))
+    else:
+        lines = spark.read.text(path)
+        h = header(head_of(lines))
     texts = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0))
     if intervals is not None:
         front = F.split(F.col("value"), "\t", 3)
@@ -206,9 +211,11 @@ def record(schema: T.StructType, samples: list[str] = ()) -> Column:
     )
 
 
-def write(df: DataFrame, path: str, compression: str = "none", samples: list[str] | None = None) -> None:
-    """One text file in a folder: header first, then rows by contig and position.
+def write(df: DataFrame, path: str, compression: str = "none", samples: list[str] | None = None, joined: bool = True) -> None:
+    """Header first, then rows by contig and position.
 
+    With ``bgzf`` tasks write ranges of rows as blocks of one file, with an index
+    beside it (apart, in a folder, with ``joined`` off); else one text file in a folder, by one task.
     Samples are those given, or those of the genotypes of any row, by name.
     """
     spark = df.sparkSession
@@ -217,20 +224,13 @@ def write(df: DataFrame, path: str, compression: str = "none", samples: list[str
         # One name a sample: a line of the header.
         samples = [r[0] for r in df.select(F.explode("genotypes.sample_id").alias("s")).where("s is not null").distinct().orderBy("s").collect()]
     samples = samples or []
-    head = spark.createDataFrame([("\n".join(header_lines(df.schema, contigs, samples)),)], "value string")
+    told = "\n".join(header_lines(df.schema, contigs, samples))
     rows = df.select(F.col("locus.contig").alias("contig"), F.col("locus.position").alias("position"), "alleles", record(df.schema, samples).alias("value"))
+    if compression == "bgzf":
+        by = ("contig", "position", "alleles")
+        return bgzf.write_lines(rows.repartitionByRange(*by).sortWithinPartitions(*by).select("value"), path, told + "\n", True, joined)
+    head = spark.createDataFrame([(told,)], "value string")
     # One file is one task, which sorts with spill; the header has no contig and comes first.
     every = rows.unionByName(head, allowMissingColumns=True).repartition(1)
     ordered = every.sortWithinPartitions(F.asc_nulls_first("contig"), "position", "alleles")
     ordered.select("value").write.option("compression", compression).text(path)
-
-
-def bgzf(data: bytes) -> bytes:
-    """Blocks of at most 64 KiB, each a gzip member with its size, and the empty block that ends the file."""
-    out = []
-    for at in [*range(0, len(data), 65280), None]:
-        part = b"" if at is None else data[at : at + 65280]
-        z = zlib.compressobj(6, zlib.DEFLATED, -15)
-        body = z.compress(part) + z.flush()
-        out.append(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + st.pack("<H", len(body) + 25) + body + st.pack("<II", zlib.crc32(part), len(part)))
-    return b"".join(out)
