@@ -2,13 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.functions.predicates import KeyRange
@@ -17,18 +10,7 @@ from locusframe.operators import schema
 from locusframe.plans import views as v
 from locusframe.plans.registry import KEYS, query
 from locusframe.sources import keyed, sinks, vcf
-
-
-def place(spark: SparkSession, name: str) -> str:
-    """A fresh path that the driver and all tasks share; a folder of this machine in a local session only."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        own = tempfile.mkdtemp(prefix="tables-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        shared = "file://" + own
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from locusframe.sources.shared import place
 
 
 @query("select contig, position, ref, alt, pvalue, k1, k2, k3, k4 from variants where contig = 'chr7' and position >= 300000")

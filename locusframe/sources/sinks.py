@@ -26,14 +26,12 @@ WAREHOUSE_KEYS = {
 }
 
 
-#: The time of a row's load.
-LOADED = "_loaded_at"
 SEQUENCING = ("exome", "genome")
 
 
 def parquet(df: DataFrame, path: str, shards: int | None = None, init: str = "create", row_group: int = 100_000) -> None:
     """K1 (one shard), K2, K3: files of zstd-compressed row groups."""
-    out = df if shards is None else df.coalesce(1) if shards == 1 else df.repartition(shards)
+    out = df if shards is None else df.repartition(shards)
     out.write.mode(MODES[init]).option("compression", "zstd").option("parquet.block.row.count.limit", row_group).parquet(path)
 
 
@@ -70,23 +68,20 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def warehouse(tables: dict[str, DataFrame], path: str, init: str = "append") -> None:
-    """Tables below a folder, by phenotype.
+    """Tables below a folder; rows of a key that was loaded before are replaced (:mod:`.warehouse`)."""
+    from locusframe.sources.warehouse import upsert
 
-    Rows carry the time of their load; :func:`read_warehouse` shows of each key
-    the last one loaded, so that loading a phenotype again replaces its rows.
-    """
     for name, df in tables.items():
         if name not in WAREHOUSE_KEYS:
             raise ValueError(f"not a warehouse table: {name}")
-        stamped = df.drop(LOADED).withColumn(LOADED, F.current_timestamp())
-        stamped.write.mode(MODES[init]).partitionBy("phenotype").parquet(f"{path}/{name}")
+        upsert(df, f"{path}/{name}", WAREHOUSE_KEYS[name], init)
 
 
 def read_warehouse(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table with one row for each key, the last loaded."""
-    df = spark.read.parquet(f"{path}/{name}")
-    keys = [k for k in WAREHOUSE_KEYS[name] if k in df.columns]
-    return last_per_key(df, keys, [LOADED]).drop(LOADED)
+    from locusframe.sources.warehouse import read
+
+    return read(spark, f"{path}/{name}")
 
 
 def insert_chunks(df: DataFrame, url: str, table: str, rows: int = 25_000, partitions: int = 8) -> None:
@@ -142,7 +137,8 @@ def post_chunks(df: DataFrame, send: Callable[[list[dict]], None], rows: int = 2
         if chunk:
             send(chunk)
 
-    df.coalesce(partitions).foreachPartition(run)
+    # The upstream keeps its own parallelism; only the sending is held to a few tasks.
+    df.repartition(partitions).foreachPartition(run)
 
 
 def ingest(spark: SparkSession, base: str, path: str, phenotype: str, ancestry: str) -> DataFrame:

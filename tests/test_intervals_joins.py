@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from locusframe.operators import intervals as iv
 from locusframe.operators import joins as j
@@ -101,3 +102,34 @@ def test_clump(spark, seed):
     df = spark.createDataFrame(rows, "contig string, position int, ref string, alt string, pvalue double")
     out = loci.clump(df, 5e-8, 60)
     assert sorted((x.contig, x.lead_position, x.lead_ref, x.lead_alt, x.lead_pvalue, x.n_variants) for x in out.collect()) == brute_clump(rows, 5e-8, 60)
+
+
+@pytest.mark.parametrize("block, halo", [(64, 8), (3, 1), (2, 2)])
+def test_clump_in_blocks(spark, monkeypatch, block, halo):
+    """Groups without gaps, runs of falling p over many blocks, ties and repeated rows: as one by one."""
+    monkeypatch.setattr(loci, "BLOCK", block)
+    monkeypatch.setattr(loci, "HALO", halo)
+    r = random.Random(block)
+    groups = {}
+    for who in ("a", "b", ""):
+        rows = [(f"chr{r.randint(1, 2)}", r.randint(1, 4000), r.choice("AC"), "G", r.choice([1e-9, 2e-9, 10.0 ** -r.randint(9, 40), 0.5])) for _ in range(700)]
+        rows += [("chr3", 40 * k, "A", "G", 10.0 ** -(10 + k / 4)) for k in range(1, 120)]
+        groups[who] = rows + rows[:50]
+    df = spark.createDataFrame([(w, *x) for w, rows in groups.items() for x in rows], "phenotype string, contig string, position int, ref string, alt string, pvalue double")
+    out = loci.clump(df, 5e-8, 60, by=["phenotype"]).collect()
+    for who, rows in groups.items():
+        got = sorted((x.contig, x.lead_position, x.lead_ref, x.lead_alt, x.lead_pvalue, x.n_variants) for x in out if x.phenotype == who)
+        assert got == brute_clump(rows, 5e-8, 60)
+    assert loci.clump(df.limit(0), 5e-8, 60).count() == 0
+
+
+def test_loci_of_many_phenotypes(spark):
+    r = random.Random(2)
+    rows = [(w, "eur", f"chr{r.randint(1, 2)}", r.randint(1, 9000), "A", "G", 10.0 ** -r.randint(7, 30), r.choice(["exome", "genome"])) for w in ("a", "b") for _ in range(300)]
+    df = spark.createDataFrame(rows, "phenotype string, ancestry string, contig string, position int, ref string, alt string, pvalue double, sequencing_type string")
+    every = loci.loci(df, window=100, by=["phenotype", "ancestry"])
+    for who in ("a", "b"):
+        one = loci.loci(df.where(F.col("phenotype") == who), window=100)
+        assert sorted(map(tuple, every.where(F.col("phenotype") == who).drop("phenotype", "ancestry").collect())) == sorted(map(tuple, one.collect()))
+    # Each phenotype's significant rows are written by one scan of the input.
+    assert every.count() > 20 and "phenotype" in every.columns
