@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locusframe.functions.genomics import stat_text
 
 SAMPLES = 10
+#: Groups of tasks whose states merge first.
+GROUPS = 256
 
 
 def leaves(schema: T.StructType) -> list[tuple[str, Column]]:
@@ -44,34 +48,48 @@ def leaves(schema: T.StructType) -> list[tuple[str, Column]]:
 
 
 def field_statistics(df: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """A2: per leaf path the count (with nulls), nulls, least and greatest text, and some distinct values.
+    """A2: per leaf path the count (with nulls), nulls, least and greatest text, and the first distinct values.
 
-    Values are counted per (path, text) first; of each path every task passes
-    on its first few texts only.
+    One pass: a task keeps of each path the numbers, the ends and its first ``samples``
+    texts, so it passes on one row a path, whatever the data.  These merge
+    like sums, in groups of tasks first.
     """
-    found = F.flatten(F.array(*[tagged(path, values) for path, values in leaves(df.schema)]))
-    each = df.select(F.explode(found).alias("f")).select("f.path", "f.value")
-    counted = each.groupBy("path", "value").agg(F.count("*").alias("n"))
-    totals = counted.groupBy("path").agg(
-        F.sum("n").alias("count"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    first = Window.partitionBy("path").orderBy("value")
-    few = (
-        counted.where(F.col("value").isNotNull())
-        .withColumn("_k", F.row_number().over(first))
-        .where(F.col("_k") <= samples)
-        .groupBy("path")
-        .agg(F.sort_array(F.collect_list("value")).alias("distinct_sample"))
-    )
-    none = F.array().cast("array<string>")
-    return totals.join(few, "path", "left").withColumn("distinct_sample", F.coalesce("distinct_sample", none))
-
+    found = leaves(df.schema)
+    paths = [path for path, _ in found]
+
+    def run(batches):
+        state = [[0, 0, None, None, pa.array([], pa.string())] for _ in paths]
+        for batch in batches:
+            for own, column in zip(state, batch.columns):
+                flat = column.flatten()
+                own[0] += len(flat)
+                own[1] += flat.null_count
+                values = flat.drop_null()
+                if not len(values):
+                    continue
+                ends = pc.min_max(values)
+                low, high = ends["min"].as_py(), ends["max"].as_py()
+                own[2] = low if own[2] is None else min(own[2], low, key=str.encode)
+                own[3] = high if own[3] is None else max(own[3], high, key=str.encode)
+                if len(own[4]) == samples:
+                    # Only texts before the last one kept count.
+                    values = values.filter(pc.less(values, own[4][-1]))
+                some = pc.unique(pa.concat_arrays([own[4], values]))
+                own[4] = some.take(pc.sort_indices(some)[:samples])
+        columns = [paths, *[[x[k] for x in state] for k in range(4)], [x[4].to_pylist() for x in state]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["path", "count", "null_count", "min", "max", "first"])
+
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())]
+    wide = df.select(*[values.alias(f"_{i}") for i, (_, values) in enumerate(found)])
+    told = wide.mapInArrow(run, "path string, count long, null_count long, min string, max string, first array<string>")
+
+    def merged(rows: DataFrame, by: list[str]) -> DataFrame:
+        first = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("first")))), 1, samples)
+        return rows.groupBy(*by).agg(F.sum("count").alias("count"), F.sum("null_count").alias("null_count"), F.min("min").alias("min"), F.max("max").alias("max"), first.alias("first"))
+
+    some = merged(told.withColumn("_some", F.spark_partition_id() % GROUPS), ["path", "_some"])
+    return merged(some, ["path"]).withColumnRenamed("first", "distinct_sample").where("count > 0")
 
-def tagged(path: str, values: Column) -> Column:
-    return F.transform(values, lambda v: F.struct(F.lit(path).alias("path"), v.alias("value")))
 
 
 def partition_sizes(df: DataFrame, size_col: str) -> DataFrame:
