@@ -74,7 +74,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--key", action="append", default=[])
         if name == "validate":
             p.add_argument("--schema", required=True)
-            p.add_argument("--sample", type=int, help="so many rows, chosen by a hash of the keys")
+            p.add_argument("--sample", type=int, help="so many rows: of a few parts where the table has parts, else by a hash of the keys")
             p.add_argument("--key", action="append", default=[])
             p.add_argument("--seed", type=int, default=42)
             p.add_argument("--fail-fast", action="store_true")
@@ -126,7 +126,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         with open(a.schema, encoding="utf-8") as f:
             rules = json.load(f)
         keys = a.key or df.columns
-        some = df if a.sample is None else sampling.sample_rows(df, a.sample, keys, a.seed)
+        few = tables.sample_path(spark, a.table, a.sample, a.seed) if a.sample is not None and not (a.where or a.interval or a.intervals_file or a.limit) else None
+        some = few if few is not None else df if a.sample is None else sampling.sample_rows(df, a.sample, keys, a.seed)
         if a.fail_fast:
             schema.check(some, rules)
         if a.errors:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from locusframe.functions import genomics as g
 from locusframe.operators import burden, loci
 from locusframe.operators.joins import interval_join, pivot_assets
+from locusframe.sources.shared import kept
 
 # Names under which sources give a statistic; the first that is there counts, then any case of it.
 ALIASES = {
@@ -22,6 +23,8 @@ ALIASES = {
     "af_controls": ("AF_ctrl", "af_ctrl"),
     "association_ac": ("AC_Allele2",),
 }
+#: Rows of a bucket of p that one task ranks.
+HOT = 1 << 20
 STATS = ("beta", "se", "af", "ac_cases", "ac_controls", "af_cases", "af_controls", "association_ac")
 
 
@@ -76,21 +79,43 @@ def p_bucket(p: Column, fine: int = 1024) -> Column:
     return F.when(p * fine < 1.0, small - 1).otherwise(F.floor(p * fine).cast("int"))
 
 
+def ranged_ranks(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
+    """Rows with their rank (from 1) by ``order`` within groups of any size.
+
+    Spark deals rows by sampled ranges of groups and order; the rank is a row's place in
+    its sorted range plus the rows of the group in the ranges before, of which there is one count a range and group.
+    """
+    ranged = df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order)
+    # Written once, as counts and places must come from the same ranges.
+    placed = kept(ranged.withColumns({"_at": F.monotonically_increasing_id(), "_range": F.spark_partition_id()}), "ranges")
+    counts = placed.groupBy(*groups, "_range").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    met = placed.join(counts, [*groups, "_range"])
+    return met.withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_at", "_first", "_range", "_rows", "_before")
+
+
 def qq_points(df: DataFrame, keys: list[str]) -> DataFrame:
     """Q9: observed and expected -log10 p of every contig, expected from the rank of p.
 
     Ranks are within contigs.  A contig is cut into buckets of p, each of which is
     ranked on its own; the rows of a contig in lower buckets, counted apart, come
-    on top.  So no task sorts a contig.
+    on top.  So no task sorts a contig.  Buckets of over ``HOT`` rows (where many rows have one p) are cut
+    again, by ranges of (p, keys): see :func:`ranged_ranks`.
     """
     usable = df.where(g.usable_p(F.col("pvalue"))).withColumn("_bucket", p_bucket(F.col("pvalue")))
     by_contig = Window.partitionBy("contig")
     before = by_contig.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each contig and bucket: a few thousand of a contig at most.
-    counts = usable.groupBy("contig", "_bucket").agg(F.count("*").alias("_n"))
-    counts = counts.select("contig", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_below"), F.sum("_n").over(by_contig).alias("_all"))
+    counts = kept(usable.groupBy("contig", "_bucket").agg(F.count("*").alias("_n")), "buckets")
+    below = counts.select("contig", "_bucket", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_below"), F.sum("_n").over(by_contig).alias("_all"))
     inside = F.row_number().over(Window.partitionBy("contig", "_bucket").orderBy("pvalue", *keys))
-    ranked = usable.withColumn("_inside", inside).join(counts, ["contig", "_bucket"])
+    named = usable.join(below, ["contig", "_bucket"])
+    if counts.where(F.col("_n") > HOT).isEmpty():
+        ranked = named.withColumn("_inside", inside)
+    else:
+        ranked = named.where(F.col("_n") <= HOT).withColumn("_inside", inside)
+        ranked = ranked.unionByName(ranged_ranks(named.where(F.col("_n") > HOT), ["contig", "_bucket"], ["pvalue", *keys], "_inside"))
     return ranked.select(
         "contig",
         "position",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,24 @@ def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataF
     return df.orderBy(*hash_order(keys, seed)).limit(n)
 
 
+def chosen_parts(names: list[str], n: int, seed: int = 42) -> list[str]:
+    """Of a table's parts about the root of ``n``, in the order of a seeded hash."""
+    many = min(n, len(names), max(1, math.isqrt(max(n - 1, 0)) + 1))
+    return sorted(names, key=lambda x: hashlib.md5(f"{seed}|{x}".encode()).hexdigest())[:many]
+
+
+def reservoirs(df: DataFrame, part: Column, n: int, parts: int, seed: int = 42) -> DataFrame:
+    """Of every part as many rows as make ``n`` of all, uniform within the part; at most ``n`` rows.
+
+    A task passes on the rows of a part with the least random numbers, no others.
+    """
+    each = n // max(parts, 1) + 1
+    numbered = df.withColumns({"_part": part, "_u": F.rand(seed)})
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_u"))
+    some = numbered.withColumn("_k", rank).where(F.col("_k") <= each)
+    return some.orderBy("_u").limit(n).drop("_part", "_u", "_k")
+
+
 def sample_by_weight(df: DataFrame, n: int, weights: dict[str, float], by: str, keys: list[str], seed: int = 42) -> DataFrame:
     """R2: of each group, by its weight, a share of n rows."""
     total = sum(weights.values())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.functions.predicates import KeyRange
+from locusframe.operators import sampling
 from locusframe.sources import keyed, vcf
 
 
@@ -25,6 +26,32 @@ def open_path(spark: SparkSession, path: str, ranges: list[KeyRange] = (), inter
     return spark.read.parquet(path)
 
 
+def sample_path(spark: SparkSession, path: str, n: int, seed: int = 42) -> DataFrame | None:
+    """About ``n`` rows of a few of a table's parts (:func:`..operators.sampling.chosen_parts`); the others are not opened.
+
+    None for sources of one part, or whose parts Spark does not tell.
+    """
+    if path.rstrip("/").endswith(".ht"):
+        path = path.rstrip("/")
+        m = keyed.metadata(spark, path)
+        place = {p: i for i, p in enumerate(m.parts)}
+        some = sampling.chosen_parts(list(m.parts), n, seed)
+        if len(m.parts) < 2:
+            return None
+        # A partition is a part.
+        df = keyed.read(spark, path, parts=sorted(place[p] for p in some))
+        return sampling.reservoirs(df, F.spark_partition_id(), n, len(some), seed)
+    if path.endswith((".vcf", ".vcf.gz", ".vcf.bgz")):
+        return None
+    files = open_path(spark, path).inputFiles()
+    if len(files) < 2:
+        return None
+    some = sampling.chosen_parts(files, n, seed)
+    kind = next((k for suffix, k in ((".json", "json"), (".ndjson", "json"), (".orc", "orc"), (".csv", "csv")) if path.endswith(suffix)), "parquet")
+    df = spark.read.schema(open_path(spark, path).schema).option("basePath", path).format(kind).load(some)
+    return sampling.reservoirs(df, F.input_file_name(), n, len(some), seed)
+
+
 def assets(spark: SparkSession, path: str) -> DataFrame:
     """An array of assets, or an object that has it under ``assets``."""
     kind = "array<struct<ancestry_group:string,analysis_id:string,uri:string,asset_type:string,sequencing_type:string>>"
