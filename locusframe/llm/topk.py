@@ -1,7 +1,8 @@
 """Exact top-k by inner product: columnar branch-and-bound.
 
-Queries and candidates are dealt to the cells of a grid, queries by row and
-candidates by column, each cell a bounded block of both.  A cell holds its
+Queries and candidates are dealt to the cells of a grid by their hash, queries by row and
+candidates by column, each cell a bounded block of both; the deal depends on the rows only, so a
+task that is run again after an executor is lost finds each in its place.  A cell holds its
 candidates in vertical layout, dimension by dimension, dimensions of the most
 mass first.  For a query it accumulates products block of dimensions by block;
 after each block the mass that remains (the norms of what is left of query and
@@ -126,9 +127,9 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5, id_col: str = "vec_i
     """
 
     def usable(df: DataFrame) -> DataFrame:
-        return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(
-            "id is not null and v is not null"
-        )
+        found = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
+        # Rows that repeat would all be dealt to one column of the grid.
+        return found.distinct()
 
     def matrix(t: pa.Table, d: int) -> np.ndarray:
         flat = t.column("v").combine_chunks()
@@ -152,7 +153,8 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5, id_col: str = "vec_i
 
     def ranked(asked: DataFrame, others: DataFrame, down: int, across: int) -> DataFrame:
         """``query_id``, ``id``, ``score`` and ``rank`` of the k best, by the cells of a grid."""
-        spread = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+        # By the row itself, so that a task that is run again deals alike; rows of one id are dealt by their vectors.
+        spread = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         left = asked.withColumn("r", spread(down)).withColumn("c", every(across)).withColumn("d", F.size("v"))
         right = others.withColumn("c", spread(across)).withColumn("r", every(down)).withColumn("d", F.size("v"))

@@ -223,3 +223,24 @@ def test_negatives_take_no_part_without_numbers(spark):
     rows = [(0, 1, [1.0, 0.5]), (50, 1, [1.0, None]), (2, 1, [0.9, 0.5]), (3, 2, [float("nan"), 1.0]), (4, 2, [0.7, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, label int, e array<double>").withColumn("ints", topk.quantised(F.col("e")))
     assert [tuple(x) for x in mining.mine(df, F.col("vec_id") % 50 == 0).collect()] == [(0, 2, 1, 4, 75264, 62208)]
+
+
+def test_top_k_deals_by_the_rows(spark, monkeypatch):
+    """Whatever the order and partitions of the rows, each stands in the same cell; results equal brute force, repeats of an id included."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 32)
+    r = np.random.default_rng(3)
+    rows = [(int(i), v.tolist()) for i, v in enumerate(r.integers(-3, 4, (200, 6)))]
+    rows += rows[:40] * 3 + [(7, [9] * 6), (7, [-9] * 6)]
+    want = []
+    for q in sorted({i for i, _ in rows if i % 20 == 0}):
+        best = defaultdict(lambda: -(10**9))
+        for own in [v for i, v in rows if i == q]:
+            for i, v in rows:
+                if i != q:
+                    best[i] = max(best[i], sum(a * b for a, b in zip(own, v)))
+        want += [(q, k + 1, i, s) for k, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5])]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, ints array<long>").repartition(3 if order is rows else 7)
+        got = topk.search(df.where("vec_id % 20 = 0"), df, 5).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
