@@ -10,8 +10,9 @@ Only DataFrame functions.
 2. *Scan*: a file is cut into lines and into paragraphs (what stands between
    lines without a term, so that a wrapped header is one), and each of these and
    the whole text is compared with every form by cosine of its sparse term
-   weights.  A file is a licence file if its name says so, or if its whole text
-   is a licence's (from ``STRICT`` on), whatever its length.  Units are first held
+   weights.  A file is a licence file if its name says so, if its whole text
+   is a licence's (from ``STRICT`` on), or if it opens with a licence's title (its first
+   paragraph, or its first two), whatever its length.  Units are first held
    against a few trigger words.  These are chosen from the model such that a
    unit without any of them has a cosine below the threshold to every form:
    for each form the terms that are not triggers carry less than the
@@ -27,7 +28,7 @@ then the best score.
 
 Templates are a fixed, small table.  The whole text is scanned.  Defined cases:
 a null or empty text has no finding of its own; a null path is the root's file
-with an empty name; ties of cosine go to the first licence by name; of several
+with an empty name; ties of cosine (to nine digits) go to the first licence by name; of several
 licence files in a directory a version goes before a family, then the highest
 score wins, then the first name;
 repeated rows are kept; other columns are ignored; an empty table gives no rows.
@@ -56,7 +57,7 @@ PLAIN = frozenset("a all an and any are as at be but by can do for from has if i
 #: Words that are common in prose come last as triggers.
 COMMON = frozenset("action associated case code copy event file following form free including language law library list loss means name names other out particular person persons program public published purpose source special use used way whether without work works writing".split())
 #: Names of licences that come in versions, which these do not tell.
-FAMILIES = ("AGPL", "Apache", "GPL", "LGPL", "MPL")
+FAMILIES = ("AGPL", "Apache", "GFDL", "GPL", "LGPL", "MPL")
 
 
 # The words of licences, as their authors publish them.
@@ -102,16 +103,51 @@ distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
 UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
 use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
 commercial or non-commercial, and by any means."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"""
+BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is
+furnished to do so, all subject to the following:"""
+ECLIPSE = """This program and the accompanying materials are made available under the terms of the Eclipse Public License {v} which
+is available at {at}"""
+ARTISTIC = """The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright
+Holder maintains some semblance of artistic control over the development of the package, while giving the users of the package
+the right to use and distribute the Package in a more-or-less customary fashion, plus the right to make reasonable
+modifications."""
+GFDL_GRANT = """Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free
+Documentation License, Version {v} or any later version published by the Free Software Foundation"""
 GNU_HEADER = """This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as
 published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version."""
 #: Of each licence of the family: its name, its version, its work, and the month of its title.
 GNU = {
+    "GPL-1.0": ("General Public License", "1", "program", "February 1989"),
     "GPL-2.0": ("General Public License", "2", "program", "June 1991"),
     "GPL-3.0": ("General Public License", "3", "program", "29 June 2007"),
+    "LGPL-2.0": ("Library General Public License", "2", "library", "June 1991"),
     "LGPL-2.1": ("Lesser General Public License", "2.1", "library", "February 1999"),
     "LGPL-3.0": ("Lesser General Public License", "3", "library", "29 June 2007"),
     "AGPL-3.0": ("Affero General Public License", "3", "program", "19 November 2007"),
 }
+#: Of each version of the documentation licence the month of its title.
+GFDL = {"1.1": "March 2000", "1.2": "November 2002", "1.3": "3 November 2008"}
+#: Titles that open a licence's own text, but for those of the families above and below.
+TITLES = {
+    "Apache-2.0": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "Artistic-1.0": "The Artistic License",
+    "BSD-2-Clause": "BSD 2-Clause License",
+    "BSD-3-Clause": "BSD 3-Clause License",
+    "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "CC0-1.0": "Creative Commons Legal Code CC0 1.0 Universal",
+    "EPL-1.0": "Eclipse Public License - v 1.0",
+    "EPL-2.0": "Eclipse Public License - v 2.0",
+    "ISC": "ISC License",
+    "MIT": "The MIT License",
+    "MPL-1.1": "Mozilla Public License Version 1.1",
+    "MPL-2.0": "Mozilla Public License Version 2.0",
+    "Zlib": "zlib License",
+}
 CREATIVE_COMMONS = {
     "CC-BY-4.0": "Attribution",
     "CC-BY-SA-4.0": "Attribution-ShareAlike",
@@ -122,24 +158,30 @@ CREATIVE_COMMONS = {
 }
 
 
+def titles() -> dict[str, str]:
+    """Of each licence the title that opens its own text."""
+    made = dict(TITLES)
+    made |= {name: f"GNU {full} Version {version}, {month}" for name, (full, version, _, month) in GNU.items()}
+    made |= {f"GFDL-{version}": f"GNU Free Documentation License Version {version}, {month}" for version, month in GFDL.items()}
+    return made | {name: f"Creative Commons {kind} 4.0 International Public License" for name, kind in CREATIVE_COMMONS.items()}
+
+
 def templates() -> dict[str, tuple[str, ...]]:
     """Of each licence its forms: titles, notices, headers, grants, whole texts, and the tag of its name."""
     made = {
         "Apache-2.0": (
             "Licensed under the Apache License, Version 2.0.",
-            "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
             APACHE_HEADER,
             APACHE_WARRANTY,
             f"{APACHE_HEADER} {APACHE_WARRANTY}",
         ),
-        "BSD-2-Clause": ("BSD 2-Clause License", f"{BSD_GRANT} {BSD_CONDITIONS} {BSD_WARRANTY}"),
+        "BSD-2-Clause": (f"{BSD_GRANT} {BSD_CONDITIONS} {BSD_WARRANTY}",),
         "BSD-3-Clause": (
             "BSD-style license, see the LICENSE file.",
-            "BSD 3-Clause License",
             BSD_NAME,
             f"{BSD_GRANT} {BSD_CONDITIONS} {BSD_NAME} {BSD_WARRANTY}",
         ),
-        "CC0-1.0": ("All copyright waived under Creative Commons CC0 1.0 Universal.", "Creative Commons Legal Code CC0 1.0 Universal"),
+        "CC0-1.0": ("All copyright waived under Creative Commons CC0 1.0 Universal.",),
         "ISC": (
             "Permission to use, copy, modify, and/or distribute this software: ISC License.",
             "Licensed under the ISC License.",
@@ -158,28 +200,41 @@ def templates() -> dict[str, tuple[str, ...]]:
         ),
         "MPL-2.0": (
             "This file is subject to the terms of the Mozilla Public License, v. 2.0.",
-            "Mozilla Public License Version 2.0",
             MPL_HEADER,
         ),
+        "MPL-1.1": ("The contents of this file are subject to the Mozilla Public License Version 1.1",),
+        "Artistic-1.0": (ARTISTIC, "This program is free software under the terms of the Artistic License."),
+        "BSL-1.0": (BOOST, "Distributed under the Boost Software License, Version 1.0."),
+        "EPL-1.0": (ECLIPSE.format(v="v1.0", at="http://www.eclipse.org/legal/epl-v10.html"), "Licensed under the Eclipse Public License 1.0."),
+        "EPL-2.0": (ECLIPSE.format(v="2.0", at="https://www.eclipse.org/legal/epl-2.0/"), "Licensed under the Eclipse Public License 2.0."),
+        "Zlib": (ZLIB, "Licensed under the zlib License."),
         "Unlicense": (UNLICENSE,),
+        "Apache-2.0 OR MIT": (f"{TAG}MIT OR Apache-2.0", "Licensed under either of Apache License, Version 2.0 or MIT license at your option."),
     }
     for name, (full, version, work, month) in GNU.items():
+        short = f"{name.split('-')[0]}v{version}"
         made[name] = (
-            f"GNU {full} Version {version}, {month}",
+            f"Licensed under {short}.",
+            f"License: {short}+",
+            f"Released under the terms of the {short} license.",
             f"Licensed under the GNU {full}, version {version}.",
             f"This {work} is free software under the terms of the GNU {full}, version {version}.",
             GNU_HEADER.format(work=work, name=full, v=version),
         )
+    for version in GFDL:
+        made[f"GFDL-{version}"] = (GFDL_GRANT.format(v=version),)
     for name, kind in CREATIVE_COMMONS.items():
         made[name] = (
             f"This work is licensed under a Creative Commons {kind} 4.0 International License.",
-            f"Creative Commons {kind} 4.0 International Public License",
             f"This work is licensed under CC {name[3:-4]} 4.0.",
         )
-    tagged = {k: (*v, *(f"{TAG}{t}" for t in (k, f"{k}-only", f"{k}-or-later")[: 3 if k in GNU else 1])) for k, v in made.items()}
+    versioned = lambda k: k in GNU or k.startswith("GFDL")
+    names = lambda k: () if " " in k else (k, f"{k}-only", f"{k}-or-later")[: 3 if versioned(k) else 1]
+    tagged = {k: (*v, *(f"{TAG}{t}" for t in names(k)), *([title] if (title := titles().get(k)) else [])) for k, v in made.items()}
     return tagged | {
         "AGPL": ("GNU Affero General Public License",),
         "Apache": ("The Apache Software License.", "Licensed under the Apache License."),
+        "GFDL": ("GNU Free Documentation License",),
         "GPL": ("GNU General Public License",),
         "LGPL": ("GNU Lesser General Public License",),
         "MPL": ("Mozilla Public License",),
@@ -203,6 +258,8 @@ class Model:
     #: Of each form the cosine from which on it counts.
     limits: dict[tuple[str, int], float]
     triggers: tuple[str, ...]
+    #: Forms that open a licence's own text.
+    titles: frozenset[tuple[str, int]]
 
 
 def model(templates: dict[str, tuple[str, ...]], threshold: float) -> Model:
@@ -229,11 +286,12 @@ def model(templates: dict[str, tuple[str, ...]], threshold: float) -> Model:
         triggers.append(best)
         for k in rest:
             rest[k] -= vectors[k].get(best, 0.0) ** 2
-    return Model(idf, math.log(1 + n) + 1, vectors, limits, tuple(triggers))
+    opening = frozenset(k for k in vectors if templates[k[0]][k[1]] == titles().get(k[0]))
+    return Model(idf, math.log(1 + n) + 1, vectors, limits, tuple(triggers), opening)
 
 
 def best_form(terms: Column, m: Model) -> Column:
-    """(negated score, whether a family, licence) of the best form of an array of terms, or null; repeats count.
+    """(negated score, whether a family, licence, whether not a title) of the best form of an array of terms, or null; repeats count.
 
     One pass over the sorted terms, run by run, adds up the norm and all dot products.
     """
@@ -243,7 +301,7 @@ def best_form(terms: Column, m: Model) -> Column:
     for t, x in m.idf.items():
         letters.setdefault(t[0], {})[t] = [x, *[x * m.vectors[k].get(t, 0.0) for k in forms]]
     table = F.from_json(F.lit(json.dumps(letters)), "map<string,map<string,array<double>>>")
-    named = F.array(*[F.struct(F.lit(k[0] in FAMILIES).alias("family"), F.lit(k[0]).alias("license"), F.lit(m.limits[k]).alias("limit")) for k in forms])
+    named = F.array(*[F.struct(F.lit(k[0] in FAMILIES).alias("family"), F.lit(k[0]).alias("license"), F.lit(k not in m.titles).alias("plain"), F.lit(m.limits[k]).alias("limit")) for k in forms])
     state = "struct<term:string,n:double,square:double,dots:array<double>>"
 
     def closed(a: Column) -> tuple[Column, Column]:
@@ -262,7 +320,7 @@ def best_form(terms: Column, m: Model) -> Column:
     def finish(a: Column) -> Column:
         square, dots = closed(a)
         made = F.struct(square.alias("square"), dots.alias("dots"))
-        scored = lambda s: F.zip_with(s["dots"], named, lambda d, k: F.struct((-d / F.sqrt(s["square"])).alias("s"), k["family"].alias("family"), k["license"].alias("license"), k["limit"].alias("limit")))
+        scored = lambda s: F.zip_with(s["dots"], named, lambda d, k: F.struct((-F.floor(d / F.sqrt(s["square"]) * 1e9 + 0.5) / 1e9).alias("s"), k["family"].alias("family"), k["license"].alias("license"), k["plain"].alias("plain"), k["limit"].alias("limit")))
         every = F.get(F.transform(F.array(made), scored), 0)
         return F.when(square > 0, F.array_min(F.filter(every, lambda x: -x["s"] >= x["limit"])))
 
@@ -310,9 +368,14 @@ def scan(
     units = F.array_distinct(F.concat(F.array("low"), F.filter(parts, lambda x: x.rlike(trigger))))
     several = lambda terms: F.size(F.array_distinct(terms)) > 1
     hits = F.transform(F.transform(units, terms_of), lambda t: F.when(several(t), best_form(t, m)))
-    found = given.select(*key_cols, "path", "dir", "named", F.when(F.col("low").rlike(trigger), hits).alias("hits"))
+    # How a text opens: its first paragraph, and its first two.
+    paragraphs = F.filter(F.split("low", GAP), lambda x: x.rlike("[a-z0-9]"))
+    openings = F.transform(F.array(*[F.array_join(F.slice(paragraphs, 1, k), "\n") for k in (1, 2)]), lambda x: F.when(x.rlike(trigger), best_form(terms_of(x), m)))
+    opens = F.exists(openings, lambda h: h.isNotNull() & ~h["plain"] & ~h["family"] & (h["s"] <= -STRICT))
+    triggered = F.col("low").rlike(trigger)
+    found = given.select(*key_cols, "path", "dir", "named", F.when(triggered, hits).alias("hits"), F.when(triggered, opens).alias("opens"))
     by_version = F.transform(F.filter("hits", lambda h: h.isNotNull()), lambda h: F.struct(h["family"].alias("family"), h["s"].alias("s"), h["license"].alias("license")))
-    is_license = F.col("named") | (F.get("hits", 0)["s"] <= -STRICT)
+    is_license = F.col("named") | F.coalesce(F.get("hits", 0)["s"] <= -STRICT, F.lit(False)) | F.coalesce("opens", F.lit(False))
     # Written once, without texts, as three plans start from it.
     own = cut(found, "licenses").select(*key_cols, "path", "dir", F.coalesce(is_license, F.lit(False)).alias("is_license"), F.array_min(by_version).alias("own"))
     says = own.where(F.col("is_license") & F.col("own").isNotNull()).groupBy(F.col("dir").alias("above")).agg(F.min("own").alias("said"))

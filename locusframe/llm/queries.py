@@ -104,31 +104,40 @@ def license_sql() -> str:
     m = license_scan.model(license_scan.TEMPLATES, license_scan.THRESHOLD)
     idf = ", ".join(f"('{t}', {x!r}::double)" for t, x in sorted(m.idf.items()))
     weights = ", ".join(
-        f"('{k}', {i}, {k in license_scan.FAMILIES}, {m.limits[k, i]!r}::double, '{t}', {w!r}::double)" for (k, i), v in m.vectors.items() for t, w in sorted(v.items())
+        f"('{k}', {i}, {k in license_scan.FAMILIES}, {(k, i) in m.titles}, {m.limits[k, i]!r}::double, '{t}', {w!r}::double)" for (k, i), v in m.vectors.items() for t, w in sorted(v.items())
     )
     return f"""
-        with idf(term, idf) as (values {idf}), weights(license, form, family, least, term, w) as (values {weights}),
+        with idf(term, idf) as (values {idf}), weights(license, form, family, title, least, term, w) as (values {weights}),
         files as (
             select doc_id, lower(coalesce(text, '')) as low, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || (doc_id // 100) as dir,
                    dir || '/' || doc_id || '.txt' as path
             from documents
         ), units as (
-            select doc_id, unit, max(whole) as whole from (
-                select doc_id, unnest(regexp_split_to_array(low, '[\r\n]+')) as unit, 0 as whole from files
-                union all select doc_id, unnest(regexp_split_to_array(low, '{license_scan.GAP}')), 0 from files
-                union all select doc_id, low, 1 from files) group by all
+            select doc_id, unit, max(said) as said, max(whole) as whole, max(opens) as opens from (
+                select doc_id, unnest(regexp_split_to_array(low, '[\r\n]+')) as unit, 1 as said, 0 as whole, 0 as opens from files
+                union all select doc_id, unnest(regexp_split_to_array(low, '{license_scan.GAP}')), 1, 0, 0 from files
+                union all select doc_id, low, 1, 1, 0 from files
+                union all select doc_id, unnest([array_to_string(ps[:1], '\n'), array_to_string(ps[:2], '\n')]), 0, 0, 1
+                    from (select doc_id, list_filter(regexp_split_to_array(low, '{license_scan.GAP}'), lambda p: regexp_matches(p, '[a-z0-9]')) as ps from files)
+            ) group by doc_id, unit
         ), numbered as (
-            select doc_id, row_number() over () as u, unit, whole from units
+            select doc_id, row_number() over () as u, unit, said, whole, opens from units
         ), counts as (
-            select doc_id, u, whole, term, count(*) as n from (
-                select doc_id, u, whole, unnest(regexp_extract_all(unit, '[a-z0-9]+(?:\\.[0-9]+)*')) as term from numbered) group by all
+            select doc_id, u, said, whole, opens, term, count(*) as n from (
+                select doc_id, u, said, whole, opens, unnest(regexp_extract_all(unit, '[a-z0-9]+(?:\\.[0-9]+)*')) as term from numbered) group by all
         ), norms as (
-            select u, sqrt(sum((n * coalesce(idf, {m.unseen!r}::double)) ** 2)) as norm from counts left join idf using (term) group by u having count(*) > 1
+            select u, sqrt(sum((n * coalesce(idf, {m.unseen!r}::double)) ** 2)) as norm, count(*) as terms from counts left join idf using (term) group by u
         ), dots as (
-            select doc_id, u, whole, license, form, family, least, sum(n * idf * w) as dot from counts join idf using (term) join weights using (term) group by all
+            select doc_id, u, said, whole, opens, license, form, family, title, least, sum(n * idf * w) as dot from counts join idf using (term) join weights using (term) group by all
+        ), formed as (
+            select *, row_number() over (partition by u order by score desc, family, license, not title) as rn
+            from (select u, doc_id, said, whole, opens, terms, family, title, license, least, floor(dot / norm * 1e9 + 0.5) / 1e9 as score from dots join norms using (u) where norm > 0)
+            where score >= least
+        ), opened as (
+            select distinct doc_id from formed where rn = 1 and opens = 1 and title and not family and score >= {license_scan.STRICT}
         ), said as (
-            select doc_id, case when dot / norm >= {license_scan.STRICT} then whole else 0 end as whole, family, license, dot / norm as score, row_number() over (partition by u order by dot / norm desc, family, license) as rn
-            from dots join norms using (u) where dot / norm >= least
+            select f.doc_id, case when f.score >= {license_scan.STRICT} then f.whole when o.doc_id is not null then 1 else 0 end as whole, family, license, score, f.rn
+            from formed f left join opened o using (doc_id) where f.said = 1 and f.terms > 1
         ), best as (
             select doc_id, family, license, score, row_number() over (partition by doc_id order by family, score desc, license) as rn,
                    max(whole) over (partition by doc_id) as whole

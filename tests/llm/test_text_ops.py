@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+from pathlib import Path
 import random
 import re
 import zlib
@@ -390,15 +391,21 @@ def test_ogg_query(spark):
 def brute_license(files):
     m = license_scan.model(license_scan.TEMPLATES, license_scan.THRESHOLD)
 
-    def best(unit):
+    def best(unit, few=2, title=False):
         c = Counter(re.findall(license_scan.TERM, unit))
         norm = math.sqrt(sum((x * m.idf.get(t, m.unseen)) ** 2 for t, x in c.items()))
-        if not norm or len(c) < 2:
+        if not norm or len(c) < few:
             return None
-        scores = ((sum(c[t] * m.idf[t] * w for t, w in v.items()) / norm, k) for k, v in m.vectors.items())
-        top = sorted((-s, k[0] in license_scan.FAMILIES, k[0]) for s, k in scores if s >= m.limits[k])
+        scores = ((math.floor(sum(c[t] * m.idf[t] * w for t, w in v.items()) / norm * 1e9 + 0.5) / 1e9, k) for k, v in m.vectors.items())
+        top = sorted((-s, k[0] in license_scan.FAMILIES, k[0], k not in m.titles) for s, k in scores if s >= m.limits[k])
+        if title:
+            return bool(top) and not top[0][1] and not top[0][3] and top[0][0] <= -license_scan.STRICT
         return (top[0][1], top[0][0], top[0][2]) if top else None
 
+    def opens(low):
+        parts = [x for x in re.split(license_scan.GAP, low) if re.search("[a-z0-9]", x)]
+        return any(best("\n".join(parts[:k]), 1, True) for k in (1, 2))
+
     own, says = {}, {}
     for i, path, text in files:
         low = (text or "").lower()
@@ -407,7 +414,7 @@ def brute_license(files):
         found = [x for x in map(best, units) if x]
         own[i] = min(found) if found else None
         folder = path.rsplit("/", 1)[0] if "/" in path else ""
-        if own[i] and (re.match(license_scan.LICENSE_FILE, name) or (best(low) or (0, 0))[1] <= -license_scan.STRICT):
+        if own[i] and (re.match(license_scan.LICENSE_FILE, name) or (best(low) or (0, 0))[1] <= -license_scan.STRICT or opens(low)):
             says[folder] = min(says.get(folder, own[i]), own[i])
     out = {}
     for i, path, _ in files:
@@ -464,7 +471,7 @@ def test_licences_as_they_come(spark):
         "MPL-2.0": ["Mozilla Public License Version 2.0", wrapped(T.MPL_HEADER, "# ", 40) + code],
         "CC-BY-SA-4.0": ["Licensed under Creative Commons Attribution-ShareAlike 4.0 International", "This work is licensed under CC BY-SA 4.0"],
         "CC-BY-4.0": ["Creative Commons Attribution 4.0 International Public License"],
-        None: ["mit", "nd", "isc", "the license of the file is version public", "SPDX-License-Identifier: Zlib", "", None, "we went to the public library with no warranty " * 50],
+        None: ["mit", "nd", "isc", "the license of the file is version public", "SPDX-License-Identifier: Xyz", "", None, "we went to the public library with no warranty " * 50],
     }
     flat = [(k, text) for k, texts in cases.items() for text in texts]
     files = [(i, f"d{i}/x.c", text) for i, (_, text) in enumerate(flat)]
@@ -474,6 +481,36 @@ def test_licences_as_they_come(spark):
     assert {r: out[r].license for r in out} == brute_license(files)
 
 
+def test_texts_of_licenses(spark):
+    """Licences as they are handed out, which the templates do not hold whole: named, and told to their neighbours."""
+    folder = Path("/usr/share/common-licenses")
+    want = {
+        "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0",
+        "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+    }
+    if not all((folder / n).exists() for n in want):
+        pytest.skip("no folder of licences here")
+    files = [(2 * i, f"d{i}/{n}.txt", (folder / n).read_text("utf-8", "replace")) for i, n in enumerate(want)]
+    files += [(2 * i + 1, f"d{i}/sub/code.py", "x = 1") for i in range(len(want))]
+    out = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert {n: out[2 * i].license for i, n in enumerate(want)} == want
+    assert {n: out[2 * i + 1].license for i, n in enumerate(want)} == want
+    assert {out[2 * i].origin for i in range(len(want))} == {"file"}
+    assert {r: out[r].license for r in out} == brute_license(files)
+
+
+def test_short_notices_of_further_licenses(spark):
+    said = {
+        "GPL-3.0": ["Licensed under GPLv3", "License: GPLv3+"], "LGPL-2.1": ["Licensed under LGPLv2.1"], "Apache-2.0 OR MIT": ["// SPDX-License-Identifier: MIT OR Apache-2.0"], "Zlib": ["SPDX-License-Identifier: Zlib", license_scan.ZLIB],
+        "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", license_scan.BOOST], "EPL-2.0": ["SPDX-License-Identifier: EPL-2.0", license_scan.ECLIPSE.format(v="2.0", at="https://www.eclipse.org/legal/epl-2.0/")],
+        "GFDL-1.3": ["SPDX-License-Identifier: GFDL-1.3-or-later", license_scan.GFDL_GRANT.format(v="1.3")], "MIT": ["SPDX-License-Identifier: MIT"], None: ["a boost of zlib", "the artistic side of an eclipse", "gplv"],
+    }
+    flat = [(k, x) for k, xs in said.items() for x in xs]
+    files = [(i, f"d{i}/a.py", f"# {x}\n\nimport os\n") for i, (_, x) in enumerate(flat)]
+    out = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert out == {i: k for i, (k, _) in enumerate(flat)} == brute_license(files)
+
+
 def test_license_triggers_lose_nothing():
     m = license_scan.model(license_scan.TEMPLATES, license_scan.THRESHOLD)
     for k, v in m.vectors.items():
