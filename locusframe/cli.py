@@ -22,10 +22,11 @@ def chosen(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     given = [intervals.from_text(spark, *a.interval)] if a.interval else []
     given += [intervals.read(spark, f) for f in a.intervals_file]
     # Conditions as the source may use them; in the other mode nulls pass, which bounds do not tell.
-    ranges = predicates.key_ranges(*a.where) if a.mode == "sql" else []
+    request = getattr(a, "request", False)
+    ranges = predicates.key_ranges(*a.where) if a.mode == "sql" and not request else []
     few = [tuple(r) for r in intervals.union(*given).limit(TOLD + 1).collect()] if given else []
     near = few if given and len(few) <= TOLD else None
-    df = predicates.where(tables.open_path(spark, a.table, ranges, near), *a.where, mode=a.mode)
+    df = predicates.where(tables.open_path(spark, a.table, ranges, near), *a.where, mode=a.mode, request=request)
     if given:
         nested = "locus" in df.columns
         work = df.withColumns({"_contig_": df["locus.contig"], "_position_": df["locus.position"]}) if nested else df

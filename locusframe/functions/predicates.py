@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 OPERATORS = (">=", "<=", "!=", ">", "<", "=")
+#: AND between clauses: what follows holds no end of a quotation.
+AND = re.compile(r"""\s+AND\s+(?=(?:[^'"]*(?:'[^']*'|"[^"]*"))*[^'"]*$)""", re.I)
 CLAUSE = re.compile(r"^\s*([^<>=!\s]+)\s*(>=|<=|!=|==|>|<|=|\bgte\b|\blte\b)\s*(.*?)\s*$", re.S)
 NUMBER = re.compile(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$")
 
@@ -83,6 +85,16 @@ def clause(text: str) -> Clause:
     return Clause(tuple(m[1].split(".")), op, literal(m[3]))
 
 
+def request_clause(text: str) -> Clause:
+    """a clause as it comes in a request: the first of these operators cuts it, and no blank is cut from either side."""
+    for op in (">=", "<=", ">", "<", "="):
+        path, found, value = text.partition(op)
+        if found:
+            # What has blanks around it is a text, not a number.
+            return Clause(tuple(path.split(".")), op, literal(value) if value == value.strip() and value[:1] not in ("'", '"') else value)
+    raise ValueError(f"not a condition: {text!r}")
+
+
 def field_type(schema: T.StructType, path: tuple[str, ...]) -> T.DataType | None:
     kind: T.DataType = schema
     for name in path:
@@ -130,14 +142,14 @@ def condition(df: DataFrame, c: Clause, mode: str = "sql") -> Column:
 
 def key_ranges(*conditions: str) -> list[KeyRange]:
     """the conditions that are ranges, for pruning; others stay with :func:`where`."""
-    made = [clause(p) for text in conditions for p in re.split(r"\s+AND\s+", text, flags=re.I)]
+    made = [clause(p) for text in conditions for p in AND.split(text)]
     return [KeyRange.of(".".join(c.path), c.op, c.value) for c in made if c.op != "!="]
 
 
-def where(df: DataFrame, *conditions: str, mode: str = "sql") -> DataFrame:
-    """rows that meet all conditions; each may join several by AND."""
-    parts = [p for text in conditions for p in re.split(r"\s+AND\s+", text, flags=re.I)]
-    made = [condition(df, clause(p), mode) for p in parts]
+def where(df: DataFrame, *conditions: str, mode: str = "sql", request: bool = False) -> DataFrame:
+    """rows that meet all conditions; each may join several by AND, but for those of a request (F2)."""
+    found = [request_clause(t) for t in conditions] if request else [clause(p) for text in conditions for p in AND.split(text)]
+    made = [condition(df, c, mode) for c in found]
     return df.where(reduce(lambda a, b: a & b, made)) if made else df
 
 

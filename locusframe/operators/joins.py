@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.sources.shared import kept
+
 BIN_WIDTH = 1 << 14
 #: Bins that may list an interval, but for one; wider intervals are listed under coarser bins.
 MAX_BINS = 64
@@ -161,8 +163,8 @@ def annotate(rows: DataFrame, notes: DataFrame, keys: list[str], fields: list[st
 
 
 def lead_in_regions(rows: DataFrame, regions: DataFrame, p: str = "pvalue", tie: list[str] = ("position", "ref", "alt")) -> DataFrame:
-    """Of every region the row of least p."""
-    met = interval_join(rows, regions)
+    """Of every region the row of least p.  Regions are made once and written, as the join reads them twice."""
+    met = interval_join(rows, kept(regions, "regions"))
     best = met.groupBy("contig", "start", "end").agg(
         F.min_by(F.struct(*[F.col(c) for c in rows.columns if c != "contig"]), F.struct(p, *tie)).alias("lead")
     )

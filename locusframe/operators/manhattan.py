@@ -95,12 +95,12 @@ def ranged_ranks(df: DataFrame, groups: list[str], order: list[str], name: str)
     return met.withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_at", "_first", "_range", "_rows", "_before")
 
 
-def qq_points(df: DataFrame, keys: list[str]) -> DataFrame:
+def qq_points(df: DataFrame, keys: list[str], hot: int | None = None) -> DataFrame:
     """Q9: observed and expected -log10 p of every contig, expected from the rank of p.
 
     Ranks are within contigs.  A contig is cut into buckets of p, each of which is
     ranked on its own; the rows of a contig in lower buckets, counted apart, come
-    on top.  So no task sorts a contig.  Buckets of over ``HOT`` rows (where many rows have one p) are cut
+    on top.  So no task sorts a contig.  Buckets of over ``hot`` (``HOT``) rows, where many rows have one p, are cut
     again, by ranges of (p, keys): see :func:`ranged_ranks`.
     """
     usable = df.where(g.usable_p(F.col("pvalue"))).withColumn("_bucket", p_bucket(F.col("pvalue")))
@@ -111,11 +111,12 @@ def qq_points(df: DataFrame, keys: list[str]) -> DataFrame:
     below = counts.select("contig", "_bucket", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_below"), F.sum("_n").over(by_contig).alias("_all"))
     inside = F.row_number().over(Window.partitionBy("contig", "_bucket").orderBy("pvalue", *keys))
     named = usable.join(below, ["contig", "_bucket"])
-    if counts.where(F.col("_n") > HOT).isEmpty():
+    hot = HOT if hot is None else hot
+    if counts.where(F.col("_n") > hot).isEmpty():
         ranked = named.withColumn("_inside", inside)
     else:
-        ranked = named.where(F.col("_n") <= HOT).withColumn("_inside", inside)
-        ranked = ranked.unionByName(ranged_ranks(named.where(F.col("_n") > HOT), ["contig", "_bucket"], ["pvalue", *keys], "_inside"))
+        ranked = named.where(F.col("_n") <= hot).withColumn("_inside", inside)
+        ranked = ranked.unionByName(ranged_ranks(named.where(F.col("_n") > hot), ["contig", "_bucket"], ["pvalue", *keys], "_inside"))
     return ranked.select(
         "contig",
         "position",
@@ -144,9 +145,12 @@ def significant_variants(df: DataFrame, phenotype: str, ancestry: str, threshold
 
 
 def locus_variants(df: DataFrame, regions: DataFrame, threshold: float = 5e-8, locus_threshold: float = 0.01) -> DataFrame:
-    """Q5, Q7: variants of every region below the locus threshold, with -log10 p in single precision."""
+    """Q5, Q7: variants of every region below the locus threshold, with -log10 p in single precision.
+
+    Regions are made once and written, as the join reads them twice.
+    """
     usable = df.where((F.col("pvalue") > 0) & (F.col("pvalue") < locus_threshold))
-    met = interval_join(usable, regions)
+    met = interval_join(usable, kept(regions, "regions"))
     return met.withColumns(
         {
             "locus_id": g.locus_id(F.regexp_replace("contig", "chr", ""), F.col("start"), F.col("end")),
@@ -185,7 +189,8 @@ def pipeline(variants: DataFrame, genes: DataFrame | None, tests: DataFrame | No
     near = None
     if tests is not None:
         near = burden.significant_genes(tests, options.get("gene_threshold", burden.GENE_THRESHOLD)).select("contig", "start", "end")
-    found = loci.loci(variants, near, strategy, threshold, window, options.get("min_variants", 1))
+    # Two tables come from the loci.
+    found = kept(loci.loci(variants, near, strategy, threshold, window, options.get("min_variants", 1)), "loci")
     out = {
         "significant_variants": hits,
         "loci": found.withColumns({"phenotype": F.lit(phenotype), "ancestry": F.lit(ancestry)}),

@@ -22,7 +22,8 @@ def rules(schema: dict, value: Column, kind: T.DataType, path: str = "") -> list
 
     type, required, properties, additionalProperties, enum, pattern, minLength,
     maxLength, minimum, maximum, exclusiveMinimum, exclusiveMaximum, minItems,
-    maxItems and items are known; other keywords are an error.
+    maxItems and items are checked; title, description, $schema, format and default
+    say something of a value but rule nothing out; other keywords are an error.
     """
     # The keywords.
     known = {

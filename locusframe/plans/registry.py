@@ -440,6 +440,14 @@ def w1_clump(spark, sf):
     return loci.clump(v.variants(spark, sf), threshold=5e-8, window=WINDOW)
 
 
+@query(CLUMPS.replace("partition by contig", "partition by sequencing_type, contig").replace("partition by step, contig", "partition by step, sequencing_type, contig").replace(
+    "clumps as (\n        select contig,", "clumps as (\n        select sequencing_type, contig,").replace("group by step, contig", "group by step, sequencing_type, contig")
+    + f""" select *, cast(greatest(1, lead_position - {WINDOW}) as int) as start, cast(lead_position + {WINDOW} as int) as "end" from clumps""")
+def w1_clump_by_group(spark, sf):
+    """Clumps of each sequencing type, all in one job."""
+    return loci.clump(v.variants(spark, sf), threshold=5e-8, window=WINDOW, by=["sequencing_type"])
+
+
 HITS = f"""reach as (select contig, greatest(1, position - {WINDOW}) as start, position + {WINDOW} as "end" from variants where pvalue < 5e-8), """
 
 
@@ -654,6 +662,15 @@ def q9_qq(spark, sf):
     return manhattan.qq_points(v.variants(spark, sf), KEYS)
 
 
+@query("""coarse as (select *, greatest(floor(pvalue * 50), 1) / 50 as p from variants), n as (select contig, count(*) as n from coarse where p <= 1 group by contig), ranked as (
+    select contig, position, ref, alt, p, row_number() over (partition by contig order by p, k1, k2, k3, k4) as r from coarse where p <= 1)
+    select contig, position, ref, alt, round(-log10(p), 6) as pvalue_log10, round(-log10((r - 0.5::double) / n), 6) as pvalue_expected_log10 from ranked join n using (contig)""")
+def q9_qq_ties(spark, sf):
+    """Nearly all rows have one p; its buckets are ranked by ranges of (p, keys)."""
+    coarse = v.variants(spark, sf).withColumn("pvalue", F.greatest(F.floor(F.col("pvalue") * 50), F.lit(1)) / 50)
+    return manhattan.qq_points(coarse, KEYS, hot=500)
+
+
 @query("""select 'height' as phenotype, 'eur' as ancestry, sequencing_type, cast(substr(contig, 4) as bigint) * 1000000000 + position as xpos, contig, position, ref, alt, pvalue, beta, se, af from variants where pvalue < 5e-8""")
 def q11_ingest_variants(spark, sf):
     return manhattan.significant_variants(v.variants(spark, sf), "height", "eur")
@@ -776,14 +793,11 @@ def p1_modulo_allocation(spark, sf):
     return every.agg(F.count("*").alias("n"), F.count_distinct(*KEYS).alias("n_keys"))
 
 
-@query("""select k1, k2, k3, k4, '{"contig":"' || contig || '","position":' || position || ',"note":null}' as json from variants""")
+@query("""select '{"contig":"' || contig || '","position":' || position || ',"note":null,"k1":' || k1 || ',"k2":' || k2 || ',"k3":' || k3 || ',"k4":' || k4 || '}' as json from variants""")
 def k11_json_lines(spark, sf):
     from locusframe.sources.sinks import json_lines
 
-    rows = v.variants(spark, sf).select("contig", "position", F.lit(None).cast("string").alias("note"), F.struct(*KEYS).alias("key"))
-    made = rows.select("key", F.to_json(F.struct("contig", "position", "note"), {"ignoreNullFields": "false"}).alias("json"))
-    assert json_lines(rows.limit(0)).columns == ["json"]
-    return made.select("key.*", "json")
+    return json_lines(v.variants(spark, sf).select("contig", "position", F.lit(None).cast("string").alias("note"), *KEYS))
 
 
 @query("""counts as (select ancestry, count(*) as total, count(*) filter (asset_type = 'gene') as done from assets group by ancestry)
@@ -882,17 +896,20 @@ def v2_first_errors(spark, sf):
     return schema.first_errors(v.variants(spark, sf), SCHEMA_RULES, KEYS).select(*KEYS)
 
 
-@query("select sequencing_type, contig, position, pvalue from variants where sequencing_type = 'exome' and pvalue < 1e-6 union all select sequencing_type, contig, position, pvalue from variants where sequencing_type = 'genome' and pvalue < 1e-6")
+@query("select sequencing_type, contig, position, pvalue from variants where pvalue < 1e-6 and (contig = 'chr1' and position <= 300000 or contig = 'chr2' and position between 500001 and 700000 or contig = 'chr22')")
 def f17_where_after_interval(spark, sf):
     """A point filter over what an interval lookup found."""
-    whole = iv.from_text(spark, *[f"chr{k}:1-2000000" for k in range(1, 23)])
-    return pr.where(j.interval_semi_join(v.variants(spark, sf), whole), "pvalue < 1e-6").select("sequencing_type", "contig", "position", "pvalue")
+    some = iv.from_text(spark, "chr1:1-300000", "chr2:500001-700000", "chr22:1-2000000")
+    return pr.where(j.interval_semi_join(v.variants(spark, sf), some), "pvalue < 1e-6").select("sequencing_type", "contig", "position", "pvalue")
 
 
-@query("select k1, k2, k3, k4 from variants where contig = 'chr3' and position >= 500000 and k1 % 11 <> 0")
+@query("""select k1, k2, k3, k4, label from (select *, case when k2 % 2 = 0 then ' ' else '' end || contig || case when k1 % 3 = 0 then '  ' else '' end as label from variants)
+    where label = ' chr3  ' and position >= 500000""")
 def f2_where_untrimmed(spark, sf):
     """Conditions as they come in a request: no blanks are cut from values."""
-    return pr.where(v.nested(spark, sf), "locus.contig=chr3", "locus.position>=500000").select(*KEYS)
+    blank = lambda c, x: F.when(c, F.lit(x)).otherwise("")
+    rows = v.variants(spark, sf).withColumn("label", F.concat(blank(F.col("k2") % 2 == 0, " "), "contig", blank(F.col("k1") % 3 == 0, "  ")))
+    return pr.where(rows, "label= chr3  ", "position>=500000", request=True).select(*KEYS, "label")
 
 
 @query("""both_ as (select contig, start, "end" from intervals), """ + TESTS + f""",

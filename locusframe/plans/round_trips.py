@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from locusframe.functions.predicates import KeyRange
 from locusframe.operators import intervals as iv
 from locusframe.operators import schema
 from locusframe.plans import views as v
 from locusframe.plans.registry import KEYS, query
-from locusframe.sources import keyed, sinks, vcf
+from locusframe.sources import keyed, sinks, vcf, warehouse
 from locusframe.sources.shared import place
 
 
@@ -110,8 +111,65 @@ def s13_bed_file(spark, sf):
     return iv.read(spark, path)
 
 
-@query("select count(*) as scanned, count(*) as valid, cast(0 as bigint) as invalid from variants")
+@query("select count(*) as scanned, count(*) filter (k1 % 7 <> 0 and k2 <> 3) as valid, count(*) filter (k1 % 7 = 0 or k2 = 3) as invalid from variants")
 def v5_schema_of_type(spark, sf):
-    """Rows fit the schema that is made of their type."""
-    rows = v.variants(spark, sf)
-    return schema.validation_counts(rows, schema.generate(rows.schema))
+    """A schema made of a type with a field that is always there, and elements that are, tells rows that lack them."""
+    rows = v.variants(spark, sf).select("contig", F.when(F.col("k1") % 7 != 0, F.col("pvalue")).alias("p"), F.array("ref", F.when(F.col("k2") != 3, F.col("alt"))).alias("alleles"))
+    wanted = T.StructType([T.StructField("contig", T.StringType()), T.StructField("p", T.DoubleType(), False), T.StructField("alleles", T.ArrayType(T.StringType(), False))])
+    return schema.validation_counts(rows, schema.generate(wanted))
+
+
+# Reading by place
+
+
+def placed(spark, sf):
+    """Variants as a keyed table with an index, by place and the rest of their key."""
+    path = place(spark, "keyed") + ".ht"
+    rows = v.variants(spark, sf).select(F.struct("contig", "position").alias("locus"), *KEYS, "pvalue")
+    keyed.write(rows, path, ["locus", *KEYS], partitions=8)
+    return path
+
+
+@query("""select contig, position, k1, k2, k3, k4, pvalue from variants
+    where contig = 'chr3' and position between 100000 and 140000 or contig = 'chr11' and position between 5 and 90000""")
+def s16_keyed_spans(spark, sf):
+    """Spans of a keyed table are entered by its index."""
+    found = keyed.read(spark, placed(spark, sf), intervals=[("chr3", 100_000, 120_000), ("chr11", 5, 90_000), ("chr3", 110_000, 140_000), ("chr99", 1, 5)])
+    return found.select("locus.contig", "locus.position", *KEYS, "pvalue")
+
+
+@query("select contig, position, k1, k2, k3, k4, pvalue from variants where contig = 'chr5' order by position desc, k1 desc, k2 desc, k3 desc, k4 desc limit 1")
+def j1_keyed_lookup(spark, sf):
+    """The last row of a contig by its full key, down the index."""
+    last = v.variants(spark, sf).where("contig = 'chr5'").agg(F.max(F.struct("position", *KEYS)).alias("k")).first().k
+    key = {"locus__contig": "chr5", "locus__position": last.position, **{k: last[k] for k in KEYS}}
+    return keyed.lookup(spark, placed(spark, sf), **key).select("locus.contig", "locus.position", *KEYS, "pvalue")
+
+
+@query(CALLS)
+def k6_calls_blocks(spark, sf):
+    """Tasks write blocks of one file, which others read by ranges."""
+    path = place(spark, "calls") + ".vcf.bgz"
+    vcf.write(calls(spark, sf), path, compression="bgzf")
+    return flat(vcf.read(spark, path))
+
+
+@query(CALLS + " where contig = 'chr3' and position between 100000 and 400000 or contig = 'chr17' and position between 999000 and 1000000")
+def s8_calls_by_index(spark, sf):
+    """Regions by the index beside the file."""
+    path = place(spark, "calls") + ".vcf.bgz"
+    vcf.write(calls(spark, sf), path, compression="bgzf")
+    return flat(vcf.read(spark, path, intervals=[("chr17", 999_000, 1_000_000), ("chr3", 100_000, 400_000), ("chr99", 1, 9)]))
+
+
+@query("""loads as (select contig, 'chr' || '_' || (k3 % 50) as locus_id, k3 % 50 as part, min(pvalue) as least, max(pvalue) as most from variants group by all)
+    select contig as phenotype, 'eur' as ancestry, locus_id, case when part < 20 then most else least end as lead_pvalue from loads""")
+def k13_upsert_some(spark, sf):
+    """A second load has some of the keys: their rows are replaced, others stay; the table is read after it was compacted."""
+    path = place(spark, "warehouse")
+    part = F.col("k3") % 50
+    by = [F.col("contig").alias("phenotype"), F.lit("eur").alias("ancestry"), F.concat(F.lit("chr_"), part).alias("locus_id")]
+    sinks.warehouse({"loci": v.variants(spark, sf).groupBy(*by).agg(F.min("pvalue").alias("lead_pvalue"))}, path)
+    sinks.warehouse({"loci": v.variants(spark, sf).where(part < 20).groupBy(*by).agg(F.max("pvalue").alias("lead_pvalue"))}, path)
+    warehouse.compact(spark, f"{path}/loci", 4)
+    return sinks.read_warehouse(spark, path, "loci").select("phenotype", "ancestry", "locus_id", "lead_pvalue")

@@ -5,6 +5,7 @@ Rows are streamed partition by partition; nothing is held but one partition.
 
 from __future__ import annotations
 
+import itertools
 import json
 from argparse import Namespace
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -19,10 +20,17 @@ from locusframe.sources import sinks, tables
 
 def handler(spark: SparkSession) -> type[BaseHTTPRequestHandler]:
     class Handler(BaseHTTPRequestHandler):
+        begun = False
+
         def log_message(self, *_):
             pass
 
         def send(self, kind: str, parts, status: int = 200) -> None:
+            # The first part is made before anything is sent, so that most errors still have an answer of their own.
+            parts = iter(parts)
+            first = next(parts, None)
+            parts = itertools.chain([] if first is None else [first], parts)
+            self.begun = True
             self.send_response(status)
             self.send_header("Content-Type", kind)
             self.end_headers()
@@ -30,8 +38,9 @@ def handler(spark: SparkSession) -> type[BaseHTTPRequestHandler]:
                 self.wfile.write(part.encode())
 
         def do_GET(self):  # noqa: N802
+            self.begun = False
             url = urlparse(self.path)
-            given = parse_qs(url.query)
+            given = parse_qs(url.query, keep_blank_values=True)
             one = lambda n, other=None: given.get(n, [other])[0]
             try:
                 if url.path == "/api/schema":
@@ -41,12 +50,16 @@ def handler(spark: SparkSession) -> type[BaseHTTPRequestHandler]:
                     self.send("application/json", [json.dumps({"columns": df.columns, "partitions": df.rdd.getNumPartitions()})])
                 elif url.path == "/api/query":
                     limit = one("limit")
-                    ask = Namespace(table=one("path"), where=given.get("where", []), interval=given.get("interval", []), intervals_file=[], limit=int(limit) if limit else None, mode=one("mode", "sql"))
+                    ask = Namespace(table=one("path"), where=given.get("where", []), interval=given.get("interval", []), intervals_file=[], limit=int(limit) if limit else None, mode=one("mode", "sql"), request=one("raw") == "1")
                     rows = (r.json for r in sinks.json_lines(chosen(spark, ask)).toLocalIterator())
                     self.rows(one("format", "json"), rows)
                 else:
                     self.send("application/json", [json.dumps({"error": "no such page"})], 404)
             except Exception as e:  # noqa: BLE001  the answer says what is wrong with the request
+                if self.begun:
+                    # An answer that has begun cannot say so any more; it breaks off.
+                    self.close_connection = True
+                    return
                 self.send("application/json", [json.dumps({"error": str(e).splitlines()[0]})], 400)
 
         def rows(self, form: str, rows) -> None:
@@ -65,9 +78,12 @@ def handler(spark: SparkSession) -> type[BaseHTTPRequestHandler]:
             else:
 
                 def array():
-                    yield "["
+                    # The bracket goes with the first row, which shows that there is an answer.
+                    i = -1
                     for i, r in enumerate(rows):
-                        yield ("," if i else "") + r
+                        yield ("," if i else "[") + r
+                    if i < 0:
+                        yield "["
                     yield "]"
 
                 self.send("application/json", array())

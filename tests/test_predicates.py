@@ -65,3 +65,22 @@ def test_pushdown(spark, tmp_path):
     rows(spark).write.parquet(path)
     plan = p.where(spark.read.parquet(path), "locus.contig = chr1", "af > 0.3").select("id")._jdf.queryExecution().toString()
     assert "EqualTo(locus.contig,chr1)" in plan and "GreaterThan(af,0.3)" in plan
+
+
+def test_and_within_quotes(spark):
+    df = spark.createDataFrame([("a AND b", 1), ("c", 2), ("5' end", 3)], "name string, n int")
+    names = lambda *c: [r.name for r in p.where(df, *c).collect()]
+    assert names("name = 'a AND b'") == ["a AND b"] and names("name = 'a AND b' and n >= 1") == ["a AND b"]
+    assert names('n < 3 AND name != "a AND b"') == ["c"] and names("name = 5' end AND n > 1") == ["5' end"]
+    assert [r.path for r in p.key_ranges("name = 'x AND y' AND n > 1")] == [("name",), ("n",)]
+
+
+def test_conditions_of_a_request(spark):
+    """No blank is cut from names or values, and the first operator cuts."""
+    assert p.request_clause("a.b>= x ") == p.Clause(("a", "b"), ">=", " x ") and p.request_clause("n=5") == p.Clause(("n",), "=", 5)
+    assert p.request_clause("n= 5") == p.Clause(("n",), "=", " 5") and p.request_clause("a =true") == p.Clause(("a ",), "=", True)
+    assert p.request_clause("a='x'") == p.Clause(("a",), "=", "'x'") and p.request_clause("a<b>c").op == ">"
+    with pytest.raises(ValueError):
+        p.request_clause("nothing")
+    df = spark.createDataFrame([(" x",), ("x",)], "a string")
+    assert [r.a for r in p.where(df, "a= x", request=True).collect()] == [" x"] and [r.a for r in p.where(df, "a= x").collect()] == ["x"]
