@@ -18,6 +18,11 @@ from locusframe.sources import keyed, sinks, tables, vcf
 TOLD = 1000
 
 
+def limits_of(a: argparse.Namespace) -> keyed.Limits:
+    """The longest text and array that a keyed table may hold."""
+    return keyed.Limits(getattr(a, "max_text", None) or keyed.LIMITS.binary, getattr(a, "max_array", None) or keyed.LIMITS.array)
+
+
 def chosen(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     given = [intervals.from_text(spark, *a.interval)] if a.interval else []
     given += [intervals.read(spark, f) for f in a.intervals_file]
@@ -26,7 +31,7 @@ def chosen(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     ranges = predicates.key_ranges(*a.where) if a.mode == "sql" and not request else []
     few = [tuple(r) for r in intervals.union(*given).limit(TOLD + 1).collect()] if given else []
     near = few if given and len(few) <= TOLD else None
-    df = predicates.where(tables.open_path(spark, a.table, ranges, near), *a.where, mode=a.mode, request=request)
+    df = predicates.where(tables.open_path(spark, a.table, ranges, near, limits_of(a)), *a.where, mode=a.mode, request=request)
     if given:
         nested = "locus" in df.columns
         work = df.withColumns({"_contig_": df["locus.contig"], "_position_": df["locus.position"]}) if nested else df
@@ -64,6 +69,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--interval", action="append", default=[])
         p.add_argument("--intervals-file", action="append", default=[])
         p.add_argument("--limit", type=int)
+        p.add_argument("--max-text", type=int, help="bytes of a keyed table's longest text")
+        p.add_argument("--max-array", type=int, help="elements of a keyed table's longest array")
         p.add_argument("--mode", choices=("sql", "compat", "calls"), default="sql")
         if name == "export":
             p.add_argument("--to", choices=("parquet", "json", "vcf", "ht", "clickhouse", "bigquery"), required=True)
@@ -154,7 +161,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.to == "bigquery":
         print(json.dumps(sinks.bigquery(df, a.output, a.name)))
     else:
-        keyed.write(df, a.output, a.key, a.shards)
+        keyed.write(df, a.output, a.key, a.shards, limits_of(a))
 
 
 if __name__ == "__main__":

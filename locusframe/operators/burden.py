@@ -72,15 +72,15 @@ def significant_tests(df: DataFrame, threshold: float = GENE_THRESHOLD, best_onl
     return long_tests(df, below=threshold).select("gene_id", "annotation", "max_maf", "field", "p")
 
 
-def significant_genes(df: DataFrame, threshold: float = GENE_THRESHOLD, margin: int = 100_000) -> DataFrame:
-    """Genes with a significant test: symbol, place widened by the margin, least p, number of tests."""
+def significant_genes(df: DataFrame, threshold: float = GENE_THRESHOLD, margin: int = 100_000, by: list[str] = ()) -> DataFrame:
+    """Genes with a significant test (within ``by``): symbol, place widened by the margin, least p, number of tests."""
     values = valid()
     p = F.least(*values)
     tests = reduce(lambda a, b: a + b, [F.when(v < threshold, 1).otherwise(0) for v in values])
     hits = df.where(F.coalesce(p < threshold, F.lit(False)))
     # Numbers first, by a gene's names too, so that they hash; then the few rows of a gene.
-    some = hits.groupBy("gene_id", "gene_symbol", "contig").agg(F.min("position").alias("at"), F.min(p).alias("p"), F.sum(tests).alias("n"))
-    return some.groupBy("gene_id").agg(
+    some = hits.groupBy(*by, "gene_id", "gene_symbol", "contig").agg(F.min("position").alias("at"), F.min(p).alias("p"), F.sum(tests).alias("n"))
+    return some.groupBy(*by, "gene_id").agg(
         F.min("gene_symbol").alias("gene_symbol"),
         F.min("contig").alias("contig"),
         F.greatest(F.lit(1), F.min("at") - margin).cast("long").alias("start"),
@@ -101,14 +101,14 @@ def maf_filter(df: DataFrame, maf: float, tolerance: float = 1e-9) -> DataFrame:
     return df.where(F.abs(F.coalesce("max_maf", F.lit(0.0)) - maf) <= tolerance)
 
 
-def gene_associations(df: DataFrame, phenotype: str, ancestry: str, maf: float | None = None) -> DataFrame:
-    """Q8: the gene table of one phenotype."""
+def gene_associations(df: DataFrame, phenotype: str | Column, ancestry: str | Column, maf: float | None = None) -> DataFrame:
+    """Q8: the gene table of one phenotype, or of those that columns name."""
     from locusframe.functions.genomics import chr_prefixed, xpos
 
     some = df if maf is None else maf_filter(df, maf)
     return some.select(
         "gene_id", "gene_symbol", "annotation", F.coalesce("max_maf", F.lit(0.0)).alias("max_maf"),
-        F.lit(phenotype).alias("phenotype"), F.lit(ancestry).alias("ancestry"),
+        F.lit(phenotype).alias("phenotype"), F.lit(ancestry).alias("ancestry"),  # a column stays one
         "pvalue", "pvalue_burden", "pvalue_skat", "beta_burden", "mac",
         chr_prefixed(F.col("contig")).alias("contig"), F.col("position").cast("int").alias("gene_start_position"),
         xpos(F.col("contig"), F.col("position")).alias("xpos"),

@@ -154,8 +154,14 @@ def pair_left_join(left: DataFrame, right: DataFrame, keys: list[str], order_lef
     return number(left, order_left).join(number(right, order_right), [*keys, "_rn"], "left").drop("_rn")
 
 
-def annotate(rows: DataFrame, notes: DataFrame, keys: list[str], fields: list[str], as_json: str | None = None) -> DataFrame:
-    """Fields of a key-unique table, as columns or as one JSON column."""
+def annotate(rows: DataFrame, notes: DataFrame, keys: list[str], fields: list[str], as_json: str | None = None, few: bool = False) -> DataFrame:
+    """Fields of a key-unique table, as columns or as one JSON column.
+
+    With ``few`` rows against many notes the notes are cut down to the rows' keys
+    first, before whatever makes them aggregates or sorts; rows are then planned twice.
+    """
+    if few:
+        notes = notes.join(rows.select(*[F.col(k).alias(k) for k in keys]).distinct(), keys, "left_semi")
     found = notes.select(*keys, *fields)
     if as_json:
         found = notes.select(*keys, F.to_json(F.struct(*fields)).alias(as_json))

@@ -127,8 +127,8 @@ def qq_points(df: DataFrame, keys: list[str], hot: int | None = None) -> DataFra
     )
 
 
-def significant_variants(df: DataFrame, phenotype: str, ancestry: str, threshold: float = 5e-8) -> DataFrame:
-    """Q11: significant rows with the columns of the warehouse in front; given ones of these names are replaced."""
+def significant_variants(df: DataFrame, phenotype: str | Column, ancestry: str | Column, threshold: float = 5e-8) -> DataFrame:
+    """Q11: significant rows with the columns of the warehouse in front; given ones of these names are replaced, or named as columns."""
     extra = [c for c in STATS if c in df.columns]
     return df.where(F.col("pvalue") < threshold).select(
         F.lit(phenotype).alias("phenotype"),
@@ -144,13 +144,18 @@ def significant_variants(df: DataFrame, phenotype: str, ancestry: str, threshold
     )
 
 
-def locus_variants(df: DataFrame, regions: DataFrame, threshold: float = 5e-8, locus_threshold: float = 0.01) -> DataFrame:
+def locus_variants(df: DataFrame, regions: DataFrame, threshold: float = 5e-8, locus_threshold: float = 0.01, by: list[str] = ()) -> DataFrame:
     """Q5, Q7: variants of every region below the locus threshold, with -log10 p in single precision.
 
-    Regions are made once and written, as the join reads them twice.
+    Regions are made once and written, as the join reads them twice.  With ``by`` a
+    region holds variants of its own group only.
     """
     usable = df.where((F.col("pvalue") > 0) & (F.col("pvalue") < locus_threshold))
-    met = interval_join(usable, kept(regions, "regions"))
+    if by:
+        unit = F.concat_ws("\x01", *[F.coalesce(c, F.lit("")) for c in by], "contig")
+        met = interval_join(usable.withColumn("_unit", unit), kept(regions.select(unit.alias("contig"), "start", "end"), "regions"), contig="_unit").drop("_unit")
+    else:
+        met = interval_join(usable, kept(regions, "regions"))
     return met.withColumns(
         {
             "locus_id": g.locus_id(F.regexp_replace("contig", "chr", ""), F.col("start"), F.col("end")),
@@ -200,3 +205,30 @@ def pipeline(variants: DataFrame, genes: DataFrame | None, tests: DataFrame | No
     if tests is not None:
         out["gene_associations"] = burden.gene_associations(tests, phenotype, ancestry, options.get("maf"))
     return out
+
+
+def pipeline_of_many(variants: DataFrame, tests: DataFrame | None = None, notes: DataFrame | None = None, **options) -> dict[str, DataFrame]:
+    """All tables of all phenotypes at once, each table one plan.
+
+    ``variants`` and ``tests`` have ``phenotype`` and ``ancestry``.  Phenotypes share scans,
+    shuffles and tasks; none is a job of its own, and a large one is split like any other
+    data.  Significant rows, loci and regions are made once for all.
+    """
+    threshold, window = options.get("threshold", 5e-8), options.get("window", 1_000_000)
+    strategy, by = options.get("strategy", "clump"), ["phenotype", "ancestry"]
+    hits = significant_variants(variants, F.col("phenotype"), F.col("ancestry"), threshold)
+    if notes is not None:
+        hits = hits.join(notes, ["contig", "position", "ref", "alt"], "left")
+    near = None
+    if tests is not None:
+        near = burden.significant_genes(tests, options.get("gene_threshold", burden.GENE_THRESHOLD), by=by).select(*by, "contig", "start", "end")
+    found = kept(loci.loci(variants, near, strategy, threshold, window, options.get("min_variants", 1), by), "loci")
+    out = {
+        "significant_variants": hits,
+        "loci": found,
+        "loci_variants": locus_variants(variants, found.select(*by, "contig", "start", "end"), threshold, options.get("locus_threshold", 0.01), by),
+        "plot_points": plot_points(variants, threshold, keep=by),
+    }
+    if tests is not None:
+        out["gene_associations"] = burden.gene_associations(tests, F.col("phenotype"), F.col("ancestry"), options.get("maf"))
+    return out

@@ -239,14 +239,14 @@ def j7_gene_symbol(spark, sf):
 @query("""select x.k1, x.k2, x.k3, x.k4, a.gene_symbol from variants x left join annotations a on x.contig = a.contig and x.position = a.position and x.ref = a.ref and x.alt = a.alt where x.pvalue < 5e-8""")
 def j8_annotate(spark, sf):
     hits = v.variants(spark, sf).where(F.col("pvalue") < 5e-8)
-    return j.annotate(hits, v.annotations(spark, sf), ["contig", "position", "ref", "alt"], ["gene_symbol"]).select(*KEYS, "gene_symbol")
+    return j.annotate(hits, v.annotations(spark, sf), ["contig", "position", "ref", "alt"], ["gene_symbol"], few=True).select(*KEYS, "gene_symbol")
 
 
 @query("""select x.k1, x.k2, x.k3, x.k4, case when a.gene_symbol is not null then '{"gene_symbol":"' || a.gene_symbol || '","consequence":"' || a.consequence || '"}' end as notes
     from variants x left join annotations a on x.contig = a.contig and x.position = a.position and x.ref = a.ref and x.alt = a.alt where x.pvalue < 5e-8""")
 def j9_hit_annotator(spark, sf):
     hits = v.variants(spark, sf).where(F.col("pvalue") < 5e-8)
-    return j.annotate(hits, v.annotations(spark, sf), ["contig", "position", "ref", "alt"], ["gene_symbol", "consequence"], as_json="notes").select(*KEYS, "notes")
+    return j.annotate(hits, v.annotations(spark, sf), ["contig", "position", "ref", "alt"], ["gene_symbol", "consequence"], as_json="notes", few=True).select(*KEYS, "notes")
 
 
 @query("merged as (" + "select * from (with " + MERGE.format(src="intervals", gap=0) + ")" + """),
@@ -832,6 +832,24 @@ def q3_pipeline_tables(spark, sf):
     return reduce(lambda a, x: a.unionByName(x), parts)
 
 
+@query("many as (select *, 'p' || (k4 % 3) as phenotype, sequencing_type as ancestry from variants), hits as (select phenotype, ancestry, contig, greatest(1, position - 20000) as start, position + 20000 as \"end\" from many where pvalue < 5e-8),"
+    + """ marked as (select *, case when start > max("end") over (partition by phenotype, ancestry, contig order by start, "end" rows between unbounded preceding and 1 preceding) + 1 or
+        row_number() over (partition by phenotype, ancestry, contig order by start, "end") = 1 then 1 else 0 end as fresh from hits),
+    islands as (select *, sum(fresh) over (partition by phenotype, ancestry, contig order by start, "end" rows unbounded preceding) as island from marked),
+    found as (select phenotype, ancestry, contig, min(start) as start, max("end") as "end" from islands group by phenotype, ancestry, contig, island)
+    select 'significant_variants' as name, phenotype, ancestry, count(*) as n from many where pvalue < 5e-8 group by all
+    union all select 'plot_points', phenotype, ancestry, count(*) from many where pvalue <= 1 group by all
+    union all select 'loci', phenotype, ancestry, count(*) from found group by all
+    union all select 'loci_variants', x.phenotype, x.ancestry, count(*) from many x join found f on f.phenotype = x.phenotype and f.ancestry = x.ancestry and f.contig = x.contig
+        and x.position between f.start and f."end" where x.pvalue > 0 and x.pvalue < 0.01 group by all""")
+def c8_many_phenotypes(spark, sf):
+    """Rows of each table of each of six phenotypes, made together."""
+    rows = v.variants(spark, sf).withColumns({"phenotype": F.concat(F.lit("p"), (F.col("k4") % 3).cast("string")), "ancestry": F.col("sequencing_type")})
+    tables = manhattan.pipeline_of_many(rows, window=WINDOW, strategy="window")
+    parts = [t.groupBy("phenotype", "ancestry").agg(F.lit(n).alias("name"), F.count("*").alias("n")).select("name", "phenotype", "ancestry", "n") for n, t in tables.items()]
+    return reduce(lambda a, x: a.unionByName(x), parts)
+
+
 # Job state, samples that are validated, and columns of other systems
 
 

@@ -10,16 +10,16 @@ from locusframe.operators import sampling
 from locusframe.sources import keyed, vcf
 
 
-def open_path(spark: SparkSession, path: str, ranges: list[KeyRange] = (), intervals: list[tuple[str, int, int]] | None = None) -> DataFrame:
+def open_path(spark: SparkSession, path: str, ranges: list[KeyRange] = (), intervals: list[tuple[str, int, int]] | None = None, limits: keyed.Limits = keyed.LIMITS) -> DataFrame:
     """By suffix: variant-call text, keyed table, or what Spark reads itself.
 
     Ranges and intervals tell what is wanted, so that parts that cannot hold it
-    are not opened; callers filter the rows themselves.
+    are not opened; callers filter the rows themselves.  ``limits`` are a keyed table's.
     """
     if path.endswith((".vcf", ".vcf.gz", ".vcf.bgz")):
         return vcf.read(spark, path, intervals)
     if path.rstrip("/").endswith(".ht"):
-        return keyed.read(spark, path.rstrip("/"), ranges, intervals)
+        return keyed.read(spark, path.rstrip("/"), ranges, intervals, limits=limits)
     for suffix, kind in ((".json", "json"), (".ndjson", "json"), (".orc", "orc"), (".csv", "csv")):
         if path.endswith(suffix):
             return spark.read.format(kind).load(path)

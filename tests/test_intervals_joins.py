@@ -133,3 +133,21 @@ def test_loci_of_many_phenotypes(spark):
         assert sorted(map(tuple, every.where(F.col("phenotype") == who).drop("phenotype", "ancestry").collect())) == sorted(map(tuple, one.collect()))
     # Each phenotype's significant rows are written by one scan of the input.
     assert every.count() > 20 and "phenotype" in every.columns
+
+
+def test_pipeline_of_many_phenotypes(spark):
+    """Tables of all phenotypes at once equal those made one by one; a phenotype may have genes only."""
+    from locusframe.operators import manhattan
+
+    r = random.Random(6)
+    rows = [(w, a, f"chr{r.randint(1, 2)}", r.randint(1, 9000), "A", "G", 10.0 ** -r.randint(1, 20), r.choice(["exome", "genome"])) for w, a in (("a", "x"), ("a", "y"), ("b", "x")) for _ in range(300)]
+    df = spark.createDataFrame(rows, "phenotype string, ancestry string, contig string, position int, ref string, alt string, pvalue double, sequencing_type string")
+    genes = [(w, a, f"G{k}", f"S{k}", "m", 0.01, 10.0 ** -r.randint(1, 9), 0.5, 0.5, 0.1, 5, f"chr{k % 3}", 100 * k) for w, a in (("a", "x"), ("c", "x")) for k in range(40)]
+    tests = spark.createDataFrame(genes, "phenotype string, ancestry string, gene_id string, gene_symbol string, annotation string, max_maf double, pvalue double, pvalue_burden double, pvalue_skat double, beta_burden double, mac long, contig string, position long")
+    made = manhattan.pipeline_of_many(df, tests, window=200, strategy="clump")
+    for w, a in (("a", "x"), ("a", "y"), ("b", "x"), ("c", "x")):
+        own = lambda t: t.where((F.col("phenotype") == w) & (F.col("ancestry") == a))  # noqa: B023, E731
+        one = manhattan.pipeline(own(df).drop("phenotype", "ancestry"), None, own(tests).drop("phenotype", "ancestry"), None, w, a, window=200, strategy="clump")
+        for name, table in one.items():
+            columns = [c for c in table.columns if c not in ("phenotype", "ancestry")]
+            assert sorted(map(repr, own(made[name]).select(*columns).collect())) == sorted(map(repr, table.select(*columns).collect())), (w, a, name)

@@ -267,3 +267,16 @@ def test_export_by_the_command_line(spark, called, tmp_path, capsys):
     rows = vcf.read(spark, path).where("locus.contig = 'chr2' and locus.position <= 60000")
     assert sorted(map(repr, got.collect())) == sorted(map(repr, rows.collect())) and got.count() > 400
     assert files.size(out + ".tbi") and bgzf.is_blocked(out)
+
+
+def test_limits_by_the_command_line(spark, tmp_path, capsys):
+    path, out = str(tmp_path / "p.parquet"), str(tmp_path / "b.ht")
+    spark.range(3).selectExpr("id as k", "repeat('x', 1200000) as s", "sequence(1, 100001) as xs").write.parquet(path)
+    with pytest.raises(Exception):
+        cli.main(["export", path, "--to", "ht", "--key", "k", "--output", out], spark)
+    more = ["--max-text", "2000000", "--max-array", "200000"]
+    cli.main(["export", path, "--to", "ht", "--key", "k", "--output", out, *more], spark)
+    with pytest.raises(Exception):
+        keyed.read(spark, out).count()
+    cli.main(["query", out, "--where", "k = 1", *more], spark)
+    assert len(json.loads(capsys.readouterr().out)["s"]) == 1_200_000
