@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from locusframe.llm import license_scan, ogg, packing, pii, spm, toxicity
@@ -219,12 +220,40 @@ def test_counterfactuals_lower_false_positives(spark):
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     neutral = docs(spark, [(k, " ".join(r.choices(plain, k=12)) + " " + t) for k, t in enumerate(t for ts in NEUTRAL.values() for t in ts * 5)])
     insults = docs(spark, [(k, " ".join(r.choices(plain, k=12)) + " " + t) for k, t in enumerate(["vilex", "horridon", "scummo"] * 10)])
-    for fairness in (0.0, 30.0):
+    for fairness in (0.0, 1.0, 30.0):
         made = toxicity.train(df, labels, fairness=fairness)
         hit = lambda x: sum(s.score >= 0.5 for s in toxicity.score(x, made).collect()) / x.count()  # noqa: B023, E731
         rates[fairness] = (hit(neutral), hit(insults))
     assert rates[0.0][0] > 0.9 and rates[30.0][0] < 0.1, rates
-    assert rates[30.0][1] == 1.0, rates
+    assert rates[1.0][0] < 0.1 and rates[1.0][1] == rates[30.0][1] == 1.0, rates
+
+
+@pytest.mark.parametrize("fairness", [0.0, 1.0, 5.0])
+def test_fit_is_the_least_loss(fairness):
+    """Against plain projected gradient descent over all features at once."""
+    r = np.random.default_rng(5)
+    n, m, l1 = 90, 7, 3e-3
+    x = (r.random((n, m)) < 0.4).astype(float)
+    y = (r.random(n) < 1 / (1 + np.exp(1.5 - 2 * x[:, 0] - x[:, 1]))).astype(int)
+    x[y == 1, 2] = r.random((y == 1).sum()) < 0.9
+    swapped = x.copy()
+    swapped[:, [2, 3]] = x[:, [3, 2]]
+    pairs = np.flatnonzero(x[:, 2] + x[:, 3] > 0)
+    rows = [(int(y[k]), np.flatnonzero(x[k]), np.flatnonzero(swapped[k]) if k in set(pairs.tolist()) else None) for k in range(n)]
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
+    d = (x - swapped)[pairs]
+
+    def loss(w, b):
+        z = x @ w + b
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + l1 * w.sum() + fairness * ((d @ w) ** 2).mean())
+
+    w, b = np.zeros(m), 0.0
+    for _ in range(60_000):
+        e = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w, b = np.maximum(0.0, w - 0.1 * (x.T @ e + l1 + 2 * fairness * d.T @ (d @ w) / len(pairs))), b - 0.1 * e.sum()
+    made = toxicity.fit(rows, np.arange(m), l1, fairness, 4000)
+    got = np.array([made.weights.get(k, 0.0) for k in range(m)])
+    assert np.abs(got - w).max() < 0.02 and abs(made.bias - b) < 0.02 and loss(got, made.bias) < loss(w, b) + 1e-5
 
 
 def test_toxicity_sample_is_bounded(spark):
