@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,9 +70,9 @@ def s9_calls_by_contig(spark, sf):
     vcf.write(calls(spark, sf), path)
     rows = vcf.read(spark, path, by_contig=True)
     seen = rows.select(F.col("locus.contig").alias("contig"), F.col("locus.position").alias("position"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    first = seen.groupBy("contig").agg(F.sort_array(F.collect_list(F.struct("at", "position"))).alias("found"), F.count_distinct("part").cast("int").alias("n_parts"))
-    in_order = F.aggregate("found", F.struct(F.lit(0).alias("last"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct(x["position"].alias("last"), (a["n"] + F.when(x["position"] >= a["last"], 1).otherwise(0)).alias("n")))["n"]
-    return first.select("contig", F.size("found").cast("long").alias("n"), in_order.alias("n_in_order"), "n_parts")
+    before = F.lag(F.struct("contig", "position")).over(Window.partitionBy("part").orderBy("at"))
+    ordered = seen.withColumn("_before", before).withColumn("ok", F.coalesce((F.col("_before.contig") != F.col("contig")) | (F.col("_before.position") <= F.col("position")), F.lit(True)))
+    return ordered.groupBy("contig").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_in_order"), F.count_distinct("part").cast("int").alias("n_parts"))
 
 
 @query("select contig, position, pvalue, k1, k2, k3, k4, case when k1 % 3 <> 0 then af end as af from variants")
