@@ -6,9 +6,11 @@ import json
 import math
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,16 +86,21 @@ def read_warehouse(spark: SparkSession, path: str, name: str) -> DataFrame:
     return read(spark, f"{path}/{name}")
 
 
-def insert_chunks(df: DataFrame, url: str, table: str, rows: int = 25_000, partitions: int = 8) -> None:
-    """K8, K9: rows as JSON lines to a column store's HTTP end point, sent by the executors."""
-    query = urllib.parse.urlencode({"query": f"INSERT INTO {table} FORMAT JSONEachRow"})
+def insert_chunks(df: DataFrame, url: str, table: str, rows: int = 25_000, partitions: int = 8, load: str | None = None) -> int:
+    """K8, K9: rows as JSON lines to a column store's HTTP end point, sent by the executors; how many there were.
 
-    def send(chunk: list[dict]) -> None:
+    Every chunk has a token made of the load, its partition and its place there, by which the store
+    tells a chunk that a task sends again from a new one.
+    """
+    query, load = f"INSERT INTO {table} FORMAT JSONEachRow", load or uuid.uuid4().hex
+
+    def send(chunk: list[dict], token: str) -> None:
         data = "\n".join(r["json"] for r in chunk).encode()
-        with urllib.request.urlopen(urllib.request.Request(f"{url}/?{query}", data=data), timeout=600) as answer:
+        asked = urllib.parse.urlencode({"query": query, "insert_deduplicate": 1, "insert_deduplication_token": f"{load}-{token}"})
+        with urllib.request.urlopen(urllib.request.Request(f"{url}/?{asked}", data=data), timeout=600) as answer:
             answer.read()
 
-    post_chunks(json_lines(df), send, rows, partitions)
+    return post_chunks(json_lines(df), send, rows, partitions)
 
 
 def clickhouse(df: DataFrame, url: str, table: str, keys: list[str]) -> int:
@@ -106,8 +113,8 @@ def clickhouse(df: DataFrame, url: str, table: str, keys: list[str]) -> int:
 
     ask(clickhouse_ddl(table, df.schema, keys))
     before = int(ask(f"SELECT count() FROM {table}").strip() or 0)
-    insert_chunks(df, url, table)
-    found, wanted = int(ask(f"SELECT count() FROM {table}").strip()) - before, df.count()
+    wanted = insert_chunks(df, url, table)
+    found = int(ask(f"SELECT count() FROM {table}").strip()) - before
     if found != wanted:
         raise OSError(f"{table} has {found} new rows of {wanted}")
     return found
@@ -124,21 +131,29 @@ def bigquery(df: DataFrame, path: str, table: str) -> dict:
     return job
 
 
-def post_chunks(df: DataFrame, send: Callable[[list[dict]], None], rows: int = 25_000, partitions: int = 8) -> None:
-    """K9: rows in chunks to a function that runs on the executors, a few partitions at a time."""
+def post_chunks(df: DataFrame, send: Callable[[list[dict], str], None], rows: int = 25_000, partitions: int = 8) -> int:
+    """K9: rows in chunks, each with a token, to a function that runs on the executors, a few partitions at a time; how many rows.
+
+    A task that runs again has the same rows in the same order, and so the same tokens.  Rows are counted as they are
+    sent, once for each task that counts.
+    """
+    # The upstream keeps its own parallelism; only the sending is held to a few tasks.
+    few, sent = df.repartition(partitions), df.sparkSession.sparkContext.accumulator(0)
 
     def run(it):
-        chunk = []
+        part, k, n, chunk = TaskContext.get().partitionId(), 0, 0, []
         for r in it:
             chunk.append(r.asDict(recursive=True))
+            n += 1
             if len(chunk) >= rows:
-                send(chunk)
-                chunk = []
+                send(chunk, f"{part}-{k}")
+                k, chunk = k + 1, []
         if chunk:
-            send(chunk)
+            send(chunk, f"{part}-{k}")
+        sent.add(n)
 
-    # The upstream keeps its own parallelism; only the sending is held to a few tasks.
-    df.repartition(partitions).foreachPartition(run)
+    few.foreachPartition(run)
+    return sent.value
 
 
 def ingest(spark: SparkSession, base: str, path: str, phenotype: str, ancestry: str) -> DataFrame:
