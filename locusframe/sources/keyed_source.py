@@ -135,14 +135,6 @@ class KeyedReader(DataSourceReader):
         self.intervals = plan["intervals"]
         self.ranges = [KeyRange.of(".".join(p), op, x) for p, op, x in plan["ranges"]]
 
-    def pushFilters(self, filters):
-        names = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-        for f in filters:
-            if type(f) in names and f.attribute[0] in self.key:
-                self.ranges.append(KeyRange.of(".".join(f.attribute), names[type(f)], f.value))
-            # Parts are pruned, rows are not.
-            yield f
-
     def partitions(self):
         spans = wanted_spans(self.key, keyed.parse_type(self.row), self.ranges, self.intervals)
         found = []
@@ -188,6 +180,18 @@ class KeyedReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
 
+class PushedReader(KeyedReader):
+    """The reader where the session hands filters down; Spark takes no reader that could have them where it does not."""
+
+    def pushFilters(self, filters):
+        names = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+        for f in filters:
+            if type(f) in names and f.attribute[0] in self.key:
+                self.ranges.append(KeyRange.of(".".join(f.attribute), names[type(f)], f.value))
+            # Parts are pruned, rows are not.
+            yield f
+
+
 class BlockFile:
     """Bytes into compressed blocks of a file, as they come."""
 
@@ -372,7 +376,7 @@ class KeyedTable(DataSource):
         return keyed.spark_type(keyed.parse_type(json.loads(self.options["plan"])["row"]))
 
     def reader(self, schema):
-        return KeyedReader(schema, self.options)
+        return (PushedReader if self.options.get("push") == "true" else KeyedReader)(schema, self.options)
 
     def writer(self, schema, overwrite):
         return KeyedWriter(schema, self.options)
@@ -389,7 +393,8 @@ def load(spark: SparkSession, m: keyed.Meta, component: str, parts: list[int], r
         "ranges": bounded if component == "rows" else [], "intervals": [list(x) for x in intervals] if intervals is not None else None,
     }
     spark.dataSource.register(KeyedTable)
-    return spark.read.format(NAME).option("plan", json.dumps(plan)).load()
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format(NAME).option("plan", json.dumps(plan)).option("push", push).load()
 
 
 def save(df: DataFrame, path: str, key: list[str], limits: keyed.Limits) -> None:

@@ -68,12 +68,12 @@ def reader(spark, path, ranges=(), intervals=None, full=None):
             return None
 
     class Session:
-        dataSource = spark.dataSource
+        dataSource, conf = spark.dataSource, spark.conf
         read = Read()
 
     m = keyed.metadata(spark, path)
     keyed_source.load(Session(), m, "rows", keyed.prune(m, list(ranges), intervals), list(ranges), intervals, keyed.LIMITS, full)
-    return keyed_source.KeyedReader(keyed.spark_type(m.row_type), taken)
+    return keyed_source.PushedReader(keyed.spark_type(m.row_type), taken)
 
 
 def test_spans_read_only_their_blocks(spark, table, monkeypatch):
@@ -115,6 +115,10 @@ def test_filters_of_a_plan_prune_parts(spark, tmp_path):
     keyed.write(spark.range(1000).selectExpr("id as k", "id * 2 as v"), path, ["k"], partitions=5)
     df = keyed.read(spark, path)
     assert df.where("k = 7").collect() == [(7, 14)] and df.where("k > 990 and v < 1990").count() == 4
+    # Where the session does not hand filters down, all the same.
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    assert keyed.read(spark, path).where("k = 7").collect() == [(7, 14)]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     r = reader(spark, path)
     assert len(r.partitions()) == 5
     from pyspark.sql.datasource import EqualTo
