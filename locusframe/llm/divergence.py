@@ -8,7 +8,8 @@ How differently do the sources of a language use its words?
    a few MB at a time, and each count is merged into the trie.  A trie of ``LEAVES``
    leaves is passed on and begun anew, so a task holds little whatever it reads.
 2. *Merge*: a trie leaves its task in pages, one for each node of ``PREFIX`` bytes
-   with leaves below it: the tails of its terms with their counters.  Spark deals pages by ranges of (language,
+   with leaves below it: the tails of its terms with their counters.  Pages of a prefix are merged
+   within ``MERGED`` groups of tasks; then Spark deals them by ranges of (language,
    prefix), sampled, each range to a task, which merges the pages of a prefix, adds up equal
    leaves and keeps terms of enough documents.  A frequent term is one leaf of each trie, never a row an
    occurrence; pages of a prefix are merged as they come, so that what is held is
@@ -40,6 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,8 @@ from locusframe.llm.common import cut
 #: Leaves that the trie of a task holds, and pages' leaves that a merge holds, about.
 LEAVES = 250_000
 HELD = 200_000
+#: Groups of tasks whose tries are merged first.
+MERGED = 64
 #: Bytes of a node from which on a trie is cut into pages.
 PREFIX = 3
 #: Bytes of text that are counted at a time.
@@ -64,6 +68,7 @@ _BYTES = np.arange(256)
 _LETTER = (_BYTES > 127) | (65 <= _BYTES) & (_BYTES <= 90) | (97 <= _BYTES) & (_BYTES <= 122)
 _LOWER = np.where((65 <= _BYTES) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 _PAGES = "lang string, prefix binary, page binary"
+_DEALT = _PAGES + ", salt int"
 _LEAF = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 _LEAF_DDL = "lang string, term binary, docs long, sources array<string>, counts array<long>"
 
@@ -201,19 +206,18 @@ def _page(tails: np.ndarray, docs: np.ndarray, uses: np.ndarray, tail_bytes: byt
 
 def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pages of a task's tries."""
-    trie = Trie()
+    trie, salt = Trie(), TaskContext.get().partitionId() % MERGED
 
     def told():
         rows: list[tuple] = []
         for row in trie.pages():
-            rows.append(row)
+            rows.append((*row, salt))
             if len(rows) == 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["lang", "prefix", "page"])
+                yield _batch(rows, True)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["lang", "prefix", "page"])
+            yield _batch(rows, True)
 
-    kinds = pa.string(), pa.binary(), pa.binary()
     for batch in batches:
         _, ends = _raw(batch.column(0))
         at = 0
@@ -228,15 +232,20 @@ def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from told()
 
 
-def _merged(min_docs: int):
-    """Of pages sorted by (language, prefix) the leaves in ``min_docs`` documents at least."""
+def _batch(rows: list[tuple], dealt: bool = False) -> pa.RecordBatch:
+    kinds = [("lang", pa.string()), ("prefix", pa.binary()), ("page", pa.binary()), ("salt", pa.int32())][: 4 if dealt else 3]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(zip(*rows), kinds)], [n for n, _ in kinds])
+
 
-    def summed(pages: list[tuple[str, bytes, bytes]]):
+class Merge:
+    """Pages of several tries to the sums of their leaves."""
+
+    def summed(self, pages: list[tuple[str, bytes, bytes]]):
         """Leaves of pages, added up: position of their (language, prefix), tail, documents, uses."""
         heads: dict[tuple[str, bytes], int] = {}
         of, lens, docs, sizes, tails, uses = [], [], [], [], [], []
         for lang, prefix, page in pages:
-            n = int.from_bytes(page[:8], "little")
+            n = leaves_of(page)
             told = np.frombuffer(page, "<i8", 3 * n, 8).reshape(3, n)
             of.append(np.full(n, heads.setdefault((lang, prefix), len(heads))))
             lens.append(told[0])
@@ -252,8 +261,9 @@ def _merged(min_docs: int):
         at = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
         return list(heads), of, coded, order, at, np.add.reduceat(docs[order], at), b"".join(uses), np.r_[0, np.cumsum(sizes)]
 
-    def leaves(pages, least: int):
-        heads, of, coded, order, at, docs, uses, ends = summed(pages)
+    def leaves(self, pages, least: int = 0):
+        """(language, prefix, tail, documents, {source: occurrences}) of leaves in ``least`` documents at least."""
+        heads, of, coded, order, at, docs, uses, ends = self.summed(pages)
         stop = np.r_[at[1:], len(order)]
         keep = docs >= least
         for a, b, n in zip(at[keep].tolist(), stop[keep].tolist(), docs[keep].tolist()):
@@ -264,14 +274,11 @@ def _merged(min_docs: int):
             lang, prefix = heads[of[order[a]]]
             yield lang, prefix, coded.dictionary[coded.indices[int(order[a])].as_py()].as_py(), n, total
 
-    def told(pages):
-        rows = [(lang, prefix + tail, n, list(total), list(total.values())) for lang, prefix, tail, n, total in leaves(pages, min_docs)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _LEAF)], schema=_LEAF)
-
-    def one(pages):
+    def one(self, pages: list[tuple[str, bytes, bytes]]) -> list[tuple[str, bytes, bytes]]:
         """Pages of one prefix as a single one."""
-        found = list(leaves(pages, 0))
+        if len(pages) < 2:
+            return pages
+        found = list(self.leaves(pages))
         names = sorted({s for *_, total in found for s in total})
         place = {s: k for k, s in enumerate(names)}
         group, n = (np.array([f(x) for *_, total in found for x in total.items()], np.int64) for f in (lambda x: place[x[0]], lambda x: x[1]))
@@ -279,33 +286,68 @@ def _merged(min_docs: int):
         sizes = np.diff(ends[np.r_[0, np.cumsum([len(total) for *_, total in found])]])
         return [(*pages[0][:2], _page(np.array([len(x[2]) for x in found]), np.array([x[3] for x in found]), sizes, b"".join(x[2] for x in found), data.tobytes()))]
 
-    def run(batches):
-        held: list[tuple[str, bytes, bytes]] = []
+    def runs(self, batches, width: int) -> Iterator[list[tuple]]:
+        """Rows in their order, about ``HELD`` leaves at a time and cut between runs of one key only.
+
+        The key is the language, the prefix and, of ``width`` 3, the salt; a run that goes on becomes a page as it comes.
+        """
+        held: list[tuple] = []
         n = least = 0
+        key = lambda row: (row[0], row[1], *row[3 : width + 1])
         for batch in batches:
-            for page in zip(*[c.to_pylist() for c in batch.columns]):
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if n > max(HELD, 2 * least):
-                    if held[-1][:2] != page[:2]:
-                        yield from told(held)
+                    open_at = next(k for k, x in enumerate(held) if key(x) == key(held[-1]))
+                    if key(held[-1]) != key(row):
+                        yield held
                         held, n, least = [], 0, 0
                     else:
-                        # The last prefix goes on: the others are settled, its pages become one.
-                        cut_at = next(k for k, x in enumerate(held) if x[:2] == page[:2])
-                        if cut_at:
-                            yield from told(held[:cut_at])
-                        held = one(held[cut_at:])
-                        n = least = int.from_bytes(held[0][2][:8], "little")
-                held.append(page)
-                n += int.from_bytes(page[2][:8], "little")
+                        if open_at:
+                            yield held[:open_at]
+                        rest = held[open_at][3:]
+                        held = [(*x, *rest) for x in self.one([x[:3] for x in held[open_at:]])]
+                        n = least = leaves_of(held[0][2])
+                held.append(row)
+                n += leaves_of(row[2])
         if held:
-            yield from told(held)
+            yield held
+
+
+def leaves_of(page: bytes) -> int:
+    return int.from_bytes(page[:8], "little")
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pages sorted by (language, prefix, salt) one page each."""
+    merge = Merge()
+    for held in merge.runs(batches, 3):
+        out, at = [], 0
+        for k in range(1, len(held) + 1):
+            if k == len(held) or (*held[k][:2], held[k][3]) != (*held[at][:2], held[at][3]):
+                out += merge.one([x[:3] for x in held[at:k]])
+                at = k
+        yield _batch(out)
+
+
+def _merged(min_docs: int):
+    """Of pages sorted by (language, prefix) the leaves in ``min_docs`` documents at least."""
+
+    def run(batches):
+        merge = Merge()
+        for held in merge.runs(batches, 2):
+            rows = [(lang, prefix + tail, n, list(total), list(total.values())) for lang, prefix, tail, n, total in merge.leaves(held, min_docs)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _LEAF)], schema=_LEAF)
 
     return run
 
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``lang``, ``term`` (bytes), ``docs`` and, by source, ``counts`` of the terms kept."""
-    pages = cut(docs.select("text", "lang", "source").mapInArrow(_tries, _PAGES), "pages")
+    dealt = docs.select("text", "lang", "source").mapInArrow(_tries, _DEALT)
+    # Tries are merged in groups first, so that a prefix that many terms share comes from every group once.
+    grouped = dealt.repartition("lang", "prefix", "salt").sortWithinPartitions("lang", "prefix", "salt")
+    pages = cut(grouped.mapInArrow(_folded, _PAGES), "pages")
     ranged = pages.repartitionByRange("lang", "prefix").sortWithinPartitions("lang", "prefix")
     return ranged.mapInArrow(_merged(min_docs), _LEAF_DDL)
 

@@ -176,6 +176,13 @@ def test_tries(monkeypatch, held):
     pages.sort(key=lambda x: x[:2])
     batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*pages[k : k + 7])], ["lang", "prefix", "page"]) for k in range(0, len(pages), 7)]
     out = [row for b in divergence._merged(1)(iter(batches)) for row in b.to_pylist()]
+    dealt = sorted(((*x, k % 3) for k, x in enumerate(pages)), key=lambda x: (*x[:2], x[3]))
+    batches_ = [divergence._batch(dealt[k : k + 7], True) for k in range(0, len(dealt), 7)]
+    folded = [tuple(r.values()) for b in divergence._folded(iter(batches_)) for r in b.to_pylist()]
+    assert len(folded) == len({(*x[:2], x[3]) for x in dealt})
+    again = [row for b in divergence._merged(1)(iter([divergence._batch(sorted(folded))])) for row in b.to_pylist()]
+    told = lambda rows: sorted((x["lang"], x["term"], x["docs"], sorted(zip(x["sources"], x["counts"]))) for x in rows)
+    assert told(again) == told(out)
     assert Counter({(x["lang"], x["term"].decode()): x["docs"] for x in out}) == docs and len(out) == len(docs)
     assert Counter({(x["lang"], x["term"].decode(), s): n for x in out for s, n in zip(x["sources"], x["counts"])}) == uses
 
