@@ -140,10 +140,7 @@ TITLES = {
     "BSD-3-Clause": "BSD 3-Clause License",
     "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003",
     "CC0-1.0": "Creative Commons Legal Code CC0 1.0 Universal",
-    "EPL-1.0": "Eclipse Public License - v 1.0",
-    "EPL-2.0": "Eclipse Public License - v 2.0",
     "ISC": "ISC License",
-    "MIT": "The MIT License",
     "MPL-1.1": "Mozilla Public License Version 1.1",
     "MPL-2.0": "Mozilla Public License Version 2.0",
     "Zlib": "zlib License",
@@ -213,12 +210,11 @@ def templates() -> dict[str, tuple[str, ...]]:
     }
     for name, (full, version, work, month) in GNU.items():
         short = f"{name.split('-')[0]}v{version}"
+        # A bare 1 is in too much prose to look for.
+        sentences = () if version == "1" else (f"Licensed under the GNU {full}, version {version}.", f"This {work} is free software under the terms of the GNU {full}, version {version}.")
         made[name] = (
-            f"Licensed under {short}.",
-            f"License: {short}+",
-            f"Released under the terms of the {short} license.",
-            f"Licensed under the GNU {full}, version {version}.",
-            f"This {work} is free software under the terms of the GNU {full}, version {version}.",
+            short,
+            *sentences,
             GNU_HEADER.format(work=work, name=full, v=version),
         )
     for version in GFDL:
@@ -372,10 +368,11 @@ def scan(
     paragraphs = F.filter(F.split("low", GAP), lambda x: x.rlike("[a-z0-9]"))
     openings = F.transform(F.array(*[F.array_join(F.slice(paragraphs, 1, k), "\n") for k in (1, 2)]), lambda x: F.when(x.rlike(trigger), best_form(terms_of(x), m)))
     opens = F.exists(openings, lambda h: h.isNotNull() & ~h["plain"] & ~h["family"] & (h["s"] <= -STRICT))
-    triggered = F.col("low").rlike(trigger)
-    found = given.select(*key_cols, "path", "dir", "named", F.when(triggered, hits).alias("hits"), F.when(triggered, opens).alias("opens"))
-    by_version = F.transform(F.filter("hits", lambda h: h.isNotNull()), lambda h: F.struct(h["family"].alias("family"), h["s"].alias("s"), h["license"].alias("license")))
-    is_license = F.col("named") | F.coalesce(F.get("hits", 0)["s"] <= -STRICT, F.lit(False)) | F.coalesce("opens", F.lit(False))
+    # Both under one condition, as it looks through the whole text.
+    said = F.when(F.col("low").rlike(trigger), F.struct(hits.alias("hits"), opens.alias("opens"))).alias("said")
+    found = given.select(*key_cols, "path", "dir", "named", said)
+    by_version = F.transform(F.filter("said.hits", lambda h: h.isNotNull()), lambda h: F.struct(h["family"].alias("family"), h["s"].alias("s"), h["license"].alias("license")))
+    is_license = F.col("named") | F.coalesce(F.get("said.hits", 0)["s"] <= -STRICT, F.lit(False)) | F.coalesce("said.opens", F.lit(False))
     # Written once, without texts, as three plans start from it.
     own = cut(found, "licenses").select(*key_cols, "path", "dir", F.coalesce(is_license, F.lit(False)).alias("is_license"), F.array_min(by_version).alias("own"))
     says = own.where(F.col("is_license") & F.col("own").isNotNull()).groupBy(F.col("dir").alias("above")).agg(F.min("own").alias("said"))
