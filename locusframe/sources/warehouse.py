@@ -96,7 +96,8 @@ def upsert(df: DataFrame, path: str, keys: list[str], init: str = "append") -> N
     if init == "create" and version:
         raise FileExistsError(path)
     known = table.manifest(version) if version and init == "append" else {"schema": None, "live": {}}
-    keys = [k for k in keys if k in df.columns]
+    if missing := [k for k in keys if k not in df.columns]:
+        raise ValueError(f"rows without their keys {missing}")
     live, new = dict(known["live"]), table.write(once(df, keys))
     schema = df.schema
     if known["schema"]:

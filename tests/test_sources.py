@@ -274,9 +274,13 @@ def test_parquet_and_warehouse(spark, tmp_path):
     df = spark.range(100).selectExpr("id", "'p' as phenotype")
     sinks.parquet(df, str(tmp_path / "one"), 1)
     assert len(list((tmp_path / "one").glob("*.parquet"))) == 1
-    sinks.warehouse({"loci": df}, str(tmp_path / "w"))
-    sinks.warehouse({"loci": df}, str(tmp_path / "w"), "append")
-    assert spark.read.parquet(str(tmp_path / "w" / "loci")).count() == 200
+    with pytest.raises(ValueError):
+        sinks.warehouse({"loci": df}, str(tmp_path / "w"))
+    whole = df.selectExpr("*", "'eur' as ancestry", "cast(id as string) as locus_id")
+    for _ in range(2):
+        sinks.warehouse({"loci": whole}, str(tmp_path / "w"))
+    assert sinks.read_warehouse(spark, str(tmp_path / "w"), "loci").count() == 100
+    # Both loads lie there until the table is tidied up.
     tree = tables.parquet_tree(spark, str(tmp_path / "w"), "*.parquet")
     assert tree.count() == 200 and "file_path" in tree.columns
 
