@@ -52,6 +52,8 @@ LEAVES = 250_000
 HELD = 200_000
 #: Groups of tasks whose tries are merged first.
 MERGED = 64
+#: Pages of a group and prefix from which on merging them spares more than it costs.
+FOLD = 4
 #: Bytes of a node from which on a trie is cut into pages.
 PREFIX = 3
 #: Bytes of text that are counted at a time.
@@ -318,13 +320,14 @@ def leaves_of(page: bytes) -> int:
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pages sorted by (language, prefix, salt) one page each."""
+    """Of pages sorted by (language, prefix, salt) one page each, where it takes the place of ``FOLD`` or more."""
     merge = Merge()
     for held in merge.runs(batches, 3):
         out, at = [], 0
         for k in range(1, len(held) + 1):
             if k == len(held) or (*held[k][:2], held[k][3]) != (*held[at][:2], held[at][3]):
-                out += merge.one([x[:3] for x in held[at:k]])
+                some = [x[:3] for x in held[at:k]]
+                out += merge.one(some) if len(some) >= FOLD else some
                 at = k
         yield _batch(out)
 
