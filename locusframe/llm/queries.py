@@ -215,6 +215,30 @@ ORACLES: dict[str, str] = {
         select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
         from parts qualify part = 'pair' or rank <= 10
     """,
+    "op12_ngram_join": """
+        with recursive given as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+            from documents
+        ), sets as (
+            select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) <= 4 then [array_to_string(w, ' ')]
+                   else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) end)) as g
+            from given
+        ), sizes as (
+            select doc_id, count(*) as n from sets group by doc_id
+        ), common as (
+            select a.doc_id as x, b.doc_id as y, count(*) as c from sets a join sets b on a.g = b.g and a.doc_id < b.doc_id group by all
+        ), links as (
+            select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)
+        ), ways as (
+            select x, y from links union all select y, x from links
+        ), reached(doc_id, other) as (
+            select doc_id, doc_id from given
+            union
+            select r.doc_id, w.y from reached r join ways w on w.x = r.other
+        )
+        select r.doc_id, coalesce(any_value(s.n), 0)::bigint as n_shingles, min(other) as component_id
+        from reached r left join sizes s on s.doc_id = r.doc_id group by r.doc_id
+    """,
     "op13_hard_negatives": """
         with v as (
             select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
