@@ -48,6 +48,13 @@ def test_query(spark, con, name):
     assert rows(out) == rows(want)
 
 
+def test_interval_lookup_is_whole(spark, con):
+    """The lookup before f17's filter covers every contig: none of the significant rows is missing."""
+    want = con.sql(registry.PRELUDE + " select count(*) as n from variants where pvalue < 1e-6").df().n[0]
+    assert registry.queries()["f17_where_after_interval"](spark, SF).count() == want
+    assert want == len(con.sql(registry.oracle_sql()["f17_where_after_interval"]).df())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
