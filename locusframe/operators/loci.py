@@ -134,7 +134,7 @@ def loci(df: DataFrame, genes: DataFrame | None = None, strategy: str = "clump",
     genes then have them too.
     """
     from locusframe.functions.genomics import locus_id, xpos
-    from locusframe.operators.joins import LEVELS, interval_join
+    from locusframe.operators.joins import interval_join
 
     # Groups travel in front of the contig's name, which all steps compare as a whole.
     unit = F.concat_ws("\x01", *[F.coalesce(c, F.lit("")) for c in by], "contig").alias("contig")
@@ -146,8 +146,9 @@ def loci(df: DataFrame, genes: DataFrame | None = None, strategy: str = "clump",
         regions = hits.select("contig", F.greatest(F.lit(1), F.col("position") - window).cast("long").alias("start"), (F.col("position") + window).cast("long").alias("end"))
     if genes is not None:
         regions = regions.unionByName(genes.select(unit, F.greatest(F.lit(1), F.col("start") - window).cast("long").alias("start"), (F.col("end") + window).cast("long").alias("end")))
-    merged = merge(regions, adjacent=strategy == "window")
-    met = interval_join(hits, merged, levels=LEVELS)
+    # Written, as the join reads them twice.
+    merged = kept(merge(regions, adjacent=strategy == "window"), "regions")
+    met = interval_join(hits, merged)
     found = met.groupBy("contig", "start", "end").agg(
         F.min_by(F.struct("position", "ref", "alt", "pvalue", "sequencing_type"), F.struct("pvalue", "position", "ref", "alt")).alias("lead"),
         F.count_if(F.col("sequencing_type") == "exome").alias("exome_count"),

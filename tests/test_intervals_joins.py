@@ -69,6 +69,37 @@ def test_overlap_join(spark):
     assert sorted((r.contig, r.start, r.end, r.g_start, r.g_end) for r in out.collect()) == want
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_joins_by_either_plan(spark, monkeypatch, few):
+    """Listings that are merged give the pairs of those that are broadcast; intervals of any width have few listings."""
+    monkeypatch.setattr(j, "FEW", few)
+    rows, spans = random_case(6)
+    spans += [("chr1", 1, 10**12), ("chr2", -50, 10**9), ("chr2", 9, 3)]
+    df, t = spark.createDataFrame(rows, "id int, contig string, position int"), table(spark, spans)
+    pairs = sorted((i, a, b) for i, c, p in rows for d, a, b in spans if c == d and a <= p <= b)
+    assert sorted((r.id, r.start, r.end) for r in j.interval_join(df, t, bin_width=4).collect()) == pairs
+    right = t.toDF("g_contig", "g_start", "g_end")
+    good = [x for x in spans if x[1] <= x[2]]
+    want = sorted((c, a, b, x, y) for c, a, b in good for d, x, y in good if c == d and a <= y and b >= x)
+    assert sorted((r.contig, r.start, r.end, r.g_start, r.g_end) for r in j.overlap_join(t, right, bin_width=32).collect()) == want
+
+
+def test_rows_are_not_broadcast(spark, tmp_path):
+    """Rows in a small file, each looked up at several levels, stay where they are; the intervals go to them."""
+    rows, spans = random_case(7)
+    spark.createDataFrame(rows, "id int, contig string, position int").write.parquet(str(tmp_path / "rows"))
+    kept = spark.read.parquet(str(tmp_path / "rows"))
+    plan = j.interval_join(kept, table(spark, spans * 40))._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_overlaps_are_dealt_out(spark):
+    """Few rows that make many pairs are the work of several tasks."""
+    t = table(spark, [("chr1", k, k + 5000) for k in range(300)]).coalesce(1)
+    out = j.overlap_join(t, t.toDF("g_contig", "g_start", "g_end"))
+    assert out.groupBy(F.spark_partition_id()).count().where("count > 10000").count() > 1 and out.count() == 90000
+
+
 def test_no_nested_loop(spark):
     rows, spans = random_case(4)
     df = spark.createDataFrame(rows, "id int, contig string, position int")
