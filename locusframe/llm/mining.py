@@ -1,20 +1,21 @@
 """Hard-negative mining by a two-dimensional block matrix multiply (SUMMA-style).
 
-Anchors and rows are dealt to blocks by the hash of their id and cut into chunks
-of ``DIMS`` dimensions.  The cell of an anchor block, a row block and a chunk
-multiplies its two shards to a partial tile of 64-bit scores.  Partial tiles of
-one pair of blocks are shuffled together and added up, and the sum is reduced
-at once to what its tile can contribute: the best few rows of each anchor (and,
+Anchors and rows are dealt to blocks by the hash of their id and cut into panels
+of ``DIMS`` dimensions.  The cell of an anchor block and a row block gets the panels
+of both, multiplies them one after the other and adds the products up in its own
+tile of 64-bit scores, ``STRIP`` anchors at a time.  Each strip is reduced
+at once to what it can contribute: the best few rows of each anchor (and,
 for negatives, of each window of scores that an anchor's positive opens).  A last
-aggregate ranks what the tiles pass on.
+aggregate ranks what the cells pass on.  Only panels are shuffled, never scores.
 
 Two such products are made, so that no score is computed for nothing: positives
 multiply anchors with the rows of their own label only, in blocks as many as the
 label needs (a hot label is many blocks); their scores are the windows in which
 the second product, over all rows, looks for rows of other labels.
 
-Nothing is broadcast or collected but three counts that size the grids.  A tile
-has ``ANCHORS`` x ``ROWS`` scores at most, about, whatever the data; a task that
+Nothing is broadcast or collected but three counts that size the grids.  A cell
+has ``ANCHORS`` x ``ROWS`` vectors at most, about, whatever the data, and a row goes to
+as many cells as there are blocks of anchors; a task that
 is run again finds the same rows in the same blocks.
 
 Scores are exact: products are made as doubles where no sum can pass 2**53, else
@@ -36,22 +37,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Anchors and rows of a tile, about, and dimensions of a chunk.
-ANCHORS = 128
-ROWS = 1024
+#: Anchors and rows of a cell, about, anchors of a strip, and dimensions of a panel.
+ANCHORS = 16_384
+ROWS = 16_384
+STRIP = 256
 DIMS = 32
+#: Rows of small tables lie in up to so many blocks of at least so many rows, for the sake of tasks.
+SPREAD = 64
+SMALL = 1024
 EXACT = 1 << 53
 
-_TILE = (
-    "grid long, i int, j int, d int, k int, anchors array<long>, anchor_labels array<long>, "
-    "windows array<array<struct<id: long, score: long>>>, rows array<long>, labels array<long>, tile binary"
-)
-_IDS = pa.list_(pa.int64())
-_WINDOWS = pa.list_(pa.list_(pa.struct([("id", pa.int64()), ("score", pa.int64())])))
-_ARROW = pa.schema(
-    [("grid", pa.int64()), *[(c, pa.int32()) for c in "ijdk"], ("anchors", _IDS), ("anchor_labels", _IDS), ("windows", _WINDOWS), ("rows", _IDS), ("labels", _IDS), ("tile", pa.binary())]
-)
-
 
 def _matrix(t: pa.Table, column: str) -> np.ndarray:
     flat = t.column(column).combine_chunks()
@@ -69,27 +64,24 @@ def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def _partial(asked: pa.Table, others: pa.Table) -> pa.Table:
-    """One row: the partial tile of a cell, and who its rows and columns are if it is the first chunk's."""
+def _cell(asked: pa.Table, others: pa.Table):
+    """Strip by strip of a cell's anchors: the scores, the anchors, their labels and windows; and the rows and labels."""
     if not asked.num_rows or not others.num_rows:
-        return _ARROW.empty_table()
-    asked, others = asked.sort_by("id"), others.sort_by("id")
-    key = [asked.column(c)[0].as_py() for c in ("grid", "i", "j", "d", "k")]
-    first = key[-1] == 0
-    tile = multiply(_matrix(asked, "part"), _matrix(others, "part"))
-    said = [t.column(c).to_pylist() if first else [] for t, c in ((asked, "id"), (asked, "label"), (asked, "windows"), (others, "id"), (others, "label"))]
-    return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip([*key, *said, tile.tobytes()], _ARROW)], schema=_ARROW)
-
-
-def _summed(tiles: pa.Table):
-    """The sum of one pair of blocks' partial tiles, with its anchors' and rows' names."""
-    first = tiles.column("k").to_pylist().index(0)
-    names = [tiles.column(c)[first].as_py() for c in ("anchors", "anchor_labels", "windows", "rows", "labels")]
-    shape = len(names[0]), len(names[3])
-    total = np.zeros(shape, np.int64)
-    for part in tiles.column("tile"):
-        total += np.frombuffer(part.as_buffer(), np.int64).reshape(shape)
-    return total, *names
+        return
+    sides = []
+    for t in (asked, others):
+        t = t.sort_by([("k", "ascending"), ("id", "ascending")])
+        cuts = np.flatnonzero(np.r_[True, np.diff(t.column("k").to_numpy()) != 0, True])
+        sides.append([t.slice(a, b - a) for a, b in zip(cuts, cuts[1:])])
+    left, right = sides
+    panels = [(_matrix(a, "part"), _matrix(b, "part")) for a, b in zip(left, right)]
+    ids, kinds = (right[0].column(c).to_numpy() for c in ("id", "label"))
+    for at in range(0, left[0].num_rows, STRIP):
+        own = left[0].slice(at, STRIP)
+        total = np.zeros((own.num_rows, len(ids)), np.int64)
+        for a, b in panels:
+            total += multiply(a[at : at + STRIP], b)
+        yield total, *[own.column(c).to_pylist() for c in ("id", "label", "windows")], ids, kinds
 
 
 def _first(score: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -103,32 +95,32 @@ def _first(score: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 
 
 def _positives(k: int):
-    def run(tiles: pa.Table) -> pa.Table:
-        score, anchors, _, _, rows, _ = _summed(tiles)
-        ids, out = np.array(rows, np.int64), ([], [], [])
-        for q, anchor in enumerate(anchors):
-            at = _first(score[q], np.flatnonzero(ids != anchor), k)
-            for column, x in zip(out, ([anchor] * len(at), ids[at].tolist(), score[q, at].tolist())):
-                column += x
+    def run(asked: pa.Table, others: pa.Table) -> pa.Table:
+        out = ([], [], [])
+        for score, anchors, _, _, ids, _ in _cell(asked, others):
+            for q, anchor in enumerate(anchors):
+                at = _first(score[q], np.flatnonzero(ids != anchor), k)
+                for column, x in zip(out, ([anchor] * len(at), ids[at].tolist(), score[q, at].tolist())):
+                    column += x
         return pa.table(dict(zip(("anchor_id", "id", "score"), (pa.array(x, pa.int64()) for x in out))))
 
     return run
 
 
 def _negatives(k: int, low: int, high: int):
-    def run(tiles: pa.Table) -> pa.Table:
-        score, anchors, own, windows, rows, labels = _summed(tiles)
-        ids, kinds, out = np.array(rows, np.int64), np.array(labels, np.int64), ([], [], [], [], [])
-        for q, anchor in enumerate(anchors):
-            other = kinds != own[q]
-            for positive in windows[q]:
-                p = positive["score"]
-                # low * p <= 100 * s <= high * p, in integers of any size.
-                least, most = -(-low * p // 100), high * p // 100
-                at = _first(score[q], np.flatnonzero(other & (score[q] >= least) & (score[q] <= most)), k)
-                n = len(at)
-                for column, x in zip(out, ([anchor] * n, [positive["id"]] * n, [p] * n, ids[at].tolist(), score[q, at].tolist())):
-                    column += x
+    def run(asked: pa.Table, others: pa.Table) -> pa.Table:
+        out = ([], [], [], [], [])
+        for score, anchors, own, windows, ids, kinds in _cell(asked, others):
+            for q, anchor in enumerate(anchors):
+                other = kinds != own[q]
+                for positive in windows[q]:
+                    p = positive["score"]
+                    # low * p <= 100 * s <= high * p, in integers of any size.
+                    least, most = -(-low * p // 100), high * p // 100
+                    at = _first(score[q], np.flatnonzero(other & (score[q] >= least) & (score[q] <= most)), k)
+                    n = len(at)
+                    for column, x in zip(out, ([anchor] * n, [positive["id"]] * n, [p] * n, ids[at].tolist(), score[q, at].tolist())):
+                        column += x
         return pa.table(dict(zip(("anchor_id", "positive_id", "positive_score", "id", "score"), (pa.array(x, pa.int64()) for x in out))))
 
     return run
@@ -138,6 +130,10 @@ def _blocks(n: Column, size: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
 
 
+def _row_blocks(n: Column) -> Column:
+    return F.greatest(_blocks(n, ROWS), F.least(F.lit(SPREAD), _blocks(n, SMALL)))
+
+
 def _spread(rows: DataFrame, own: str, own_blocks: Column, other: str, other_blocks: Column) -> DataFrame:
     """Every row, cut into chunks, in its own block and against all blocks of the other side."""
     dealt = rows.withColumn("d", F.size("v")).withColumn(own, F.pmod(F.xxhash64("id"), own_blocks).cast("int"))
@@ -151,15 +147,16 @@ def _spread(rows: DataFrame, own: str, own_blocks: Column, other: str, other_blo
     return dealt.select(*[F.col(named.get(c, c)).alias(c) for c in ("grid", "i", "j", "d", "k", "id", "label", "windows", "part")])
 
 
-def tiles(anchors: DataFrame, rows: DataFrame) -> DataFrame:
-    """Partial tiles of all blocks and chunks, within each ``grid``.
+def cells(anchors: DataFrame, rows: DataFrame, work, layout: str) -> DataFrame:
+    """What ``work`` finds in the cells of all blocks, within each ``grid``.
 
     Both have ``grid``, ``id``, ``label``, ``v``, ``windows`` and the numbers of blocks, ``down`` and ``across``.
     """
     left = _spread(anchors, "i", F.col("down"), "j", F.col("across"))
     right = _spread(rows, "j", F.col("across"), "i", F.col("down"))
-    key = ["grid", "i", "j", "d", "k"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_partial, _TILE)
+    # Vectors of one length meet.
+    key = ["grid", "i", "j", "d"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(work, layout)
 
 
 def mine(
@@ -177,17 +174,16 @@ def mine(
     none = F.lit(None).cast("array<struct<id: long, score: long>>").alias("windows")
     rows = once.select("id", "r.label", "r.v", "r.asks", none)
     # Two numbers a label size its grid, two of all rows the other's.
-    sizes = rows.groupBy("label").agg(_blocks(F.count("*"), ROWS).alias("across"), _blocks(F.count_if("asks"), ANCHORS).alias("down"))
+    sizes = rows.groupBy("label").agg(_row_blocks(F.count("*")).alias("across"), _blocks(F.count_if("asks"), ANCHORS).alias("down"))
     by_label = rows.join(sizes, "label").withColumn("grid", F.col("label"))
     order = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "id")
-    own = tiles(by_label.where("asks"), by_label).groupBy("grid", "i", "j", "d").applyInArrow(_positives(positives), "anchor_id long, id long, score long")
+    own = cells(by_label.where("asks"), by_label, _positives(positives), "anchor_id long, id long, score long")
     best = own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= positives)
     windows = best.groupBy("anchor_id").agg(F.collect_list(F.struct("id", "score")).alias("windows"))
-    n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
-    across, down = -(-n // ROWS) or 1, -(-asking // ANCHORS) or 1
+    across, down = rows.agg(_row_blocks(F.count("*")), _blocks(F.count_if("asks"), ANCHORS)).first()
     sized = rows.withColumn("grid", F.lit(0).cast("long")).withColumn("across", F.lit(across)).withColumn("down", F.lit(down))
     asked = sized.where("asks").drop("windows").join(windows.withColumnRenamed("anchor_id", "id"), "id")
-    found = tiles(asked, sized).groupBy("grid", "i", "j", "d").applyInArrow(_negatives(negatives, low, high), "anchor_id long, positive_id long, positive_score long, id long, score long")
+    found = cells(asked, sized, _negatives(negatives, low, high), "anchor_id long, positive_id long, positive_score long, id long, score long")
     order = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
     return ranked.select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

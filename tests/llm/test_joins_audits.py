@@ -253,3 +253,18 @@ def test_top_k_deals_by_the_rows(spark, monkeypatch):
         df = spark.createDataFrame(order, "vec_id long, ints array<long>").repartition(3 if order is rows else 7)
         got = topk.search(df.where("vec_id % 20 = 0"), df, 5).collect()
         assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_hard_negatives_shuffle_no_scores(spark, monkeypatch):
+    """Cells add their panels up in strips, whatever the blocks; only vectors are shuffled."""
+    r = np.random.default_rng(5)
+    rows = [(k, int(r.integers(0, 3)), [int(x) for x in r.integers(-200, 200, 70)]) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, ints array<long>")
+    asks = F.col("vec_id") % 10 == 0
+    whole = mining.mine(df, asks)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "FlatMapGroupsInArrow" not in plan
+    want = sorted(map(tuple, whole.collect()))
+    for name, size in (("ANCHORS", 7), ("ROWS", 50), ("SMALL", 40), ("STRIP", 3), ("DIMS", 16)):
+        monkeypatch.setattr(mining, name, size)
+    assert want and sorted(map(tuple, mining.mine(df, asks).collect())) == want
