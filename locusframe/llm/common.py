@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -65,10 +66,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`cut` that nothing needs any more."""
+    """Delete a table made by :func:`cut` that nothing needs any more, and let Spark drop the shuffle files of finished steps."""
     for made in _open:
         made.discard(df.shared_at)
     delete(df.sparkSession, df.shared_at)
+    # Spark drops shuffle files once the driver's JVM has collected their plans.
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def delete(spark: SparkSession, path: str) -> None:

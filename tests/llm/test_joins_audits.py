@@ -268,3 +268,20 @@ def test_hard_negatives_shuffle_no_scores(spark, monkeypatch):
     for name, size in (("ANCHORS", 7), ("ROWS", 50), ("SMALL", 40), ("STRIP", 3), ("DIMS", 16)):
         monkeypatch.setattr(mining, name, size)
     assert want and sorted(map(tuple, mining.mine(df, asks).collect())) == want
+
+
+def test_discard_frees_shuffles(spark):
+    """Shuffle files of finished steps go with their tables."""
+    import time
+
+    from locusframe.llm import common
+
+    files = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    seen = []
+    for k in range(4):
+        made = common.cut(spark.range(1000).repartition(7).groupBy(F.col("id") % 5).count(), "made")
+        common.discard(made)
+        time.sleep(1)
+        seen.append(files())
+    # Those of the last step may stay until the next.
+    assert seen[-1] <= seen[0]
