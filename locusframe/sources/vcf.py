@@ -105,8 +105,13 @@ def read(spark: SparkSession, path: str, intervals: list[tuple[str, int, int]] |
         texts = texts.where(reduce(lambda x, y: x | y, within, F.lit(False)))
     if by_contig:
         front = F.split(F.col("value"), "\t", 3)
-        contigs = max(1, len(h.contigs))
-        texts = texts.repartition(contigs, front[0]).sortWithinPartitions(front[0], front[1].cast("int"))
+        if h.contigs:
+            # A contig's partition is its place in the header, which no other shares; those that it lacks go by hash.
+            at, n = F.array_position(F.array(*map(F.lit, h.contigs)), front[0]).cast("int"), len(h.contigs)
+            texts = texts.repartitionById(n, F.when(at > 0, at - 1).otherwise(F.pmod(F.hash(front[0]), F.lit(n))))
+        else:
+            texts = texts.repartition(front[0])
+        texts = texts.sortWithinPartitions(front[0], front[1].cast("int"))
     part = F.split(F.rtrim(F.col("value")), "\t")
     rows = texts.select(part.alias("p"))
     col = {n: F.get(F.col("p"), i) for i, n in enumerate(FIXED)}
@@ -215,7 +220,8 @@ def write(df: DataFrame, path: str, compression: str = "none", samples: list[str
     """Header first, then rows by contig and position.
 
     With ``bgzf`` tasks write ranges of rows as blocks of one file, with an index
-    beside it (apart, in a folder, with ``joined`` off); else one text file in a folder, by one task.
+    beside it (apart, in a folder, with ``joined`` off); else tasks write ranges of rows as text
+    files in a folder, in the order of their names, each with the header of its own.
     Samples are those given, or those of the genotypes of any row, by name.
     """
     spark = df.sparkSession
@@ -229,8 +235,11 @@ def write(df: DataFrame, path: str, compression: str = "none", samples: list[str
     if compression == "bgzf":
         by = ("contig", "position", "alleles")
         return bgzf.write_lines(rows.repartitionByRange(*by).sortWithinPartitions(*by).select("value"), path, told + "\n", True, joined)
-    head = spark.createDataFrame([(told,)], "value string")
-    # One file is one task, which sorts with spill; the header has no contig and comes first.
-    every = rows.unionByName(head, allowMissingColumns=True).repartition(1)
-    ordered = every.sortWithinPartitions(F.asc_nulls_first("contig"), "position", "alleles")
-    ordered.select("value").write.option("compression", compression).text(path)
+    # The header's own row, without a contig, is the first of all, and stands alone where there are no others.
+    head = spark.createDataFrame([(told,)], "value string").withColumn("_row", F.lit(0))
+    by = ("_row", F.asc_nulls_first("contig"), "position", "alleles")
+    ordered = rows.withColumn("_row", F.lit(1)).unionByName(head, allowMissingColumns=True).repartitionByRange(*by).sortWithinPartitions(*by)
+    # Ids count from 0 in the lower bits, partition by partition.
+    opens = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    value = F.when(opens & (F.col("_row") == 1), F.concat(F.lit(told + "\n"), "value")).otherwise(F.col("value"))
+    ordered.select(value.alias("value")).write.option("compression", compression).text(path)

@@ -361,3 +361,46 @@ def test_cli_manhattan(spark, tmp_path):
     loci = spark.read.parquet(str(tmp_path / "w" / "loci")).collect()
     assert len(loci) == 6 and all(r.exome_count == 1 for r in loci)
     assert spark.read.parquet(str(tmp_path / "w" / "loci_variants")).count() > 6
+
+
+def test_text_calls_are_written_by_many_tasks(spark, tmp_path):
+    df = spark.range(4000).selectExpr("struct(concat('chr', 1 + id % 22) as contig, cast(1 + id * 7919 % 5000 as int) as position) as locus", "array('A', 'C') as alleles", "struct(cast(id as int) as DP) as info")
+    told = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "5"}
+    before = {k: spark.conf.get(k) for k in told}
+    try:
+        for k, x in told.items():
+            spark.conf.set(k, x)
+        for compression, suffix in (("none", ".txt"), ("gzip", ".txt.gz")):
+            path = tmp_path / compression
+            vcf.write(df, str(path), compression)
+            parts = sorted(path.glob(f"part-*{suffix}"))
+            assert len(parts) == 5
+            import gzip
+
+            texts = [(gzip.open(p, "rt") if suffix.endswith("gz") else open(p)).read().splitlines() for p in parts]
+            # Every file is whole by itself, and one behind the other they are in order.
+            heads = [[x for x in t if x.startswith("#")] for t in texts]
+            assert all(h == heads[0] and t[: len(h)] == h for h, t in zip(heads, texts)) and len(heads[0]) > 22
+            places = [(x.split("\t")[0], int(x.split("\t")[1])) for t in texts for x in t if not x.startswith("#")]
+            assert places == sorted(places) and len(places) == 4000
+            back = vcf.read(spark, str(path))
+            assert sorted(tuple(r.locus) + (r.info.DP,) for r in back.collect()) == sorted(tuple(r.locus) + (r.info.DP,) for r in df.collect())
+        by = vcf.read(spark, str(tmp_path / "none"), by_contig=True)
+        parts = by.selectExpr("locus.contig", "spark_partition_id() as part").distinct().collect()
+        # No two contigs share a partition.
+        assert len(parts) == 22 == len({r.part for r in parts}) == len({r.contig for r in parts})
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    vcf.write(df.limit(0), str(tmp_path / "none at all"))
+    assert vcf.read(spark, str(tmp_path / "none at all")).count() == 0
+
+
+def test_shards_of_many_rows_are_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "SHARD_ROWS", 100)
+    sinks.parquet(spark.range(1000), str(tmp_path / "many"), 3)
+    assert len(list((tmp_path / "many").glob("*.parquet"))) == 12 and spark.read.parquet(str(tmp_path / "many")).count() == 1000
+    sinks.parquet(spark.range(50), str(tmp_path / "few"), 3)
+    assert len(list((tmp_path / "few").glob("*.parquet"))) == 3
+    sinks.parquet(spark.range(1000), str(tmp_path / "one"), 1)
+    assert len(list((tmp_path / "one").glob("*.parquet"))) == 1
