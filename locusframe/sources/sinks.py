@@ -29,11 +29,21 @@ WAREHOUSE_KEYS = {
 
 
 SEQUENCING = ("exome", "genome")
+#: Rows that one task writes as a file of a shard.
+SHARD_ROWS = 4_000_000
+
+
+def files_of(rows: int, shards: int) -> int:
+    """So many files for each shard that none holds over ``SHARD_ROWS`` rows; one shard is one file."""
+    return shards * max(1, -(-rows // (shards * SHARD_ROWS))) if shards > 1 else 1
 
 
 def parquet(df: DataFrame, path: str, shards: int | None = None, init: str = "create", row_group: int = 100_000) -> None:
-    """K1 (one shard), K2, K3: files of zstd-compressed row groups."""
-    out = df if shards is None else df.repartition(shards)
+    """K1 (one shard), K2, K3: files of zstd-compressed row groups.
+
+    A shard of many rows is several files, of a task each: file p belongs to shard p % ``shards``.
+    """
+    out = df if shards is None else df.repartition(files_of(df.count() if shards > 1 else 0, shards))
     out.write.mode(MODES[init]).option("compression", "zstd").option("parquet.block.row.count.limit", row_group).parquet(path)
 
 
