@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -369,6 +370,71 @@ def encoder(p: Physical, limits: Limits = LIMITS) -> Callable[[bytearray, object
     return record
 
 
+#: Bytes of the longest text of a batch that columns are encoded with; batches with longer ones go row by row.
+LONGEST = 256
+#: (bytes, which of them count), a row each.
+Cells = tuple[np.ndarray, np.ndarray]
+
+
+def number_cells(x: np.ndarray) -> Cells:
+    """:func:`put_number` of unsigned numbers."""
+    n = max(1, -(-int(x.max(initial=0)).bit_length() // 7))
+    rest = x[:, None] >> (np.arange(n, dtype=np.uint64) * np.uint64(7))
+    there = rest != 0
+    there[:, 0] = True
+    more = np.zeros_like(there)
+    more[:, :-1] = there[:, 1:]
+    return (rest & np.uint64(127)).astype(np.uint8) | more.astype(np.uint8) << 7, there
+
+
+def cells(p: Physical, values: pa.Array, limits: Limits = LIMITS, there: np.ndarray | None = None) -> Cells | None:
+    """What :func:`encoder` makes of each value, for all of them at once; None where it must say.
+
+    Values that are null, or not ``there``, must not count for the caller.
+    """
+    n = len(values)
+    if p.kind in ("EInt32", "EInt64"):
+        kind = np.int32 if p.kind == "EInt32" else np.int64
+        x = values.fill_null(0).to_numpy(zero_copy_only=False).astype(kind)
+        return number_cells(x.view(f"u{x.itemsize}").astype(np.uint64))
+    if p.kind in ("EFloat32", "EFloat64"):
+        x = values.fill_null(0.0).to_numpy(zero_copy_only=False).astype("<f4" if p.kind == "EFloat32" else "<f8")
+        raw = np.ascontiguousarray(x).view(np.uint8).reshape(n, x.itemsize)
+        return raw, np.ones(raw.shape, bool)
+    if p.kind == "EBoolean":
+        raw = values.fill_null(False).to_numpy(zero_copy_only=False).astype(np.uint8)[:, None]
+        return raw, np.ones(raw.shape, bool)
+    if p.kind == "EBinary":
+        texts = values.cast(pa.large_string()).fill_null("")
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+        size = np.diff(ends)
+        if size.max(initial=0) > min(LONGEST, limits.binary):
+            return None
+        raw = np.zeros((n, int(size.max(initial=0))), np.uint8)
+        own = np.arange(raw.shape[1]) < size[:, None]
+        if raw.size:
+            raw[own] = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        head, counts = number_cells(size.astype(np.uint64))
+        return np.hstack([head, raw]), np.hstack([counts, own])
+    if p.kind != "EBaseStruct":
+        return None
+    there = np.ones(n, bool) if there is None else there
+    missing, parts = [], []
+    for (_, f), column in zip(p.fields, values.flatten()):
+        gone = column.is_null().to_numpy(zero_copy_only=False)
+        if f.required and (gone & there).any():
+            return None
+        found = cells(f, column, limits, there & ~gone)
+        if found is None:
+            return None
+        parts.append((found[0], found[1] & ~gone[:, None]))
+        if not f.required:
+            missing.append(gone)
+    marks = np.packbits(np.stack(missing, 1), axis=1, bitorder="little") if missing else np.zeros((n, 0), np.uint8)
+    parts.insert(0, (marks, np.ones(marks.shape, bool)))
+    return np.hstack([a for a, _ in parts]), np.hstack([b for _, b in parts])
+
+
 def blocked(data: bytes) -> bytes:
     """B8."""
     import zstandard

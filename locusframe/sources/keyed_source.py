@@ -7,7 +7,8 @@ tree is descended, and blocks before it are passed over by their heads; reading
 stops behind the span's last row.  A full key (B13 to B15) goes down the tree to
 its row.  Filters of a plan that bound a key prune parts further.
 
-Writing: a task streams its rows into blocks of a file of its own, and the keys with
+Writing: a task streams its rows, encoded by columns of a batch where no field is an array or a long text,
+into blocks of a file of its own, and the keys with
 their places into the leaves of an index, whose upper levels are built from the
 lower ones at the end.  What it made goes to the commit as a few names and keys;
 files of tasks that failed or ran twice are in no message, and the folder they
@@ -22,6 +23,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -205,9 +207,10 @@ class BlockFile:
 
     def put(self, data: bytes | bytearray) -> None:
         self.held += data
-        while len(self.held) >= keyed.BLOCK:
-            self._write(bytes(self.held[: keyed.BLOCK]))
-            del self.held[: keyed.BLOCK]
+        whole = len(self.held) // keyed.BLOCK * keyed.BLOCK
+        for at in range(0, whole, keyed.BLOCK):
+            self._write(bytes(self.held[at : at + keyed.BLOCK]))
+        del self.held[:whole]
 
     def _write(self, data: bytes) -> None:
         packed = len(data).to_bytes(4, "little", signed=True) + self.z.compress(data)
@@ -254,32 +257,56 @@ class Tree:
         # Nodes are bounded by their branches, not by the limit for rows.
         limits = keyed.Limits(1 << 30, 1 << 30)
         self.file, self.key = BlockFile(path), key
-        self.put_leaf, self.put_node = keyed.encoder(leaf, limits), keyed.encoder(node, limits)
-        self.held: list[dict] = []
+        self.key_type = dict(dict(leaf.fields)["keys"].fields[0][1].fields)["key"]
+        self.put_entry, self.put_node = keyed.encoder(dict(leaf.fields)["keys"].fields[0][1], limits), keyed.encoder(node, limits)
+        #: Of the leaf that is being filled its entries' bytes, how many there are, and the first one's key and place.
+        self.held, self.count, self.first = bytearray(), 0, ({}, 0)
         self.level: list[dict] = []
         self.n = 0
 
     def add(self, row: dict, place: int) -> None:
-        self.held.append({"key": {k: row[k] for k in self.key}, "offset": place, "annotation": {}})
-        self.n += 1
-        if len(self.held) == BRANCHES:
+        data = bytearray()
+        key = {k: row[k] for k in self.key}
+        self.put_entry(data, {"key": key, "offset": place, "annotation": {}})
+        self._take(data, 1, key, place)
+
+    def add_all(self, batch: pa.RecordBatch, key_cells: keyed.Cells, places: np.ndarray) -> None:
+        """Rows of a batch, whose keys are encoded."""
+        at, counts = keyed.number_cells(places.astype(np.uint64))
+        raw, there = np.hstack([key_cells[0], at]), np.hstack([key_cells[1], counts])
+        ends = np.r_[0, there.sum(1).cumsum()].tolist()
+        data, k = raw[there].tobytes(), 0
+        while k < len(places):
+            n = min(BRANCHES - self.count, len(places) - k)
+            key = batch.select(self.key).slice(k, 1).to_pylist()[0] if not self.count else {}
+            self._take(data[ends[k] : ends[k + n]], n, key, int(places[k]))
+            k += n
+
+    def _take(self, data: bytes | bytearray, n: int, key: dict, place: int) -> None:
+        if not self.count:
+            self.first = key, place
+        self.held += data
+        self.count += n
+        self.n += n
+        if self.count == BRANCHES:
             self._leaf()
 
     def _child(self, first_idx: int, key: dict, place: int) -> dict:
         return {"index_file_offset": self.file.name, "first_idx": first_idx, "first_key": key, "first_record_offset": place, "first_annotation": {}}
 
     def _leaf(self) -> None:
-        first = self.n - len(self.held)
-        self.level.append(self._child(first, self.held[0]["key"], self.held[0]["offset"]))
+        first = self.n - self.count
+        self.level.append(self._child(first, *self.first))
         data = bytearray(keyed.LEAF)
-        self.put_leaf(data, {"first_idx": first, "keys": self.held})
-        self.file.put(data)
-        self.held = []
+        keyed.put_number(data, first, 64)
+        keyed.put_number(data, self.count, 32)
+        self.file.put(data + self.held)
+        self.held, self.count = bytearray(), 0
 
     def close(self) -> dict:
         """What the index's own metadata say."""
-        if self.held or not self.level:
-            self.held and self._leaf()
+        if self.count:
+            self._leaf()
         height = 1
         while len(self.level) > 1:
             above = []
@@ -318,20 +345,31 @@ class KeyedWriter(DataSourceArrowWriter):
         put, out, tree, made = keyed.encoder(self.row, self.limits), None, None, Made(part)
         last = None
         for batch in iterator:
-            for row in batch.to_pylist():
-                if out is None:
-                    out = BlockFile(f"{self.work}/rows/parts/{name}")
-                    tree = Tree(f"{self.work}/index/{name}.idx/index", self.row, self.key) if self.key else None
-                    made.name, made.first = name, json.dumps({k: row[k] for k in self.key})
-                if tree:
-                    tree.add(row, out.place)
-                data = bytearray(b"\1")
-                put(data, row)
-                out.put(data)
-                made.rows += 1
-                last = row
+            if not batch.num_rows:
+                continue
+            if out is None:
+                out = BlockFile(f"{self.work}/rows/parts/{name}")
+                tree = Tree(f"{self.work}/index/{name}.idx/index", self.row, self.key) if self.key else None
+                made.name, made.first = name, json.dumps(batch.select(self.key).slice(0, 1).to_pylist()[0] if self.key else {})
+            made.rows += batch.num_rows
+            last = batch.slice(batch.num_rows - 1)
+            found = keyed.cells(self.row, batch.to_struct_array(), self.limits)
+            keys = keyed.cells(tree.key_type, batch.select(self.key).to_struct_array()) if tree and found else None
+            if found is None or tree and keys is None:
+                for row in batch.to_pylist():
+                    if tree:
+                        tree.add(row, out.place)
+                    data = bytearray(b"\1")
+                    put(data, row)
+                    out.put(data)
+                continue
+            ones = np.ones((batch.num_rows, 1), np.uint8)
+            raw, there = np.hstack([ones, found[0]]), np.hstack([ones.astype(bool), found[1]])
+            if tree:
+                tree.add_all(batch, keys, out.place + np.r_[0, there.sum(1).cumsum()[:-1]])
+            out.put(raw[there].tobytes())
         if out is not None:
-            made.last = json.dumps({k: last[k] for k in self.key})
+            made.last = json.dumps(last.select(self.key).to_pylist()[0] if self.key else {})
             out.put(b"\0")
             out.close()
             if tree:

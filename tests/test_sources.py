@@ -404,3 +404,34 @@ def test_shards_of_many_rows_are_several_files(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "few").glob("*.parquet"))) == 3
     sinks.parquet(spark.range(1000), str(tmp_path / "one"), 1)
     assert len(list((tmp_path / "one").glob("*.parquet"))) == 1
+
+
+def test_columns_are_encoded_as_rows_are():
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    one = T.StructType([T.StructField("contig", T.StringType()), T.StructField("position", T.IntegerType())])
+    kind = T.StructType([T.StructField("locus", one), T.StructField("a", T.LongType()), T.StructField("b", T.LongType(), False), T.StructField("f", T.FloatType()), T.StructField("d", T.DoubleType()), T.StructField("t", T.StringType()), T.StructField("y", T.BooleanType())])
+    p = keyed.physical_type(kind, False)
+    edge = [0, 1, 127, 128, -1, 2**31 - 1, -(2**31), 2**63 - 1, -(2**63), 300]
+    rows = [
+        {
+            "locus": None if i % 5 == 0 else {"contig": None if i % 7 == 0 else "chr" + "é" * (i % 4), "position": None if i % 3 == 0 else edge[i % 7]},
+            "a": None if i % 4 == 0 else edge[i % 10], "b": edge[(i + 1) % 10], "f": None if i % 6 == 0 else i / 3, "d": [None, float("nan"), -0.0, 1e300][i % 4], "t": [None, "", "x" * i][i % 3], "y": [None, True, False][i % 3],
+        }
+        for i in range(100)
+    ]
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    batch = pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(kind))
+    for some, told in ((batch, rows), (batch.slice(13, 50), rows[13:63]), (batch.slice(0, 0), [])):
+        raw, there = keyed.cells(p, some.to_struct_array())
+        put, want = keyed.encoder(p), []
+        for row in told:
+            data = bytearray()
+            put(data, row)
+            want.append(bytes(data))
+        assert [raw[k][there[k]].tobytes() for k in range(len(told))] == want
+    # What the row's encoder must refuse or judge is left to it.
+    assert keyed.cells(p, pa.RecordBatch.from_pylist([rows[1] | {"b": None}], schema=pa.schema([f.with_nullable(True) for f in batch.schema])).to_struct_array()) is None
+    assert keyed.cells(p, pa.RecordBatch.from_pylist([rows[1] | {"t": "x" * 300}], schema=batch.schema).to_struct_array()) is None
