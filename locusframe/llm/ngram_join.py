@@ -133,10 +133,12 @@ def signatures(n: int, known: int, tokens: list[tuple[int, int, int]], percent:
     ``tokens`` are (place, token, nodes), all frequent ones among them; those left out are in no other set.
     """
     need = missing(n, percent) + 1
-    hot = sorted(t for t in tokens if t[2] > OFTEN)
+    # Tasks may have said the same token.
+    tokens = sorted(set(tokens))
+    hot = [t for t in tokens if t[2] > OFTEN]
     before = 0
     out = []
-    for place, token, nodes in sorted(tokens):
+    for place, token, nodes in tokens:
         if nodes > OFTEN:
             before += 1
         elif place - before < need:
@@ -215,7 +217,7 @@ def _sets(given: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _tokens(sets: DataFrame) -> DataFrame:
-    """(``node``, ``n``, ``place``, ``token``) of whole sets."""
+    """(``node``, ``n``, ``place``, ``token``) of whole sets, again for each task that has a row equal to the node's."""
 
     def run(batches):
         for batch in batches:
@@ -224,8 +226,7 @@ def _tokens(sets: DataFrame) -> DataFrame:
                 places = np.arange(len(tokens))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), node)), pa.array(np.full(len(tokens), n)), pa.array(places), pa.array(tokens)], ["node", "n", "place", "token"])
 
-    # Nodes of several tasks come once.
-    return sets.dropDuplicates(["node"]).mapInArrow(run, "node long, n long, place long, token long")
+    return sets.mapInArrow(run, "node long, n long, place long, token long")
 
 
 def posted(given: DataFrame, nodes: DataFrame, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -242,7 +243,11 @@ def posted(given: DataFrame, nodes: DataFrame, width: int, percent: int) -> tupl
         return hot.where((known < F.col("n")) & (known - F.col("hot") < _needed(F.col("n"), percent))).select("node")
 
     def whole(some: DataFrame) -> DataFrame:
-        return cut(_tokens(_sets(given, nodes.join(some, "node").select("spot", "node", "n"), width)), "whole")
+        # Written first: where Spark sees that these are few, no text is shuffled.
+        told = cut(nodes.join(some, "node").select("spot", "node", "n"), "told")
+        out = cut(_tokens(_sets(given, told, width)), "whole")
+        discard(told)
+        return out
 
     rows = shared.withColumn("known", _window(F.col("n"), percent).cast("long"))
     wanting = cut(short(shared), "short")
@@ -378,10 +383,11 @@ def confirmed(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def join(
-    df: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", empty_alone: bool = True, most: int = simhash.JUDGED_BITS
+    df: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", empty_alone: bool = True, most: int = simhash.JUDGED_BITS, gray: bool = False
 ) -> DataFrame:
     """The id, ``n_shingles``, ``node``, ``component_id`` and ``spot`` of every row.
 
+    With ``gray`` nodes whose fingerprints the Gray-order index of :mod:`.simhash` links are proposed as well.
     ``component_id`` is the smallest id reachable by links; ``spot`` is :func:`locusframe.llm.simhash.spot` of the row.
     """
     given = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
@@ -395,8 +401,13 @@ def join(
     posts = cut(posts, "posts")
     for table in made:
         discard(table)
-    found = simhash.components(proposals(posts, nodes, percent, most))
-    discard(posts)
+    links, indexed = proposals(posts, nodes, percent, most), []
+    if gray:
+        near, indexed = simhash.gray_links(nodes.where("n > 0").select("node", F.col("j0").alias("fp")))
+        links = near.unionByName(links)
+    found = simhash.components(links)
+    for table in [posts, *indexed]:
+        discard(table)
     near = found.withColumnRenamed("component", "near")
     # One row of each text in question says its set.
     sizes = near.groupBy("near").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))

@@ -23,9 +23,10 @@
    gathered on the driver.
 
 :func:`similar` groups texts whose sets of five-word shingles have an exact
-similarity of 0.8 or more: :mod:`locusframe.llm.ngram_join` proposes pairs by
-shared shingles, ``JUDGES`` fingerprints of 64 bits judge them (they must differ in
-at most ``JUDGED_BITS`` bits), and counted shingles decide.
+similarity of 0.8 or more.  The Gray-order index links fingerprints of these sets
+within ``RADIUS`` bits; about ten differ at 0.8, so for what the index cannot see
+:mod:`locusframe.llm.ngram_join` proposes further pairs by shared shingles, which ``JUDGES``
+fingerprints judge (they must differ in at most ``JUDGED_BITS`` bits).  Counted shingles decide on all of them.
 
 Every step is linear in the distinct fingerprints but the links inside a
 bucket; skewed joins (many documents of one fingerprint) are split by adaptive
@@ -416,6 +417,17 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def gray_links(nodes: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (``a``, ``b``) that join the nodes (``node``, ``fp``) whose fingerprints the index links, and tables to discard later."""
+    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    edges = candidate_edges(prints.select("fp"), radius)
+    first, second = (prints.select(F.col("fp").alias(c), F.col("least").alias(to)) for c, to in (("a", "x"), ("b", "y")))
+    between = edges.join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # Nodes of one fingerprint by its smallest.
+    within = nodes.join(prints, "fp").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return between.unionByName(within), [prints]
+
+
 def set_node(hashes: np.ndarray) -> int:
     """The name of a set as a signed 64-bit number, zero for the empty one."""
     name = xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0
@@ -434,5 +446,5 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     from locusframe.llm import ngram_join
 
-    found = ngram_join.join(df, 5, 80, id_col, text_col, empty_alone=False)
+    found = ngram_join.join(df, 5, 80, id_col, text_col, empty_alone=False, gray=True)
     return found.select(id_col, "node", "component_id", "spot")

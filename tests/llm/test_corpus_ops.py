@@ -571,3 +571,16 @@ def test_near_copies_of_repeated_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     left = [tuple(x) for x in p.drop_near_copies(spark, df, "").collect()]
     assert sorted(left, key=str) == sorted([(1, a), (0, b), (2, a + " x y z"), (None, b)], key=str)
+
+
+def test_similar_takes_links_of_the_gray_index(spark, monkeypatch):
+    from locusframe.llm import ngram_join, simhash
+
+    words = [f"w{k}" for k in range(600)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(reversed(words)), ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = lambda: [x.component_id for x in simhash.similar(df).orderBy("doc_id").collect()]
+    assert told() == [0, 0, 2, 3]
+    # Without any pair of shared shingles the index finds the copy by its fingerprint.
+    monkeypatch.setattr(ngram_join, "proposals", lambda *a: spark.createDataFrame([], "a long, b long"))
+    assert told() == [0, 0, 2, 3]
