@@ -70,9 +70,31 @@ def discard(df: DataFrame) -> None:
     for made in _open:
         made.discard(df.shared_at)
     delete(df.sparkSession, df.shared_at)
-    # Spark drops shuffle files once the driver's JVM has collected their plans.
+    release(df.sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps, which it does once the driver's JVM has collected their plans."""
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
+
+
+def sifted(df: DataFrame, by: str, some: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """The rows of ``df`` whose ``by`` (a long) may be in ``some``, a table made by :func:`cut`: all that are, and few others.
+
+    A bitmap of 32 bits a value goes to all tasks, of 8 MB at most, so that a join that follows need not shuffle
+    what it drops.  Beyond 2**21 values more of the others stay; nothing is lost.
+    """
+    n = 1 << 15
+    while n < min(bits, 32 * some.count()):
+        n *= 2
+    # Hashed, as values may have lower bits alike.
+    place = F.pmod(F.xxhash64(F.col(by).cast("long"), F.lit(n)), F.lit(n))
+    bucket, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    maps = some.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_map"))
+    octet = F.conv(F.hex(F.substring("_map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    told = F.getbit(octet, (bit % 8).cast("int")) == 1
+    return df.join(F.broadcast(maps), (bucket == F.col("_bucket")) & told).select(*df.columns)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm import simhash
-from locusframe.llm.common import cut, discard
+from locusframe.llm.common import cut, discard, release, sifted
 
 #: Nodes of a token from which on it is frequent, and very frequent.
 OFTEN = 32
@@ -193,46 +193,65 @@ def read(given: DataFrame, width: int, percent: int) -> DataFrame:
     return given.mapInArrow(run, layout)
 
 
+def _texts(given: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The columns of ``wanted`` but ``spot``, and ``text``: only texts that may be wanted are shuffled."""
+    kept = [c for c in wanted.columns if c != "spot"]
+    return sifted(given.select("spot", "text"), "spot", wanted).join(wanted, "spot").select(*kept, "text")
+
+
+def _own(batches, width: int):
+    """Of batches with a ``node`` and a ``text``: the batch, which of its rows say the node's set, and these sets, about once a task."""
+    seen: set[int] = set()
+    for batch in batches:
+        at, sets = [], []
+        for i, (node, text) in enumerate(zip(batch.column("node").to_pylist(), batch.column("text"))):
+            if node in seen:
+                continue
+            s = shingles(text.as_py(), width)
+            if simhash.set_node(s) == node:
+                seen.add(node)
+                at.append(i)
+                sets.append(s)
+        yield batch, at, sets
+
+
 def _sets(given: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """The columns of ``wanted`` (``spot``, ``node`` and others) with the ``hashes`` of each node, about once a task."""
-    kept = [c for c in wanted.columns if c != "spot"]
+    rows = _texts(given, wanted)
 
     def run(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            nodes = batch.column(kept.index("node")).to_pylist()
-            ok, hashes = [], []
-            for node, text in zip(nodes, batch.column(len(kept))):
-                s = shingles(text.as_py(), width) if node not in seen else None
-                fits = s is not None and simhash.set_node(s) == node
-                ok.append(fits)
-                if fits:
-                    seen.add(node)
-                    hashes.append(s.tobytes())
-            told = batch.select(range(len(kept))).filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*told.columns, pa.array(hashes, pa.binary())], [*kept, "hashes"])
+        for batch, at, sets in _own(batches, width):
+            told = batch.drop_columns("text").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*told.columns, pa.array([s.tobytes() for s in sets], pa.binary())], [*told.schema.names, "hashes"])
 
-    layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.select(*kept).schema) + ", hashes binary"
-    return given.select("spot", "text").join(wanted, "spot").select(*kept, "text").mapInArrow(run, layout)
+    layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema) + ", hashes binary"
+    return rows.mapInArrow(run, layout)
 
 
-def _tokens(sets: DataFrame) -> DataFrame:
-    """(``node``, ``n``, ``place``, ``token``) of whole sets, again for each task that has a row equal to the node's."""
+def _tokens(given: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(``node``, ``n``, ``place``, ``token``) of whole sets, again for each task that has a row equal to the node's.
+
+    One map from texts on: a second one behind it would keep a second Python process for every task.
+    """
 
     def run(batches):
-        for batch in batches:
-            for node, n, raw in zip(*[c.to_pylist() for c in batch.select(["node", "n", "hashes"]).columns]):
-                tokens = np.frombuffer(raw, np.int64)
-                places = np.arange(len(tokens))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), node)), pa.array(np.full(len(tokens), n)), pa.array(places), pa.array(tokens)], ["node", "n", "place", "token"])
+        for batch, at, sets in _own(batches, width):
+            nodes = batch.column("node").take(pa.array(at, pa.int64())).to_numpy()
+            # A few at a time, as each set is many rows.
+            for k in range(0, len(sets), 64):
+                some = sets[k : k + 64]
+                sizes = np.array([len(s) for s in some])
+                columns = [np.repeat(nodes[k : k + 64], sizes), np.repeat(sizes, sizes), np.concatenate([np.arange(x) for x in sizes]), np.concatenate(some).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "n", "place", "token"])
 
-    return sets.mapInArrow(run, "node long, n long, place long, token long")
+    return _texts(given, wanted).mapInArrow(run, "node long, n long, place long, token long")
 
 
 def posted(given: DataFrame, nodes: DataFrame, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """(``sig``, ``node``): what each node is indexed by, and tables to discard later."""
     first = nodes.select("node", "n", F.posexplode("front").alias("place", "token")).withColumn("place", F.col("place").cast("long"))
     seen = cut(first.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "seen")
+    release(given.sparkSession)
     shared = cut(first.join(seen, "token").select("node", "n", "place", "token", "c"), "shared")
     made = [seen, shared]
 
@@ -244,8 +263,8 @@ def posted(given: DataFrame, nodes: DataFrame, width: int, percent: int) -> tupl
 
     def whole(some: DataFrame) -> DataFrame:
         # Written first: where Spark sees that these are few, no text is shuffled.
-        told = cut(nodes.join(some, "node").select("spot", "node", "n"), "told")
-        out = cut(_tokens(_sets(given, told, width)), "whole")
+        told = cut(nodes.join(some, "node").select("spot", "node"), "told")
+        out = cut(_tokens(given, told, width), "whole")
         discard(told)
         return out
 
@@ -265,7 +284,10 @@ def posted(given: DataFrame, nodes: DataFrame, width: int, percent: int) -> tupl
 
         def also(tokens: DataFrame) -> DataFrame:
             """Tokens that only one front has, but a set that is known whole has as well."""
-            return classed(first.join(tokens, "token", "left_semi").join(seen, "token", "left_anti"))
+            # Written, as Spark would join before it sifts.
+            some = cut(sifted(first, "token", tokens), "some")
+            made.append(some)
+            return classed(some.join(tokens, "token", "left_semi").join(seen, "token", "left_anti"))
 
         found = cut(also(again), "also")
         made.append(found)
@@ -275,7 +297,9 @@ def posted(given: DataFrame, nodes: DataFrame, width: int, percent: int) -> tupl
         if not late.isEmpty():
             rest = whole(late)
             made.append(rest)
-            partly = partly.unionByName(also(rest.select("token").distinct().join(again, "token", "left_anti")))
+            new = cut(rest.select("token").distinct().join(again, "token", "left_anti"), "new")
+            made.append(new)
+            partly = partly.unionByName(also(new))
             more = more.unionByName(rest)
         partly = partly.join(wanting.unionByName(late), "node", "left_anti")
         rows = partly.withColumn("known", _window(F.col("n"), percent).cast("long")).unionByName(classed(more).withColumn("known", F.col("n")))

@@ -11,7 +11,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.llm import divergence, mining, ngram_join, topk
+from locusframe.llm import divergence, mining, ngram_join, simhash, topk
+from locusframe.llm.common import cut, sifted
 
 
 def brute_components(rows, width, percent):
@@ -285,3 +286,38 @@ def test_discard_frees_shuffles(spark):
         seen.append(files())
     # Those of the last step may stay until the next.
     assert seen[-1] <= seen[0]
+
+
+def test_sifted_keeps_all_that_may_match_and_little_else(spark, tmp_path):
+    df = spark.range(20_000).select(F.when(F.col("id") % 1000 != 1, F.col("id") * 4096 - 7).alias("k"), F.lit("x").alias("more"))
+    some = cut(df.where("k % 37 = 0"), "some")
+    wanted = {r.k for r in some.collect()}
+    got = [r.k for r in sifted(df, "k", some).collect()]
+    assert len(got) == len(set(got)) and wanted and wanted <= set(got)
+    assert len(got) < len(wanted) + 2000
+    # With a map that is full, more stay and none are lost.
+    assert wanted <= {r.k for r in sifted(df, "k", some, 1 << 8).collect()}
+    assert sifted(df, "k", cut(some.where("k is null"), "none")).count() == 0
+
+
+def test_whole_sets_take_one_python_process_a_task_and_shuffle_only_wanted_texts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.range(5000).select(F.col("id").alias("key"), F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") * k) % 997) for k in range(1, 30)]).alias("text"))
+        given = docs.withColumn("spot", simhash.spot("key", "text"))
+        prints = cut(ngram_join.read(given, 4, 85), "prints")
+        wanted = cut(prints.where("key % 100 = 3").select("spot", "node"), "wanted")
+        tokens = ngram_join._tokens(given, wanted, 4)
+        assert tokens._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        rows = {(r.node, r.n, r.place, r.token) for r in tokens.collect()}
+        want = set()
+        for r in given.where("key % 100 = 3").collect():
+            s = ngram_join.shingles(r.text, 4)
+            want |= {(simhash.set_node(s), len(s), i, t) for i, t in enumerate(s.view("int64").tolist())}
+        assert rows == want
+        told = ngram_join._sets(given, wanted, 4)
+        assert {(r.node, bytes(r.hashes)) for r in told.collect()} == {(simhash.set_node(s), s.tobytes()) for s in (ngram_join.shingles(r.text, 4) for r in given.where("key % 100 = 3").collect())}
+        assert ngram_join.sifted(given.select("spot", "text"), "spot", wanted).count() < 50 + 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
