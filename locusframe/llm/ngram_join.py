@@ -167,6 +167,31 @@ def signatures(n: int, known: int, tokens: list[tuple[int, int, int]], percent:
     return out
 
 
+def signed(node: np.ndarray, n: np.ndarray, known: np.ndarray, place: np.ndarray, token: np.ndarray, nodes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`signatures` and their nodes, of rows sorted by node, size, part known, place and token, each a token of a set."""
+    differ = (node[1:] != node[:-1]) | (n[1:] != n[:-1]) | (known[1:] != known[:-1])
+    # Tasks may have said the same token.
+    once = np.r_[True, differ | (place[1:] != place[:-1]) | (token[1:] != token[:-1])]
+    start = np.flatnonzero(np.r_[True, differ][once])
+    node, n, known, place, token, nodes = (x[once] for x in (node, n, known, place, token, nodes))
+    of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(node)]))
+    hot = nodes > OFTEN
+    before = np.cumsum(hot) - hot
+    before -= before[start][of]
+    need = missing(n, percent) + 1
+    # Sets with too few rare tokens go one by one, which most need not.
+    short = known[start] - np.add.reduceat(hot.astype(np.int64), start) < need[start]
+    rare = ~hot & (place - before < need) & ~short[of]
+    sigs, owners = [token[rare]], [node[rare]]
+    ends = np.r_[start, len(node)]
+    for k in np.flatnonzero(short).tolist():
+        a, b = int(ends[k]), int(ends[k + 1])
+        own = signatures(int(n[a]), int(known[a]), list(zip(place[a:b].tolist(), token[a:b].tolist(), nodes[a:b].tolist())), percent)
+        sigs.append(np.array(own, np.int64))
+        owners.append(np.full(len(own), node[a]))
+    return np.concatenate(sigs), np.concatenate(owners)
+
+
 def read(given: DataFrame, width: int, percent: int) -> DataFrame:
     """Of every row of (``key``, ``text``, ``spot``) the set: ``node``, ``n``, judges and ``front``, its first tokens."""
 
@@ -305,15 +330,11 @@ def posted(given: DataFrame, nodes: DataFrame, width: int, percent: int) -> tupl
         rows = partly.withColumn("known", _window(F.col("n"), percent).cast("long")).unionByName(classed(more).withColumn("known", F.col("n")))
 
     def run(batches):
-        for batch in batches:
-            nodes, out = [], []
-            for node, n, known, tokens in zip(*[c.to_pylist() for c in batch.columns]):
-                own = signatures(n, known, [(t["place"], t["token"], t["c"]) for t in tokens], percent)
-                nodes += [node] * len(own)
-                out += own
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(nodes, pa.int64())], ["sig", "node"])
-
-    by_node = rows.groupBy("node", "n", "known").agg(F.collect_list(F.struct("place", "token", "c")).alias("tokens"))
+        for place, node, n, known, token, nodes in simhash.whole_buckets(batches, 6):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in signed(node, n, known, place, token, nodes, percent)], ["sig", "node"])
+
+    # Tokens stay rows, which tasks sort and pass on a few at a time; a list of each node's would be objects in both languages.
+    by_node = rows.select("place", "node", "n", "known", "token", "c").repartition("node").sortWithinPartitions("node", "n", "known", "place", "token")
     return by_node.mapInArrow(run, "sig long, node long").distinct(), made
 
 
@@ -394,12 +415,12 @@ def confirmed(sets: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(component, pa.int64())], ["node", "component"])
 
         for batch in batches:
-            for near, i, j, node, hashes in zip(*[c.to_pylist() for c in batch.columns]):
+            for near, i, j, node, hashes in zip(*[c.to_pylist() for c in batch.columns[:4]], batch.column(4)):
                 if (near, i, j) != cell and held:
                     yield settle()
                     held = {}
                 cell = near, i, j
-                held[node] = hashes
+                held[node] = hashes.as_py()
         if held:
             yield settle()
 

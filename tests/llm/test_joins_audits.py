@@ -321,3 +321,25 @@ def test_whole_sets_take_one_python_process_a_task_and_shuffle_only_wanted_texts
         assert ngram_join.sifted(given.select("spot", "text"), "spot", wanted).count() < 50 + 1000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_signatures_come_from_sorted_rows_and_no_task_holds_lists_of_tokens(spark):
+    r = random.Random(11)
+    rows, want = [], set()
+    for node in range(-150, 150):
+        n = r.choice([1, 5, 8, 60, 200])
+        counts = [r.choice([0, 2, 40, 3000] if node % 3 else [0, 2, 2, 2, 2, 2, 2, 40]) for _ in range(n)]
+        known = n if sum(c > ngram_join.OFTEN for c in counts) else min(n, ngram_join.window(n, 80))
+        told = [(k, r.getrandbits(63), counts[k]) for k in range(known)]
+        want |= {(s, node) for s in ngram_join.signatures(n, known, told, 80)}
+        # Rare ones of one set only may be left out, others may come twice.
+        rows += [(node, n, known, *t) for t in told + told[:2]]
+    table = np.array(sorted(rows), np.int64)
+    sigs, nodes = ngram_join.signed(*[table[:, k] for k in range(6)], 80)
+    assert len(sigs) == len(want) and set(zip(sigs.tolist(), nodes.tolist())) == want
+    docs = spark.createDataFrame([(i, t) for i, t in near_rows(random.Random(2)) if i is not None], "key long, text string")
+    given = docs.withColumn("spot", simhash.spot("key", "text"))
+    prints = cut(ngram_join.read(given, 4, 85), "prints")
+    posts, _ = ngram_join.posted(given, cut(prints.dropDuplicates(["node"]), "nodes"), 4, 85)
+    plan = posts._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "collect_list" not in plan
