@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import re
 import shutil
@@ -10,6 +11,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +81,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def handing_back(run):
+    """A map over batches whose Python process, which Spark keeps for later tasks of any step, returns at the end what it has freed."""
+
+    def mapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        # Of the C library in use, if it can.
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return mapped
+
+
 def sifted(df: DataFrame, by: str, some: DataFrame, bits: int = 1 << 26) -> DataFrame:
     """The rows of ``df`` whose ``by`` (a long) may be in ``some``, a table made by :func:`cut`: all that are, and few others.
 

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm import simhash
-from locusframe.llm.common import cut, discard, release, sifted
+from locusframe.llm.common import cut, discard, handing_back, release, sifted
 
 #: Nodes of a token from which on it is frequent, and very frequent.
 OFTEN = 32
@@ -215,7 +215,7 @@ def read(given: DataFrame, width: int, percent: int) -> DataFrame:
             )
 
     layout = "key long, spot long, node long, n long, " + ", ".join(f"{m} long" for m in _JUDGES) + ", front array<long>"
-    return given.mapInArrow(run, layout)
+    return given.mapInArrow(handing_back(run), layout)
 
 
 def _texts(given: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def _sets(given: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*told.columns, pa.array([s.tobytes() for s in sets], pa.binary())], [*told.schema.names, "hashes"])
 
     layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema) + ", hashes binary"
-    return rows.mapInArrow(run, layout)
+    return rows.mapInArrow(handing_back(run), layout)
 
 
 def _tokens(given: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -269,7 +269,7 @@ def _tokens(given: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 columns = [np.repeat(nodes[k : k + 64], sizes), np.repeat(sizes, sizes), np.concatenate([np.arange(x) for x in sizes]), np.concatenate(some).view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "n", "place", "token"])
 
-    return _texts(given, wanted).mapInArrow(run, "node long, n long, place long, token long")
+    return _texts(given, wanted).mapInArrow(handing_back(run), "node long, n long, place long, token long")
 
 
 def posted(given: DataFrame, nodes: DataFrame, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -335,7 +335,7 @@ def posted(given: DataFrame, nodes: DataFrame, width: int, percent: int) -> tupl
 
     # Tokens stay rows, which tasks sort and pass on a few at a time; a list of each node's would be objects in both languages.
     by_node = rows.select("place", "node", "n", "known", "token", "c").repartition("node").sortWithinPartitions("node", "n", "known", "place", "token")
-    return by_node.mapInArrow(run, "sig long, node long").distinct(), made
+    return by_node.mapInArrow(handing_back(run), "sig long, node long").distinct(), made
 
 
 def proposals(posts: DataFrame, nodes: DataFrame, percent: int, most: int) -> DataFrame:
@@ -424,7 +424,7 @@ def confirmed(sets: DataFrame, percent: int) -> DataFrame:
         if held:
             yield settle()
 
-    return dealt.repartition("near", "i", "j").sortWithinPartitions("near", "i", "j").mapInArrow(run, "node long, component long")
+    return dealt.repartition("near", "i", "j").sortWithinPartitions("near", "i", "j").mapInArrow(handing_back(run), "node long, component long")
 
 
 def join(

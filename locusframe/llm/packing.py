@@ -37,6 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.llm.common import handing_back
+
 END_ID = 1
 SEQ_LEN = 2048
 GROUP_TOKENS = 1 << 21
@@ -209,8 +211,10 @@ def pack(
         yield from settle()
         if rows:
             yield flush()
+        # The process goes on with tasks of other steps, which have no use for the vocabulary.
+        encoder.cache_clear()
 
     kinds = "key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     kinds += ", ids array<int>" * with_ids
     given = df.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return given.mapInArrow(run, kinds).withColumnRenamed("key", id_col)
+    return given.mapInArrow(handing_back(run), kinds).withColumnRenamed("key", id_col)

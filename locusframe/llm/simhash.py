@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import cut, discard
+from locusframe.llm.common import cut, discard, handing_back
 
 WIDTH = 3
 RADIUS = 3
@@ -342,7 +342,7 @@ def bucket_links(dealt: DataFrame, n_judges: int, most: int, percent: int = 80)
             node = node[live]
             yield linked(node[[x for x, _ in got]] if got else node[:0], node[[y for _, y in got]] if got else node[:0])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(handing_back(run), "a long, b long").distinct()
 
 
 def candidate_edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -370,7 +370,7 @@ def candidate_edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
                     yield linked(own[[x for x, _ in got]], own[[y for _, y in got]])
 
     sorted_by = dealt.repartition("table", "part").sortWithinPartitions("table", "part")
-    return sorted_by.mapInArrow(run, "a long, b long").distinct()
+    return sorted_by.mapInArrow(handing_back(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import cut, discard
+from locusframe.llm.common import cut, discard, handing_back
 
 WORD = re.compile(r"\w+")
 PREFIXES = range(3, 8)
@@ -232,7 +232,7 @@ def train(
                 ["y", "own", "other"],
             )
 
-    sample = cut(rows.mapInArrow(extract, "y int, own array<long>, other array<long>"), "sample")
+    sample = cut(rows.mapInArrow(handing_back(extract), "y int, own array<long>, other array<long>"), "sample")
     names = leaning(sample, min_df, top)
 
     def kept(batches):
@@ -287,7 +287,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         + [StructField("score", DoubleType()), StructField("predicted", IntegerType())]
     )
     named = base.toDF(*[f"c{i}" for i in range(len(kept))])
-    return named.mapInArrow(run, schema).toDF(*[f.name for f in kept], *extra)
+    return named.mapInArrow(handing_back(run), schema).toDF(*[f.name for f in kept], *extra)
 
 
 def held_out(id_col: str):

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe.llm import divergence, mining, ngram_join, simhash, topk
-from locusframe.llm.common import cut, sifted
+from locusframe.llm.common import cut, handing_back, sifted
 
 
 def brute_components(rows, width, percent):
@@ -343,3 +343,22 @@ def test_signatures_come_from_sorted_rows_and_no_task_holds_lists_of_tokens(spar
     posts, _ = ngram_join.posted(given, cut(prints.dropDuplicates(["node"]), "nodes"), 4, 85)
     plan = posts._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "collect_list" not in plan
+
+
+def test_a_map_hands_back_the_memory_it_freed():
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) >> 10
+
+    kept = []
+
+    def run(batches):
+        some = [bytearray(b"x" * 700) for _ in range(200_000)]
+        # What stays lies behind what goes, so that the heap can't shrink by itself.
+        kept.extend(bytearray(b"y" * 700) for _ in range(2000))
+        yield from batches
+        some.clear()
+
+    before = held()
+    assert list(handing_back(run)(iter([1, 2]))) == [1, 2]
+    assert len(kept) == 2000 and held() < before + 60
