@@ -84,6 +84,39 @@ def test_joins_by_either_plan(spark, monkeypatch, few):
     assert sorted((r.contig, r.start, r.end, r.g_start, r.g_end) for r in j.overlap_join(t, right, bin_width=32).collect()) == want
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_joins_in_tiles(spark, monkeypatch, few):
+    """Tiles of few spans and blocks of few rows give every pair once, whichever side is dense, repeated rows and spans too."""
+    for name, value in (("FEW", few), ("DENSE", 0), ("TILE", 3), ("BLOCK", 4), ("TASK", 50)):
+        monkeypatch.setattr(j, name, value)
+    rows, spans = random_case(8)
+    rows, spans = rows + rows[:20] + [(900, None, 5), (901, "chr1", None)], spans + spans[:9] + [("chr1", 1, 10**12), ("chr2", -50, 10**9), ("chr2", 9, 3), (None, 1, 9)]
+    df, t = spark.createDataFrame(rows, "id int, contig string, position int"), table(spark, spans)
+    pairs = sorted((i, c, p, a, b) for i, c, p in rows for d, a, b in spans if c and p and c == d and a <= p <= b)
+    out = j.interval_join(df, t, bin_width=4)
+    assert out.columns == ["id", "contig", "position", "start", "end"] and sorted(map(tuple, out.collect())) == pairs
+    right = t.toDF("g_contig", "g_start", "g_end")
+    good = [x for x in spans if x[0] and x[1] <= x[2]]
+    want = sorted((c, a, b, x, y) for c, a, b in good for d, x, y in good if c == d and a <= y and b >= x)
+    assert sorted((r.contig, r.start, r.end, r.g_start, r.g_end) for r in j.overlap_join(t, right, bin_width=32).collect()) == want
+    assert j.interval_join(df, t.limit(0)).count() == 0 == j.interval_join(df.limit(0), t).count()
+
+
+def written_bits(df, path):
+    df.write.parquet(str(path))
+    files = list(path.glob("*.parquet"))
+    return 8 * sum(f.stat().st_size for f in files) / df.sparkSession.read.parquet(str(path)).count()
+
+
+def test_many_pairs_take_few_bits(spark, tmp_path):
+    """Rows in any order under many intervals: a written pair takes a few bits, not whole values of both sides."""
+    rows = spark.range(6000).selectExpr("hash(id) % 100000 as k", "'chr1' as contig", "pmod(hash(id, 1), 200000) as position").repartition(4)
+    spans = spark.range(1500).selectExpr("'chr1' as contig", "pmod(hash(id, 2), 100000) + 0L as start", "pmod(hash(id, 2), 100000) + 50000L + pmod(hash(id, 3), 100000) as end")
+    assert written_bits(j.interval_join(rows, spans).select("k", "start", "end"), tmp_path / "points") < 8
+    genes = rows.selectExpr("k as gene", "contig as g_contig", "position + 0L as g_start", "position + 500L as g_end")
+    assert written_bits(j.overlap_join(spans, genes).select("gene", "start", "end"), tmp_path / "overlaps") < 8
+
+
 def test_rows_are_not_broadcast(spark, tmp_path):
     """Rows in a small file, each looked up at several levels, stay where they are; the intervals go to them."""
     rows, spans = random_case(7)
