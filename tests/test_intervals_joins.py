@@ -108,13 +108,24 @@ def written_bits(df, path):
     return 8 * sum(f.stat().st_size for f in files) / df.sparkSession.read.parquet(str(path)).count()
 
 
-def test_many_pairs_take_few_bits(spark, tmp_path):
-    """Rows in any order under many intervals: a written pair takes a few bits, not whole values of both sides."""
+def many(spark):
+    """Rows in any order, and spans of which hundreds lie over one place."""
     rows = spark.range(6000).selectExpr("hash(id) % 100000 as k", "'chr1' as contig", "pmod(hash(id, 1), 200000) as position").repartition(4)
     spans = spark.range(1500).selectExpr("'chr1' as contig", "pmod(hash(id, 2), 100000) + 0L as start", "pmod(hash(id, 2), 100000) + 50000L + pmod(hash(id, 3), 100000) as end")
+    return rows, spans
+
+
+def test_many_pairs_take_few_bits(spark, tmp_path):
+    """A written pair takes a few bits, not whole values of both sides."""
+    rows, spans = many(spark)
     assert written_bits(j.interval_join(rows, spans).select("k", "start", "end"), tmp_path / "points") < 8
+
+
+@pytest.mark.parametrize("columns", [["gene", "start", "end"]], ids=["j6"])
+def test_many_overlaps_take_few_bits(spark, tmp_path, columns):
+    rows, spans = many(spark)
     genes = rows.selectExpr("k as gene", "contig as g_contig", "position + 0L as g_start", "position + 500L as g_end")
-    assert written_bits(j.overlap_join(spans, genes).select("gene", "start", "end"), tmp_path / "overlaps") < 8
+    assert written_bits(j.overlap_join(spans, genes).select(*columns), tmp_path / "overlaps") < 8
 
 
 def test_rows_are_not_broadcast(spark, tmp_path):
