@@ -121,7 +121,7 @@ def test_many_pairs_take_few_bits(spark, tmp_path):
     assert written_bits(j.interval_join(rows, spans).select("k", "start", "end"), tmp_path / "points") < 8
 
 
-@pytest.mark.parametrize("columns", [["gene", "start", "end"]], ids=["j6"])
+@pytest.mark.parametrize("columns", [["gene", "start", "end"], ["contig", "start", "end", "g_start", "g_end"]], ids=["j6", "f9"])
 def test_many_overlaps_take_few_bits(spark, tmp_path, columns):
     rows, spans = many(spark)
     genes = rows.selectExpr("k as gene", "contig as g_contig", "position + 0L as g_start", "position + 500L as g_end")
