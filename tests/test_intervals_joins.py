@@ -144,6 +144,13 @@ def test_overlaps_are_dealt_out(spark):
     assert out.groupBy(F.spark_partition_id()).count().where("count > 10000").count() > 1 and out.count() == 90000
 
 
+def test_equal_rows_are_dealt_out(spark):
+    """Copies of one row under many intervals stay the work of several tasks."""
+    rows = spark.range(0, 400, 1, 8).selectExpr("7 as k", "'chr1' as contig", "5000 as position")
+    out = j.interval_join(rows, table(spark, [("chr1", k, k + 9000) for k in range(300)]))
+    assert out.groupBy(F.spark_partition_id()).count().count() > 1 and out.count() == 120_000
+
+
 def test_no_nested_loop(spark):
     rows, spans = random_case(4)
     df = spark.createDataFrame(rows, "id int, contig string, position int")
